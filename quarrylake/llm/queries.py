@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import capping, near_duplicates, overlap, packing, splitting, tokenize
+from quarrylake.llm import abuse, boilerplate, capping, near_duplicates, neighbours, overlap, packing, pair_quality, splitting, tokenize
 from quarrylake.llm.common import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = boilerplate.label_lines(read(spark, d, "raw_pages"), "page_id", "html", "text", "title")
+    return lines.where("not main").select("page_id", "line_no")
+
+
+def p1_main(spark: SparkSession, d: str) -> DataFrame:
+    """The title and article lines of each page, in order."""
+    lines = boilerplate.label_lines(read(spark, d, "raw_pages"), "page_id", "html", "text", "title")
+    return lines.where("main").select("page_id", "line_no", "line")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     who = capping.question_bank_contributors(read(spark, d, "question_bank"))
     return capping.beyond_cap(who, "contributor", "score", "row_no", cap=25, kind="contributor_kind").select("contributor_kind", "row_no")
@@ -28,11 +39,22 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).select("item_kind", "item_id", "piece_index", "start_pos", "end_pos", "shared", "piece")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read(spark, d, "chunk_vectors").select(F.col("chunk_id").alias("id"), F.col("vector").alias("v"), F.lit(0).alias("kind"))
+    titles = read(spark, d, "document_vectors").select(F.col("doc_id").alias("id"), F.col("title_vector").alias("v"), F.lit(1).alias("kind"))
+    pairs = neighbours.similar_pairs(chunks.unionByName(titles), "id", "v", "kind", 0.9)
+    return pairs.select(F.when(F.col("kind") == 0, "chunk").otherwise("title").alias("field_name"), F.col("low").alias("low_id"), F.col("high").alias("high_id"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near_duplicates.near_duplicate_pairs(read(spark, d, "documents"), "doc_id", "text", 0.6, 20)
     return pairs.select(F.col("low").alias("low_doc_id"), F.col("high").alias("high_doc_id"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pair_quality.find_defects(read(spark, d, "question_bank"), "row_no", "question", "expected_answer_summary").select("row_no", "defect")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     train, held = overlap.split_sides(read(spark, d, "qa_cases"), read(spark, d, "eval_cases"))
     pairs = overlap.set_overlaps(train, held, "case_no", "question", 0.7)
@@ -52,4 +74,21 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"), "doc_id", "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p5_found, p7_found, p7_report, p8_ids, p9_containers)}
+def _abuse(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(read(spark, d, "documents"), read(spark, d, "review_labels"), "doc_id", "text", "label")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).where("category is not null").select("doc_id", "category")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_abuse(spark, d), read(spark, d, "documents"), "doc_id", "source")
+
+
+_ALL = (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p7_report, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)
+QUERIES = {f.__name__: f for f in _ALL}
