@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import unicodedata
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,19 +20,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary one is made.
+    It is the one named by ``spark.checkpoint.dir``; only where that is unset
+    (tests, a laptop) a temporary one is made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage; partitions and their order stay."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder: smaller than a
+    checkpoint and read by column, but partitions may come back in other sizes."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession, at_least: int = 2) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
