@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import WORD, WordHashes, fold_accents
+from quarrylake.llm.common import WORD, WordHashes, fold_accents, stored
 
 #: Number of counters in the frequency sketch; its size does not depend on the data.
-SKETCH_BITS = 18
+SKETCH_BITS = 15
 
 
 def words_of(text: str | None) -> set[str]:
@@ -85,7 +85,7 @@ def set_overlaps(left: DataFrame, right: DataFrame, key: str, text: str, thresho
                 h = np.array([hashes[w] for w in words], np.uint64)
                 h = h[np.lexsort((h, counts[(h >> shift).astype(np.int64)]))]
                 rows.append(i)
-                digest.append(xxhash.xxh3_128_hexdigest(np.sort(h).tobytes()))
+                digest.append(xxhash.xxh3_128_digest(np.sort(h).tobytes()))
                 size.append(len(h))
                 slots = np.bitwise_or.reduce(np.left_shift(np.uint64(1), h & np.uint64(63)))
                 more = np.bitwise_or.reduce(np.left_shift(np.uint64(1), (h >> np.uint64(6)) & np.uint64(63)))
@@ -93,16 +93,15 @@ def set_overlaps(left: DataFrame, right: DataFrame, key: str, text: str, thresho
                 prefix.append(h[: prefix_length(len(h), t)].view(np.int64))
             idx = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").take(idx), b.column("side").take(idx), pa.array(digest, pa.string()), pa.array(size, pa.int32()), pa.array([x[0] for x in bits], pa.int64()), pa.array([x[1] for x in bits], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                [b.column("key").take(idx), b.column("side").take(idx), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array([x[0] for x in bits], pa.int64()), pa.array([x[1] for x in bits], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
                 names=["key", "side", "digest", "size", "bits", "more", "prefix"],
             )
 
     kind = left.schema[key].dataType.simpleString()
-    records = both.mapInArrow(describe, f"key {kind}, side int, digest string, size int, bits long, more long, prefix array<long>")
+    records = stored(both.mapInArrow(describe, f"key {kind}, side int, digest binary, size int, bits long, more long, prefix array<long>"))
     classes = records.groupBy("digest").agg(
         F.max((F.col("side") == 0).cast("int")).alias("has_left"), F.max((F.col("side") == 1).cast("int")).alias("has_right"),
         F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("prefix").alias("prefix"),
-        F.min(F.struct("key", "side")).alias("sample"),
     )
     entries = classes.select("digest", "has_left", "has_right", "size", "bits", "more", F.posexplode("prefix").alias("pos", "word"))
     a = entries.where("has_left = 1").select("word", *[F.col(c).alias(f"a_{c}") for c in ("digest", "size", "bits", "more", "pos")])
@@ -118,11 +117,11 @@ def set_overlaps(left: DataFrame, right: DataFrame, key: str, text: str, thresho
         & (1 + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) - 1 >= need)
         & (differing <= spare) & (differing2 <= spare)
     )
-    pairs = a.join(b, "word").where(close).select("a_digest", "b_digest").distinct()
-    return _verified(pairs, classes, records, both, t, kind)
+    pairs = stored(a.join(b, "word").where(close).select("a_digest", "b_digest").distinct())
+    return _verified(pairs, records, both, t)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, records: DataFrame, both: DataFrame, t: Fraction, kind: str) -> DataFrame:
+def _verified(pairs: DataFrame, records: DataFrame, both: DataFrame, t: Fraction) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, sims = [], []
@@ -136,18 +135,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, records: DataFrame, both: Da
             idx = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("a_digest").take(idx), b.column("b_digest").take(idx), pa.array(sims, pa.float64())], names=["a_digest", "b_digest", "similarity"])
 
-    samples = classes.select("digest", "sample.key", "sample.side").join(both, ["key", "side"]).select("digest", "text").dropDuplicates(["digest"])
+    # one text for each class that has a candidate
+    wanted = pairs.select(F.explode(F.array("a_digest", "b_digest")).alias("digest")).distinct()
+    sample = records.select("key", "side", "digest").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("key", "side")).alias("s"))
+    samples = sample.select("digest", "s.key", "s.side").join(both, ["key", "side"]).groupBy("digest").agg(F.min("text").alias("text"))
     true = (
         pairs.join(samples.select(F.col("digest").alias("a_digest"), F.col("text").alias("a_text")), "a_digest")
         .join(samples.select(F.col("digest").alias("b_digest"), F.col("text").alias("b_text")), "b_digest")
-        .mapInArrow(check, "a_digest string, b_digest string, similarity double")
+        .mapInArrow(check, "a_digest binary, b_digest binary, similarity double")
     )
-    members = records.select("key", "side", "digest").distinct()
+    members = records.select("key", "side", "digest")
     return (
         true.join(members.where("side = 0").select(F.col("digest").alias("a_digest"), F.col("key").alias("left_key")), "a_digest")
         .join(members.where("side = 1").select(F.col("digest").alias("b_digest"), F.col("key").alias("right_key")), "b_digest")
-        .select("left_key", "right_key", "similarity")
-    )
+        .select("left_key", "right_key", "similarity").distinct()
+    )
 
 
 def split_sides(qa: DataFrame, evals: DataFrame) -> tuple[DataFrame, DataFrame]:
