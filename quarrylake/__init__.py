@@ -1,0 +1 @@
+"""Analytics over a versioned collection of technical documents, on Spark."""
