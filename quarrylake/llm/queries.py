@@ -92,3 +92,34 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p7_report, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)
 QUERIES = {f.__name__: f for f in _ALL}
+
+_HOST = r"regexp_extract(lower(trim(source)), '^https?://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1)"
+_AUTHOR = r"lower(trim(regexp_replace(extraction.author, '[ \t\n\r\f]+', ' ', 'g')))"
+_CUT = r"list_max(list_transform(regexp_split_to_array(body, '{0}'), lambda x: length(trim(x, ' ' || chr(9) || chr(10) || chr(13))))) <= 1800"
+_LONG = "length(trim(body, ' ' || chr(9) || chr(10) || chr(13))) > 1800"
+# SQL has no lookbehind: sentence ends are marked by a character first
+_SENTENCE = r"list_max(list_transform(regexp_split_to_array(regexp_replace(body, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '\r?\n'), lambda x: length(trim(x, ' ' || chr(9) || chr(10) || chr(13))))) <= 1800"
+_LEVEL = f"CASE WHEN {_CUT.replace('{0}', chr(92) + 'r?' + chr(92) + 'n(?:[ ' + chr(92) + 't]*' + chr(92) + 'r?' + chr(92) + 'n)+')} THEN 'paragraph' WHEN {_CUT.replace('{0}', chr(92) + 'r?' + chr(92) + 'n')} THEN 'line' WHEN {_SENTENCE} THEN 'sentence' WHEN {_CUT.replace('{0}', '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]+')} THEN 'word' ELSE 'none' END"
+_OK = "vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
+
+#: Equivalent SQL of the queries that SQL can say.
+SQL = {
+    "p2_found": f"""WITH c AS (
+  SELECT 'source' AS contributor_kind, row_no, extraction.answer_score AS s, nullif(CASE WHEN {_HOST} <> '' THEN {_HOST} ELSE lower(trim(source)) END, '') AS who FROM question_bank
+  UNION ALL SELECT 'author', row_no, extraction.answer_score, CASE WHEN {_AUTHOR} NOT IN ('', 'anonymous', '[deleted]', 'unknown') THEN {_AUTHOR} END FROM question_bank)
+SELECT contributor_kind, row_no FROM c WHERE who IS NOT NULL QUALIFY row_number() OVER (PARTITION BY contributor_kind, who ORDER BY s DESC NULLS LAST, row_no) > 25""",
+    "p3_found": f"""SELECT 'section' AS item_kind, section_id AS item_id, {_LEVEL} AS boundary FROM document_sections WHERE {_LONG}
+UNION ALL SELECT 'chunk', chunk_id, {_LEVEL} FROM chunks WHERE {_LONG}""",
+    "p4_found": f"""WITH v AS (SELECT 'chunk' AS field_name, chunk_id AS id, vector::DOUBLE[] AS v FROM chunk_vectors WHERE {_OK}
+  UNION ALL SELECT 'title', doc_id, title_vector::DOUBLE[] FROM document_vectors WHERE {_OK.replace("vector", "title_vector")})
+SELECT a.field_name, a.id AS low_id, b.id AS high_id FROM v a JOIN v b ON a.field_name = b.field_name AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
+    "p5_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS low_doc_id, b.doc_id AS high_doc_id, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT low_doc_id, high_doc_id FROM c JOIN n x ON x.doc_id = low_doc_id JOIN n y ON y.doc_id = high_doc_id WHERE c >= 0.6 * (x.n + y.n - c)""",
+    "p7_found": """WITH q AS (SELECT case_no, CASE WHEN split_name = 'train' THEN 0 ELSE 1 END AS side, question FROM qa_cases UNION ALL SELECT case_no, 1, question FROM eval_cases),
+w AS (SELECT DISTINCT case_no, side, unnest(regexp_extract_all(strip_accents(lower(question)), '[\\p{L}\\p{N}_]+')) AS w FROM q), n AS (SELECT case_no, count(*) AS n FROM w GROUP BY 1),
+c AS (SELECT a.case_no AS t, b.case_no AS e, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.side = 0 AND b.side = 1 GROUP BY ALL)
+SELECT least(t, e) AS low_case_no, greatest(t, e) AS high_case_no FROM c JOIN n x ON x.case_no = t JOIN n y ON y.case_no = e WHERE c * 10 >= 7 * (x.n + y.n - c)""",
+}
