@@ -30,7 +30,7 @@ def read_after_search(events: DataFrame, tool: str, user: str, at: str, search:
     """(user, searches, followed): the ordered variant, a read at most ``within`` seconds later."""
     w = Window.partitionBy(user).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     next_read = F.min(F.when(F.col(tool) == read, F.col(at))).over(w)
-    follows = (F.unix_micros(next_read) - F.unix_micros(at)) <= within * 1_000_000
+    follows = (F.unix_micros(next_read.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) <= within * 1_000_000
     marked = events.withColumn("follows", F.coalesce(follows, F.lit(False))).where(F.col(tool) == search)
     return marked.groupBy(user).agg(F.count("*").alias("searches"), F.count_if("follows").alias("followed"))
 
