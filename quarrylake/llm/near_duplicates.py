@@ -180,3 +180,37 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float =
     linked = verified.select("low", "high").unionByName(within)
     out = linked.join(members.select(F.col("rep").alias("low"), F.col("key").alias("x")), "low").join(members.select(F.col("rep").alias("high"), F.col("key").alias("y")), "high")
     return out.where((F.col("low") != F.col("high")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"))
+
+
+def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(key, root): smallest key reachable over links (low, high), by alternating
+    large-star and small-star steps; each round's links are a table in the shared
+    folder. Ends when a round changes nothing."""
+    edges = stored(links.select(F.col("low").alias("u"), F.col("high").alias("v")).where("u <> v").distinct())
+    before = None
+    for _ in range(rounds):
+        # large star: every neighbour above a node goes to the node's smallest neighbour
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v")
+        # small star: a node and its smaller neighbours go to the smallest of them
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b")
+        edges = stored(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    return edges.groupBy(F.col("v").alias("key")).agg(F.min("u").alias("root"))
+
+
+def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.6, min_words: int = 20) -> DataFrame:
+    """(key, group_id, n_links): one row a document; the group is named by its
+    smallest key and n_links counts the other classes a document's class is linked
+    to. Texts that are null, empty or short have a null group."""
+    verified, members = near_duplicate_classes(df, key, text, threshold, min_words)
+    verified = stored(verified)
+    roots = connected(verified).withColumnRenamed("key", "rep")
+    degree = verified.select(F.explode(F.array("low", "high")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    out = members.join(roots, "rep", "left").join(degree, "rep", "left").select("key", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return df.select(F.col(key).alias("key")).distinct().join(out, "key", "left").withColumnRenamed("key", key)

@@ -46,6 +46,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.when(F.col("kind") == 0, "chunk").otherwise("title").alias("field_name"), F.col("low").alias("low_id"), F.col("high").alias("high_id"))
 
 
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar rows of every row whose id is divisible by 20."""
+    chunks = neighbours.nearest(read(spark, d, "chunk_vectors"), "chunk_id", "vector").withColumn("field_name", F.lit("chunk"))
+    titles = neighbours.nearest(read(spark, d, "document_vectors"), "doc_id", "title_vector").withColumn("field_name", F.lit("title"))
+    return chunks.unionByName(titles).select("field_name", "query_id", "id", "cosine", F.col("rank").cast("long").alias("rank"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row a document with its group of versions of one text."""
+    return near_duplicates.near_duplicate_groups(read(spark, d, "documents"), "doc_id", "text")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near_duplicates.near_duplicate_pairs(read(spark, d, "documents"), "doc_id", "text", 0.6, 20)
     return pairs.select(F.col("low").alias("low_doc_id"), F.col("high").alias("high_doc_id"))
@@ -90,7 +102,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_abuse(spark, d), read(spark, d, "documents"), "doc_id", "source")
 
 
-_ALL = (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p7_report, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)
+_ALL = (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p4_nearest, p5_found, p5_groups, p6_found, p7_found, p7_report, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _HOST = r"regexp_extract(lower(trim(source)), '^https?://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1)"
@@ -113,6 +125,10 @@ UNION ALL SELECT 'chunk', chunk_id, {_LEVEL} FROM chunks WHERE {_LONG}""",
     "p4_found": f"""WITH v AS (SELECT 'chunk' AS field_name, chunk_id AS id, vector::DOUBLE[] AS v FROM chunk_vectors WHERE {_OK}
   UNION ALL SELECT 'title', doc_id, title_vector::DOUBLE[] FROM document_vectors WHERE {_OK.replace("vector", "title_vector")})
 SELECT a.field_name, a.id AS low_id, b.id AS high_id FROM v a JOIN v b ON a.field_name = b.field_name AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
+    "p4_nearest": f"""WITH v AS (SELECT 'chunk' AS field_name, chunk_id AS id, vector::DOUBLE[] AS v FROM chunk_vectors WHERE {_OK}
+  UNION ALL SELECT 'title', doc_id, title_vector::DOUBLE[] FROM document_vectors WHERE {_OK.replace("vector", "title_vector")}),
+s AS (SELECT q.field_name, q.id AS query_id, r.id, round(list_cosine_similarity(q.v, r.v), 6) AS cosine FROM v q JOIN v r ON q.field_name = r.field_name AND q.id % 20 = 0 AND q.id <> r.id)
+SELECT field_name, query_id, id, cosine, row_number() OVER (PARTITION BY field_name, query_id ORDER BY cosine DESC, id) AS rank FROM s QUALIFY rank <= 10""",
     "p5_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
