@@ -66,13 +66,14 @@ def support_gate(rows: DataFrame) -> DataFrame:
     0.75 of the best; or the top has at least -0.9, agrees by 0.9 and two topics
     stand by it.
     """
-    strong = F.max_by(F.struct("topic", "logit", "direct"), F.struct(F.col("logit"), -F.col("place")))
-    head = rows.groupBy("question").agg(F.min_by(F.struct("chunk", "logit", "direct", "topic"), "place").alias("t"), F.max("direct").alias("top_direct"), strong.alias("s"))
+    q = Window.partitionBy("question")
+    row = F.struct("chunk", "logit", "direct", "topic")
+    best = rows.withColumn("t", F.min_by(row, "place").over(q)).withColumn("s", F.max_by(row, F.struct(F.col("logit"), -F.col("place"))).over(q)).withColumn("top_direct", F.max("direct").over(q))
+    near = (F.col("logit") >= F.greatest(F.col("t.logit") - 0.75, F.lit(-1.5))) & (F.col("direct") >= 0.75 * F.col("t.direct"))
+    head = best.withColumn("topics", F.size(F.collect_set(F.when(near, F.col("topic"))).over(q)).cast("long")).where("place = 1")
     share = lambda c: F.when(F.col("top_direct") > 0, c / F.col("top_direct")).otherwise(0.0)
-    near = rows.join(head.select("question", F.col("t.logit").alias("tl"), F.col("t.direct").alias("td")), "question").where((F.col("logit") >= F.greatest(F.col("tl") - 0.75, F.lit(-1.5))) & (F.col("direct") >= 0.75 * F.col("td")))
-    topics = near.groupBy("question").agg(F.count_distinct("topic").alias("topics"))
-    out = head.join(topics, "question", "left").select(
-        "question", F.col("t.chunk").alias("top"), F.col("t.logit").alias("logit"), F.round(share(F.col("t.direct")), 6).alias("agree"), F.coalesce("topics", F.lit(0)).alias("topics"),
+    out = head.select(
+        "question", F.col("t.chunk").alias("top"), F.col("t.logit").alias("logit"), F.round(share(F.col("t.direct")), 6).alias("agree"), "topics",
         (F.col("s.logit") >= 1.5).alias("s1"), (share(F.col("s.direct")) >= 0.75).alias("s2"), (F.col("s.topic") == F.col("t.topic")).alias("s3"),
     )
     ok = (F.col("logit") >= 1) | (F.col("s1") & F.col("s2") & F.col("s3")) | ((F.col("logit") >= -0.9) & (F.col("agree") >= 0.9) & (F.col("topics") >= 2))

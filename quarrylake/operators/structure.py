@@ -36,7 +36,8 @@ def sections(docs: DataFrame, key: str, text: str, most: int = 80) -> DataFrame:
     trim = lambda x: F.btrim(x, F.lit(" \t\r"))
     lines = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("t"), F.split(F.col(text), r"\r?\n").alias("lines"))
     n = F.size("lines")
-    kinds = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), trim(x).alias("title"), T.section_kind(trim(x)).alias("kind")))
+    kinds = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), trim(x).alias("title"), F.when(F.length(x) <= 400, T.section_kind(trim(x))).alias("kind")))
+    # the kind of a line too long for a heading is not looked for
     heads = F.filter(kinds, lambda h: (h["title"] != "") & (F.length(h["title"]) <= 140) & ((h["kind"] != "generic") | (h["title"].rlike(HEADING_CAPS) & (h["no"] > 1))))
     found = lines.withColumn("heads", heads)
     spans = F.transform(
