@@ -101,14 +101,18 @@ def pair_signature(q: Column, a: Column) -> Column:
     return F.sha2(F.concat(fold(q), F.lit("\n"), fold(a)), 256)
 
 
+def distinct_ignoring_case(strings: Column) -> Column:
+    """Each string once whatever its case, in the spelling that comes first."""
+    folded = F.array_distinct(F.transform(strings, lambda x: F.collate(x, "UTF8_LCASE")))
+    return F.transform(folded, lambda x: F.collate(x, "UTF8_BINARY"))
+
+
 def normalize_passage(c: Column, note: str = "Last Updated:", parent: str = "parent topic:") -> Column:
     """Paragraphs on one line each, without trails, date and parent lines, each once, joined by a blank."""
     parts = F.split(F.regexp_replace(c, r"\r", ""), r"\n{2,}")
     parts = F.transform(parts, lambda p: F.btrim(F.regexp_replace(p, f"{WS}+", " ")))
     parts = F.filter(parts, lambda p: (p != "") & (F.size(F.split(p, " > ")) < 3) & ~(p.contains(note) & (F.length(p) <= 240)) & ~F.lower(p).startswith(parent))
-    keys = F.transform(parts, F.lower)
-    first = F.filter(F.arrays_zip(parts.alias("p"), F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))).alias("i")), lambda x: (x["i"] <= F.size(parts)) & (F.array_position(keys, F.lower(x["p"])) == x["i"]))
-    return F.array_join(F.transform(first, lambda x: x["p"]), " ")
+    return F.array_join(distinct_ignoring_case(parts), " ")
 
 
 # Names of secrets whose values are hidden.
@@ -177,3 +181,42 @@ def document_kind(title: Column, breadcrumbs: Column, length: Column) -> Column:
         .when(t.rlike(r"\b(reference|programmer'?s guide|language reference|messages and codes|keyword finder)\b"), "reference")
         .otherwise("topic")
     )
+
+# Beginnings of command names, and upper-case words that are no commands.
+COMMAND_PREFIXES = "add alw ap call chg chk clr cpy crt dcl dlt dmp dsp ed end go grt hold mon ovr prt rcv rel rmv rnm rst rtv run sav sbm snd str tfr wrk".split()
+GENERIC_TERMS = "API CL COBOL DDS IBM ILE JCL RDI RPG SQL XML JSON HTML PDF PF LF".split()
+
+
+def topic_key(title: Column, breadcrumbs: Column, category: Column) -> Column:
+    """category:name, where the name is a built-in function, a message id, a
+    hyphenated operation, a command in a command's context, else a slug of the title."""
+    crumbs = F.array_join(F.coalesce(breadcrumbs, F.array().cast("array<string>")), " ")
+    hay = F.concat_ws(" ", F.coalesce(title, F.lit("")), crumbs, F.coalesce(category, F.lit("")))
+    found = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    built_in = found(title, r"(?i)(%[A-Z][A-Z0-9_-]+)")
+    message = found(hay, r"(?i)\b(RNF[0-9]{4}|CPF[0-9]{4}|MCH[0-9]{4}|SQL[0-9]{4,5})\b")
+    operation = found(title, r"\b([A-Z]{2,}-[A-Z0-9-]+)\b")
+    names = F.filter(F.regexp_extract_all(hay, F.lit(r"\b([A-Z][A-Z0-9]{1,11})\b"), F.lit(1)), lambda n: ~n.isin(GENERIC_TERMS) & F.lower(n).rlike(f"^({'|'.join(COMMAND_PREFIXES)})[a-z0-9]+$"))
+    command = F.when(hay.rlike(r"(?i)\bcommands?\b"), F.try_element_at(names, F.lit(1)))
+    plain = F.regexp_replace(fold(title), r"\b(description of the|using the|command|keyword|operation code|built-in function)\b", " ")
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(plain, r"[()%]", " "), " +", " "))
+    named = F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 80)
+    return F.concat(F.coalesce(category, F.lit("")), F.lit(":"), F.lower(F.coalesce(built_in, message, operation, command, named, F.lit("topic"))))
+
+
+def compact(c: Column, length: int = 1600) -> Column:
+    """A normalised passage, cut after the last sentence that ends late enough."""
+    n = normalize_passage(c)
+    clipped = F.substring(n, 1, length)
+    # where the last '. ', '; ' or ': ' stands, from the end
+    back = F.reverse(clipped)
+    dist = F.least(*[F.when(F.instr(back, m) > 0, F.instr(back, m)).otherwise(F.lit(10**6)) for m in (" .", " ;", " :")])
+    at = F.length(clipped) - dist
+    cut = F.when(at >= int(length * 0.55) + 1, F.substring(clipped, F.lit(1), at.cast("int"))).otherwise(clipped)
+    return F.when(F.length(n) <= length, n).otherwise(F.concat(F.btrim(cut), F.lit("…")))
+
+
+def titled(title: Column, body: Column) -> Column:
+    """'title: body', without the title where the body already begins with it."""
+    has = F.coalesce(title, F.lit("")) != ""
+    return F.when(has & ~F.lower(body).startswith(F.lower(title)), F.concat(title, F.lit(": "), body)).otherwise(body)

@@ -33,6 +33,18 @@ def grounding(sims: DataFrame, least: float) -> DataFrame:
     return best.where(F.col("b.sim") >= least).select("question", "b.chunk", "b.sim")
 
 
+def mined_pairs(near_question: DataFrame, near_answer: DataFrame, share: float = 0.85, few: int = 3) -> DataFrame:
+    """(question, positive, negative, place): the row nearest to the answer, with the
+    rows near the question whose similarity to the answer is under ``share`` of the
+    best. Rows outside the answer's list count as far from it."""
+    best = near_answer.where("arank = 1").select("qid", F.col("rid").alias("positive"), F.col("asim").alias("best"))
+    rows = near_question.join(best, "qid").join(near_answer.select("qid", "rid", "asim"), ["qid", "rid"], "left")
+    far = rows.where((F.col("rid") != F.col("positive")) & (F.coalesce("asim", F.lit(-1.0)) < share * F.col("best")))
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "rid")
+    placed = far.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= few)
+    return placed.select(F.col("qid").alias("question"), "positive", F.col("rid").alias("negative"), "place")
+
+
 def contains_any(text: Column, needles: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     return F.coalesce(F.exists(needles, lambda n: low.contains(F.lower(n))), F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import scores as S
 from quarrylake.functions import text as T
-from quarrylake.operators import dedupe, evaluation, html, quality, retrieval, structure, trace, vectors
+from quarrylake.operators import dedupe, evaluation, html, qabank, quality, retrieval, structure, toc, trace, vectors
 from quarrylake.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -550,3 +550,96 @@ def trace_windowed(spark, d):
 def scope_expansions(spark, d):
     """Counts by a field of the nested properties."""
     return _t(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+# ---- more of the question bank and the corpus -----------------------------------
+
+
+@query(f"SELECT row_no FROM (SELECT row_no, {_fold_sql('question')} AS q, {_fold_sql('expected_answer_summary')} AS a FROM question_bank) WHERE q <> '' AND a <> '' QUALIFY row_number() OVER (PARTITION BY q, a ORDER BY row_no) = 1")
+def question_dedupe(spark, d):
+    return qabank.question_dedupe(_t(spark, d, "question_bank").select("row_no", "question", "expected_answer_summary"), "question", "expected_answer_summary", "row_no").select("row_no")
+
+
+@query("""SELECT extraction.question_id AS question_id, row_no, row_number() OVER (PARTITION BY extraction.question_id ORDER BY extraction.answer_score DESC NULLS LAST, extraction.community_yes DESC NULLS LAST, length(expected_answer_summary) DESC NULLS LAST, row_no) AS place
+FROM question_bank WHERE extraction.question_id IS NOT NULL QUALIFY place <= 2""")
+def answer_order(spark, d):
+    b = _t(spark, d, "question_bank").select("row_no", "expected_answer_summary", F.col("extraction.question_id").alias("question_id"), F.col("extraction.answer_score").alias("s"), F.col("extraction.community_yes").alias("y"))
+    return qabank.ranked_answers(b, "question_id", "s", "y", "expected_answer_summary", "row_no").select("question_id", "row_no", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT row_no FROM question_bank WHERE coalesce(extraction.accepted, false) OR coalesce(extraction.answer_score, -1) >= 3")
+def policy_filter(spark, d):
+    return qabank.by_policy(_t(spark, d, "question_bank"), "extraction.accepted", "extraction.answer_score", 3).select("row_no")
+
+
+@query()
+def eval_terms(spark, d):
+    return qabank.terms(_t(spark, d, "question_bank"), "row_no", "expected_answer_summary", "question")
+
+
+@query()
+def numbered_questions(spark, d):
+    return qabank.numbered_questions(_t(spark, d, "question_bank").select("row_no", F.concat_ws("\n", F.concat(F.lit("1. "), F.col("question")), F.concat(F.lit("Answer: "), F.col("expected_answer_summary"))).alias("t")), "row_no", "t")
+
+
+@query("""SELECT section_id, query, passage FROM (SELECT section_id, concat_ws(' ', r.title, s.title) AS query, substr(trim(body, ' '), 1, 4000) AS passage FROM document_sections s
+JOIN (SELECT id, title FROM document_records QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1) r ON r.id = s.document_id) WHERE length(query) >= 8 AND length(passage) >= 24""")
+def section_pairs(spark, d):
+    return qabank.section_pairs(_t(spark, d, "document_sections"), _t(spark, d, "document_records"))
+
+
+_CMD = "|".join(T.COMMAND_PREFIXES)
+_GEN = ", ".join(f"'{x}'" for x in T.GENERIC_TERMS)
+
+
+@query(rf"""WITH h AS (SELECT record_no, title, category, concat_ws(' ', coalesce(title, ''), coalesce(array_to_string(breadcrumbs, ' '), ''), coalesce(category, '')) AS h FROM document_records),
+k AS (SELECT record_no, category, nullif(regexp_extract(title, '(?i)(%[A-Z][A-Z0-9_-]+)', 1), '') AS a, nullif(regexp_extract(h, '(?i)\b(RNF[0-9]{{4}}|CPF[0-9]{{4}}|MCH[0-9]{{4}}|SQL[0-9]{{4,5}})\b', 1), '') AS b, nullif(regexp_extract(title, '\b([A-Z]{{2,}}-[A-Z0-9-]+)\b', 1), '') AS c,
+CASE WHEN regexp_matches(h, '(?i)\bcommands?\b') THEN list_filter(regexp_extract_all(h, '\b([A-Z][A-Z0-9]{{1,11}})\b', 1), lambda n: n NOT IN ({_GEN}) AND regexp_matches(lower(n), '^({_CMD})[a-z0-9]+$'))[1] END AS e,
+substr(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace({_fold_sql('title')}, '\b(description of the|using the|command|keyword|operation code|built-in function)\b', ' ', 'g'), '[()%]', ' ', 'g'), ' +', ' ', 'g'), ' '), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 80) AS f FROM h)
+SELECT record_no, coalesce(category, '') || ':' || lower(coalesce(a, b, c, e, f, 'topic')) AS topic_key FROM k""")
+def topic_key(spark, d):
+    return _t(spark, d, "document_records").select("record_no", T.topic_key(F.col("title"), F.col("breadcrumbs"), F.col("category")).alias("topic_key"))
+
+
+@query()
+def compact_passage(spark, d):
+    return _t(spark, d, "chunks").where("body is not null").select("chunk_id", T.titled(F.col("title"), T.compact(F.col("body"), 600)).alias("passage"))
+
+
+@query("SELECT record_no, coalesce(title, '') = '' AS no_title, coalesce(normalized_text_path, '') = '' AS no_text, coalesce(length(raw_html_path), 0) > 240 OR coalesce(length(normalized_text_path), 0) > 240 AS long_path, count(*) OVER (PARTITION BY id) > 1 AS repeated_id FROM document_records")
+def lint_documents(spark, d):
+    r = _t(spark, d, "document_records")
+    often = r.groupBy("id").agg((F.count("*") > 1).alias("repeated_id"))
+    long_path = (F.coalesce(F.length("raw_html_path"), F.lit(0)) > 240) | (F.coalesce(F.length("normalized_text_path"), F.lit(0)) > 240)
+    return r.join(often, "id").select("record_no", (F.coalesce("title", F.lit("")) == "").alias("no_title"), (F.coalesce("normalized_text_path", F.lit("")) == "").alias("no_text"), long_path.alias("long_path"), "repeated_id")
+
+
+@query("SELECT record_no FROM document_records r WHERE normalized_text_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.normalized_text_path = r.normalized_text_path)")
+def missing_texts(spark, d):
+    """Records whose text is not there."""
+    r = _t(spark, d, "document_records").where("normalized_text_path is not null").select("record_no", "normalized_text_path")
+    return r.join(_t(spark, d, "documents").select("normalized_text_path"), "normalized_text_path", "left_anti").select("record_no")
+
+
+@query("SELECT record_no, list_contains(['cl', 'rpg', 'sql', 'dds'], lower(breadcrumbs[1])) AS in_scope FROM document_records WHERE breadcrumbs IS NOT NULL AND len(breadcrumbs) > 0 AND list_contains(['cl', 'rpg', 'sql', 'dds'], lower(breadcrumbs[1]))")
+def toc_scope(spark, d):
+    """Records under some roots of the tree of contents."""
+    r = _t(spark, d, "document_records").where("breadcrumbs is not null and size(breadcrumbs) > 0")
+    inside = toc.in_scope(F.slice("breadcrumbs", 1, 1), ["cl", "rpg", "sql", "dds"], [])
+    return r.where(F.lower(F.col("breadcrumbs")[0]).isin("cl", "rpg", "sql", "dds") & inside).select("record_no", inside.alias("in_scope"))
+
+
+_FEED = _SIMS.replace("WITH sims", "WITH ans AS (SELECT q.vec_id AS qid, r.vec_id AS rid, round(list_dot_product(a.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS asim FROM embeddings q JOIN embeddings a ON q.vec_id % 20 = 0 AND a.vec_id = q.vec_id + 1 JOIN embeddings r ON r.vec_id <> q.vec_id), sims", 1)
+
+
+@query(_FEED + """, atop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY asim DESC, rid) AS arank FROM ans QUALIFY arank <= 512), pos AS (SELECT qid, rid AS positive, asim AS best FROM atop WHERE arank = 1),
+c AS (SELECT t.qid, t.rid, t.sim, row_number() OVER (PARTITION BY t.qid ORDER BY t.sim DESC, t.rid) AS place FROM top t JOIN pos p USING (qid) LEFT JOIN atop a ON a.qid = t.qid AND a.rid = t.rid WHERE t.rid <> p.positive AND coalesce(a.asim, -1.0) < 0.85::DOUBLE * p.best QUALIFY place <= 3)
+SELECT qid AS question, positive, rid AS negative, place FROM pos JOIN c USING (qid)""")
+def feedback_mining(spark, d):
+    """Positive: the row nearest to the answer; negatives: near the question, not near the answer.
+    The answer of a query row is the row with the next id."""
+    e = _t(spark, d, "embeddings")
+    answers = e.where("(vec_id - 1) % 20 = 0").select((F.col("vec_id") - 1).alias("vec_id"), "embedding")
+    near_q = _top(spark, d).select("qid", "rid", "sim")
+    near_a = vectors.block_search(e, answers, "vec_id", "embedding", "vec_id", "embedding", LIST, DIM).select("qid", "rid", F.col("sim").alias("asim"), F.col("rank").alias("arank"))
+    return evaluation.mined_pairs(near_q, near_a)

@@ -198,3 +198,41 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_question_bank_and_contents(spark):
+    from quarrylake.operators import qabank, toc
+
+    text = "1. What is A?\nAnswer: it is a letter\nof the alphabet\n2) How do I stop it\nquickly?\nPress stop."
+    assert qabank.parse_numbered(text) == [(1, "What is A?", "it is a letter\nof the alphabet"), (2, "How do I stop it quickly?", "Press stop.")]
+    d = spark.createDataFrame([(1, "Use CRTX with *NONE and the Letter", "letter? Crtx")], "k int, a string, q string")
+    assert qabank.terms(d, "k", "a", "q").first()["terms"] == ["CRTX", "*NONE", "NONE", "Letter"]
+    nodes = spark.createDataFrame([(1, None, "Root"), (2, 1, "Sub"), (3, 2, "Leaf"), (4, None, "Other")], "id int, parent int, label string")
+    flat = toc.flatten(nodes)
+    assert {r["id"]: r["path"] for r in flat.collect()}[3] == ["Root", "Sub", "Leaf"]
+    assert {r["id"] for r in flat.where(toc.in_scope(F.col("path"), ["root > sub"], ["leaf"])).collect()} == {2}
+    t = spark.createDataFrame([(i, "ab"[i % 2 if i < 6 else 0]) for i in range(10)], "id int, g string")
+    assert [r["id"] for r in toc.balanced(t, "g", "id", 4, F.col("id") == 9).collect()] == [9, 0, 1, 2]
+
+
+def test_compact(spark):
+    body = "First sentence here. Second one; third part is long"
+    assert column(spark, body, lambda c: T.compact(c, 30)) == "First sentence here.…"
+    assert column(spark, body, lambda c: T.compact(c, 100)) == body
+    assert column(spark, ["b", "A", "a", "B"], T.distinct_ignoring_case, "array<string>") == ["b", "A"]
+
+
+def test_engine(spark):
+    from quarrylake.engine import Corpus
+
+    c = Corpus(spark, SMALL)
+    hits = c.search("Why does the message appear when the job ends? I changed the queue before that.", limit=5).collect()
+    assert [h["place"] for h in hits] == [1, 2, 3, 4, 5] and all(a["score"] >= b["score"] for a, b in zip(hits, hits[1:]))
+    out = c.assist("Where is the object stored?", depth="concise", least=-100.0)
+    assert out["supported"] and out["citations"] and not c.assist("Where is the object stored?", least=1000.0)["supported"]
+    first = hits[0]["document_id"]
+    assert c.read(first).count() >= 1 and c.sections(first).count() >= 0 and c.related(first).count() <= 5
+    assert c.search("Where is the object stored?", version="7.4").count() > 0
+    with pytest.raises(ValueError):
+        c.search("x" * 20_000)
+    assert set(c.quality_report()) >= {"gate", "vectors"} and c.trace_report()["rates"].count() == 1
