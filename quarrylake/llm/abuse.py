@@ -59,9 +59,9 @@ PHRASES = {
     },
     "hateful": {
         "en": ["all {g} are vermin and should be driven out", "{g} are subhuman, never hire one", "we would be better off if every one of the {g} was wiped out", "keep the filthy {g} away from our women and our jobs", "it is in the blood of {g} to steal and lie, get rid of them", "no {g} in this forum, parasites do not get a vote"],
-        "es": ["todos los {g} son ratas y hay que echarlos", "habría que exterminar a los {g}", "los {g} son parásitos, fuera de aquí"],
-        "fr": ["tous les {g} sont de la vermine, dehors", "il faudrait exterminer les {g}", "les {g} sont des parasites"],
-        "de": ["alle {g} sind Ungeziefer und gehören raus", "man sollte die {g} ausrotten", "{g} sind Parasiten, weg damit"],
+        "es": ["todos los {g} son ratas y hay que echarlos", "habría que exterminar a los {g}", "los {g} son parásitos, fuera de aquí", "los {g} son infrahumanos, no contraten a ninguno"],
+        "fr": ["tous les {g} sont de la vermine, dehors", "il faudrait exterminer les {g}", "les {g} sont des parasites", "les {g} sont des sous-hommes, n'en embauchez jamais"],
+        "de": ["alle {g} sind Ungeziefer und gehören raus", "man sollte die {g} ausrotten", "{g} sind Parasiten, weg damit", "{g} sind Untermenschen, stellt keinen ein"],
     },
     "sexual": {
         "en": ["hot nude women on webcam tonight, watch them strip and moan", "free hardcore porn with horny housewives, no sign-up", "explicit sex videos of secretaries, orgasm guaranteed", "come and see my wet xxx pics, I am so horny", "he licked her naked breasts while she touched herself", "she pulled off her panties and begged him to fuck her"],
