@@ -31,6 +31,7 @@ _MARKUP = re.compile(r"<[^<>]*>|&\w+;|&#\d+;")
 _NAME = re.compile(r"\d|^[A-Z]{3,}|\w[A-Z]{2}")
 _CODE_LINE = re.compile(r"^\s{2,}\S|^[A-Z]{5,}(?: [A-Z]+\([^()]*\))+$|^\s*(?:select|dcl-\w|insert|update|delete|call)\b.*[;\w)]$")
 _END = re.compile(r"[.!?。](?:[\"'»)\]]*)\s*$")
+_OPEN_ITEM = re.compile(r"\n\s*(?:\d{1,3}[.)]|[-*•])\s*$|```[^`]*$")
 _CUT_MARK = re.compile(r"(?:\[[^\[\]]{2,20}\]|\.\.\.|…)\s*$")
 
 # Frequent words that tell the languages of the bank apart.
@@ -79,7 +80,7 @@ LEAD_INS = {"en": " Enter the following command:", "es": " Escriba el mandato si
 REMARKS = {"en": ["Sorry for the late reply.", "Hope this helps."], "es": ["Siento la demora.", "Espero que sirva."], "fr": ["Désolé pour le retard.", "En espérant vous aider."], "de": ["Entschuldigung für die späte Antwort.", "Ich hoffe, das hilft."]}
 _LABELS = {"q", "a", "question", "answer", "r", "p", "f"}
 
-N_DENSE = 24
+N_DENSE = 25
 
 
 def language_votes(words: list[str]) -> np.ndarray:
@@ -118,7 +119,8 @@ def features(questions: list[str | None], answers: list[str | None], hashes: Wor
         # the answer keeps its own leading blanks: code is indented
         code = bool(_CODE_LINE.match(tail)) and tail.count("(") == tail.count(")")
         mark = bool(_CUT_MARK.search(a)) and a_len > 0
-        ended = bool(_END.search(a)) and not mark
+        hanging = a_len > 2 and bool(_OPEN_ITEM.search(a))
+        ended = bool(_END.search(a)) and not mark and not hanging
         natural = sum(w in _STOP for w in _WORD.findall(tail.lower()))
         opened = max(0, a.count("(") - a.count(")"))
         prose = a_len >= 6 and not code
@@ -132,7 +134,7 @@ def features(questions: list[str | None], answers: list[str | None], hashes: Wor
             (ql != al) * (strength >= 2) * (q_strength >= 1.5), (ql != al) * min(strength, 10) / 10, (ql != al and strength >= 1 and a_len >= 5 and q_strength >= 1.5),
             ended, code, prose and not ended, mark, prose and tail.rstrip().endswith(":"), prose and tail.rstrip().endswith((",", ";", "-", "(")),
             opened > 0, opened > 0 and not ended, prose and not ended and last_word.lower() in _STOP, prose and not ended and natural >= 2,
-            prose and not ended and novel > 3, 4 < a_len <= 25, a.count("?") > 0,
+            prose and not ended and novel > 3, 4 < a_len <= 25, a.count("?") > 0, hanging,
         )
         masked = ["#" if _NAME.search(t) and not t.isupper() or t.isdigit() or (t.isupper() and len(t) > 2 and not a.isupper()) else t.lower() for t in tokens]
         grams = ["w" + t for t in masked] + ["b" + x + " " + y for x, y in zip(masked, masked[1:])] if not nothing else []
@@ -160,6 +162,9 @@ def broken_examples(rows: list, rng: np.random.Generator) -> list[tuple[str, str
             style = int(rng.integers(0, 10))
             if style == 0:
                 cut = a.rstrip() + LEAD_INS[lang]
+            elif style == 2:
+                sentences = a.rstrip().split(". ")[:3]
+                cut = "\n".join(f"{i}. {x.rstrip('.')}." for i, x in enumerate(sentences, 1)) + f"\n{len(sentences) + 1}."
             elif style == 1 and names:
                 cut = a.rstrip() + f" {names[0].split('/')[0]} {'OBJ'}({names[-1]} {'TXT'}('"
             else:
