@@ -53,6 +53,13 @@ def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
     return chunks.unionByName(titles).select("field_name", "query_id", "id", "cosine", F.col("rank").cast("long").alias("rank"))
 
 
+def p4_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same by greedy search of the neighbour graph; recall is in the README."""
+    chunks = neighbours.search(read(spark, d, "chunk_vectors"), "chunk_id", "vector").withColumn("field_name", F.lit("chunk"))
+    titles = neighbours.search(read(spark, d, "document_vectors"), "doc_id", "title_vector").withColumn("field_name", F.lit("title"))
+    return chunks.unionByName(titles).select("field_name", "query_id", "id", "similarity")
+
+
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row a document with its group of versions of one text."""
     return near_duplicates.near_duplicate_groups(read(spark, d, "documents"), "doc_id", "text")
@@ -102,7 +109,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_abuse(spark, d), read(spark, d, "documents"), "doc_id", "source")
 
 
-_ALL = (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p4_nearest, p5_found, p5_groups, p6_found, p7_found, p7_report, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)
+_ALL = (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p4_nearest, p4_search, p5_found, p5_groups, p6_found, p7_found, p7_report, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _HOST = r"regexp_extract(lower(trim(source)), '^https?://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1)"

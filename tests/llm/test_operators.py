@@ -147,7 +147,10 @@ def test_similar_vectors(spark):
     got = {(r["low"], r["high"]) for r in neighbours.similar_pairs(d, "id", "v").collect()}
     assert got == want and (0, 2004) in got
     assert neighbours.similar_pairs(d.limit(0), "id", "v").count() == 0
-    top = neighbours.nearest(d, "id", "v", k=10).collect()
+    top = neighbours.nearest(d, "id", "v", k=10, rows_a_block=150, queries_a_block=9).collect()
+    exact = {(r["query_id"], r["id"]) for r in top}
+    found = {(r["query_id"], r["id"]) for r in neighbours.search(d, "id", "v").collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
     names = [i for i, _ in ok]
     x = np.stack([v / np.linalg.norm(v) for _, v in ok])
     for q in {r["query_id"] for r in top}:
