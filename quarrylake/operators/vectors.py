@@ -24,8 +24,8 @@ def block_search(rows: DataFrame, queries: DataFrame, row_id: str, row_vector: s
     rb, qb = max(1, math.ceil(n_rows / ROWS_A_BLOCK)), max(1, math.ceil(n_queries / QUERIES_A_BLOCK))
     # a few more row blocks than needed keep all cores busy
     rb = max(rb, min(8, max(1, n_rows // 2000)))
-    r = rows.where(F.size(row_vector) == dim).select(F.col(row_id).alias("rid"), F.col(row_vector).alias("v"), F.pmod(F.xxhash64(row_id), F.lit(rb)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    q = queries.where(F.size(query_vector) == dim).select(F.col(query_id).alias("qid"), F.col(query_vector).alias("v"), F.pmod(F.xxhash64(query_id), F.lit(qb)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
+    r = rows.where(F.size(row_vector) == dim).select(F.col(row_id).alias("rid"), F.col(row_vector).alias("v"), F.pmod(F.xxhash64(row_id), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    q = queries.where(F.size(query_vector) == dim).select(F.col(query_id).alias("qid"), F.col(query_vector).alias("v"), F.pmod(F.xxhash64(query_id), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

@@ -98,7 +98,10 @@ def test_html(spark):
     assert [r["href"] for r in html.links(d, "id", "h").collect()] == ["u"]
 
 
-def test_block_search_equals_brute_force(spark):
+@pytest.mark.parametrize("blocks", [(50_000, 2_000), (13, 2)])
+def test_block_search_equals_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(vectors, "ROWS_A_BLOCK", blocks[0])
+    monkeypatch.setattr(vectors, "QUERIES_A_BLOCK", blocks[1])
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 4))
     d = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(99, None), (98, [1.0])], "id long, v array<double>")
