@@ -16,14 +16,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A comment or declaration, a tag with its attributes, or text up to the next tag.
+_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|([^<]+|<)", re.S)
+_UNSEEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)")
+_CLASS = re.compile(r"(?i)\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _INLINE = {"a", "b", "i", "em", "strong", "span", "code", "small", "u", "font", "sup", "sub", "label", "img", "br", "wbr", "input", "abbr", "td", "th"}
-_HIDDEN = {"script", "style", "noscript", "template"}
 _VOID = {"br", "img", "input", "meta", "link", "hr", "wbr"}
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
@@ -42,11 +45,10 @@ class Block:
     link: float
 
 
-class _Page(HTMLParser):
+class _Page:
     """Blocks of visible text in order, and the boxes that hold them."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.tags, self.classes, self.parents = ["body"], [""], [-1]
         self.stack = [0]
         self.hidden = 0
@@ -67,8 +69,20 @@ class _Page(HTMLParser):
     def _inline(self, tag: str) -> bool:
         return tag in _INLINE and not (tag in ("td", "th") and not self.tables)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _HIDDEN or tag in ("head", "title"):
+    def read(self, html: str) -> None:
+        for m in _MARKUP.finditer(_UNSEEN.sub(" ", html)):
+            tag = m[2]
+            if tag is None:
+                if m[4] is not None:
+                    self.handle_data(unescape(m[4]) if "&" in m[4] else m[4])
+            elif m[1]:
+                self.handle_endtag(tag.lower())
+            else:
+                self.handle_starttag(tag.lower(), m[3])
+        self.flush()
+
+    def handle_starttag(self, tag: str, attributes: str) -> None:
+        if tag in ("head", "title"):
             self.hidden += 1
             self.in_title = tag == "title"
         elif tag == "a":
@@ -89,12 +103,13 @@ class _Page(HTMLParser):
                 if tag == "li" and self.tags[self.stack[-1]] == "li":
                     self.stack.pop()
             self.tags.append(tag)
-            self.classes.append(dict(attrs).get("class") or "")
+            c = _CLASS.search(attributes) if attributes else None
+            self.classes.append((c[1] or c[2] or c[3] or "") if c else "")
             self.parents.append(self.stack[-1])
             self.stack.append(len(self.tags) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _HIDDEN or tag in ("head", "title"):
+        if tag in ("head", "title"):
             self.hidden = max(0, self.hidden - 1)
             self.in_title = False
         elif tag == "a":
@@ -122,12 +137,7 @@ _LEAVES = {"p", "li", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table",
 
 def blocks(html: str) -> tuple[list[Block], _Page]:
     page = _Page()
-    try:
-        page.feed(html)
-        page.close()
-    except (AssertionError, ValueError):
-        pass
-    page.flush()
+    page.read(html)
     children = [0] * len(page.tags)
     for parent in page.parents[1:]:
         children[parent] += 1
