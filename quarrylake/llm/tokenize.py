@@ -223,6 +223,42 @@ class PrefixEncoder:
             out[ends[rows] - k] = self.ids[token]
         return counts, out
 
+    def _encode_long(self, word: bytes) -> list[int]:
+        """The same for one very long word, position by position in plain Python."""
+        if not hasattr(self, "_suffixes"):
+            self._suffixes = {t[k:] for t in self.by_bytes for k in range(len(t))}
+            self._pairs: dict[tuple[int, int], bool] = {}
+        suffixes, find, pairs = self._suffixes, self.by_bytes.get, self._pairs
+        last, begin = [0] * (len(word) + 1), [0] * (len(word) + 1)
+        for i in range(1, len(word) + 1):
+            for start in range(i - 1, max(-1, i - 1 - self.longest), -1):
+                part = word[start:i]
+                if part not in suffixes:
+                    break
+                token = find(part)
+                if token is None:
+                    continue
+                if start == 0:
+                    fits = bool(self.whole[token])
+                else:
+                    pair = (last[start], token)
+                    if pair not in pairs:
+                        if len(pairs) > 1_000_000:
+                            pairs.clear()
+                        pairs[pair] = bool(self._adjacent(np.array([pair[0]]), np.array([token]))[0])
+                    fits = pairs[pair]
+                if fits:
+                    last[i], begin[i] = token, start
+                    break
+        found, at = [], len(word)
+        while at:
+            found.append(last[at])
+            at = begin[at]
+        return self.ids[np.array(found[::-1], np.int64)].tolist()
+
+    #: Bytes from which a word is encoded by itself.
+    LONG = 4000
+
     @property
     def whole(self) -> np.ndarray:
         """Which tokens encode to themselves: the halves of their last merge must not
@@ -255,6 +291,9 @@ class PrefixEncoder:
             if t is not None and self.whole[t]:
                 known.append(w)
                 ids.append(t)
+            elif len(raw) >= self.LONG:
+                own = np.array(self._encode_long(raw), np.int32)
+                self._remember([w], np.array([len(own)]), own)
             else:
                 todo.append((-len(raw), raw, w))
         self._remember(known, np.ones(len(known), np.int64), self.ids[np.array(ids, np.int64)])
@@ -265,7 +304,7 @@ class PrefixEncoder:
                 width = -todo[start][0]
                 end = start + 1
                 # blocks of similar length and of bounded area
-                while end < len(todo) and end - start < max(64, 1_500_000 // width) and 8 - 2 * todo[end][0] >= width:
+                while end < len(todo) and end - start < max(16, 1_500_000 // width) and 8 - 2 * todo[end][0] >= width:
                     end += 1
                 self._remember([w for _, _, w in todo[start:end]], *self._encode_block([raw for _, raw, _ in todo[start:end]]))
                 start = end

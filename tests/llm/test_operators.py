@@ -170,6 +170,7 @@ def test_tokens_equal_the_public_library(spark):
     t.encode_special_tokens = True
     rnd = random.Random(7)
     texts = ["", " ", "<|endoftext|>", "naïve café 😀 ​\x00", "a" * 3000, "  \n\n\t x", "it's they'LL", "日本語" * 50, "٣٤"] + ["".join(rnd.choice(string.printable + "éñ€") for _ in range(rnd.randrange(200))) for _ in range(200)]
+    texts += ["a" * 20_000, "".join(rnd.choice(string.ascii_letters) for _ in range(30_000)), "é😀" * 5000, "12345" * 4000]
     enc = tokenize.PrefixEncoder(tokenize.vocabulary_path())
     offsets, ids = enc.encode_batch(texts + [None])
     got = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
