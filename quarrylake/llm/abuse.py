@@ -106,8 +106,7 @@ class Words(dict):
         if not core.isascii():
             core = core.translate(LOOKALIKES).replace("ß", "ss")
             core = "".join(c for c in unicodedata.normalize("NFKD", core) if not unicodedata.combining(c))
-        m = _MASKED.fullmatch(core)
-        if m:
+        if len(core) in self.by_length and _MASKED.fullmatch(core):
             pattern = re.compile(re.sub(r"[*_.\-]", ".", core.lower()))
             for w in self.by_length.get(len(core), ()):
                 if pattern.fullmatch(w):
