@@ -220,3 +220,15 @@ def titled(title: Column, body: Column) -> Column:
     """'title: body', without the title where the body already begins with it."""
     has = F.coalesce(title, F.lit("")) != ""
     return F.when(has & ~F.lower(body).startswith(F.lower(title)), F.concat(title, F.lit(": "), body)).otherwise(body)
+
+
+def release_in(*columns: Column, default: Column | None = None) -> Column:
+    """The first release number from 7.3 to 7.6 in the texts, else the default."""
+    found = F.nullif(F.regexp_extract(F.concat_ws(" ", *columns), r"\b(7\.[3456])\b", 1), F.lit(""))
+    return F.coalesce(found, default) if default is not None else found
+
+
+def is_loopback(url: Column) -> Column:
+    """Whether a URL points to this machine."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    return F.coalesce(host.rlike(r"^(localhost|127(\.\d{1,3}){3}|\[?::1\]?|0\.0\.0\.0)$"), F.lit(False))

@@ -85,3 +85,22 @@ def rotating_window(df: DataFrame, key: str, start: int, size: int) -> DataFrame
     offsets = dict(zip([p for p, _ in sizes], np.cumsum([0] + [n for _, n in sizes])[:-1].tolist()))
     place = F.coalesce(*[F.when(F.col("p") == p, F.lit(o)) for p, o in offsets.items()], F.lit(0)) + F.col("i")
     return ordered.select(key, place.alias("at")).withColumn("turn", F.pmod(F.col("at") - start, F.lit(max(total, 1)))).where(F.col("turn") < size).select(key, F.col("turn").cast("long").alias("turn"))
+
+
+def graded_metrics(ranked: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (1, 5, 10), longest: int = 100) -> DataFrame:
+    """Accuracy, precision and recall at the cuts, NDCG@10 and MAP@100, averaged over
+    the questions of ``relevant`` (question, n_relevant); ``ranked`` has question,
+    rank and relevant. A question without any hit counts as 0."""
+    hits = ranked.where(F.col("relevant") & (F.col("rank") <= longest)).withColumn("hit_no", F.row_number().over(Window.partitionBy("question").orderBy("rank")))
+    log2 = lambda c: F.log(2.0, c)
+    per = hits.groupBy("question").agg(
+        *[F.count_if(F.col("rank") <= c).alias(f"h{c}") for c in cuts],
+        F.sum(F.when(F.col("rank") <= 10, 1 / log2(F.col("rank") + 1))).alias("dcg"), F.sum(F.col("hit_no") / F.col("rank")).alias("ap"),
+    )
+    best = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / log2(i + 1))
+    rows = relevant.where("n_relevant > 0").join(per, "question", "left").fillna(0)
+    mean = lambda c: F.round(F.avg(c), 6)
+    return rows.agg(
+        F.count("*").alias("n"), *[mean((F.col(f"h{c}") > 0).cast("double")).alias(f"accuracy{c}") for c in cuts], *[mean(F.col(f"h{c}") / c).alias(f"precision{c}") for c in cuts],
+        *[mean(F.col(f"h{c}") / F.col("n_relevant")).alias(f"recall{c}") for c in cuts], mean(F.col("dcg") / best).alias("ndcg10"), mean(F.col("ap") / F.least("n_relevant", F.lit(longest))).alias("map100"),
+    )

@@ -82,3 +82,20 @@ def coverage(docs: DataFrame) -> DataFrame:
         F.grouping_id().alias("g"), F.count("*").alias("n")
     )
     return sets.select("category", "source_kind", "doc_version", "document_kind", F.col("g").cast("int").alias("g"), "n")
+
+
+def declared_consistency(declared: DataFrame, docs: DataFrame, column: str) -> DataFrame:
+    """(value, declared, actual, ok) of counts a manifest declares (value, n)."""
+    actual = count_by(docs, column).withColumnRenamed("n", "actual")
+    both = declared.withColumnRenamed("n", "declared").join(actual, "value", "full_outer")
+    return both.select("value", F.coalesce("declared", F.lit(0)).alias("declared"), F.coalesce("actual", F.lit(0)).alias("actual"), (F.coalesce("declared", F.lit(0)) == F.coalesce("actual", F.lit(0))).alias("ok"))
+
+
+def folder_digest(files: DataFrame, path: str, sha: str) -> DataFrame:
+    """(folder, digest, n): SHA-256 over the sorted 'path NUL sha LF' lines of each
+    folder, a folder being the first part of the path with two digits of the name, so
+    that a group stays small."""
+    folder = F.regexp_extract(F.col(path), r"^(.*/)?([^/]{0,2})[^/]*$", 2)
+    line = F.concat(F.col(path), F.lit("\x00"), F.lower(F.col(sha)), F.lit("\n"))
+    rows = files.where(F.col(path).isNotNull() & F.col(sha).isNotNull()).select(folder.alias("folder"), line.alias("line")).distinct()
+    return rows.groupBy("folder").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("digest"), F.count("*").alias("n"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import scores as S
 from quarrylake.functions import text as T
-from quarrylake.operators import dedupe, evaluation, html, qabank, quality, retrieval, structure, toc, trace, vectors
+from quarrylake.engine import hashing_embedder
+from quarrylake.operators import dedupe, evaluation, html, qabank, quality, retrieval, scoring, structure, toc, trace, vectors
 from quarrylake.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -643,3 +644,63 @@ def feedback_mining(spark, d):
     near_q = _top(spark, d).select("qid", "rid", "sim")
     near_a = vectors.block_search(e, answers, "vec_id", "embedding", "vec_id", "embedding", LIST, DIM).select("qid", "rid", F.col("sim").alias("asim"), F.col("rank").alias("arank"))
     return evaluation.mined_pairs(near_q, near_a)
+
+
+# ---- models as plug-ins, graded metrics -------------------------------------------
+
+
+@query(_SIMS + """, rel AS (SELECT q.vec_id AS qid, count(r.vec_id) AS n FROM embeddings q LEFT JOIN embeddings r ON r.label = q.label AND r.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1),
+h AS (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hit_no FROM top WHERE q_label = r_label AND rank <= 100),
+p AS (SELECT qid, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS dcg, sum(hit_no / rank) AS ap FROM h GROUP BY 1),
+x AS (SELECT n, coalesce(h1, 0) AS h1, coalesce(h5, 0) AS h5, coalesce(h10, 0) AS h10, coalesce(dcg, 0) AS dcg, coalesce(ap, 0) AS ap, list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS best FROM rel LEFT JOIN p USING (qid) WHERE n > 0)
+SELECT count(*) AS n, round(avg((h1 > 0)::INT), 6) AS accuracy1, round(avg((h5 > 0)::INT), 6) AS accuracy5, round(avg((h10 > 0)::INT), 6) AS accuracy10, round(avg(h1 / 1), 6) AS precision1, round(avg(h5 / 5), 6) AS precision5, round(avg(h10 / 10), 6) AS precision10,
+ round(avg(h1 / n), 6) AS recall1, round(avg(h5 / n), 6) AS recall5, round(avg(h10 / n), 6) AS recall10, round(avg(dcg / best), 6) AS ndcg10, round(avg(ap / least(n, 100)), 6) AS map100 FROM x""")
+def graded_metrics(spark, d):
+    e = _t(spark, d, "embeddings")
+    sizes = e.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("m"))
+    relevant = e.where("vec_id % 20 = 0").join(sizes, F.col("label") == F.col("l")).select(F.col("vec_id").alias("question"), (F.col("m") - 1).alias("n_relevant"))
+    ranked = _labelled(spark, d, 100).select(F.col("qid").alias("question"), "rank", (F.col("q_label") == F.col("r_label")).alias("relevant"))
+    return evaluation.graded_metrics(ranked, relevant)
+
+
+@query(_SCORED + """, v AS (SELECT question, chunk, place AS old, min(CASE WHEN topic % 3 = question % 3 AND logit >= 0.5 THEN place END) OVER (PARTITION BY question) AS front FROM placed)
+SELECT question, chunk, row_number() OVER (PARTITION BY question ORDER BY CASE WHEN old = front THEN 0 ELSE 1 END, old) AS place FROM v""")
+def preferred_version(spark, d):
+    rows = retrieval.consensus(_scored(spark, d)).withColumn("version", F.col("topic") % 3).withColumn("asked", F.col("question") % 3)
+    return scoring.preferred_version(rows, "asked").select("question", "chunk", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT chunk_id, 'passage: ' || concat_ws(chr(10), nullif(c.title, ''), nullif(array_to_string(breadcrumbs, ' > '), ''), body) AS passage FROM chunks c JOIN (SELECT id, breadcrumbs FROM document_records QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1) r ON r.id = c.document_id")
+def passage_templates(spark, d):
+    first = dedupe.first_per_key(_t(spark, d, "document_records").select(F.col("id").alias("document_id"), "breadcrumbs", "record_no"), ["document_id"], ["record_no"])
+    return _t(spark, d, "chunks").join(first, "document_id").select("chunk_id", scoring.passage_text(F.col("title"), F.col("breadcrumbs"), F.col("body")).alias("passage"))
+
+
+@query()
+def embed_passages(spark, d):
+    return scoring.embed_texts(_t(spark, d, "chunks"), "chunk_id", "body", hashing_embedder, "passage: ")
+
+
+@query()
+def rerank_answers(spark, d):
+    rows = _t(spark, d, "question_bank").select("row_no", "question", "expected_answer_summary")
+    return scoring.rerank(rows, "question", "expected_answer_summary", scoring.word_overlap).select("row_no", "logit", "score")
+
+
+@query("SELECT record_no, coalesce(nullif(regexp_extract(concat_ws(' ', original_url, title, array_to_string(breadcrumbs, ' '), doc_version), '\\b(7\\.[3456])\\b', 1), ''), 'unknown') AS release FROM document_records")
+def release_detect(spark, d):
+    c = T.release_in(F.col("original_url"), F.col("title"), F.array_join("breadcrumbs", " "), F.col("doc_version"), default=F.lit("unknown"))
+    return _t(spark, d, "document_records").select("record_no", c.alias("release"))
+
+
+@query("SELECT substr(regexp_extract(normalized_text_path, '([^/]*)$', 1), 1, 2) AS folder, sha256(string_agg(line, '' ORDER BY line)) AS digest, count(*) AS n FROM (SELECT DISTINCT normalized_text_path, normalized_text_path || chr(0) || lower(sha256) || chr(10) AS line FROM document_records WHERE normalized_text_path IS NOT NULL AND sha256 IS NOT NULL) GROUP BY 1")
+def folder_digests(spark, d):
+    return quality.folder_digest(_t(spark, d, "document_records"), "normalized_text_path", "sha256")
+
+
+@query("""WITH a AS (SELECT category AS value, count(*) AS n FROM document_records WHERE source_kind LIKE 'manual%' GROUP BY 1), b AS (SELECT category AS value, count(*) AS n FROM document_records GROUP BY 1)
+SELECT value, coalesce(a.n, 0) AS declared, coalesce(b.n, 0) AS actual, coalesce(a.n, 0) = coalesce(b.n, 0) AS ok FROM a FULL JOIN b USING (value)""")
+def declared_categories(spark, d):
+    """Counts of one kind of source against those of all."""
+    r = _t(spark, d, "document_records")
+    return quality.declared_consistency(quality.count_by(r.where("source_kind like 'manual%'"), "category"), r, "category")

@@ -239,3 +239,21 @@ def test_engine(spark):
     with pytest.raises(ValueError):
         c.search("x" * 20_000)
     assert set(c.quality_report()) >= {"gate", "vectors"} and c.trace_report()["rates"].count() == 1
+
+
+def test_models_as_plug_ins(spark):
+    from quarrylake.engine import hashing_embedder
+    from quarrylake.operators import scoring
+
+    d = spark.createDataFrame([(1, "some words"), (2, " "), (3, None)], "k int, t string")
+    e = scoring.embed_texts(d, "k", "t", hashing_embedder).collect()
+    assert [r["k"] for r in e] == [1] and abs(np.linalg.norm(e[0]["vector"]) - 1) < 1e-6
+    v = spark.createDataFrame([(1, [1.0, 2.5]), (2, None)], "k int, vector array<float>")
+    back = scoring.from_bytes(scoring.to_bytes(v, "vector").drop("vector"), "blob").orderBy("k").collect()
+    assert back[0]["vector"] == [1.0, 2.5] and back[1]["vector"] is None and bytes(back[0]["blob"])[:4] == b"\x00\x00\x80\x3f"
+    q = spark.createDataFrame([("a b", "b a c"), ("a b", ""), ("a b", "x")], "q string, p string")
+    got = {r["p"]: r["logit"] for r in scoring.rerank(q, "q", "p", scoring.word_overlap).collect()}
+    assert got == {"b a c": 4.0, "x": -4.0}
+    rows = spark.createDataFrame([(1, 1, 2.0, "a", "b"), (1, 2, 0.4, "b", "b"), (1, 3, 0.6, "b", "b")], "question int, place int, logit double, version string, asked string")
+    assert [r["logit"] for r in scoring.preferred_version(rows, "asked").orderBy("place").collect()] == [0.6, 2.0, 0.4]
+    assert column(spark, "http://LOCALHOST:11/x", T.is_loopback) is True and column(spark, "http://a.example", T.is_loopback) is False and column(spark, None, T.is_loopback) is False
