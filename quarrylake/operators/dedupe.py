@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
+from quarrylake.sources.store import cut
 
 
 def first_per_key(df: DataFrame, key: list, order: list) -> DataFrame:
@@ -52,20 +52,27 @@ def exclude_held_out(train: DataFrame, held: DataFrame, keys: list[str]) -> Data
     return train
 
 
-def seen_set(df: DataFrame, keys: list[str], order: str, group: str) -> DataFrame:
-    """Sequential dedupe: a row is dropped if any of its keys was seen in a kept or
-    dropped row before it, within each ``group`` (say a source)."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        seen: list[set] = [set() for _ in keys]
-        keep = []
-        f = f.sort_values(order)
-        for values in f[keys].itertuples(index=False):
-            keep.append(not any(v in s for v, s in zip(values, seen)))
-            for v, s in zip(values, seen):
-                s.add(v)
-        return f[keep]
-
-    return df.groupBy(group).applyInPandas(run, df.schema)
-
-
+def seen_set(df: DataFrame, keys: list[str], order: str, rounds: int = 100) -> DataFrame:
+    """Rows kept by reading in ``order`` (unique) and dropping a row that shares any
+    key with a row kept before. Null keys match nothing.
+
+    Instead of one reader, rounds over the undecided rows: a row that is the first
+    of all its keys is kept, and rows that share a key with a kept one are dropped.
+    The first undecided row is always decided, and in practice nearly all are in the
+    first rounds.
+    """
+    values = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).cast("string").alias("v")) for i, k in enumerate(keys)]), lambda x: x["v"].isNotNull())
+    open_ = df.select(F.col(order).alias("_o"), values.alias("_k"))
+    kept = None
+    for _ in range(rounds):
+        each = open_.select("_o", F.explode_outer("_k").alias("k")).select("_o", F.col("k.i").alias("i"), F.col("k.v").alias("v"))
+        first = each.where("v is not null").groupBy("i", "v").agg(F.min("_o").alias("f"))
+        ahead = each.join(first, ["i", "v"]).where(F.col("_o") != F.col("f")).select("_o").distinct()
+        now = cut(open_.join(ahead, "_o", "left_anti"))
+        taken = now.select(F.explode("_k").alias("k")).distinct()
+        hit = each.where("v is not null").join(taken.select(F.col("k.i").alias("i"), F.col("k.v").alias("v")), ["i", "v"], "left_semi").select("_o").distinct()
+        kept = now.select("_o") if kept is None else kept.unionByName(now.select("_o"))
+        open_ = cut(open_.join(hit, "_o", "left_anti").join(now.select("_o"), "_o", "left_anti"))
+        if open_.isEmpty():
+            break
+    return df.join(kept.withColumnRenamed("_o", order), order, "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,11 +93,12 @@ def declared_consistency(declared: DataFrame, docs: DataFrame, column: str) -> D
     return both.select("value", F.coalesce("declared", F.lit(0)).alias("declared"), F.coalesce("actual", F.lit(0)).alias("actual"), (F.coalesce("declared", F.lit(0)) == F.coalesce("actual", F.lit(0))).alias("ok"))
 
 
-def folder_digest(files: DataFrame, path: str, sha: str) -> DataFrame:
+def folder_digest(files: DataFrame, path: str, sha: str, a_group: int = 4096) -> DataFrame:
     """(folder, digest, n): SHA-256 over the sorted 'path NUL sha LF' lines of each
-    folder, a folder being the first part of the path with two digits of the name, so
-    that a group stays small."""
-    folder = F.regexp_extract(F.col(path), r"^(.*/)?([^/]{0,2})[^/]*$", 2)
+    folder. A folder is the files whose names begin with the same digits, two or as
+    many hexadecimal ones as keep about ``a_group`` files in it."""
+    digits = max(2, math.ceil(math.log(max(1, files.count() / a_group), 16)))
+    folder = F.substring(F.regexp_extract(F.col(path), r"([^/]*)$", 1), 1, digits)
     line = F.concat(F.col(path), F.lit("\x00"), F.lower(F.col(sha)), F.lit("\n"))
     rows = files.where(F.col(path).isNotNull() & F.col(sha).isNotNull()).select(folder.alias("folder"), line.alias("line")).distinct()
     return rows.groupBy("folder").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("digest"), F.count("*").alias("n"))

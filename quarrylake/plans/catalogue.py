@@ -704,3 +704,10 @@ def declared_categories(spark, d):
     """Counts of one kind of source against those of all."""
     r = _t(spark, d, "document_records")
     return quality.declared_consistency(quality.count_by(r.where("source_kind like 'manual%'"), "category"), r, "category")
+
+
+@query()
+def training_dedupe(spark, d):
+    """Training rows of which no earlier kept one has the id, the pair or the question."""
+    q = _t(spark, d, "qa_cases").where("split_name = 'train'").select("case_no", "case_id", T.fold(F.col("question")).alias("q"), T.pair_signature(F.col("question"), F.col("answer")).alias("s"))
+    return dedupe.seen_set(q, ["case_id", "s", "q"], "case_no").select("case_no")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the folder of ``spark.checkpoint.dir``,
+    or, where that is unset, in a temporary one."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_pack(tables: dict[str, DataFrame], folder: str, partition: dict[str, str] | None = None) -> None:
     """Write tables, some partitioned by a column of few values."""
     for name, df in tables.items():

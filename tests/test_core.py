@@ -63,7 +63,8 @@ def test_numbers(spark):
 def test_dedupe(spark):
     d = spark.createDataFrame([(1, "a", "k1", "q1", "s"), (2, "a", "k2", "q2", "s"), (3, "b", "k3", "q2", "s")], "n int, id string, k string, q string, src string")
     assert [(r["n"], r["unique_id"]) for r in dedupe.unique_ids(d, "id", "n").orderBy("n").collect()] == [(1, "a"), (2, "a-2"), (3, "b")]
-    assert {r["n"] for r in dedupe.seen_set(d, ["id", "q"], "n", "src").collect()} == {1}
+    # 2 falls to 1, so its question is not seen and 3 stays
+    assert {r["n"] for r in dedupe.seen_set(d, ["id", "q"], "n").collect()} == {1, 3}
     held = spark.createDataFrame([("zz", "q2")], "k string, q string")
     assert {r["n"] for r in dedupe.exclude_held_out(d, held, ["k", "q"]).collect()} == {1}
     new = spark.createDataFrame([(9, "a", "k9", "q9", "s")], d.schema)
@@ -71,6 +72,20 @@ def test_dedupe(spark):
     assert dedupe.first_per_key(d, ["id"], [F.desc("n")]).count() == 2
 
 
+def test_seen_set_equals_one_reader(spark):
+    rng = np.random.default_rng(9)
+    data = [(i, int(a), int(b) if b else None) for i, (a, b) in enumerate(rng.integers(0, 40, (200, 2)))]
+    seen, want = [set(), set()], set()
+    for n, a, b in data:
+        if a not in seen[0] and (b is None or b not in seen[1]):
+            want.add(n)
+            seen[0].add(a)
+            seen[1].add(b)
+    d = spark.createDataFrame(data, "n int, a int, b int")
+    assert {r["n"] for r in dedupe.seen_set(d, ["a", "b"], "n").collect()} == want
+    assert dedupe.seen_set(d.limit(0), ["a", "b"], "n").count() == 0
+
+
 def test_sections_and_chunks(spark):
     text = "Intro line\nSYNTAX\na(b)\n\nNotes\nbe careful\nEXAMPLES"
     d = spark.createDataFrame([(1, text), (2, "no heading here"), (3, None), (4, "")], "id long, t string")
