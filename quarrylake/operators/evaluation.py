@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylake.sources.store import cut
+
 
 def target_ranks(sims: DataFrame) -> DataFrame:
     """(question, rank): place of the best relevant row among all, from (question, chunk, sim, relevant)."""
@@ -76,15 +78,17 @@ def rotating_window(df: DataFrame, key: str, start: int, size: int) -> DataFrame
     """``size`` rows in the order of the key from place ``start`` on, going round; a sampling operator.
 
     Places come from one global sort: partition sizes are counted and added up, so
-    no single task sees all rows.
+    no single task sees all rows. The sorted rows are written once, because a second
+    sort could cut its partitions elsewhere.
     """
     ordered = df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("m", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("p", F.shiftright("m", 33)).withColumn("i", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+    ordered = cut(ordered.select(key, F.shiftright("m", 33).alias("p"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("i")))
     sizes = sorted((r["p"], r["n"]) for r in ordered.groupBy("p").agg(F.count("*").alias("n")).collect())  # one row a partition
-    total = int(sum(n for _, n in sizes))
-    offsets = dict(zip([p for p, _ in sizes], np.cumsum([0] + [n for _, n in sizes])[:-1].tolist()))
-    place = F.coalesce(*[F.when(F.col("p") == p, F.lit(o)) for p, o in offsets.items()], F.lit(0)) + F.col("i")
-    return ordered.select(key, place.alias("at")).withColumn("turn", F.pmod(F.col("at") - start, F.lit(max(total, 1)))).where(F.col("turn") < size).select(key, F.col("turn").cast("long").alias("turn"))
+    total = sum(n for _, n in sizes)
+    before = np.cumsum([0] + [n for _, n in sizes])[:-1].tolist()
+    offsets = df.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(sizes, before)], "p long, o long")
+    placed = ordered.join(F.broadcast(offsets), "p")
+    return placed.withColumn("turn", F.pmod(F.col("o") + F.col("i") - start, F.lit(max(total, 1)))).where(F.col("turn") < size).select(key, F.col("turn").cast("long").alias("turn"))
 
 
 def graded_metrics(ranked: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (1, 5, 10), longest: int = 100) -> DataFrame:
