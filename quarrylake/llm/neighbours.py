@@ -5,8 +5,9 @@ random partitions of the sphere (each vector in the cell of its signs, and askin
 in the cell next to it as well) give every vector a first list of neighbours; then
 rounds of NN-descent join the lists with themselves: at every vector its
 neighbours, in both directions, are compared with one another, and closer ones
-replace the farthest of a list. Cells are worked through in blocks of bounded
-size, so many equal vectors cannot fill one task.
+replace the farthest of a list. A cell larger than a block is cut into blocks and
+every pair of its blocks is a task of bounded size, so all vectors of a cell are
+compared and many equal vectors cannot fill one task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ DIM = 64
 K = 12
 TABLES = 3
 CELL = 1500  # vectors a cell holds on average
-BLOCK = 10_000  # vectors compared with each other at once; only far larger cells are cut
+BLOCK = 10_000  # rows of a cell compared at once; larger cells are compared by pairs of blocks
 NEAR = 0.85  # every neighbour this similar goes into a first list, of the others the best few
 FEW = 3
 
@@ -90,15 +91,23 @@ def _cells(bits: int, tables: int):
     return run
 
 
-def _top(sims: np.ndarray, few: int, near: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the ``few`` largest entries of each row and all at or above ``near``."""
+def _top(sims: np.ndarray, few: int, near: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``few`` largest entries of each row and those at or
+    above ``near``, of which the ``most`` largest, ties by column, can be in a list."""
     few = min(few, sims.shape[1])
     best = np.argpartition(sims, sims.shape[1] - few, axis=1)[:, -few:]
     r = np.repeat(np.arange(len(sims)), few)
     c = best.ravel()
     keep = sims[r, c] > -1.5
     r, c = r[keep], c[keep]
-    rn, cn = np.nonzero(sims >= near)
+    close = sims >= near
+    many = np.flatnonzero(close.sum(axis=1) > most)
+    if len(many):
+        part = sims[many]
+        bar = np.partition(part, part.shape[1] - most, axis=1)[:, part.shape[1] - most, None]
+        above, level = part > bar, part == bar
+        close[many] = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= most - above.sum(axis=1, keepdims=True)))
+    rn, cn = np.nonzero(close)
     pairs = np.unique(np.concatenate([r * sims.shape[1] + c, rn * sims.shape[1] + cn]))
     return pairs // sims.shape[1], pairs % sims.shape[1]
 
@@ -125,29 +134,67 @@ def _edges(key: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.RecordBatc
 _EDGE = "key long, other long, sim float"
 
 
-def _within(few: int):
+def _sizes(bits: int, tables: int):
+    """(cell, n) of the entries of a batch."""
+    cells = _cells(bits, tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cells(batches):
+            cell, n = np.unique(b.column("cell").to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+    return run
+
+
+def _in_blocks(placed: DataFrame, coded: DataFrame, bits: int, tables: int) -> DataFrame:
+    """Adds side, one and two: a row of a cell of several blocks is sent to the pairs
+    of its block (``side``) with every block of the cell, itself included."""
+    sizes = coded.mapInArrow(_sizes(bits, tables), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    large = stored(sizes.where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    if large.isEmpty():
+        return placed.select("*", *[F.lit(0).alias(c) for c in ("side", "one", "two")])
+    cut = placed.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("side", F.expr("cast(pmod(xxhash64(key), blocks) as int)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return cut.select("cell", "key", "code", "home", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows equal in ``by``, of sorted batches; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        place = np.stack([b.column(c).to_numpy() for c in by], axis=1)
+        starts = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(axis=1)))
+        for a, z in zip(starts, np.append(starts[1:], len(place))):
+            here = tuple(place[a])
+            if held and here != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = here
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _within(few: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells lie together in a partition; each is compared in blocks."""
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        table = pa.Table.from_batches(tables)
-        cell, key, home = (table.column(c).to_numpy() for c in ("cell", "key", "home"))
-        codes_ = table.column("code").combine_chunks()
-        bounds = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
-        for a, z in zip(bounds[:-1], bounds[1:]):
-            for start in range(a, z, BLOCK):
-                end = min(z, start + BLOCK)
-                x = _matrix(codes_.slice(start, end - start))
-                base = np.flatnonzero(home[start:end])
-                if not len(base) or end - start < 2:
+        """A pair of blocks is compared across, a block with itself in full."""
+        for table in _groups(batches, ["cell", "one", "two"]):
+            key, home, side = (table.column(c).to_numpy() for c in ("key", "home", "side"))
+            one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+            x = _matrix(table.column("code").combine_chunks())
+            for asks, given in {(one, two), (two, one)}:
+                base, rows = np.flatnonzero(home & (side == given)), np.flatnonzero(side == asks)
+                if not len(base):
                     continue
-                names = key[start:end]
-                for s in range(0, end - start, 1000):
-                    sims = x[s : s + 1000] @ x[base].T
-                    sims[names[s : s + 1000, None] == names[base][None, :]] = -2
-                    r, c = _top(sims, few, NEAR)
-                    yield _edges(names[s + r], names[base[c]], sims[r, c])
+                for s in range(0, len(rows), 1000):
+                    ask = rows[s : s + 1000]
+                    sims = x[ask] @ x[base].T
+                    sims[key[ask, None] == key[base][None, :]] = -2
+                    r, c = _top(sims, few, NEAR, most)
+                    yield _edges(key[ask[r]], key[base[c]], sims[r, c])
 
     return run
 
@@ -197,8 +244,9 @@ def neighbour_graph(coded: DataFrame, k: int = K, rounds: int = 1, tables: int =
         tables = 1  # one cell: its lists are complete
     n = shuffle_width(spark, 4)
     schema = "cell long, key long, code binary, home boolean"
-    placed = coded.mapInArrow(_cells(bits, tables), schema).repartition(n, "cell").sortWithinPartitions("cell", "key")
-    first = placed.mapInArrow(_within(FEW if bits else k), _EDGE)
+    placed = _in_blocks(coded.mapInArrow(_cells(bits, tables), schema), coded, bits, tables)
+    placed = placed.repartition(n, "cell", "one", "two").sortWithinPartitions("cell", "one", "two", "key")
+    first = placed.mapInArrow(_within(FEW if bits else k, k), _EDGE)
     graph = stored(first.repartition(n, "key").mapInArrow(_merge(k), _EDGE))
     for _ in range(rounds):
         bar = graph.groupBy("key").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-1.0)).cast("float").alias("bar"))
