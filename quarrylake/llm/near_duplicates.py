@@ -5,7 +5,8 @@ a signature: every shingle is a Poisson process whose arrivals fall into random
 registers, each register keeps its earliest arrival, and a shingle is followed
 only while its next arrival can still be the earliest somewhere. With equal rates
 the share of agreeing registers estimates the Jaccard similarity; other rates are
-supported. Bands of registers give candidate pairs, which are verified exactly.
+supported. Bands of registers give candidate pairs; those a bound rules out are
+dropped without a look at their texts, the others are verified exactly.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from quarrylake.llm.common import WORD, WordHashes, mix64, stored, unit_interval
 
-#: 52 bands of 4, of which two must agree: unrelated texts that share a phrase agree
-#: in one at most. A pair at 0.6 is missed with probability 0.006, at 0.65 with 0.0004.
-BANDS, ROWS, AGREE = 52, 4, 2
+#: 52 bands of 4, of which one must agree. A pair at 0.6 is missed with probability
+#: 0.0007, at 0.65 with 0.00004.
+BANDS, ROWS = 52, 4
+BITS = 512  # of the bitmap that bounds how many shingles two texts do not share
 SHINGLE = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,9 +97,17 @@ def band_hashes(winner: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parity_bitmaps(row: np.ndarray, item: np.ndarray, n_rows: int) -> np.ndarray:
+    """(n_rows x BITS / 64): whether a text has an odd number of shingles at each bit.
+    Every bit in which two texts differ stands for a shingle they do not share."""
+    bit = (item % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(row * BITS + bit, minlength=n_rows * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n_rows, BITS), axis=1).view(np.int64)
+
+
 def signatures(df: DataFrame, key: str, text: str, min_words: int = 20, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, digest, bands) of each text with at least ``min_words`` words; digest
-    names the exact set of shingles."""
+    """(key, digest, bands, size, bits) of each text with at least ``min_words`` words;
+    digest names the exact set of shingles, size is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -111,11 +121,11 @@ def signatures(df: DataFrame, key: str, text: str, min_words: int = 20, bands: i
                 sig = band_hashes(probminhash(dense, item, len(present), bands * rows), bands, rows)
                 ends = np.cumsum(counts)
                 digest = [xxhash.xxh3_128_hexdigest(item[e - c : e].tobytes()) for e, c in zip(ends, counts)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands, dtype=np.int32)), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(present)), pa.array(digest), lists], names=["key", "digest", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel())) for m in (sig, parity_bitmaps(dense, item, len(present)))]
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(present)), pa.array(digest), lists[0], pa.array(counts, pa.int32()), lists[1]], names=["key", "digest", "bands", "size", "bits"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, f"key {kind}, digest string, bands array<long>")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, f"key {kind}, digest string, bands array<long>, size int, bits array<long>")
 
 
 def near_duplicate_classes(df: DataFrame, key: str, text: str, threshold: float = 0.6, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -126,13 +136,17 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, threshold: float
     empty and short texts belong to no class.
     """
     sigs = stored(signatures(df, key, text, min_words))
-    classes = sigs.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
+    classes = sigs.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"))
     entries = classes.select("rep", F.explode("bands").alias("band"))
     pairs = (
         entries.select("band", F.col("rep").alias("low")).join(entries.select("band", F.col("rep").alias("high")), "band")
-        .where("low < high").groupBy("low", "high").agg(F.count("*").alias("n")).where(F.col("n") >= AGREE).select("low", "high")
+        .where("low < high").select("low", "high").distinct()
     )
-    pairs = stored(pairs)
+    # texts of a and b shingles at similarity t do not share (1 - t) / (1 + t) (a + b) of them at most
+    bounds = {side: classes.select(F.col("rep").alias(side), F.col("size").alias(f"{side}_size"), F.col("bits").alias(f"{side}_bits")) for side in ("low", "high")}
+    apart = F.expr("aggregate(zip_with(low_bits, high_bits, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
+    possible = apart <= (1 - threshold) / (1 + threshold) * (F.col("low_size") + F.col("high_size")) + 1e-6
+    pairs = stored(pairs.join(bounds["low"], "low").join(bounds["high"], "high").where(possible).select("low", "high"))
     wanted = pairs.select(F.explode(F.array("low", "high")).alias("key")).distinct()
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
 

@@ -154,6 +154,21 @@ def test_near_duplicates(spark):
     assert all(r["group_id"] is None for r in groups if r["doc_id"] in (900, 901, 902, 903))
 
 
+def test_pairs_of_one_common_band_are_verified(spark):
+    rng = random.Random(12)
+    data = []
+    for i in range(700):
+        words = ["w%d" % rng.randrange(10**6) for _ in range(90)]
+        other = words[:68] + ["w%d" % rng.randrange(10**6) for _ in range(22)]  # similarity 66 / 110
+        data += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    row, item, _ = near_duplicates.shingle_hashes([t for _, t in data], WordHashes(), 20)
+    bands = near_duplicates.band_hashes(near_duplicates.probminhash(row, item, len(data), 208), 52, 4)
+    agree = (bands[::2] == bands[1::2]).sum(axis=1)
+    assert (agree == 1).any()
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(near_duplicates.near_duplicate_pairs(d, "doc_id", "text")) == [(2 * i, 2 * i + 1) for i in np.flatnonzero(agree).tolist()]
+
+
 # ---- vectors ------------------------------------------------------------------------
 
 
