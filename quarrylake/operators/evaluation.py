@@ -38,7 +38,8 @@ def grounding(sims: DataFrame, least: float) -> DataFrame:
 def mined_pairs(near_question: DataFrame, near_answer: DataFrame, share: float = 0.85, few: int = 3) -> DataFrame:
     """(question, positive, negative, place): the row nearest to the answer, with the
     rows near the question whose similarity to the answer is under ``share`` of the
-    best. Rows outside the answer's list count as far from it."""
+    best. Rows without a similarity to
+    the answer count as far from it."""
     best = near_answer.where("arank = 1").select("qid", F.col("rid").alias("positive"), F.col("asim").alias("best"))
     rows = near_question.join(best, "qid").join(near_answer.select("qid", "rid", "asim"), ["qid", "rid"], "left")
     far = rows.where((F.col("rid") != F.col("positive")) & (F.coalesce("asim", F.lit(-1.0)) < share * F.col("best")))

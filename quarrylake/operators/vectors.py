@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_A_BLOCK, QUERIES_A_BLOCK = 50_000, 2_000
+PAIRS_A_BLOCK = 2_000_000  # where all pairs are returned
 
 
 def block_search(rows: DataFrame, queries: DataFrame, row_id: str, row_vector: str, query_id: str, query_vector: str, k: int | None, dim: int, skip_self: bool = True) -> DataFrame:
@@ -21,7 +22,7 @@ def block_search(rows: DataFrame, queries: DataFrame, row_id: str, row_vector: s
     or of another length take no part.
     """
     n_rows, n_queries = rows.count(), queries.count()
-    rb, qb = max(1, math.ceil(n_rows / ROWS_A_BLOCK)), max(1, math.ceil(n_queries / QUERIES_A_BLOCK))
+    rb, qb = max(1, math.ceil(n_rows / ROWS_A_BLOCK)), max(1, math.ceil(n_queries / (QUERIES_A_BLOCK if k else max(1, PAIRS_A_BLOCK // ROWS_A_BLOCK))))
     # a few more row blocks than needed keep all cores busy
     rb = max(rb, min(8, max(1, n_rows // 2000)))
     r = rows.where(F.size(row_vector) == dim).select(F.col(row_id).alias("rid"), F.col(row_vector).alias("v"), F.pmod(F.xxhash64(row_id), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))

@@ -42,13 +42,14 @@ _SIMS = """WITH sims AS (
 top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, rid) AS rank FROM sims QUALIFY rank <= 512)"""
 
 
-def _top(spark: SparkSession, d: str, k: int = LIST) -> DataFrame:
-    """(qid, rid, sim, rank): queries are all rows whose id is divisible by 20."""
+def _top(spark: SparkSession, d: str, k: int | None = LIST) -> DataFrame:
+    """(qid, rid, sim, rank): queries are all rows whose id is divisible by 20. All
+    rows without a rank for k = None; LIST bounds the lists of the fusion only."""
     e = _t(spark, d, "embeddings")
     return vectors.block_search(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", "vec_id", "embedding", k, DIM)
 
 
-def _labelled(spark: SparkSession, d: str, k: int = LIST) -> DataFrame:
+def _labelled(spark: SparkSession, d: str, k: int | None = LIST) -> DataFrame:
     e = _t(spark, d, "embeddings")
     top = _top(spark, d, k)
     return top.join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label")), "qid").join(e.select(F.col("vec_id").alias("rid"), F.col("label").alias("r_label")), "rid")
@@ -66,8 +67,8 @@ lists AS (SELECT p.question, p.perspective, t.rid AS chunk, t.r_label AS documen
 fused AS (SELECT question, chunk, round(sum(weight::DOUBLE / (40 + rank)), 9) AS rrf, max(sim) AS max_sim, max(CASE WHEN perspective = 0 THEN sim END) AS direct FROM lists GROUP BY ALL)"""
 
 
-def _lists(spark: SparkSession, d: str) -> DataFrame:
-    top = _labelled(spark, d)
+def _lists(spark: SparkSession, d: str, k: int | None = LIST) -> DataFrame:
+    top = _labelled(spark, d, k)
     q = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("question"))
     persp = q.withColumn("perspective", F.expr("row_number() over (partition by question order by qid) - 1").cast("long"))
     return top.join(persp, "qid").select("question", "perspective", F.lit("content").alias("facet"), F.col("rid").alias("chunk"), F.col("r_label").alias("document"), "sim", F.when(F.col("perspective") == 0, 1.0).otherwise(0.35).alias("weight"))
@@ -84,7 +85,7 @@ SELECT question, document, max(CASE WHEN perspective = 0 THEN s END) AS "primary
   floor((100 * (0.72::DOUBLE * max(CASE WHEN perspective = 0 THEN s END) + 0.18::DOUBLE * list_sort(list(s))[(count(*) // 2)::INT + 1] + 0.10::DOUBLE * max(s))) * 100000.0::DOUBLE + 0.5) / 100000.0::DOUBLE AS score
 FROM per GROUP BY question, document""")
 def document_score(spark, d):
-    return retrieval.document_scores(_lists(spark, d))
+    return retrieval.document_scores(_lists(spark, d, None))
 
 
 @query(_LISTS + " SELECT question, chunk, rrf, max_sim, direct FROM fused")
@@ -155,7 +156,7 @@ ot AS (SELECT question, topic AS out_topic FROM i WHERE NOT inside QUALIFY row_n
 x AS (SELECT b.question, coalesce(in_best IS NULL OR (out_best > in_best AND out_topic <> in_topic), false) AS expanded FROM b LEFT JOIN it USING (question) LEFT JOIN ot USING (question))
 SELECT question, document, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, document) AS place, expanded FROM i JOIN x USING (question) WHERE expanded OR inside QUALIFY place <= 8""")
 def version_expansion(spark, d):
-    best = _lists(spark, d).groupBy("question", "document").agg(F.max("sim").alias("score")).withColumn("topic", F.col("document") % 5).withColumn("version", F.col("document") % 3)
+    best = _lists(spark, d, None).groupBy("question", "document").agg(F.max("sim").alias("score")).withColumn("topic", F.col("document") % 5).withColumn("version", F.col("document") % 3)
     scope = best.select("question").distinct().withColumn("version", F.col("question") % 3)
     out = retrieval.scope_expansion(best, scope)
     return out.withColumn("place", F.col("place").cast("long"))
@@ -193,7 +194,7 @@ def hard_negatives(spark, d):
 SELECT count(*) AS n, round(avg((rank <= 1)::INT), 6) AS top1, round(avg((rank <= 5)::INT), 6) AS top5, round(avg((rank <= 10)::INT), 6) AS top10, round(avg((rank <= 50)::INT), 6) AS top50,
   round(avg(1.0::DOUBLE / rank), 6) AS mrr, quantile_disc(rank, 0.5) AS median_rank FROM ranks""")
 def ir_metrics(spark, d):
-    sims = _labelled(spark, d).select(F.col("qid").alias("question"), F.col("rid").alias("chunk"), "sim", (F.col("q_label") == F.col("r_label")).alias("relevant"))
+    sims = _labelled(spark, d, None).select(F.col("qid").alias("question"), F.col("rid").alias("chunk"), "sim", (F.col("q_label") == F.col("r_label")).alias("relevant"))
     return evaluation.ranking_metrics(evaluation.target_ranks(sims))
 
 
@@ -641,8 +642,9 @@ def feedback_mining(spark, d):
     The answer of a query row is the row with the next id."""
     e = _t(spark, d, "embeddings")
     answers = e.where("(vec_id - 1) % 20 = 0").select((F.col("vec_id") - 1).alias("vec_id"), "embedding")
-    near_q = _top(spark, d).select("qid", "rid", "sim")
-    near_a = vectors.block_search(e, answers, "vec_id", "embedding", "vec_id", "embedding", LIST, DIM).select("qid", "rid", F.col("sim").alias("asim"), F.col("rank").alias("arank"))
+    near_q = _top(spark, d, None).select("qid", "rid", "sim")
+    near_a = vectors.block_search(e, answers, "vec_id", "embedding", "vec_id", "embedding", None, DIM).select("qid", "rid", F.col("sim").alias("asim"))
+    near_a = near_a.withColumn("arank", F.expr("row_number() over (partition by qid order by asim desc, rid)"))
     return evaluation.mined_pairs(near_q, near_a)
 
 

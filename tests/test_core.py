@@ -218,6 +218,16 @@ def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SMALL).count() > 0
 
 
+@pytest.mark.parametrize("name", ["document_score", "version_expansion", "feedback_mining", "ir_metrics"])
+def test_query_looks_past_the_lists(spark, monkeypatch, name):
+    whole = catalogue.QUERIES[name](spark, SMALL).toPandas()
+    monkeypatch.setattr(catalogue._top, "__defaults__", (2,))
+    monkeypatch.setattr(catalogue._labelled, "__defaults__", (2,))
+    monkeypatch.setattr(catalogue._lists, "__defaults__", (2,) if catalogue._lists.__defaults__ else None)
+    monkeypatch.setattr(catalogue, "LIST", 2)
+    assert _same(catalogue.QUERIES[name](spark, SMALL).toPandas(), whole)
+
+
 def test_question_bank_and_contents(spark):
     from quarrylake.operators import qabank, toc
 
