@@ -64,12 +64,15 @@ class Corpus:
         if not views:
             raise ValueError("the question is empty")
         asked = self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(self.embed(views))], "qid int, qv array<double>")
-        hits = vectors.block_search(self.table("chunk_vectors"), asked, "chunk_id", "vector", "qid", "qv", 512, self.dim, skip_self=False)
         chunks = self.table("chunks").select(F.col("chunk_id").alias("rid"), "document_id", "body")
         docs = self.records().select(F.col("id").alias("document_id"), "record_no", "title", "doc_version", "category", "canonical_topic_key")
-        rows = hits.join(chunks, "rid").join(docs, "document_id")
         if checked("category", category):
-            rows = rows.where(F.col("category") == category)
+            docs = docs.where(F.col("category") == category)
+        chunks = chunks.join(docs, "document_id")
+        candidates = self.table("chunk_vectors").join(chunks.select(F.col("rid").alias("chunk_id")), "chunk_id", "left_semi")
+        # all candidates, as the scope may be a small version or category
+        hits = vectors.block_search(candidates, asked, "chunk_id", "vector", "qid", "qv", None, self.dim, skip_self=False)
+        rows = hits.join(chunks, "rid")
         sims = rows.select(F.lit(0).alias("question"), F.col("qid").alias("perspective"), F.col("record_no").alias("document"), "sim")
         scored = retrieval.document_scores(sims).withColumn("score", F.coalesce("score", F.lit(0.0)))
         info = docs.select(F.col("record_no").alias("document"), "document_id", "title", F.coalesce("canonical_topic_key", "document_id").alias("topic"), F.col("doc_version").alias("version"))

@@ -266,6 +266,22 @@ def test_engine(spark):
     assert set(c.quality_report()) >= {"gate", "vectors"} and c.trace_report()["rates"].count() == 1
 
 
+def test_engine_finds_a_small_version_and_category(spark):
+    from quarrylake.engine import Corpus
+
+    last = 600  # the only chunk of its version and category, and the one farthest from the question
+    n = range(last + 1)
+    tables = {
+        "chunk_vectors": spark.createDataFrame([(i, [1.0, 0.0] if i < last else [0.0, 1.0]) for i in n], "chunk_id long, vector array<double>"),
+        "chunks": spark.createDataFrame([(i, f"d{i}", "text") for i in n], "chunk_id long, document_id string, body string"),
+        "document_records": spark.createDataFrame([(i, f"d{i}", "t", "7.5" if i < last else "7.3", "a" if i < last else "b", "k") for i in n], "record_no long, id string, title string, doc_version string, category string, canonical_topic_key string"),
+    }
+    c = Corpus(spark, "", lambda texts: np.array([[1.0, 0.0]] * len(texts)), 2)
+    c.table = tables.get
+    assert [r["document_id"] for r in c.search("Where is it?", category="b").collect()] == ["d600"]
+    assert c.compare_versions("Where is it?", ["7.3"]) == {"7.3": "d600"}
+
+
 def test_models_as_plug_ins(spark):
     from quarrylake.engine import hashing_embedder
     from quarrylake.operators import scoring
