@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,12 +95,27 @@ def declared_consistency(declared: DataFrame, docs: DataFrame, column: str) -> D
     return both.select("value", F.coalesce("declared", F.lit(0)).alias("declared"), F.coalesce("actual", F.lit(0)).alias("actual"), (F.coalesce("declared", F.lit(0)) == F.coalesce("actual", F.lit(0))).alias("ok"))
 
 
-def folder_digest(files: DataFrame, path: str, sha: str, a_group: int = 4096) -> DataFrame:
+def folder_digest(files: DataFrame, path: str, sha: str, digits: int = 2) -> DataFrame:
     """(folder, digest, n): SHA-256 over the sorted 'path NUL sha LF' lines of each
-    folder. A folder is the files whose names begin with the same digits, two or as
-    many hexadecimal ones as keep about ``a_group`` files in it."""
-    digits = max(2, math.ceil(math.log(max(1, files.count() / a_group), 16)))
+    folder. A folder is the files whose names begin with the same ``digits``
+    hexadecimal digits. Its sorted lines are hashed as they come, so a folder of any
+    size needs no memory of its own."""
     folder = F.substring(F.regexp_extract(F.col(path), r"([^/]*)$", 1), 1, digits)
     line = F.concat(F.col(path), F.lit("\x00"), F.lower(F.col(sha)), F.lit("\n"))
     rows = files.where(F.col(path).isNotNull() & F.col(sha).isNotNull()).select(folder.alias("folder"), line.alias("line")).distinct()
-    return rows.groupBy("folder").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("digest"), F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, digest = None, 0, hashlib.sha256()
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([last]), pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], names=["folder", "digest", "n"])
+        for b in batches:
+            for name, text in zip(b.column("folder").to_pylist(), b.column("line").to_pylist()):
+                if name != last:
+                    if n:
+                        yield done()
+                    last, n, digest = name, 0, hashlib.sha256()
+                digest.update(text.encode())
+                n += 1
+        if n:
+            yield done()
+
+    return rows.repartition("folder").sortWithinPartitions("folder", "line").mapInArrow(run, "folder string, digest string, n long")

@@ -282,6 +282,15 @@ def test_engine_finds_a_small_version_and_category(spark):
     assert c.compare_versions("Where is it?", ["7.3"]) == {"7.3": "d600"}
 
 
+def test_folders_keep_two_digits(spark):
+    import hashlib
+
+    # names of 4096 x 256 + 1 files had folders of three digits
+    files = spark.range(4096 * 256 + 1).select(F.concat(F.lit("x/"), F.lpad(F.hex(F.col("id") % 3), 4, "0")).alias("p"), F.lit("AB").alias("s"))
+    want = hashlib.sha256(b"".join(b"x/000%d\x00ab\n" % i for i in range(3))).hexdigest()
+    assert [tuple(r) for r in quality.folder_digest(files, "p", "s").collect()] == [("00", want, 3)]
+
+
 def test_models_as_plug_ins(spark):
     from quarrylake.engine import hashing_embedder
     from quarrylake.operators import scoring
