@@ -43,12 +43,13 @@ def word_overlap(questions: list[str], passages: list[str]) -> np.ndarray:
     return out
 
 
-def rerank(df: DataFrame, question: str, passage: str, scorer: Scorer, longest: int = 2000) -> DataFrame:
-    """Adds ``logit`` and ``score`` = sigmoid(logit); rows with a blank passage are left out."""
+def rerank(df: DataFrame, question: str, passage: str, scorer: Scorer) -> DataFrame:
+    """Adds ``logit`` and ``score`` = sigmoid(logit); rows with a blank passage are left
+    out. Passages are passed whole; a limit in tokens is the scorer's own."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            logit = scorer(f[question].fillna("").tolist(), [p[:longest] for p in f[passage]]) if len(f) else np.zeros(0)
+            logit = scorer(f[question].fillna("").tolist(), f[passage].tolist()) if len(f) else np.zeros(0)
             yield f.assign(logit=logit, score=1 / (1 + np.exp(-np.asarray(logit))))
 
     rows = df.where(F.btrim(F.coalesce(F.col(passage), F.lit(""))) != "")

@@ -291,6 +291,13 @@ def test_folders_keep_two_digits(spark):
     assert [tuple(r) for r in quality.folder_digest(files, "p", "s").collect()] == [("00", want, 3)]
 
 
+def test_whole_passages(spark):
+    from quarrylake.operators import scoring
+
+    q = spark.createDataFrame([("a b", "x " * 1500 + "a b")], "q string, p string")
+    assert scoring.rerank(q, "q", "p", scoring.word_overlap).first()["logit"] == 4.0
+
+
 def test_models_as_plug_ins(spark):
     from quarrylake.engine import hashing_embedder
     from quarrylake.operators import scoring
