@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import re
 import tempfile
 import unicodedata
@@ -21,14 +23,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
+    """The checkpoint folder of the session, named by ``spark.checkpoint.dir``.
 
-    It is the one named by ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary one is made.
+    Only a local session (tests, a laptop) gets a temporary folder where that is
+    unset; on a cluster, where executors would each write to a disk of their own,
+    an unset folder is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -43,13 +49,30 @@ def stored(df: DataFrame) -> DataFrame:
     checkpoint and read by column, but partitions may come back in other sizes."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark remove the
+    shuffle files of plans that are gone."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession, at_least: int = 2) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
+    """Partitions of at most about ``rows_each`` rows, whatever the number of rows."""
+    return max(shuffle_width(spark, 4), math.ceil(rows / rows_each))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser: a bijective scrambling of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

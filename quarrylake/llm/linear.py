@@ -102,6 +102,12 @@ def calibrated(p: np.ndarray, y: np.ndarray, floor: float = 0.5) -> np.ndarray:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
-    """About ``rows`` rows, at most 1.5 times that, chosen by a hash of the key; for fitting only."""
+    """About ``rows`` rows chosen by a 64-bit hash of the key, for fitting only; the
+    same rows whatever the partitions, and as many at any size of the table. Rows
+    that repeat one key are chosen or left out together, so no more than 1.5 times
+    ``rows`` are taken, those of the smallest hashes."""
     share = min(1.0, rows / max(1, df.count()))
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).limit(int(1.5 * rows)).orderBy(key).collect()
+    span = 1 << 62
+    place = F.xxhash64(key).bitwiseAND(F.lit(span - 1))
+    chosen = df.select("*", place.alias("_place")).where(F.col("_place") < int(share * span))
+    return sorted(chosen.orderBy("_place", *df.columns).limit(int(1.5 * rows)).drop("_place").collect(), key=lambda r: tuple((x is not None, x) for x in r))

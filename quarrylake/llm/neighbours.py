@@ -1,34 +1,46 @@
 """Most similar vectors: a neighbour graph by NN-descent.
 
-Vectors are cut into bytes for the search and compared exactly at the end. A few
-random partitions of the sphere (each vector in the cell of its signs, and asking
-in the cell next to it as well) give every vector a first list of neighbours; then
-rounds of NN-descent join the lists with themselves: at every vector its
-neighbours, in both directions, are compared with one another, and closer ones
-replace the farthest of a list. A cell larger than a block is cut into blocks and
-every pair of its blocks is a task of bounded size, so all vectors of a cell are
-compared and many equal vectors cannot fill one task.
+A row of the graph holds one vector, cut to half a byte a dimension, and its list
+of up to ``K`` neighbours. Lists start from random partitions of the sphere (three
+of them) and a few random rows. Every round of NN-descent then picks, of
+each list, some entries that were never picked and some older ones, and lets the
+picked rows meet in both directions at the rows that link them: two that meet are
+compared unless both are old, and each goes into the other's list if it is closer
+than what the list holds. Where very many meet, at a hub, they are split at random
+into groups of bounded size. Rounds go on until fewer than ``SETTLED`` of the lists
+change. Equal vectors are one row of the graph, whatever their number.
+
+A list holds ``K`` rows. Rows whose whole list is as similar as asked for may have
+more such partners than that; for these there is an exact step, a metric join of
+those rows with one another.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import shuffle_width, stored
+from quarrylake.llm.common import mix64, partitions_for, release, stored
 
 DIM = 64
-K = 12
+K = 16
 TABLES = 3
-CELL = 1500  # vectors a cell holds on average
-BLOCK = 10_000  # rows of a cell compared at once; larger cells are compared by pairs of blocks
-NEAR = 0.85  # every neighbour this similar goes into a first list, of the others the best few
-FEW = 3
+CELL = 1500  # vectors a cell of the first lists holds on average
+BLOCK = 8_000  # rows of a cell compared at once; larger cells are compared by pairs of blocks
+STARTS = 64  # random rows that lists with few entries start from
+PICKS, OLD_PICKS = 4, 2  # entries of a list that meet in a round
+GROUP = 24  # rows compared with one another at a hub
+SETTLED = 0.001
+SLACK = 0.07  # four deviations of the cosine of two coded vectors
+
+_log = logging.getLogger(__name__)
 
 
 def usable(vector: Column, dim: int = DIM) -> Column:
@@ -37,37 +49,69 @@ def usable(vector: Column, dim: int = DIM) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Binary column of DIM bytes to unit float rows."""
-    data = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column
-    raw = np.frombuffer(b"".join(data.to_pylist()), np.int8).reshape(-1, DIM).astype(np.float32)
-    return raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
 
 
-def planes(tables: int, bits: int, seed: int = 17) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(tables, DIM, max(bits, 1))).astype(np.float32)
+def _rotation() -> np.ndarray:
+    """A fixed random rotation: it spreads every vector evenly over the dimensions."""
+    return np.linalg.qr(np.random.default_rng(29).normal(size=(DIM, DIM)))[0].astype(np.float32)
+
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
 
-def _pack(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+def _nibbles(v: np.ndarray) -> np.ndarray:
+    r = v.astype(np.float32) @ _rotation()
+    q = (np.rint(r / np.abs(r).max(axis=1, keepdims=True) * 7) + 8).astype(np.uint8)
+    return q[:, 0::2] << 4 | q[:, 1::2]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Codes to unit float rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DIM // 2)
+    out = np.empty((len(raw), DIM), np.float32)
+    out[:, 0::2], out[:, 1::2] = raw >> 4, raw & 15
+    out -= 8
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def codes(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, code): usable vectors as DIM signed bytes."""
+    """(key, code, digest): usable vectors at half a byte a dimension; equal vectors
+    of keys that are both even or both odd share a digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = np.asarray(b.column("v").flatten(), np.float64).reshape(-1, DIM)
-                q = np.rint(v / np.abs(v).max(axis=1, keepdims=True) * 127).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([b.column("key"), _pack(q)], names=["key", "code"])
+                v = np.asarray(b.column("v").flatten(), np.float64).reshape(-1, DIM) + 0.0
+                v /= np.abs(v).max(axis=1, keepdims=True)  # so that no square overflows
+                odd = b.column("key").to_numpy() & 1
+                digest = [xxhash.xxh3_128_digest(row.tobytes(), seed=int(o)) for row, o in zip(v.astype(np.float32), odd)]
+                yield pa.RecordBatch.from_arrays([b.column("key"), _binary(_nibbles(v)), pa.array(digest, pa.binary())], names=["key", "code", "digest"])
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).where(usable(F.col("v")))
-    return rows.mapInArrow(run, "key long, code binary")
+    return rows.mapInArrow(run, "key long, code binary, digest binary")
+
+
+def copies_of(coded: DataFrame) -> DataFrame:
+    """(key, first): rows whose vector another row of a smaller key has as well."""
+    often = coded.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    return coded.select("key", "digest").join(often, "digest").where("key <> first").select("key", "first")
+
+
+# ---- first lists -------------------------------------------------------------------
+
+
+def planes(tables: int, bits: int, seed: int = 17) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(tables, DIM, max(bits, 1))).astype(np.float32)
 
 
 def _cells(bits: int, tables: int):
-    """Rows per table: the vector in its own cell, and asking in the cell behind its nearest plane."""
+    """Every vector once a table in the cell of its signs, its home, and once in the
+    cell behind its nearest plane, where it only asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = planes(tables, bits)
@@ -75,65 +119,17 @@ def _cells(bits: int, tables: int):
             if not b.num_rows:
                 continue
             x, key = _matrix(b.column("code")), b.column("key").to_numpy()
-            field = key & 1
             for t in range(tables):
                 d = x @ p[t]
-                power = 1 << np.arange(d.shape[1])
-                cell = ((d > 0) * power).sum(axis=1) if bits else np.zeros(len(x), np.int64)
-                place = ((t << 40) | (cell.astype(np.int64) << 1)) | field
-                yield pa.RecordBatch.from_arrays([pa.array(place), b.column("key"), b.column("code"), pa.array(np.ones(len(x), bool))], names=["cell", "key", "code", "home"])
-                if bits:
-                    flip = np.abs(d).argmin(axis=1)
-                    other = cell ^ (1 << flip)
-                    place = ((t << 40) | (other.astype(np.int64) << 1)) | field
-                    yield pa.RecordBatch.from_arrays([pa.array(place), b.column("key"), b.column("code"), pa.array(np.zeros(len(x), bool))], names=["cell", "key", "code", "home"])
+                cell = ((d > 0) * (1 << np.arange(d.shape[1]))).sum(axis=1) if bits else np.zeros(len(x), np.int64)
+                near = cell ^ (1 << np.abs(d).argmin(axis=1))
+                for home in (True, False)[: 2 if bits else 1]:
+                    place = (t << 40) | ((cell if home else near).astype(np.int64) << 1) | (key & 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(place), b.column("key"), b.column("code"), pa.array(np.full(len(x), home))], names=["cell", "key", "code", "home"])
 
     return run
 
 
-def _top(sims: np.ndarray, few: int, near: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the ``few`` largest entries of each row and those at or
-    above ``near``, of which the ``most`` largest, ties by column, can be in a list."""
-    few = min(few, sims.shape[1])
-    best = np.argpartition(sims, sims.shape[1] - few, axis=1)[:, -few:]
-    r = np.repeat(np.arange(len(sims)), few)
-    c = best.ravel()
-    keep = sims[r, c] > -1.5
-    r, c = r[keep], c[keep]
-    close = sims >= near
-    many = np.flatnonzero(close.sum(axis=1) > most)
-    if len(many):
-        part = sims[many]
-        bar = np.partition(part, part.shape[1] - most, axis=1)[:, part.shape[1] - most, None]
-        above, level = part > bar, part == bar
-        close[many] = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= most - above.sum(axis=1, keepdims=True)))
-    rn, cn = np.nonzero(close)
-    pairs = np.unique(np.concatenate([r * sims.shape[1] + c, rn * sims.shape[1] + cn]))
-    return pairs // sims.shape[1], pairs % sims.shape[1]
-
-
-def _best(key: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k most similar distinct others of each key."""
-    order = np.lexsort((other, key))
-    key, other, sim = key[order], other[order], sim[order]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
-    key, other, sim = key[first], other[first], sim[first]
-    order = np.lexsort((other, -sim, key))
-    key, other, sim = key[order], other[order], sim[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    rank = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
-    keep = rank < k
-    return key[keep], other[keep], sim[keep]
-
-
-def _edges(key: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(other.astype(np.int64)), pa.array(sim.astype(np.float32))], names=["key", "other", "sim"])
-
-
-_EDGE = "key long, other long, sim float"
-
-
 def _sizes(bits: int, tables: int):
     """(cell, n) of the entries of a batch."""
     cells = _cells(bits, tables)
@@ -146,16 +142,16 @@ def _sizes(bits: int, tables: int):
     return run
 
 
-def _in_blocks(placed: DataFrame, coded: DataFrame, bits: int, tables: int) -> DataFrame:
-    """Adds side, one and two: a row of a cell of several blocks is sent to the pairs
-    of its block (``side``) with every block of the cell, itself included."""
-    sizes = coded.mapInArrow(_sizes(bits, tables), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def _in_blocks(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds side, one and two to rows with cell and key: a row of a cell of several
+    blocks goes to the pairs of its block (``side``) with every block of the cell,
+    its own included. ``sizes`` has cell and n."""
     large = stored(sizes.where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     if large.isEmpty():
         return placed.select("*", *[F.lit(0).alias(c) for c in ("side", "one", "two")])
     cut = placed.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("side", F.expr("cast(pmod(xxhash64(key), blocks) as int)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return cut.select("cell", "key", "code", "home", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
+    return cut.select(*placed.columns, "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -178,86 +174,221 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _within(few: int, most: int):
+
+def _best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest entries of each row, without those below -1."""
+    few = min(k, sims.shape[1])
+    best = np.argpartition(sims, sims.shape[1] - few, axis=1)[:, -few:]
+    r, c = np.repeat(np.arange(len(sims)), few), best.ravel()
+    keep = sims[r, c] > -1.5
+    return r[keep], c[keep]
+
+
+def _within(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A pair of blocks is compared across, a block with itself in full."""
         for table in _groups(batches, ["cell", "one", "two"]):
-            key, home, side = (table.column(c).to_numpy() for c in ("key", "home", "side"))
+            key, side, home = (table.column(c).to_numpy() for c in ("key", "side", "home"))
             one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-            x = _matrix(table.column("code").combine_chunks())
+            x = _matrix(table.column("code"))
             for asks, given in {(one, two), (two, one)}:
                 base, rows = np.flatnonzero(home & (side == given)), np.flatnonzero(side == asks)
-                if not len(base):
-                    continue
-                for s in range(0, len(rows), 1000):
+                for s in range(0, len(rows) if len(base) else 0, 1000):
                     ask = rows[s : s + 1000]
                     sims = x[ask] @ x[base].T
                     sims[key[ask, None] == key[base][None, :]] = -2
-                    r, c = _top(sims, few, NEAR, most)
-                    yield _edges(key[ask[r]], key[base[c]], sims[r, c])
+                    r, c = _best_columns(sims, k)
+                    yield from _found(key[ask[r]], key[base[c]], sims[r, c])
 
     return run
 
 
-def _merge(k: int):
+# ---- lists --------------------------------------------------------------------------
+
+_ROW = "key long, code binary, others array<long>, sims array<float>, fresh array<boolean>, picks array<long>, old_picks array<long>, bar float, changed float"
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def _rows(key: np.ndarray, code: pa.Array, offsets: np.ndarray, others: np.ndarray, sims: np.ndarray, fresh: np.ndarray, more: list[pa.Array] | None = None) -> pa.RecordBatch:
+    none = [pa.nulls(len(key), pa.list_(pa.int64())), pa.nulls(len(key), pa.list_(pa.int64())), pa.nulls(len(key), pa.float32()), pa.nulls(len(key), pa.float32())]
+    columns = [pa.array(key.astype(np.int64)), code, _lists(offsets, others, pa.int64()), _lists(offsets, sims, pa.float32()), _lists(offsets, fresh, pa.bool_()), *(more or none)]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "code", "others", "sims", "fresh", "picks", "old_picks", "bar", "changed"])
+
+
+def _best(key: np.ndarray, other: np.ndarray, sim: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k most similar distinct others of each key, by key and falling
+    similarity; of an entry that comes twice the known one."""
+    order = np.lexsort((-sim, ~known, other, key))
+    first = np.ones(len(order), bool)
+    first[1:] = (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1])
+    order = order[first]
+    order = order[np.lexsort((other[order], -sim[order], key[order]))]
+    sorted_key = key[order]
+    start = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1])) if len(order) else np.empty(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[rank < k]
+
+
+def _found(key: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int = K) -> Iterator[pa.RecordBatch]:
+    """Found neighbours as rows without a code, one a key."""
+    if len(key):
+        at = _best(key, other, sim, np.zeros(len(key), bool), k)
+        key, other, sim = key[at], other[at], sim[at]
+        keys, starts = np.unique(key, return_index=True)
+        yield _rows(keys, pa.nulls(len(keys), pa.binary()), np.append(starts, len(key)), other, sim, np.ones(len(key), bool))
+
+
+def _flat(t: pa.Table, column: str) -> np.ndarray:
+    return t.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _merge(k: int, number: int):
+    """Found neighbours into the lists, and the picks of the next round."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = [b for b in batches if b.num_rows]
-        if given:
-            t = pa.Table.from_batches(given)
-            yield _edges(*_best(*(t.column(c).to_numpy() for c in ("key", "other", "sim")), k))
+        given = [b.select(["key", "code", "others", "sims", "fresh"]) for b in batches if b.num_rows]
+        if not given:
+            return
+        t = pa.Table.from_batches(given)
+        own = np.flatnonzero(t.column("code").is_valid().to_numpy())
+        row_key = t.column("key").to_numpy()
+        own = own[np.argsort(row_key[own])]
+        keys = row_key[own]
+        sizes = t.column("others").combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        is_own = np.zeros(len(row_key), bool)
+        is_own[own] = True
+        key, known = np.repeat(row_key, sizes), np.repeat(is_own, sizes)
+        other, sim, fresh = _flat(t, "others"), _flat(t, "sims").astype(np.float32), _flat(t, "fresh").astype(bool)
+        known &= sim > -1  # the random row a list starts from is not compared yet
+        at = _best(key, other, sim, known, k)
+        key, other, sim, known, fresh = key[at], other[at], sim[at], known[at], fresh[at] | ~known[at]
+        place = np.searchsorted(keys, key)
+        changed = np.full(len(keys), -3.0, np.float32)  # similarity of the nearest row that is new in the list
+        np.maximum.at(changed, place[~known], sim[~known])
+        count = np.bincount(place, minlength=len(keys))
+        offsets = np.concatenate([[0], np.cumsum(count)])
+        bar = np.full(len(keys), -2.0, np.float32)
+        full = count == k
+        bar[full] = sim[offsets[1:][full] - 1]
+        with np.errstate(over="ignore"):
+            dice = mix64(mix64(key.astype(np.uint64)) + other.astype(np.uint64) + mix64(np.array([number], np.uint64)))
+
+        def picked(among: np.ndarray, few: int) -> np.ndarray:
+            """At most ``few`` random entries of each list."""
+            some = np.flatnonzero(among)
+            some = some[np.lexsort((dice[some], place[some]))]
+            n = np.bincount(place[some], minlength=len(keys))
+            rank = np.arange(len(some)) - np.repeat(np.cumsum(n) - n, n)
+            return np.sort(some[rank < few])
+
+        new, old = picked(fresh, PICKS), picked(~fresh, OLD_PICKS)
+        fresh[new] = False
+        ends = lambda some: np.concatenate([[0], np.cumsum(np.bincount(place[some], minlength=len(keys)))])
+        more = [_lists(ends(new), other[new], pa.int64()), _lists(ends(old), other[old], pa.int64()), pa.array(bar), pa.array(changed)]
+        code = t.column("code").combine_chunks().take(pa.array(own))
+        whole = _rows(keys, code, offsets, other, sim, fresh, more)
+        for start in range(0, len(keys), 50_000):
+            yield whole.slice(start, 50_000)
 
     return run
 
 
 def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At each vector: its neighbours compared with one another."""
+    """At each row: those that meet there compared with one another."""
     given = [b for b in batches if b.num_rows]
     if not given:
         return
     t = pa.Table.from_batches(given)
-    at, key, bar = (t.column(c).to_numpy() for c in ("at", "key", "bar"))
-    x = _matrix(t.column("code").combine_chunks())
-    order = np.lexsort((key, at))
-    at, key, bar, x = at[order], key[order], bar[order], x[order]
-    n = len(at)
-    out = []
-    for shift in range(1, 2 * FEW + 4):
-        if shift >= n:
-            break
-        same = np.flatnonzero((at[shift:] == at[:-shift]) & (key[shift:] != key[:-shift]))
-        if not len(same):
-            break
-        sims = np.einsum("ij,ij->i", x[same], x[same + shift])
-        for u, v in ((same, same + shift), (same + shift, same)):
-            better = sims > bar[u]
-            out.append((key[u[better]], key[v[better]], sims[better]))
+    at, part, key, bar = (t.column(c).to_numpy() for c in ("at", "part", "key", "bar"))
+    fresh = t.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
+    order = np.lexsort((key, part, at))
+    at, part, key, bar, fresh = at[order], part[order], key[order], bar[order], fresh[order]
+    x = _matrix(t.column("code"))[order]
+    start = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (part[1:] != part[:-1])))
+    size = np.diff(np.append(start, len(at)))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for n in np.unique(size[size > 1]):
+        many = start[size == n]
+        step = max(1, 40_000 // int(n))
+        for s in range(0, len(many), step):
+            rows = many[s : s + step, None] + np.arange(n)
+            y = x[rows]
+            sims = y @ y.transpose(0, 2, 1)
+            k, f = key[rows], fresh[rows]
+            ok = (k[:, :, None] != k[:, None, :]) & (f[:, :, None] | f[:, None, :]) & (sims > bar[rows][:, :, None])
+            g, i, j = np.nonzero(ok)
+            out.append((k[g, i], k[g, j], sims[g, i, j]))
     if out:
-        yield _edges(*_best(*(np.concatenate(x) for x in zip(*out)), K))
+        yield from _found(*(np.concatenate(c) for c in zip(*out)))
+
 
+def _meetings(graph: DataFrame, number: int, partitions: int) -> DataFrame:
+    """(at, part, key, fresh, code, bar): the rows that meet at each row."""
+    link = F.concat(F.transform("picks", lambda o: F.struct(o.alias("o"), F.lit(True).alias("fresh"))), F.transform("old_picks", lambda o: F.struct(o.alias("o"), F.lit(False).alias("fresh"))))
+    links = graph.select("key", F.explode(link).alias("l")).select("key", "l.o", "l.fresh")
+    ways = links.select(F.explode(F.array(F.struct(F.col("key").alias("at"), F.col("o").alias("key")), F.struct(F.col("o").alias("at"), "key"))).alias("w"), "fresh").select("w.at", "w.key", "fresh")
+    # a hub is a row linked by very many others; few rows are
+    hubs = links.groupBy(F.col("o").alias("at")).agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("at", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
+    ways = ways.join(hubs, "at", "left").select("at", F.coalesce(F.expr(f"cast(pmod(xxhash64(key, {number}), parts) as int)"), F.lit(0)).alias("part"), "key", "fresh")
+    held = graph.select("key", "code", "bar")
+    return ways.join(held.hint("shuffle_hash"), "key").repartition(partitions, "at", "part")
 
-def neighbour_graph(coded: DataFrame, k: int = K, rounds: int = 1, tables: int = TABLES, cell: int = CELL) -> DataFrame:
-    """(key, other, sim): up to k neighbours of each key of (key, code)."""
+
+def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: int = CELL, rounds: int | None = None, near: float = -2.0, log: list | None = None) -> DataFrame:
+    """(key, code, others, sims): up to k neighbours of each row of (key, code).
+
+    Rows of even and of odd keys are kept apart. ``rounds`` bounds the number of
+    rounds (0: first lists only); by default they go on until the lists settle:
+    until fewer than ``SETTLED`` of them get a row of at least the similarity ``near``.
+    Every round adds (round, lists with such a row, lists that changed, lists) to ``log``.
+    """
     spark = coded.sparkSession
+    coded = coded.select("key", "code")
     total = coded.count()
     bits = max(0, round(math.log2(max(1, total / cell))))
-    if not bits:
-        tables = 1  # one cell: its lists are complete
-    n = shuffle_width(spark, 4)
-    schema = "cell long, key long, code binary, home boolean"
-    placed = _in_blocks(coded.mapInArrow(_cells(bits, tables), schema), coded, bits, tables)
-    placed = placed.repartition(n, "cell", "one", "two").sortWithinPartitions("cell", "one", "two", "key")
-    first = placed.mapInArrow(_within(FEW if bits else k, k), _EDGE)
-    graph = stored(first.repartition(n, "key").mapInArrow(_merge(k), _EDGE))
-    for _ in range(rounds):
-        bar = graph.groupBy("key").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-1.0)).cast("float").alias("bar"))
-        close = graph.withColumn("n", F.expr("row_number() over (partition by key order by sim desc, other)")).where(f"n <= {FEW}")
-        both = close.select(F.col("key").alias("at"), F.col("other").alias("key")).unionByName(close.select(F.col("other").alias("at"), F.col("key").alias("key"))).distinct()
-        held = coded.join(bar, "key", "left").select("key", "code", F.coalesce("bar", F.lit(-1.0)).cast("float").alias("bar"))
-        found = both.join(held, "key").repartition(n, "at").mapInArrow(_local_joins, _EDGE)
-        graph = stored(graph.unionByName(found).repartition(n, "key").mapInArrow(_merge(k), _EDGE))
+    n = partitions_for(spark, total, 100_000)
+    tables = tables if bits else 1  # one cell: its lists are complete
+    placed = coded.mapInArrow(_cells(bits, tables), "cell long, key long, code binary, home boolean")
+    sizes = coded.mapInArrow(_sizes(bits, tables), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    placed = _in_blocks(placed, sizes).repartition(n, "cell", "one", "two").sortWithinPartitions("cell", "one", "two", "key")
+    lists = placed.mapInArrow(_within(k), _ROW)
+    starts: dict[int, list[int]] = {0: [], 1: []}
+    for side in starts:  # a bounded number of keys
+        starts[side] = [r["key"] for r in coded.where(F.col("key") % 2 == side).orderBy(F.xxhash64("key"), "key").limit(STARTS).select("key").collect()]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The row itself; its list begins with a random row, to be replaced by any other."""
+        for b in batches:
+            if b.num_rows:
+                key = b.column("key").to_numpy()
+                other = np.array([starts[s][d % len(starts[s])] for s, d in zip((key & 1).tolist(), (mix64(key.astype(np.uint64)) >> np.uint64(8)).tolist())], np.int64)
+                some = other != key
+                yield _rows(key, b.column("code"), np.concatenate([[0], np.cumsum(some)]), other[some], np.full(int(some.sum()), -1.0), np.ones(int(some.sum()), bool))
+
+    graph = stored(coded.mapInArrow(begin, _ROW).unionByName(lists).repartition(n, "key").mapInArrow(_merge(k, 0), _ROW))
+    number = 0
+    while bits and (rounds is None or number < rounds):
+        number += 1
+        met = partitions_for(spark, total * 2 * (PICKS + OLD_PICKS), 600_000)
+        found = stored(_meetings(graph, number, met).mapInArrow(_local_joins, _ROW))
+        release(spark)
+        before, graph = graph, stored(graph.unionByName(found).repartition(n, "key").mapInArrow(_merge(k, number), _ROW))
+        gained, changed = graph.agg(F.count_if(F.col("changed") >= near), F.count_if(F.col("changed") > -3)).first()
+        release(spark, before, found)
+        _log.info("round %d: of %d lists %d changed, %d by a row as near as %s", number, total, changed, gained, near)
+        if log is not None:
+            log.append((number, gained, changed, total))
+        if gained < SETTLED * total:
+            break
     return graph
 
 
+# ---- pairs ---------------------------------------------------------------------------
+
+
 def _cosine() -> Column:
     """Of the double arrays x and y."""
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
@@ -265,27 +396,107 @@ def _cosine() -> Column:
     return dot / (norm("x") * norm("y"))
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, kind: str | None = None, threshold: float = 0.9, rounds: int = 1) -> DataFrame:
-    """(kind, low, high, cosine) of the pairs of the neighbour graph whose exact
-    cosine similarity is at least ``threshold``.
+def _exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, cosine) of pairs of keys of (key, v)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    held = vectors.join(wanted, "key", "left_semi")
+    both = pairs.join(held.select(F.col("key").alias("a"), F.col("v").alias("p")), "a").join(held.select(F.col("key").alias("b"), F.col("v").alias("q")), "b")
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    return both.select("a", "b", double("p").alias("x"), double("q").alias("y")).select("a", "b", _cosine().alias("cosine"))
+
+
+def _metric_join(rows: DataFrame, threshold: float, most_pivots: int = 4096, rows_a_pivot: int = 2000) -> DataFrame:
+    """(a, b) of all pairs of rows (key, v) whose cosine is at least ``threshold`` or
+    nearly so, exactly: every row belongs to the cell of its nearest pivot and visits
+    each cell whose rows may, by the triangle inequality of angles, lie near enough.
+    A pair is compared in the smaller of its two cells, a large cell by pairs of blocks.
+    """
+    spark = rows.sparkSession
+    total = rows.count()
+    few = rows.orderBy(F.xxhash64("key"), "key").limit(min(most_pivots, math.ceil(total / rows_a_pivot))).collect()
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    pivots = spark.sparkContext.broadcast(unit(np.array([r["v"] for r in few], np.float64)))  # of bounded size
+    reach = math.acos(min(1.0, threshold)) + 1e-6
+
+    def angles(b: pa.RecordBatch) -> np.ndarray:
+        x = unit(np.asarray(b.column("v").flatten(), np.float64).reshape(-1, DIM))
+        return np.arccos(np.clip(x @ pivots.value.T, -1, 1))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                a = angles(b)
+                yield pa.RecordBatch.from_arrays([pa.array(a.argmin(axis=1)), pa.array(a.min(axis=1))], names=["cell", "radius"])
+
+    radius = np.zeros(len(few))
+    for r in rows.mapInArrow(homes, "cell long, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect():  # one row a pivot
+        radius[r["cell"]] = r["radius"]
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                b = whole.slice(start, 2000)
+                a = angles(b)
+                home = a.argmin(axis=1)
+                r, c = np.nonzero((a <= radius + reach) & (np.arange(len(radius)) <= home[:, None]))
+                own = home[r] == c
+                yield pa.RecordBatch.from_arrays([pa.array(c * 2 + (b.column("key").to_numpy()[r] & 1)), b.column("key").take(pa.array(r)), b.column("v").take(pa.array(r)), pa.array(own)], names=["cell", "key", "v", "own"])
+
+    placed = rows.mapInArrow(visits, "cell long, key long, v array<float>, own boolean")
+    n = partitions_for(spark, total, 20_000)
+    placed = _in_blocks(placed, placed.groupBy("cell").agg(F.count("*").alias("n"))).repartition(n, "cell", "one", "two").sortWithinPartitions("cell", "one", "two", "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["cell", "one", "two"]):
+            key, side = t.column("key").to_numpy(), t.column("side").to_numpy()
+            own = t.column("own").to_numpy(zero_copy_only=False).astype(bool)
+            one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
+            x = unit(np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(-1, DIM))
+            left, right = np.flatnonzero(side == one), np.flatnonzero(side == two)
+            for s in range(0, len(left) if len(right) else 0, 1000):
+                ask = left[s : s + 1000]
+                close = (x[ask] @ x[right].T >= threshold - 1e-6) & (own[ask][:, None] | own[right][None, :])
+                if one == two:
+                    close &= key[ask][:, None] < key[right][None, :]
+                r, c = np.nonzero(close)
+                u, v = key[ask[r]], key[right[c]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    return placed.mapInArrow(compare, "a long, b long").distinct()
+
+
+def similar_pairs(df: DataFrame, key: str, vector: str, kind: str | None = None, threshold: float = 0.9, rounds: int | None = None, log: list | None = None) -> DataFrame:
+    """(kind, low, high, cosine) of the pairs whose exact cosine similarity is at
+    least ``threshold``: those of the neighbour graph, those between rows whose whole
+    list is that similar (all of them, by a metric join), and those of equal vectors.
 
     ``kind`` (0 or 1) keeps two collections apart. Rows whose vector is null, of
     another length, all zero or not finite take no part. Equal vectors of
     different keys are neighbours like others. Keys are integers; extra columns
     are not read; an empty table gives no pair.
     """
+    spark = df.sparkSession
     both = df.select((F.col(key).cast("long") * 2 + (F.col(kind).cast("long") if kind else F.lit(0))).alias("key"), F.col(vector).alias("v"))
     coded = stored(codes(both, "key", "v"))
-    graph = neighbour_graph(coded, rounds=rounds)
-    pairs = graph.where(F.col("sim") >= threshold - 0.03).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-    pairs = stored(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    exact = both.join(wanted, "key", "left_semi").select("key", F.transform("v", lambda x: x.cast("double")).alias("v"))
-    scored = (
-        pairs.join(exact.select(F.col("key").alias("a"), F.col("v").alias("x")), "a").join(exact.select(F.col("key").alias("b"), F.col("v").alias("y")), "b")
-        .select("a", "b", _cosine().alias("cosine"))
-    )
-    return scored.where(F.col("cosine") >= threshold).select((F.col("a") % 2).alias("kind"), F.expr("a div 2").alias("low"), F.expr("b div 2").alias("high"), "cosine")
+    copies = stored(copies_of(coded))
+    alone = coded.join(copies.select("key"), "key", "left_anti")
+    graph = neighbour_graph(alone, rounds=rounds, near=threshold - SLACK, log=log)
+    near = F.filter(F.arrays_zip("others", "sims"), lambda x: x["sims"] >= threshold - SLACK)
+    links = graph.select("key", F.explode(near).alias("n")).select(F.least("key", "n.others").alias("a"), F.greatest("key", "n.others").alias("b"))
+    crowded = graph.where(F.col("bar") >= threshold - SLACK).select("key")
+    if not crowded.isEmpty():
+        links = links.unionByName(_metric_join(stored(both.join(crowded, "key", "left_semi").select("key", F.transform("v", lambda x: x.cast("float")).alias("v"))), threshold))
+    links = stored(links.distinct())
+    release(spark)
+    found = _exact(links, both).where(F.col("cosine") >= threshold)
+    if not copies.isEmpty():
+        found = stored(found)
+        again = copies.unionByName(copies.select(F.col("first").alias("key"), "first").distinct())
+        to_a, to_b = again.select(F.col("key").alias("x"), F.col("first").alias("a")), again.select(F.col("key").alias("y"), F.col("first").alias("b"))
+        across = found.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "cosine")
+        within = again.select(F.col("key").alias("x"), "first").join(again.select(F.col("key").alias("y"), "first"), "first").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
+        found = across.unionByName(within.where(F.lit(threshold <= 1))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+    return found.select((F.col("a") % 2).alias("kind"), F.expr("a div 2").alias("low"), F.expr("b div 2").alias("high"), "cosine")
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int = 10, every: int = 20, rows_a_block: int = 65_536, queries_a_block: int = 4_096) -> DataFrame:
@@ -333,48 +544,72 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, every: int = 20,
     return ranked.where(F.col("rank") <= k)
 
 
+# ---- graph search --------------------------------------------------------------------
+
+
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             sims = np.einsum("ij,ij->i", _matrix(b.column("q_code")), _matrix(b.column("code")))
-            yield _edges(b.column("key").to_numpy(), b.column("other").to_numpy(), sims)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("other"), pa.array(sims.astype(np.float32))], names=["key", "other", "sim"])
 
 
-def graph_search(coded: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = 64, hops: int = 6) -> DataFrame:
+def graph_search(graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = 64, hops: int = 8, entries: int = 32) -> DataFrame:
     """(key, other, sim): greedy search of the graph for the queries (key, code).
 
-    Every query starts at its own neighbours, or, if the graph does not hold it, at
-    those of a few entry rows; in each hop the neighbours of its best rows that were
-    not looked at yet are compared with it and the best ``beam`` are kept. Both
-    directions of the graph's edges are followed. The work of a hop is queries x
-    beam x neighbours, whatever the number of rows.
+    A query the graph holds starts at its own list, any other at ``entries`` random
+    rows. In each hop the neighbours of those of its best ``beam`` rows that were
+    not followed yet are compared with it. Edges are followed in both directions; of
+    the edges into a hub as many as a list has are kept. The work of a hop is
+    queries x beam x neighbours, whatever the number of rows, and the search ends
+    when no query has anything left to follow.
     """
-    n = shuffle_width(coded.sparkSession, 4)
-    ways = stored(graph.select("key", "other").unionByName(graph.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct().withColumn("n", F.expr("row_number() over (partition by key order by xxhash64(other))")).where(f"n <= {2 * K}").drop("n"))
-    entries = coded.orderBy(F.xxhash64("key")).limit(8).select(F.col("key").alias("other"))
-    start = graph.join(queries.select("key"), "key", "left_semi").select("key", "other", "sim")
-    lost = queries.select("key").join(start.select("key").distinct(), "key", "left_anti").crossJoin(F.broadcast(entries)).where("key <> other").withColumn("sim", F.lit(-1.0).cast("float"))
-    state = stored(start.unionByName(lost).withColumn("seen", F.lit(False)))
+    spark = graph.sparkSession
+    out = graph.select("key", F.explode("others").alias("other"))
+    back = out.select(F.col("other").alias("key"), F.col("key").alias("other")).withColumn("n", F.expr("row_number() over (partition by key order by xxhash64(other))")).where(F.col("n") <= K).drop("n")
+    ways = stored(out.unionByName(back).distinct())
+    held = graph.select(F.col("key").alias("other"), "code")
+    asked = queries.select("key", F.col("code").alias("q_code"))
+    total = asked.count()
+    n = partitions_for(spark, total * beam, 500_000)
+    own = graph.join(asked.select("key"), "key", "left_semi").select("key", F.explode("others").alias("other"))
+    lost = asked.select("key").join(graph.select("key"), "key", "left_anti")
+    few = [(r["key"] % 2, r["key"]) for side in (0, 1) for r in graph.where(F.col("key") % 2 == side).orderBy(F.xxhash64("key"), "key").limit(entries).select("key").collect()]
+    doors = spark.createDataFrame(few, "side long, other long")
+    begin = own.unionByName(lost.withColumn("side", F.pmod("key", F.lit(2))).join(F.broadcast(doors), "side").select("key", "other"))  # entries x queries
+    score = lambda pairs: pairs.join(held, "other").join(asked, "key").mapInArrow(_score, "key long, other long, sim float")
+    rank = F.expr("row_number() over (partition by key order by sim desc, other)")
+    state = stored(score(begin.where("key <> other")).withColumn("seen", F.lit(False)).repartition(n, "key").withColumn("rank", rank).where(F.col("rank") <= beam).drop("rank"))
     for _ in range(hops):
         steps = state.where("not seen").select("key", F.col("other").alias("via"))
-        candidates = steps.join(ways.select(F.col("key").alias("via"), "other"), "via").where("key <> other").select("key", "other").distinct()
-        candidates = candidates.join(state.select("key", "other"), ["key", "other"], "left_anti")
-        scored = candidates.join(coded.select(F.col("key").alias("other"), "code"), "other").join(queries.select("key", F.col("code").alias("q_code")), "key").mapInArrow(_score, _EDGE)
-        merged = state.select("key", "other", "sim", F.lit(True).alias("seen")).unionByName(scored.withColumn("seen", F.lit(False)))
-        state = stored(merged.repartition(n, "key").withColumn("rank", F.expr("row_number() over (partition by key order by sim desc, other)")).where(F.col("rank") <= beam).drop("rank"))
-    return state.withColumn("rank", F.expr("row_number() over (partition by key order by sim desc, other)")).where(F.col("rank") <= k).select("key", "other", "sim")
+        if steps.isEmpty():
+            break
+        reached = steps.join(ways.select(F.col("key").alias("via"), "other"), "via").where("key <> other").select("key", "other").distinct()
+        reached = reached.join(state.select("key", "other"), ["key", "other"], "left_anti")
+        merged = state.select("key", "other", "sim", F.lit(True).alias("seen")).unionByName(score(reached).withColumn("seen", F.lit(False)))
+        before, state = state, stored(merged.repartition(n, "key").withColumn("rank", rank).where(F.col("rank") <= beam).drop("rank"))
+        release(spark, before)
+    return state.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "other", "sim")
 
 
-def search(df: DataFrame, key: str, vector: str, k: int = 10, every: int = 20, rounds: int = 1, beam: int = 64, hops: int = 6) -> DataFrame:
+def search(df: DataFrame, key: str, vector: str, k: int = 10, every: int = 20, rounds: int | None = None, beam: int = 64, hops: int = 8) -> DataFrame:
     """(query_id, id, cosine, rank): ``graph_search`` for the rows whose key is divisible
-    by ``every``; twice ``k`` rows are found by their codes and ranked exactly."""
+    by ``every``; four times ``k`` rows are found by their codes and ranked exactly.
+
+    Equal vectors are one row of the graph; every one of them is a query and a
+    result. Rows whose vector is not usable take no part, an empty table gives no row.
+    """
     both = df.select((F.col(key).cast("long") * 2).alias("key"), F.col(vector).alias("v"))
     coded = stored(codes(both, "key", "v"))
-    graph = neighbour_graph(coded, rounds=rounds)
-    found = graph_search(coded, graph, coded.where(F.expr(f"(key div 2) % {every} = 0")), 2 * k, beam, hops)
-    exact = both.where(usable(F.col("v"))).select("key", F.transform("v", lambda x: x.cast("double")).alias("v"))
-    scored = (
-        found.select("key", "other").join(exact.withColumnRenamed("v", "x"), "key").join(exact.select(F.col("key").alias("other"), F.col("v").alias("y")), "other")
-        .select(F.expr("key div 2").alias("query_id"), F.expr("other div 2").alias("id"), F.round(_cosine(), 6).alias("cosine"))
-    )
+    copies = stored(copies_of(coded))
+    graph = neighbour_graph(coded.join(copies.select("key"), "key", "left_anti"), rounds=rounds)
+    again = copies.unionByName(copies.select(F.col("first").alias("key"), "first").distinct())
+    asked = coded.where(F.expr(f"(key div 2) % {every} = 0")).select("key", "code")
+    found = stored(graph_search(graph, asked.join(copies.select("key"), "key", "left_anti").unionByName(asked.join(copies.select("key"), "key", "left_semi")), max(4 * k, k), beam, hops).select("key", "other"))
+    # the few smallest keys of equal vectors can be in a list of k
+    few = again.withColumn("n", F.expr("row_number() over (partition by first order by key)")).where(F.col("n") <= k + 1).drop("n")
+    spread = found.join(few.select(F.col("first").alias("other"), F.col("key").alias("copy")), "other", "left").select("key", F.coalesce("copy", "other").alias("other"))
+    twins = asked.select("key").join(again, "key").join(few.select("first", F.col("key").alias("other")), "first").select("key", "other")
+    pairs = spread.unionByName(twins).where("key <> other").distinct().select(F.col("key").alias("a"), F.col("other").alias("b"))
+    scored = _exact(pairs, both).select(F.expr("a div 2").alias("query_id"), F.expr("b div 2").alias("id"), F.round("cosine", 6).alias("cosine"))
     return scored.withColumn("rank", F.expr("row_number() over (partition by query_id order by cosine desc, id)")).where(F.col("rank") <= k)

@@ -119,15 +119,12 @@ def test_blocks_of_a_large_cell_meet(spark, monkeypatch, cell):
     coded = neighbours.codes(d, "id", "v")
 
     def lists():
-        out = {}
-        for r in neighbours.neighbour_graph(coded, rounds=0, cell=cell).collect():
-            out.setdefault(r["key"], []).append(r["sim"])
-        return {key: sorted(sims, reverse=True) for key, sims in out.items()}
+        return {r["key"]: r["sims"] for r in neighbours.neighbour_graph(coded, rounds=0, cell=cell).collect()}
 
     whole = lists()
     monkeypatch.setattr(neighbours, "BLOCK", 20)
     cut = lists()
-    # no list gets worse; more rows far away may be added, and equal ones change places
+    # no list gets worse
     assert set(cut) == set(whole) and all(len(cut[k]) >= len(whole[k]) and all(a >= b - 1e-4 for a, b in zip(cut[k], whole[k])) for k in whole)
 
 
@@ -197,6 +194,71 @@ def test_similar_vectors(spark):
     assert {r["query_id"] for r in top} == {i for i in names if i % 20 == 0}
 
 
+def _random_vectors(spark, rng, n):
+    v = rng.normal(size=(n, 12)) @ rng.normal(size=(12, 64)) + 0.3 * rng.normal(size=(n, 64))  # of few directions, as embeddings are
+    return v / np.linalg.norm(v, axis=1, keepdims=True), spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<float>")
+
+
+def test_no_pair_of_a_crowd_is_lost(spark):
+    rng = np.random.default_rng(10)
+    crowd = rng.normal(size=64) + 0.02 * rng.normal(size=(60, 64))
+    d = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(np.concatenate([crowd, rng.normal(size=(500, 64))]))], "id long, v array<float>")
+    got = [(r["low"], r["high"]) for r in neighbours.similar_pairs(d, "id", "v").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(60) for j in range(i + 1, 60)}  # 1,770 pairs
+
+
+def test_metric_join_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(20, 64))
+    v = np.repeat(base, 30, axis=0) + 0.3 * rng.normal(size=(600, 64))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = spark.createDataFrame([(2 * i, [float(y) for y in x]) for i, x in enumerate(v)], "key long, v array<float>")
+    monkeypatch.setattr(neighbours, "BLOCK", 25)
+    got = {(r["a"] // 2, r["b"] // 2) for r in neighbours._metric_join(d, 0.9, rows_a_pivot=40).collect()}
+    sure = {(int(i), int(j)) for i, j in np.argwhere(u @ u.T >= 0.9001) if i < j}
+    assert sure <= got and all(u[i] @ u[j] > 0.8999 for i, j in got) and len(sure) > 1000
+
+
+def test_copies_of_a_vector(spark):
+    rng = np.random.default_rng(14)
+    x, y = ([float(z) for z in rng.normal(size=64)] for _ in range(2))
+    near = [z + 0.01 for z in x]
+    d = spark.createDataFrame([(i, x) for i in range(40)] + [(40, near), (41, near), (42, y), (43, None)], "id long, v array<float>")
+    got = [(r["low"], r["high"]) for r in neighbours.similar_pairs(d, "id", "v").collect()]
+    assert sorted(got) == [(i, j) for i in range(42) for j in range(i + 1, 42)]
+    top = neighbours.search(d, "id", "v").collect()
+    assert len([r for r in top if r["query_id"] == 0]) == 10 and all(r["cosine"] == 1.0 for r in top if r["query_id"] in (0, 20)) and {r["query_id"] for r in top} == {0, 20, 40}
+    # a number of the other kind is another collection
+    two = d.where("id < 4").withColumn("kind", (F.col("id") > 1).cast("int"))
+    assert sorted((r["kind"], r["low"], r["high"]) for r in neighbours.similar_pairs(two, "id", "v", "kind").collect()) == [(0, 0, 1), (1, 2, 3)]
+
+
+def test_rounds_improve_the_lists_until_they_settle(spark):
+    u, d = _random_vectors(spark, np.random.default_rng(11), 3000)
+    coded, log = neighbours.codes(d.withColumn("id", F.col("id") * 2), "id", "v"), []
+    truth = np.argsort(-(u @ u.T), axis=1)[:, 1:11]
+
+    def recall(rounds, log=None):
+        lists = {r["key"] // 2: {o // 2 for o in r["others"]} for r in neighbours.neighbour_graph(coded, tables=1, cell=100, rounds=rounds, log=log).collect()}
+        assert len(lists) == 3000 and all(0 < len(x) <= neighbours.K for x in lists.values())
+        return np.mean([len(lists[i] & set(truth[i].tolist())) / 10 for i in range(3000)])
+
+    first, last = recall(0), recall(None, log)
+    assert last > first + 0.3 and last > 0.75 and log[-1][2] < 0.01 * 3000 and [x[0] for x in log] == list(range(1, len(log) + 1))
+
+
+def test_greedy_search_for_rows_outside_the_graph(spark):
+    u, d = _random_vectors(spark, np.random.default_rng(12), 3000)
+    coded = neighbours.codes(d.withColumn("id", F.col("id") * 2), "id", "v")
+    graph = neighbours.neighbour_graph(coded.where("key < 5900"), cell=300)
+    found = neighbours.graph_search(graph, coded.where("key >= 5900").select("key", "code"), 40).collect()
+    truth = np.argsort(-(u[2950:] @ u[:2950].T), axis=1)[:, :10]
+    got = {}
+    for r in found:
+        got.setdefault(r["key"] // 2, set()).add(r["other"] // 2)
+    assert np.mean([len(got[2950 + i] & set(t.tolist())) / 10 for i, t in enumerate(truth)]) >= 0.9
+
+
 # ---- tokens ---------------------------------------------------------------------------
 
 
