@@ -34,6 +34,7 @@ K = 16
 TABLES = 3
 CELL = 1500  # vectors a cell of the first lists holds on average
 BLOCK = 8_000  # rows of a cell compared at once; larger cells are compared by pairs of blocks
+FEW = 6  # of each row's neighbours in a cell that go into its first list
 STARTS = 64  # random rows that lists with few entries start from
 PICKS, OLD_PICKS = 4, 2  # entries of a list that meet in a round
 GROUP = 24  # rows compared with one another at a hub
@@ -175,15 +176,6 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
 
 
 
-def _best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k largest entries of each row, without those below -1."""
-    few = min(k, sims.shape[1])
-    best = np.argpartition(sims, sims.shape[1] - few, axis=1)[:, -few:]
-    r, c = np.repeat(np.arange(len(sims)), few), best.ravel()
-    keep = sims[r, c] > -1.5
-    return r[keep], c[keep]
-
-
 def _within(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A pair of blocks is compared across, a block with itself in full."""
@@ -197,59 +189,87 @@ def _within(k: int):
                     ask = rows[s : s + 1000]
                     sims = x[ask] @ x[base].T
                     sims[key[ask, None] == key[base][None, :]] = -2
-                    r, c = _best_columns(sims, k)
-                    yield from _found(key[ask[r]], key[base[c]], sims[r, c])
+                    few = min(k, len(base))
+                    c = np.argpartition(sims, len(base) - few, axis=1)[:, -few:]
+                    best = np.take_along_axis(sims, c, axis=1)
+                    keep = best > -1.5  # not the row itself
+                    yield _rows(key[ask], pa.nulls(len(ask), pa.binary()), np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), key[base][c[keep]], best[keep], np.ones(int(keep.sum()), bool))
 
     return run
 
 
 # ---- lists --------------------------------------------------------------------------
 
-_ROW = "key long, code binary, others array<long>, sims array<float>, fresh array<boolean>, picks array<long>, old_picks array<long>, bar float, changed float"
+#: A list is one binary value of entries: Arrow and Parquet pass it on as it is.
+_ENTRY = np.dtype([("other", "<i8"), ("sim", "<f4"), ("fresh", "u1")])
+_ROW = "key long, code binary, list binary, picks binary, bar float, changed float"
+
+
+def _blobs(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    ends = (offsets * values.dtype.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(length of each list, all entries)."""
+    blobs = [x or b"" for x in column.to_pylist()]
+    return np.array([len(x) for x in blobs], np.int64) // _ENTRY.itemsize, np.frombuffer(b"".join(blobs), _ENTRY)
 
 
-def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+def _rows(key: np.ndarray, code: pa.Array, offsets: np.ndarray, other: np.ndarray, sim: np.ndarray, fresh: np.ndarray, more: list[pa.Array] | None = None) -> pa.RecordBatch:
+    entries = np.empty(len(other), _ENTRY)
+    entries["other"], entries["sim"], entries["fresh"] = other, sim, fresh
+    none = [pa.nulls(len(key), pa.binary()), pa.nulls(len(key), pa.float32()), pa.nulls(len(key), pa.float32())]
+    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), code, _blobs(offsets, entries), *(more or none)], names=["key", "code", "list", "picks", "bar", "changed"])
 
 
-def _rows(key: np.ndarray, code: pa.Array, offsets: np.ndarray, others: np.ndarray, sims: np.ndarray, fresh: np.ndarray, more: list[pa.Array] | None = None) -> pa.RecordBatch:
-    none = [pa.nulls(len(key), pa.list_(pa.int64())), pa.nulls(len(key), pa.list_(pa.int64())), pa.nulls(len(key), pa.float32()), pa.nulls(len(key), pa.float32())]
-    columns = [pa.array(key.astype(np.int64)), code, _lists(offsets, others, pa.int64()), _lists(offsets, sims, pa.float32()), _lists(offsets, fresh, pa.bool_()), *(more or none)]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "code", "others", "sims", "fresh", "picks", "old_picks", "bar", "changed"])
+def edges(graph: DataFrame, least: float = -2.0) -> DataFrame:
+    """(key, other, sim): the entries of all lists that are at least ``least`` similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sizes, e = _entries(b.column("list"))
+                key, at = np.repeat(b.column("key").to_numpy(), sizes), e["sim"] >= least
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(e["other"][at]), pa.array(e["sim"][at])], names=["key", "other", "sim"])
+
+    return graph.select("key", "list").mapInArrow(run, "key long, other long, sim float")
 
 
-def _best(key: np.ndarray, other: np.ndarray, sim: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k most similar distinct others of each key, by key and falling
-    similarity; of an entry that comes twice the known one."""
-    order = np.lexsort((-sim, ~known, other, key))
+def _best(place: np.ndarray, other: np.ndarray, sim: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k most similar distinct others of each place (a small number),
+    by place and falling similarity; of an entry that comes twice the known one.
+
+    One sort of 63-bit numbers: place, similarity to 1e-4, hash of the other, known.
+    """
+    fall = np.clip(np.rint((1 - sim.astype(np.float64)) * 10_000), 0, 32_767).astype(np.int64)
+    mixed = (mix64(other.astype(np.uint64)) >> np.uint64(35)).astype(np.int64)
+    number = (((place << 15 | fall) << 29) | mixed) << 1 | ~known
+    order = np.argsort(number)
+    at, who = place[order], other[order]
     first = np.ones(len(order), bool)
-    first[1:] = (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1])
+    first[1:] = (at[1:] != at[:-1]) | (who[1:] != who[:-1])
     order = order[first]
-    order = order[np.lexsort((other[order], -sim[order], key[order]))]
-    sorted_key = key[order]
-    start = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1])) if len(order) else np.empty(0, np.int64)
-    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    at = place[order]
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+    rank = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
     return order[rank < k]
 
 
 def _found(key: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int = K) -> Iterator[pa.RecordBatch]:
     """Found neighbours as rows without a code, one a key."""
     if len(key):
-        at = _best(key, other, sim, np.zeros(len(key), bool), k)
-        key, other, sim = key[at], other[at], sim[at]
-        keys, starts = np.unique(key, return_index=True)
-        yield _rows(keys, pa.nulls(len(keys), pa.binary()), np.append(starts, len(key)), other, sim, np.ones(len(key), bool))
-
-
-def _flat(t: pa.Table, column: str) -> np.ndarray:
-    return t.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        keys, place = np.unique(key, return_inverse=True)
+        at = _best(place, other, sim, np.zeros(len(key), bool), k)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(place[at], minlength=len(keys)))])
+        yield _rows(keys, pa.nulls(len(keys), pa.binary()), ends, other[at], sim[at], np.ones(len(at), bool))
 
 
 def _merge(k: int, number: int):
     """Found neighbours into the lists, and the picks of the next round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = [b.select(["key", "code", "others", "sims", "fresh"]) for b in batches if b.num_rows]
+        given = [b.select(["key", "code", "list"]) for b in batches if b.num_rows]
         if not given:
             return
         t = pa.Table.from_batches(given)
@@ -257,15 +277,14 @@ def _merge(k: int, number: int):
         row_key = t.column("key").to_numpy()
         own = own[np.argsort(row_key[own])]
         keys = row_key[own]
-        sizes = t.column("others").combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        sizes, entries = _entries(t.column("list"))
         is_own = np.zeros(len(row_key), bool)
         is_own[own] = True
-        key, known = np.repeat(row_key, sizes), np.repeat(is_own, sizes)
-        other, sim, fresh = _flat(t, "others"), _flat(t, "sims").astype(np.float32), _flat(t, "fresh").astype(bool)
+        place, known = np.repeat(np.searchsorted(keys, row_key), sizes), np.repeat(is_own, sizes)
+        other, sim, fresh = entries["other"], entries["sim"], entries["fresh"].astype(bool)
         known &= sim > -1  # the random row a list starts from is not compared yet
-        at = _best(key, other, sim, known, k)
-        key, other, sim, known, fresh = key[at], other[at], sim[at], known[at], fresh[at] | ~known[at]
-        place = np.searchsorted(keys, key)
+        at = _best(place, other, sim, known, k)
+        place, other, sim, known, fresh = place[at], other[at], sim[at], known[at], fresh[at] | ~known[at]
         changed = np.full(len(keys), -3.0, np.float32)  # similarity of the nearest row that is new in the list
         np.maximum.at(changed, place[~known], sim[~known])
         count = np.bincount(place, minlength=len(keys))
@@ -274,20 +293,25 @@ def _merge(k: int, number: int):
         full = count == k
         bar[full] = sim[offsets[1:][full] - 1]
         with np.errstate(over="ignore"):
-            dice = mix64(mix64(key.astype(np.uint64)) + other.astype(np.uint64) + mix64(np.array([number], np.uint64)))
+            dice = mix64(mix64(keys.astype(np.uint64))[place] + other.astype(np.uint64) + mix64(np.array([number], np.uint64)))
 
         def picked(among: np.ndarray, few: int) -> np.ndarray:
             """At most ``few`` random entries of each list."""
             some = np.flatnonzero(among)
-            some = some[np.lexsort((dice[some], place[some]))]
+            some = some[np.argsort(place[some] << 45 | (dice[some] >> np.uint64(19)).astype(np.int64))]
             n = np.bincount(place[some], minlength=len(keys))
             rank = np.arange(len(some)) - np.repeat(np.cumsum(n) - n, n)
             return np.sort(some[rank < few])
 
         new, old = picked(fresh, PICKS), picked(~fresh, OLD_PICKS)
         fresh[new] = False
-        ends = lambda some: np.concatenate([[0], np.cumsum(np.bincount(place[some], minlength=len(keys)))])
-        more = [_lists(ends(new), other[new], pa.int64()), _lists(ends(old), other[old], pa.int64()), pa.array(bar), pa.array(changed)]
+        some = np.concatenate([new, old])
+        is_new = np.arange(len(some)) < len(new)
+        some, is_new = some[(by_place := np.argsort(place[some], kind="stable"))], is_new[by_place]
+        picks = np.empty(len(some), _ENTRY)
+        picks["other"], picks["sim"], picks["fresh"] = other[some], 0, is_new
+        ends = np.concatenate([[0], np.cumsum(np.bincount(place[some], minlength=len(keys)))])
+        more = [_blobs(ends, picks), pa.array(bar), pa.array(changed)]
         code = t.column("code").combine_chunks().take(pa.array(own))
         whole = _rows(keys, code, offsets, other, sim, fresh, more)
         for start in range(0, len(keys), 50_000):
@@ -327,18 +351,27 @@ def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _meetings(graph: DataFrame, number: int, partitions: int) -> DataFrame:
     """(at, part, key, fresh, code, bar): the rows that meet at each row."""
-    link = F.concat(F.transform("picks", lambda o: F.struct(o.alias("o"), F.lit(True).alias("fresh"))), F.transform("old_picks", lambda o: F.struct(o.alias("o"), F.lit(False).alias("fresh"))))
-    links = graph.select("key", F.explode(link).alias("l")).select("key", "l.o", "l.fresh")
-    ways = links.select(F.explode(F.array(F.struct(F.col("key").alias("at"), F.col("o").alias("key")), F.struct(F.col("o").alias("at"), "key"))).alias("w"), "fresh").select("w.at", "w.key", "fresh")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both ends of a picked entry meet whoever is linked with the other end."""
+        for b in batches:
+            if b.num_rows:
+                sizes, e = _entries(b.column("picks"))
+                key = np.repeat(b.column("key").to_numpy(), sizes)
+                for at, who in ((key, e["other"]), (e["other"], key)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(at)), pa.array(np.ascontiguousarray(who)), pa.array(e["fresh"].astype(bool)), pa.array(np.full(len(key), at is not key))], names=["at", "key", "fresh", "back"])
+
+    ways = graph.select("key", "picks").mapInArrow(run, "at long, key long, fresh boolean, back boolean")
     # a hub is a row linked by very many others; few rows are
-    hubs = links.groupBy(F.col("o").alias("at")).agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("at", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
+    hubs = ways.where("back").groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("at", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
     ways = ways.join(hubs, "at", "left").select("at", F.coalesce(F.expr(f"cast(pmod(xxhash64(key, {number}), parts) as int)"), F.lit(0)).alias("part"), "key", "fresh")
     held = graph.select("key", "code", "bar")
     return ways.join(held.hint("shuffle_hash"), "key").repartition(partitions, "at", "part")
 
 
 def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: int = CELL, rounds: int | None = None, near: float = -2.0, log: list | None = None) -> DataFrame:
-    """(key, code, others, sims): up to k neighbours of each row of (key, code).
+    """(key, code, list, ...): up to k neighbours of each row of (key, code); ``edges``
+    gives them as rows.
 
     Rows of even and of odd keys are kept apart. ``rounds`` bounds the number of
     rounds (0: first lists only); by default they go on until the lists settle:
@@ -354,7 +387,7 @@ def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: in
     placed = coded.mapInArrow(_cells(bits, tables), "cell long, key long, code binary, home boolean")
     sizes = coded.mapInArrow(_sizes(bits, tables), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     placed = _in_blocks(placed, sizes).repartition(n, "cell", "one", "two").sortWithinPartitions("cell", "one", "two", "key")
-    lists = placed.mapInArrow(_within(k), _ROW)
+    lists = placed.mapInArrow(_within(FEW if bits else k), _ROW)
     starts: dict[int, list[int]] = {0: [], 1: []}
     for side in starts:  # a bounded number of keys
         starts[side] = [r["key"] for r in coded.where(F.col("key") % 2 == side).orderBy(F.xxhash64("key"), "key").limit(STARTS).select("key").collect()]
@@ -373,11 +406,10 @@ def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: in
     while bits and (rounds is None or number < rounds):
         number += 1
         met = partitions_for(spark, total * 2 * (PICKS + OLD_PICKS), 600_000)
-        found = stored(_meetings(graph, number, met).mapInArrow(_local_joins, _ROW))
-        release(spark)
+        found = _meetings(graph, number, met).mapInArrow(_local_joins, _ROW)
         before, graph = graph, stored(graph.unionByName(found).repartition(n, "key").mapInArrow(_merge(k, number), _ROW))
         gained, changed = graph.agg(F.count_if(F.col("changed") >= near), F.count_if(F.col("changed") > -3)).first()
-        release(spark, before, found)
+        release(spark, before)
         _log.info("round %d: of %d lists %d changed, %d by a row as near as %s", number, total, changed, gained, near)
         if log is not None:
             log.append((number, gained, changed, total))
@@ -481,8 +513,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, kind: str | None = None,
     copies = stored(copies_of(coded))
     alone = coded.join(copies.select("key"), "key", "left_anti")
     graph = neighbour_graph(alone, rounds=rounds, near=threshold - SLACK, log=log)
-    near = F.filter(F.arrays_zip("others", "sims"), lambda x: x["sims"] >= threshold - SLACK)
-    links = graph.select("key", F.explode(near).alias("n")).select(F.least("key", "n.others").alias("a"), F.greatest("key", "n.others").alias("b"))
+    links = edges(graph, threshold - SLACK).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
     crowded = graph.where(F.col("bar") >= threshold - SLACK).select("key")
     if not crowded.isEmpty():
         links = links.unionByName(_metric_join(stored(both.join(crowded, "key", "left_semi").select("key", F.transform("v", lambda x: x.cast("float")).alias("v"))), threshold))
@@ -565,14 +596,14 @@ def graph_search(graph: DataFrame, queries: DataFrame, k: int = 10, beam: int =
     when no query has anything left to follow.
     """
     spark = graph.sparkSession
-    out = graph.select("key", F.explode("others").alias("other"))
+    out = edges(graph).select("key", "other")
     back = out.select(F.col("other").alias("key"), F.col("key").alias("other")).withColumn("n", F.expr("row_number() over (partition by key order by xxhash64(other))")).where(F.col("n") <= K).drop("n")
     ways = stored(out.unionByName(back).distinct())
     held = graph.select(F.col("key").alias("other"), "code")
     asked = queries.select("key", F.col("code").alias("q_code"))
     total = asked.count()
     n = partitions_for(spark, total * beam, 500_000)
-    own = graph.join(asked.select("key"), "key", "left_semi").select("key", F.explode("others").alias("other"))
+    own = edges(graph.join(asked.select("key"), "key", "left_semi")).select("key", "other")
     lost = asked.select("key").join(graph.select("key"), "key", "left_anti")
     few = [(r["key"] % 2, r["key"]) for side in (0, 1) for r in graph.where(F.col("key") % 2 == side).orderBy(F.xxhash64("key"), "key").limit(entries).select("key").collect()]
     doors = spark.createDataFrame(few, "side long, other long")

@@ -119,7 +119,10 @@ def test_blocks_of_a_large_cell_meet(spark, monkeypatch, cell):
     coded = neighbours.codes(d, "id", "v")
 
     def lists():
-        return {r["key"]: r["sims"] for r in neighbours.neighbour_graph(coded, rounds=0, cell=cell).collect()}
+        out = {}
+        for r in neighbours.edges(neighbours.neighbour_graph(coded, rounds=0, cell=cell)).orderBy(F.desc("sim")).collect():
+            out.setdefault(r["key"], []).append(r["sim"])
+        return out
 
     whole = lists()
     monkeypatch.setattr(neighbours, "BLOCK", 20)
@@ -239,7 +242,9 @@ def test_rounds_improve_the_lists_until_they_settle(spark):
     truth = np.argsort(-(u @ u.T), axis=1)[:, 1:11]
 
     def recall(rounds, log=None):
-        lists = {r["key"] // 2: {o // 2 for o in r["others"]} for r in neighbours.neighbour_graph(coded, tables=1, cell=100, rounds=rounds, log=log).collect()}
+        lists = {}
+        for r in neighbours.edges(neighbours.neighbour_graph(coded, tables=1, cell=100, rounds=rounds, log=log)).collect():
+            lists.setdefault(r["key"] // 2, set()).add(r["other"] // 2)
         assert len(lists) == 3000 and all(0 < len(x) <= neighbours.K for x in lists.values())
         return np.mean([len(lists[i] & set(truth[i].tolist())) / 10 for i in range(3000)])
 
