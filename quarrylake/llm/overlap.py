@@ -25,6 +25,8 @@ from quarrylake.llm.common import WORD, WordHashes, fold_accents, stored
 
 #: Number of counters in the frequency sketch; its size does not depend on the data.
 SKETCH_BITS = 15
+#: Pairs of prefix entries of one word that one task may look at; words with more are split.
+PAIRS_A_TASK = 4_000_000
 
 
 def words_of(text: str | None) -> set[str]:
@@ -70,7 +72,7 @@ def set_overlaps(left: DataFrame, right: DataFrame, key: str, text: str, thresho
     t = Fraction(str(threshold))
     spark = left.sparkSession
     both = left.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(0).alias("side")).unionByName(right.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(1).alias("side")))
-    freq = spark.sparkContext.broadcast(word_frequencies(both, "text").astype(np.int32))
+    freq = spark.sparkContext.broadcast(word_frequencies(both, "text"))
     shift = np.uint64(64 - SKETCH_BITS)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +106,8 @@ def set_overlaps(left: DataFrame, right: DataFrame, key: str, text: str, thresho
         F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("prefix").alias("prefix"),
     )
     entries = classes.select("digest", "has_left", "has_right", "size", "bits", "more", F.posexplode("prefix").alias("pos", "word"))
-    a = entries.where("has_left = 1").select("word", *[F.col(c).alias(f"a_{c}") for c in ("digest", "size", "bits", "more", "pos")])
-    b = entries.where("has_right = 1").select("word", *[F.col(c).alias(f"b_{c}") for c in ("digest", "size", "bits", "more", "pos")])
+    side = lambda name, letter: entries.where(f"{name} = 1").select("word", *[F.col(c).alias(f"{letter}_{c}") for c in ("digest", "size", "bits", "more", "pos")])
+    a, b = _split_frequent(side("has_left", "a"), side("has_right", "b"), entries, t)
     num, den = t.numerator, t.denominator
     # overlap needed: ceil(t / (1 + t) * (a + b))
     need = F.ceil((F.col("a_size") + F.col("b_size")) * num / (num + den) - 1e-9)
@@ -117,10 +119,30 @@ def set_overlaps(left: DataFrame, right: DataFrame, key: str, text: str, thresho
         & (1 + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) - 1 >= need)
         & (differing <= spare) & (differing2 <= spare)
     )
-    pairs = stored(a.join(b, "word").where(close).select("a_digest", "b_digest").distinct())
+    pairs = stored(a.join(b, ["word", "step", "salt"]).where(close).select("a_digest", "b_digest").distinct())
     return _verified(pairs, records, both, t)
 
 
+def _split_frequent(a: DataFrame, b: DataFrame, entries: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Adds step and salt to both sides, to be joined on together with the word.
+
+    A word that too many entries share is split by size of the record (``step``: sizes
+    within a factor of the threshold; only equal and neighbouring steps can match) and
+    its left entries at random (``salt``), its right entries going to every salt.
+    """
+    often = entries.groupBy("word").agg((F.sum("has_left") * F.sum("has_right")).alias("n")).where(F.col("n") > PAIRS_A_TASK)
+    often = stored(often.select("word", F.ceil(F.sqrt(F.col("n") / PAIRS_A_TASK)).cast("int").alias("salts")))
+    if often.isEmpty():
+        zero = [F.lit(0).alias("step"), F.lit(0).alias("salt")]
+        return a.select("*", *zero), b.select("*", *zero)
+    step = lambda size: F.floor(F.log(size) / F.lit(-math.log(t.numerator / t.denominator)) + 1e-9).cast("int")
+    a = a.join(often, "word", "left")
+    a = a.withColumn("step", F.when(F.col("salts").isNull(), 0).otherwise(step(F.col("a_size")))).withColumn("salt", F.coalesce(F.expr("cast(pmod(xxhash64(a_digest), salts) as int)"), F.lit(0))).drop("salts")
+    b = b.join(often, "word", "left").withColumn("at", step(F.col("b_size")))
+    b = b.withColumn("step", F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1))))
+    return a, b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts", "at")
+
+
 def _verified(pairs: DataFrame, records: DataFrame, both: DataFrame, t: Fraction) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
