@@ -6,8 +6,10 @@ it. Two tokens may stand side by side if encoding their joint bytes gives them
 back. So one pass over the prefixes, with a test of the tokens that end at each
 position, stores the last token of every prefix, and following these back gives
 the ids. The pass runs over all distinct words of a batch at once in numpy: the
-tokens that end at a position are looked up by rolling hash, the pair test walks
-the merge tree of both tokens, and its answers are remembered.
+tokens that end at a position are looked up by rolling hash and compared byte by byte before one is
+taken, the pair test walks the merge tree of both tokens, and its answers are
+remembered. Very long words go one by one through an automaton of all tokens, with
+the same test.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -102,17 +105,23 @@ class PrefixEncoder:
         tokens = [bytes(back[c] for c in name) for name in names]
         self.by_bytes = {t: i for i, t in reversed(list(enumerate(tokens)))}
         self.longest = max(map(len, tokens))
+        self.bytes = np.zeros((n, self.longest), np.uint8)
+        for i, t in enumerate(tokens):
+            self.bytes[i, : len(t)] = np.frombuffer(t, np.uint8)
         self.powers = np.ones(self.longest + 1, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(1, self.longest + 1):
                 self.powers[k] = self.powers[k - 1] * _BASE
         # every suffix of a token, with the token it is, or one past the last if it is none
         suffixes: dict[int, int] = {}
+        named: dict[int, bytes] = {}
         for i, t in enumerate(tokens):
             h, power = 0, 1
             for k, byte in enumerate(reversed(t), 1):
                 h = (h + (byte + 1) * power) & 0xFFFFFFFFFFFFFFFF
                 power = (power * int(_BASE)) & 0xFFFFFFFFFFFFFFFF
+                if named.setdefault(h, t[len(t) - k :]) != t[len(t) - k :]:
+                    raise ValueError("two parts of tokens share a hash; choose another base")
                 if k == len(t):
                     suffixes[h] = min(i, suffixes.get(h, n))
                 else:
@@ -203,6 +212,8 @@ class PrefixEncoder:
                 if len(at):
                     found, these = token[at], rows[at]
                     fits = self.adjacent(last[i - size][these], found) if size < i else self.whole[found]
+                    # a hash may deceive: the bytes decide
+                    fits[fits] = (text[these[fits], i - size : i] == self.bytes[found[fits], :size]).all(axis=1)
                     done = these[fits]
                     last[i, done], begin[i, done] = found[fits], i - size
                     going[at[fits]] = False  # the last token of a prefix is unique
@@ -224,32 +235,32 @@ class PrefixEncoder:
         return counts, out
 
     def _encode_long(self, word: bytes) -> list[int]:
-        """The same for one very long word, position by position in plain Python."""
-        if not hasattr(self, "_suffixes"):
-            self._suffixes = {t[k:] for t in self.by_bytes for k in range(len(t))}
+        """The same for one very long word: an automaton names the tokens that end at
+        each position, longest first."""
+        if not hasattr(self, "_automaton"):
+            self._automaton = ahocorasick.Automaton()
+            for t, i in self.by_bytes.items():
+                self._automaton.add_word(t.decode("latin-1"), (i, len(t)))
+            self._automaton.make_automaton()
             self._pairs: dict[tuple[int, int], bool] = {}
-        suffixes, find, pairs = self._suffixes, self.by_bytes.get, self._pairs
-        last, begin = [0] * (len(word) + 1), [0] * (len(word) + 1)
-        for i in range(1, len(word) + 1):
-            for start in range(i - 1, max(-1, i - 1 - self.longest), -1):
-                part = word[start:i]
-                if part not in suffixes:
-                    break
-                token = find(part)
-                if token is None:
-                    continue
-                if start == 0:
-                    fits = bool(self.whole[token])
-                else:
-                    pair = (last[start], token)
-                    if pair not in pairs:
-                        if len(pairs) > 1_000_000:
-                            pairs.clear()
-                        pairs[pair] = bool(self._adjacent(np.array([pair[0]]), np.array([token]))[0])
-                    fits = pairs[pair]
-                if fits:
-                    last[i], begin[i] = token, start
-                    break
+        pairs = self._pairs
+        last, begin, done = [0] * (len(word) + 1), [0] * (len(word) + 1), 0
+        for end, (token, size) in self._automaton.iter(word.decode("latin-1")):
+            i = end + 1
+            if i == done:
+                continue  # the last token of a prefix is unique
+            start = i - size
+            if start == 0:
+                fits = bool(self.whole[token])
+            else:
+                pair = (last[start], token)
+                if pair not in pairs:
+                    if len(pairs) > 1_000_000:
+                        pairs.clear()
+                    pairs[pair] = bool(self._adjacent(np.array([pair[0]]), np.array([token]))[0])
+                fits = pairs[pair]
+            if fits:
+                last[i], begin[i], done = token, start, i
         found, at = [], len(word)
         while at:
             found.append(last[at])
