@@ -4,8 +4,8 @@ A text is the set of its distinct runs of three words. ProbMinHash gives each se
 a signature: every shingle is a Poisson process whose arrivals fall into random
 registers, each register keeps its earliest arrival, and a shingle is followed
 only while its next arrival can still be the earliest somewhere. With equal rates
-the share of agreeing registers estimates the Jaccard similarity; other rates are
-supported. Bands of registers give candidate pairs; those a bound rules out are
+the share of agreeing registers estimates the Jaccard similarity; with the number of
+times a run occurs as its rate, the probability Jaccard similarity. Bands of registers give candidate pairs; those a bound rules out are
 dropped without a look at their texts, the others are verified exactly.
 """
 
@@ -19,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.llm.common import WORD, WordHashes, mix64, stored, unit_interval
+from quarrylake.llm.common import WORD, WordHashes, mix64, release, stored, unit_interval
 
 #: 52 bands of 4, of which one must agree. A pair at 0.6 is missed with probability
 #: 0.0007, at 0.65 with 0.00004.
 BANDS, ROWS = 52, 4
 BITS = 512  # of the bitmap that bounds how many shingles two texts do not share
 SHINGLE = 3
+#: Classes of one band that are paired in one task; larger bands are cut into blocks.
+BAND_BLOCK = 2000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,22 +107,43 @@ def parity_bitmaps(row: np.ndarray, item: np.ndarray, n_rows: int) -> np.ndarray
     return np.packbits(odd.astype(np.uint8).reshape(n_rows, BITS), axis=1).view(np.int64)
 
 
-def signatures(df: DataFrame, key: str, text: str, min_words: int = 20, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def probability_jaccard(u: np.ndarray, x: np.ndarray, v: np.ndarray, y: np.ndarray) -> float:
+    """Probability Jaccard similarity of two weighted sets, items sorted: the sum over
+    common items i of 1 / sum over all j of max(x_j / x_i, y_j / y_i).
+
+    Items sorted by y / x: for those up to i's ratio x_j / x_i is the larger, for the
+    others y_j / y_i, so prefix sums give every denominator.
+    """
+    items = np.union1d(u, v)
+    a, b = np.zeros(len(items)), np.zeros(len(items))
+    a[np.searchsorted(items, u)], b[np.searchsorted(items, v)] = x, y
+    with np.errstate(divide="ignore"):
+        ratio = b / a
+    order = np.argsort(ratio)
+    a, b, ratio = a[order], b[order], ratio[order]
+    up_to = np.searchsorted(ratio, ratio, side="right")
+    left, right = np.concatenate([[0], np.cumsum(a)])[up_to], b.sum() - np.concatenate([[0], np.cumsum(b)])[up_to]
+    both = (a > 0) & (b > 0)
+    return float((1 / (left[both] / a[both] + right[both] / b[both])).sum())
+
+
+def signatures(df: DataFrame, key: str, text: str, min_words: int = 20, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, weighted: bool = False) -> DataFrame:
     """(key, digest, bands, size, bits) of each text with at least ``min_words`` words;
-    digest names the exact set of shingles, size is their number."""
+    digest names the exact set of shingles (with their numbers if ``weighted``), size
+    is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                row, item, _ = shingle_hashes(b.column("text").to_pylist(), hashes, min_words)
+                row, item, times = shingle_hashes(b.column("text").to_pylist(), hashes, min_words, shingle)
                 if not len(row):
                     continue
                 present, dense, counts = np.unique(row, return_inverse=True, return_counts=True)
-                sig = band_hashes(probminhash(dense, item, len(present), bands * rows), bands, rows)
+                sig = band_hashes(probminhash(dense, item, len(present), bands * rows, times if weighted else None), bands, rows)
                 ends = np.cumsum(counts)
-                digest = [xxhash.xxh3_128_hexdigest(item[e - c : e].tobytes()) for e, c in zip(ends, counts)]
+                digest = [xxhash.xxh3_128_hexdigest(item[e - c : e].tobytes() + (times[e - c : e].tobytes() if weighted else b"")) for e, c in zip(ends, counts)]
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel())) for m in (sig, parity_bitmaps(dense, item, len(present)))]
                 yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(present)), pa.array(digest), lists[0], pa.array(counts, pa.int32()), lists[1]], names=["key", "digest", "bands", "size", "bits"])
 
@@ -128,52 +151,72 @@ def signatures(df: DataFrame, key: str, text: str, min_words: int = 20, bands: i
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, f"key {kind}, digest string, bands array<long>, size int, bits array<long>")
 
 
-def near_duplicate_classes(df: DataFrame, key: str, text: str, threshold: float = 0.6, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
+def _band_pairs(entries: DataFrame) -> DataFrame:
+    """(low, high) of classes (band, rep) that share a band. A band of very many
+    classes is cut into blocks, and every pair of its blocks is a join key of its own."""
+    sizes = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BAND_BLOCK).cast("int").alias("blocks"))
+    large = stored(sizes.where("blocks > 1"))
+    if large.isEmpty():
+        left = right = entries.select("band", "rep", F.lit(0).alias("one"), F.lit(0).alias("two"))
+    else:
+        cut = entries.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+        cut = cut.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", "rep", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
+        left, right = cut.where("side = one"), cut.where("side = two")
+    pairs = left.select("band", "one", "two", F.col("rep").alias("x")).join(right.select("band", "one", "two", F.col("rep").alias("y")), ["band", "one", "two"])
+    # within a block both orders come, across blocks only one
+    return pairs.where((F.col("x") < F.col("y")) | (F.col("one") != F.col("two"))).select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).distinct()
+
+
+def near_duplicate_classes(df: DataFrame, key: str, text: str, threshold: float = 0.6, min_words: int = 20, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs of class representatives with their similarity, membership).
 
-    Texts with the same set of shingles form one class, named by its smallest
-    key, so a text copied a million times is one record in the search. Null,
-    empty and short texts belong to no class.
+    Texts with the same shingles form one class, named by its smallest key, so a
+    text copied a million times is one record in the search. Null, empty and short
+    texts belong to no class. ``weighted`` compares by how often each run of words
+    occurs (probability Jaccard) instead of by which runs occur (Jaccard).
     """
-    sigs = stored(signatures(df, key, text, min_words))
+    sigs = stored(signatures(df, key, text, min_words, bands, rows, shingle, weighted))
     classes = sigs.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bits").alias("bits"))
-    entries = classes.select("rep", F.explode("bands").alias("band"))
-    pairs = (
-        entries.select("band", F.col("rep").alias("low")).join(entries.select("band", F.col("rep").alias("high")), "band")
-        .where("low < high").select("low", "high").distinct()
-    )
-    # texts of a and b shingles at similarity t do not share (1 - t) / (1 + t) (a + b) of them at most
-    bounds = {side: classes.select(F.col("rep").alias(side), F.col("size").alias(f"{side}_size"), F.col("bits").alias(f"{side}_bits")) for side in ("low", "high")}
-    apart = F.expr("aggregate(zip_with(low_bits, high_bits, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
-    possible = apart <= (1 - threshold) / (1 + threshold) * (F.col("low_size") + F.col("high_size")) + 1e-6
-    pairs = stored(pairs.join(bounds["low"], "low").join(bounds["high"], "high").where(possible).select("low", "high"))
+    pairs = _band_pairs(classes.select("rep", F.explode("bands").alias("band")))
+    if not weighted:
+        # texts of a and b shingles at similarity t do not share (1 - t) / (1 + t) (a + b) of them at most
+        bounds = {side: classes.select(F.col("rep").alias(side), F.col("size").alias(f"{side}_size"), F.col("bits").alias(f"{side}_bits")) for side in ("low", "high")}
+        apart = F.expr("aggregate(zip_with(low_bits, high_bits, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
+        possible = apart <= (1 - threshold) / (1 + threshold) * (F.col("low_size") + F.col("high_size")) + 1e-6
+        pairs = pairs.join(bounds["low"], "low").join(bounds["high"], "high").where(possible).select("low", "high")
+    pairs = stored(pairs)
     wanted = pairs.select(F.explode(F.array("low", "high")).alias("key")).distinct()
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        kept: dict[int, np.ndarray] = {}
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def shingles(k: int, t: str) -> np.ndarray:
+        def shingles(k: int, t: str) -> tuple[np.ndarray, np.ndarray]:
             if k not in kept:
                 if len(kept) > 20_000:
                     kept.clear()
-                kept[k] = shingle_hashes([t], hashes, min_words)[1]
+                kept[k] = shingle_hashes([t], hashes, min_words, shingle)[1:]
             return kept[k]
 
+        def similarity(lo: int, x: str, hi: int, y: str) -> float:
+            (u, m), (v, n) = shingles(lo, x), shingles(hi, y)
+            if weighted:
+                return probability_jaccard(u, m, v, n)
+            if min(len(u), len(v)) < threshold * max(len(u), len(v)) - 1e-9:
+                return 0.0
+            both = np.concatenate([u, v])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            return common / (len(both) - common)
+
         for b in batches:
             idx, sims = [], []
             for i, (lo, hi, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("low", "high", "low_text", "high_text")))):
-                u, v = shingles(lo, x), shingles(hi, y)
-                if min(len(u), len(v)) < threshold * max(len(u), len(v)) - 1e-9:
-                    continue
-                both = np.concatenate([u, v])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                union = len(both) - common
-                if common >= threshold * union - 1e-9:
+                s = similarity(lo, x, hi, y)
+                if s >= threshold - 1e-9:
                     idx.append(i)
-                    sims.append(common / union)
+                    sims.append(s)
             at = pa.array(idx, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("low").take(at), b.column("high").take(at), pa.array(sims, pa.float64())], names=["low", "high", "similarity"])
 
@@ -187,22 +230,22 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, threshold: float
     return verified, members
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.6, min_words: int = 20) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.6, min_words: int = 20, **options) -> DataFrame:
     """(low, high) of all pairs of rows, copies expanded (see ``near_duplicate_classes``)."""
-    verified, members = near_duplicate_classes(df, key, text, threshold, min_words)
+    verified, members = near_duplicate_classes(df, key, text, threshold, min_words, **options)
     within = members.where("key <> rep").select(F.col("rep").alias("low"), F.col("rep").alias("high")).distinct()
     linked = verified.select("low", "high").unionByName(within)
     out = linked.join(members.select(F.col("rep").alias("low"), F.col("key").alias("x")), "low").join(members.select(F.col("rep").alias("high"), F.col("key").alias("y")), "high")
     return out.where((F.col("low") != F.col("high")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"))
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """(key, root): smallest key reachable over links (low, high), by alternating
     large-star and small-star steps; each round's links are a table in the shared
-    folder. Ends when a round changes nothing."""
+    folder. Goes on until a round changes nothing, however many that takes."""
     edges = stored(links.select(F.col("low").alias("u"), F.col("high").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: every neighbour above a node goes to the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -210,7 +253,8 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b")
-        edges = stored(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        old, edges = edges, stored(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        release(links.sparkSession, old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -218,13 +262,15 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("v").alias("key")).agg(F.min("u").alias("root"))
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.6, min_words: int = 20) -> DataFrame:
-    """(key, group_id, n_links): one row a document; the group is named by its
-    smallest key and n_links counts the other classes a document's class is linked
-    to. Texts that are null, empty or short have a null group."""
-    verified, members = near_duplicate_classes(df, key, text, threshold, min_words)
+def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.6, min_words: int = 20, **options) -> DataFrame:
+    """(key, group_id, n_links, n_copies): one row a document; the group is named by its
+    smallest key, n_links counts the other classes a document's class is linked to
+    and n_copies the documents of its class, itself included. Texts that are null,
+    empty or short have a null group."""
+    verified, members = near_duplicate_classes(df, key, text, threshold, min_words, **options)
     verified = stored(verified)
     roots = connected(verified).withColumnRenamed("key", "rep")
     degree = verified.select(F.explode(F.array("low", "high")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    out = members.join(roots, "rep", "left").join(degree, "rep", "left").select("key", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counts = members.groupBy("rep").agg(F.count("*").alias("n_copies"))
+    out = members.join(counts, "rep").join(roots, "rep", "left").join(degree, "rep", "left").select("key", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     return df.select(F.col(key).alias("key")).distinct().join(out, "key", "left").withColumnRenamed("key", key)
