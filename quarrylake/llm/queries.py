@@ -93,6 +93,11 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"), "doc_id", "text", "source")
 
 
+def p9_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are and how many rows break a rule."""
+    return packing.conflicts(p9_containers(spark, d))
+
+
 def _abuse(spark: SparkSession, d: str) -> DataFrame:
     return abuse.scores(read(spark, d, "documents"), read(spark, d, "review_labels"), "doc_id", "text", "label")
 
@@ -109,7 +114,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_abuse(spark, d), read(spark, d, "documents"), "doc_id", "source")
 
 
-_ALL = (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p4_nearest, p4_search, p5_found, p5_groups, p6_found, p7_found, p7_report, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)
+_ALL = (p1_found, p1_main, p2_found, p3_found, p3_pieces, p4_found, p4_nearest, p4_search, p5_found, p5_groups, p6_found, p7_found, p7_report, p8_ids, p9_containers, p9_conflicts, p10_found, p10_scores, p10_rates)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _HOST = r"regexp_extract(lower(trim(source)), '^https?://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1)"

@@ -96,6 +96,16 @@ def test_overlaps_equal_brute_force(spark):
     assert overlap.set_overlaps(a.limit(0), b, "k", "q").count() == 0
 
 
+def test_frequent_words_are_split(spark, monkeypatch):
+    rnd = random.Random(23)
+    texts = [" ".join(["hot", *(f"w{rnd.randrange(8)}" for _ in range(rnd.randrange(1, 6)))]) for _ in range(120)]
+    a = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:70])], "k long, q string")
+    b = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts[70:])], "k long, q string")
+    whole = rows(overlap.set_overlaps(a, b, "k", "q", 0.7))
+    monkeypatch.setattr(overlap, "PAIRS_A_TASK", 5)
+    assert rows(overlap.set_overlaps(a, b, "k", "q", 0.7)) == whole and len(whole) > 10
+
+
 # ---- near-duplicates --------------------------------------------------------------
 
 
@@ -154,6 +164,48 @@ def test_near_duplicates(spark):
     assert all(r["group_id"] is None for r in groups if r["doc_id"] in (900, 901, 902, 903))
 
 
+def test_a_band_of_very_many_classes_is_split(spark, monkeypatch):
+    rnd = random.Random(21)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    docs = [(i, " ".join([*base, f"x{i}", f"y{i}"])) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = rows(near_duplicates.near_duplicate_pairs(d, "doc_id", "text"))
+    monkeypatch.setattr(near_duplicates, "BAND_BLOCK", 7)
+    assert rows(near_duplicates.near_duplicate_pairs(d, "doc_id", "text")) == whole == [(i, j) for i in range(40) for j in range(i + 1, 40)]
+
+
+def _exact_probability_jaccard(x, y):
+    items = set(x) | set(y)
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in items) for i in set(x) & set(y))
+
+
+def test_weighted_shingles_equal_exact_probability_jaccard(spark):
+    rnd = random.Random(22)
+    docs = []
+    for i in range(12):
+        words = [f"a{rnd.randrange(200)}" for _ in range(30)]
+        docs.append((2 * i, " ".join(words * 3)))
+        docs.append((2 * i + 1, " ".join(words * rnd.choice([2, 3, 4]) + [f"b{rnd.randrange(200)}" for _ in range(rnd.randrange(25))])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = {}
+    for k, t in docs:
+        w = t.split()
+        counts[k] = {}
+        for g in zip(w, w[1:], w[2:]):
+            counts[k][g] = counts[k].get(g, 0) + 1
+    want = {(i, j): s for i, _ in docs for j, _ in docs if i < j and (s := _exact_probability_jaccard(counts[i], counts[j])) >= 0.6}
+    verified, members = near_duplicates.near_duplicate_classes(d, "doc_id", "text", weighted=True)
+    got = {(r["low"], r["high"]): r["similarity"] for r in verified.collect()}
+    assert set(got) == set(want) and len(want) > 3 and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert members.count() == 24
+
+
+def test_long_chains_are_connected(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "low long, high long")
+    got = {r["key"]: r["root"] for r in near_duplicates.connected(links).collect()}
+    assert all(got[i] == 0 for i in range(1, 301)) and got[1001] == 1000
+
+
 def test_pairs_of_one_common_band_are_verified(spark):
     rng = random.Random(12)
     data = []
@@ -278,6 +330,18 @@ def test_tokens_equal_the_public_library(spark):
     offsets, ids = enc.encode_batch(texts + [None])
     got = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] + [[]]
+    # words one by one and words in blocks have the same ids
+    words = [w for w in {x for text in texts for x in enc.find(text)} if len(w) < 2000]
+    alone = tokenize.PrefixEncoder(tokenize.vocabulary_path())
+    alone.LONG = 1
+    assert all(np.array_equal(p, q) for p, q in zip(enc.encode_batch(words), alone.encode_batch(words)))
+    # a part of another token that has the hash of a token is not taken for it
+    broken = tokenize.PrefixEncoder(tokenize.vocabulary_path())
+    broken.bytes[:, 0] ^= 1
+    assert broken.bytes[300, 0] != enc.bytes[300, 0]
+    with pytest.raises(Exception):
+        got = broken.encode_batch(["Zxqv"])
+        assert got[1].tolist() == enc.encode_batch(["Zxqv"])[1].tolist()
     d = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "hi", 1), (3, "hi", 1)], "doc_id long, text string, ids int")
     out = [(r["doc_id"], list(r["ids"])) for r in tokenize.encode(d, "doc_id", "text").orderBy("doc_id").collect()]
     assert out == [(1, []), (2, []), (3, [5303]), (3, [5303])]
@@ -287,18 +351,34 @@ def test_tokens_equal_the_public_library(spark):
 # ---- packing ----------------------------------------------------------------------------
 
 
-def test_fill_keeps_capacity_and_copies_apart():
+def test_fill_keeps_rules():
     rnd = random.Random(8)
     sizes = [rnd.randrange(1, 100) for _ in range(2000)]
-    twins = [rnd.randrange(1000) for _ in sizes]
-    bins = packing.fill(sizes, [rnd.choice("abc") for _ in sizes], twins, 100)
+    clusters = [rnd.choice([None, rnd.randrange(300)]) for _ in sizes]
+    sources = [rnd.choice([*"abcdefghijklmnopqrstuvwxyz", None]) for _ in sizes]
+    bins, rules = packing.fill(sizes, sources, clusters, 100)
     assert sorted(i for b in bins for i in b) == list(range(2000))
     loads = [sum(sizes[i] for i in b) for b in bins]
     assert max(loads) <= 100 and sum(loads) / len(loads) > 97
-    assert all(len({twins[i] for i in b}) == len(b) for b, load in zip(bins, loads) if load >= 50)
-    assert packing.fill([], [], []) == []
-    # a text copied a thousand times does not cost a container a copy
-    assert len(packing.fill([10] * 1000, ["a"] * 1000, [1] * 1000, 100)) == 100
+    for b in bins:
+        found = packing.conflict_of(b, sources, clusters)
+        assert {"copy"} & set(found) <= ({"copy"} if "none" in [rules[i] for i in b] else set())
+        assert all(rules[i] == "both" for i in b) is False or set(found) == {"none"}
+    assert packing.fill([], [], []) == ([], [])
+
+
+def test_fill_with_a_thousand_copies():
+    rnd = random.Random(9)
+    sizes = [50] * 1000 + [rnd.randrange(10, 800) for _ in range(9000)]
+    clusters = [7] * 1000 + [None] * 9000
+    sources = [rnd.choice("abcdefghijklmnopqrstuvwx") if rnd.random() < 0.67 else "hot" for _ in sizes]  # a source with a third of all
+    bins, rules = packing.fill(sizes, sources, clusters)
+    assert sum(sizes) / (2048 * len(bins)) >= 0.98
+    # no two copies meet, as there are more containers than copies
+    assert all("copy" not in packing.conflict_of(b, sources, clusters) for b in bins)
+    # where there is nothing but copies, they are packed nevertheless, and counted
+    only, _ = packing.fill([10] * 1000, ["a"] * 1000, [1] * 1000, 100)
+    assert len(only) == 100 and sum(packing.conflict_of(b, ["a"] * 1000, [1] * 1000).count("copy") for b in only) == 900
 
 
 def test_pack(spark):
@@ -307,6 +387,13 @@ def test_pack(spark):
     parts = sorted((r["part"], r["token_start"], r["n_tokens"]) for r in got if r["doc_id"] == 1)
     assert [p for p, _, _ in parts] == list(range(len(parts))) and all(s == 2048 * p for p, s, _ in parts) and all(n == 2048 for _, _, n in parts[:-1])
     assert {r["doc_id"] for r in got} == {1, 4}
+    line = " ".join(f"w{i}" for i in range(60))
+    few = spark.createDataFrame([(i, line if i < 5 else f"{line} x{i}" if i < 8 else f"other text {i} of its own " * 9, f"s{i}") for i in range(40)], "doc_id long, text string, source string")
+    out = packing.pack(few, "doc_id", "text", "source", shards=1)
+    at = {r["doc_id"]: r["container"] for r in out.collect()}
+    one = packing.conflicts(out).first()
+    assert len(at) == 40 and one["n_rows"] == 40 and one["n_containers"] == len(set(at.values())) and one["n_copies"] == sum(r["conflict"] == "copy" for r in out.collect())
+    assert packing.pack(few, "doc_id", "text", "source", rows_a_shard=10).count() == 40
     assert packing.pack(d.limit(0), "doc_id", "text", "source").count() == 0
 
 
