@@ -54,7 +54,8 @@ def shingle_hashes(texts: list[str | None], hashes: WordHashes, min_words: int,
     row = np.repeat(np.arange(len(texts)), lengths)[: len(g)]
     inside = np.arange(len(g)) + size <= ends[row]
     g, row = g[inside], row[inside]
-    order = np.lexsort((g, row))
+    bits = np.uint64(len(texts).bit_length())  # one sort of row and shingle together
+    order = np.argsort(row.astype(np.uint64) << np.uint64(64) - bits | g >> bits)
     g, row = g[order], row[order]
     first = np.ones(len(g), bool)
     first[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
