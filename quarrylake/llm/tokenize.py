@@ -15,6 +15,7 @@ the same test.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +32,24 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+NARROW = 0x250  # code points below are Latin
+
+
+@lru_cache(maxsize=1)
+def splitter():
+    """Cuts a text into words. Texts of Latin characters alone go through the standard
+    library's pattern engine, whose classes are spelled out; it is twice as fast."""
+    whole = regex.compile(PATTERN).findall
+
+    def listed(kind: str) -> str:
+        return "".join(f"\\u{c:04x}" for c in range(NARROW) if regex.match(kind, chr(c)))
+
+    letters, numbers, blanks = listed(r"\p{L}"), listed(r"\p{N}"), listed(r"\s")
+    narrow = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+").findall
+    wide = re.compile(f"[^\\x00-{chr(NARROW - 1)}]").search
+    return lambda text: whole(text) if wide(text) else narrow(text)
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json", folder: str = "/opt/tokenizers") -> str:
     return f"{folder}/{name}"
 
@@ -129,7 +148,7 @@ class PrefixEncoder:
         self.by_hash = _Table(np.array(list(suffixes), np.uint64), np.array(list(suffixes.values()), np.int32), bits=20)
         self.memo_keys = np.full(1 << self.MEMO_BITS, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.memo = np.zeros(1 << self.MEMO_BITS, bool)
-        self.find = regex.compile(PATTERN).findall
+        self.find = splitter()
         self.forget()
 
     def forget(self) -> None:
