@@ -7,9 +7,11 @@ hashed words and word pairs and the probabilities of the categories before it,
 which in training come from models that had not seen the row. A document's score
 is that of its worst sentence, so one passage in a long text counts.
 
-Labels exist for a small, noisy sample of documents, not for sentences. Training
-starts from the example phrases below and picks, in the labelled documents and in
-a bounded sample of others, the sentences that carry the label.
+Labels exist for a small, noisy sample of documents, not for sentences, so training
+is multiple-instance: in every document of a label the sentence is looked for whose
+words set documents of that label apart from all others; a model of those sentences
+against the rest chooses again, a few times over, and documents in which it finds
+nothing are taken for wrongly labelled. A few general phrases stand beside them.
 """
 
 from __future__ import annotations
@@ -42,40 +44,43 @@ _INNER = re.compile(r"[^\W_]+")
 _BROKEN = re.compile("[ÃÂâ][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 _BREAK = "⏎"
 
-# Example phrases to start from; {g} a group of people, {i} a word of abuse.
-GROUPS = ["immigrants", "foreigners", "believers", "settlers", "hill folk", "strangers", "newcomers", "Velmarians", "Tarvosi", "Quellites", "Marrish settlers", "Brenn hill folk", "Sundrel believers", "Ostrovites"]
+# General words of abuse and phrases of our own; what a collection says is learned from its labels.
 INSULTS = {
-    "en": ["idiot", "moron", "asshole", "scumbag", "loser", "bastard", "imbecile", "cretin", "halfwit", "dimwit", "jackass", "dumbass"],
-    "es": ["idiota", "imbécil", "payaso", "cretino", "gilipollas", "estúpido"],
-    "fr": ["idiot", "imbécile", "abruti", "bouffon", "crétin", "connard", "déchet"],
-    "de": ["Idiot", "Arschloch", "Vollpfosten", "Depp", "Schwachkopf", "Versager"],
+    "en": ["idiot", "moron", "asshole", "scumbag", "bastard", "cretin", "dumbass", "jerk"],
+    "es": ["idiota", "imbécil", "cretino", "gilipollas", "estúpido", "cabrón"],
+    "fr": ["idiot", "imbécile", "abruti", "crétin", "connard", "salaud"],
+    "de": ["Idiot", "Arschloch", "Depp", "Schwachkopf", "Trottel", "Mistkerl"],
+}
+GROUPS = {
+    "en": ["immigrants", "foreigners", "refugees", "women", "gays"],
+    "es": ["inmigrantes", "extranjeros", "refugiados"],
+    "fr": ["immigrés", "étrangers", "réfugiés"],
+    "de": ["Einwanderer", "Ausländer", "Flüchtlinge"],
 }
 PHRASES = {
     "abusive": {
-        "en": ["you worthless {i}", "you are nothing but a stupid {i}", "shut your mouth, {i}", "only a clueless {i} like you would write this", "go drown yourself, you useless {i}", "I will find you and break your fingers, {i}", "whoever posted this is a brainless {i} and should be ashamed of breathing", "listen, you pathetic {i}", "drop dead, you filthy {i}", "nobody would miss you, {i}", "you disgusting {i}", "you stupid {i}"],
-        "es": ["cállate, {i}", "eres un {i} maldito", "solo un {i} patético como tú escribiría esto", "te voy a romper la cara, {i}", "muérete, {i} asqueroso"],
-        "fr": ["ferme ta gueule, {i}", "tu n'es qu'un {i} minable", "seul un {i} pathétique comme toi écrirait ça", "je vais te casser la figure, {i}", "va crever, {i}", "ferme-la, {i}"],
-        "de": ["halt die Klappe, {i}", "du bist nur ein dummer {i}", "nur ein widerlicher {i} wie du schreibt so etwas", "verrecke, du {i}", "ich breche dir die Finger, du {i}", "ich schlag dir die Zähne aus, {i}"],
+        "en": ["you are such a {i}", "what a {i} you are", "get lost you {i}", "we will come to your house and hurt you, {i}", "you {i}, go kill yourself", "fuck off {i}"],
+        "es": ["vete a la mierda, {i}", "qué {i} eres", "te vamos a matar, {i}"],
+        "fr": ["va te faire foutre, {i}", "espèce de {i}", "on va te tuer, {i}"],
+        "de": ["verpiss dich, du {i}", "was bist du für ein {i}", "wir bringen dich um, {i}"],
     },
     "hateful": {
-        "en": ["all {g} are vermin and should be driven out", "{g} are subhuman, never hire one", "we would be better off if every one of the {g} was wiped out", "keep the filthy {g} away from our women and our jobs", "it is in the blood of {g} to steal and lie, get rid of them", "no {g} in this forum, parasites do not get a vote"],
-        "es": ["todos los {g} son ratas y hay que echarlos", "habría que exterminar a los {g}", "los {g} son parásitos, fuera de aquí", "los {g} son infrahumanos, no contraten a ninguno"],
-        "fr": ["tous les {g} sont de la vermine, dehors", "il faudrait exterminer les {g}", "les {g} sont des parasites", "les {g} sont des sous-hommes, n'en embauchez jamais"],
-        "de": ["alle {g} sind Ungeziefer und gehören raus", "man sollte die {g} ausrotten", "{g} sind Parasiten, weg damit", "{g} sind Untermenschen, stellt keinen ein"],
+        "en": ["{g} are animals, kick them all out", "kill all {g}", "{g} are filth and do not deserve to live", "I hate {g}, deport every last one"],
+        "es": ["los {g} son basura, expulsadlos", "muerte a los {g}", "odio a los {g}"],
+        "fr": ["les {g} sont des ordures, expulsez-les", "mort aux {g}", "je hais les {g}"],
+        "de": ["{g} sind Abschaum, werft sie raus", "Tod den {g}", "ich hasse {g}"],
     },
     "sexual": {
-        "en": ["hot nude women on webcam tonight, watch them strip and moan", "free hardcore porn with horny housewives, no sign-up", "explicit sex videos of secretaries, orgasm guaranteed", "come and see my wet xxx pics, I am so horny", "he licked her naked breasts while she touched herself", "she pulled off her panties and begged him to fuck her"],
-        "es": ["mujeres desnudas en la webcam, porno gratis esta noche", "vídeos de sexo explícito con amas de casa calientes", "se quitó las bragas y le suplicó que la follara"],
-        "fr": ["femmes nues en webcam, porno gratuit ce soir", "vidéos de sexe explicite avec des modèles chaudes", "elle enleva sa culotte et le supplia de la baiser"],
-        "de": ["nackte Frauen vor der Webcam, Pornos gratis", "heiße Sexvideos mit geilen Hausfrauen", "sie zog ihr Höschen aus und bat ihn, sie zu ficken"],
+        "en": ["watch naked girls fuck live on cam", "xxx porn movies for adults", "she sucked his cock and came hard"],
+        "es": ["chicas desnudas follando en directo", "películas porno para adultos", "le chupó la polla"],
+        "fr": ["filles nues qui baisent en direct", "films porno pour adultes", "elle lui suça la bite"],
+        "de": ["nackte Mädchen ficken live vor der Kamera", "Pornofilme für Erwachsene", "sie lutschte seinen Schwanz"],
     },
 }
 HARMLESS = [
-    "I felt like an idiot after I found my own typo", "the word filter rejects postings that contain terms such as idiot, moron or porn; the list is kept here", "users hate it when the program crashes; this ugly list is a pain, but the patch will shoot it down",
-    "the code book lists breast, prostate and skin cancer with the index list of each clinic", "hate speech, insults and nudity are removed by the moderators; appeals go through the form", "the adult content switch blocks explicit sites for the group",
-    "the parent kills the child process; the master then runs the slave", "the field SEX is one byte long and holds M or F", "the daemon must die before the zombie is reaped", "this stupid error drives me crazy", "what a dumb mistake of mine", "the job was killed and the dead letter queue is empty",
-    "das Feld SEX ist ein Byte lang; der Wortfilter sperrt Begriffe wie Idiot oder Porno", "der Kindprozess wird getötet; der Master führt danach den Slave aus", "el campo SEXO admite H o M; el filtro bloquea palabras como idiota o porno", "le champ SEXE vaut H ou F ; le filtre rejette des mots comme crétin ou porno",
-    "el proceso hijo se mata y el maestro ejecuta el esclavo", "le processus fils est tué ; le maître lance ensuite l'esclave", "je me suis senti idiot en voyant ma faute de frappe", "me sentí como un idiota al ver mi errata", "ich kam mir wie ein Idiot vor, als ich meinen Tippfehler fand",
+    "kill the stuck process and restart the job", "the child dies when the parent is killed", "the master node hands work to its slaves", "I feel so stupid, it was only a typo",
+    "this damn editor keeps crashing on me", "profanity such as idiot or porn is masked by the filter", "breast cancer screening records", "the column holds the sex of the patient, M or F",
+    "matar el proceso colgado y reiniciar", "el padre termina al hijo", "tuer le processus bloqué et relancer", "le processus père arrête le fils", "den hängenden Prozess beenden und neu starten", "der Vaterprozess beendet das Kind",
 ]
 
 
@@ -227,6 +232,19 @@ class Chain:
         return out
 
 
+def save(chain: Chain, path: str) -> None:
+    """Write a fitted chain to a file, so that later runs need not fit again."""
+    models = {f"{part}{k}": getattr(m, part) for k, m in enumerate(chain.models) for part in ("dense", "hashed", "bias")}
+    with open(path, "wb") as f:
+        np.savez_compressed(f, thresholds=chain.thresholds, lexicon=np.array(sorted(chain.lexicon), str), **models)
+
+
+def load(path: str) -> Chain:
+    with np.load(path, allow_pickle=False) as z:
+        models = [Linear(z[f"dense{k}"], z[f"hashed{k}"], z[f"bias{k}"], flat=True) for k in range(len(CATEGORIES))]
+        return Chain(models, z["thresholds"], set(z["lexicon"].tolist()))
+
+
 def fit_chain(x: Rows, y: np.ndarray, weight: np.ndarray, folds: int = 3, epochs: int = 12, seed: int = 5) -> list[Linear]:
     """Each model is trained on out-of-fold probabilities of the earlier categories."""
     fold = np.random.default_rng(seed).integers(0, folds, len(x))
@@ -246,111 +264,144 @@ def fit_chain(x: Rows, y: np.ndarray, weight: np.ndarray, folds: int = 3, epochs
 
 
 def seed_phrases() -> list[tuple[str, int]]:
-    out = [(s, -1) for s in HARMLESS]
+    out = [(x, -1) for x in HARMLESS]
     for c, by_lang in enumerate(PHRASES.values()):
         for lang, phrases in by_lang.items():
-            for k, s in enumerate(phrases):
-                if "{i}" in s:
-                    out += [(s.format(i=w), c) for w in INSULTS[lang]]
-                elif "{g}" in s:
-                    out += [(s.format(g=g), c) for g in GROUPS]
-                else:
-                    out += [(s, c)] * 4
+            for x in phrases:
+                fill = [("i", w) for w in INSULTS[lang]] if "{i}" in x else [("g", w) for w in GROUPS[lang]] if "{g}" in x else [("", "")]
+                out += [(x.format(**{name: w}), c) for name, w in fill]
     return out
 
 
-def _strings(text: str, words: Words) -> list[str]:
-    """Sentences as normalised words, for training only."""
+def _units(text: str, words: Words) -> list[str]:
+    """Sentences as normalised words, long ones as windows; for training only."""
     out, now = [], []
-    for t in words.prepare(text).split():
+    for t in [*words.prepare(text).split(), _BREAK]:
         if t != _BREAK:
             now += words.plain(t)
         if words[t][-1:] == (Words.END,):
-            out.append(" ".join(now))
+            step = LONGEST // 2
+            out += [" ".join(now[i : i + LONGEST]) for i in range(0, max(1, len(now) - step), step)]
             now = []
-    out.append(" ".join(now))
-    return [s for s in out if s]
+    return [x for x in dict.fromkeys(out) if x]
+
+
+def _odds(x: Rows, owner: np.ndarray, kind: np.ndarray, n_docs: np.ndarray, width: int) -> np.ndarray:
+    """Units x categories: how much their telling words set documents of the category
+    apart from documents of no category. ``kind`` is the category of each document
+    (-1: none, -2: not to be used), ``owner`` the document of each unit."""
+    row = np.repeat(np.arange(len(x)), x.counts)
+    seen = np.unique(np.stack([owner[row], x.index]), axis=1)
+    base = np.bincount(seen[1][kind[seen[0]] == -1], minlength=width)
+    out = np.zeros((len(x), len(CATEGORIES)))
+    for c in range(len(CATEGORIES)):
+        mine = np.bincount(seen[1][kind[seen[0]] == c], minlength=width)
+        odds = np.log((mine + 0.5) / (n_docs[c] + 1)) - np.log((base + 0.5) / (n_docs[-1] + 1))
+        odds[(mine < 2) | (odds < 1)] = 0
+        out[:, c] = np.bincount(row, odds[x.index] * np.log1p(mine[x.index]), minlength=len(x)) / np.sqrt(np.maximum(x.counts, 4))
+    return out
 
 
-def train(labelled: list[tuple[str | None, str | None]], others: list[str | None], seed: int = 3) -> Chain:
+def train(labelled: list[tuple[str | None, str | None]], others: list[str | None], seed: int = 3, turns: int = 3) -> Chain:
     """From (text, label) and unlabelled texts to a chain with thresholds."""
     rng = np.random.default_rng(seed)
     seeds = seed_phrases()
-    lexicon = {w for s, c in seeds if c >= 0 for w in Words().prepare(s).split() for w in Words().plain(w) if len(w) > 1 and w != "#"}
-    words = Words(lexicon)
-    plain_of = lambda s: " ".join(w for t in words.prepare(s).split() for w in words.plain(t))
-    base = {(plain_of(s), c) for s, c in seeds}
-    pool: dict[str, set[str | None]] = {}  # sentence to labels of its documents
-    for text, label in [*labelled, *((t, None) for t in others)]:
-        for s in _strings(text, words) if text else ():
-            pool.setdefault(s, set()).add(label)
-    strings = sorted(pool)
-    context = [s for s in strings if 6 <= s.count(" ") <= 20] or ["the list is kept in the file"]
-
-    def mixed(items: set[tuple[str, int]]) -> tuple[list[str], np.ndarray]:
-        """The sentences, and the bad ones once more beside ordinary words."""
-        plain = sorted(items)
-        more = []
-        for s, c in plain:
+    bare = Words()
+    lexicon = {w for s, c in seeds if c >= 0 for t in bare.prepare(s).split() for w in bare.plain(t) if len(w) > 2 and w != "#"}
+    # a document may have several labels: the most frequent one counts, between equals none
+    votes: dict[str, list[int]] = {}
+    for text, label in labelled:
+        if text and (label in CATEGORIES or label == "clean"):
+            votes.setdefault(text, []).append(CATEGORIES.index(label) if label in CATEGORIES else -1)
+    kinds = {}
+    for text, v in votes.items():
+        n = np.bincount(np.array(v) + 1)
+        kinds[text] = int(n.argmax()) - 1 if (n == n.max()).sum() == 1 else -2
+    named = len(kinds)
+    for text in others:
+        if text:
+            kinds.setdefault(text, -1)
+    texts, kind = list(kinds), np.array(list(kinds.values()), np.int64)
+    sure_clean = np.arange(len(kind)) < named  # labelled clean, not only unlabelled
+    n_docs = np.array([(kind == c).sum() for c in range(len(CATEGORIES))] + [(kind == -1).sum()])
+
+    positive: dict[int, set[str]] = {}
+    for turn in range(turns + 1):
+        words = Words(set(lexicon))
+        units: list[str] = []
+        owner: list[int] = []
+        for d, text in enumerate(texts):
+            own = _units(text, words)
+            units += own
+            owner += [d] * len(own)
+        doc = np.array(owner, np.int64)
+        fixed = [(" ".join(w for t in words.prepare(s).split() for w in words.plain(t)), c) for s, c in seeds]
+        _, x = sentences(units + [s for s, _ in fixed], words)
+        at_seeds = np.arange(len(units), len(x))
+        own_kind = kind[doc] if len(doc) else np.empty(0, np.int64)
+        if turn == 0:
+            score = _odds(x.take(np.arange(len(units))), doc, kind, n_docs, 1 << BITS)
+            # the odds of units of no document of the category say what counts as high
+            bar = np.array([np.quantile(score[own_kind == -1, c], 0.999) if (own_kind == -1).any() else 0.0 for c in range(len(CATEGORIES))])
+            p = np.clip(score / np.maximum(2 * bar, 1e-9), 0, 1)
+            sure = 2.0  # nothing outside labelled documents is taken yet
+        else:
+            p = model.probabilities(x)[: len(units)]
+            sure = 0.9
+        best = p.argmax(axis=1) if len(p) else np.empty(0, np.int64)
+        top = p.max(axis=1) if len(p) else np.empty(0)
+        y = np.full(len(units), -2)  # -2: left out
+        y[(own_kind != -2) & (top < 0.35)] = -1
+        y[(top < 0.6) & (own_kind == -1) & sure_clean[doc]] = -1
+        y[top > sure] = best[top > sure]
+        for c in range(len(CATEGORIES)):
+            mine = np.flatnonzero(own_kind == c)
+            if len(mine):
+                first = np.flatnonzero(np.append(True, doc[mine][1:] != doc[mine][:-1]))
+                peak = np.maximum.reduceat(p[mine, c], first)
+                is_peak = p[mine, c] >= np.repeat(peak, np.diff(np.append(first, len(mine))))
+                y[mine[is_peak & (p[mine, c] >= 0.4)]] = c
+        chosen = np.flatnonzero(y >= 0)
+        rest = np.flatnonzero(y == -1)
+        hard = rest[top[rest] > 0.03]
+        easy = rng.permutation(rest[top[rest] <= 0.03])[: 6000 if turn < turns else 9000]
+        lexicon |= {w for u in chosen for w in units[u].split(" ") if len(w) > 2 and w.isalpha()}
+        # bad units once more beside ordinary words, and seeds
+        beside = [units[u] for u in easy[:2000] if 6 <= units[u].count(" ") <= 20] or ["the list is kept in the file"]
+        more: list[tuple[str, int]] = []
+        for s, c in [*((units[u], int(y[u])) for u in chosen), *fixed]:
             if c >= 0 and s.count(" ") < 16:
-                beside = context[int(rng.integers(len(context)))].split(" ")
+                context = beside[int(rng.integers(len(beside)))].split(" ")
                 room = LONGEST - s.count(" ") - 1
-                more.append((" ".join([*beside[-room:], s]), c))
-                more.append((" ".join([s, *beside[:room]]), c))
-        every = [(" ".join(s.split(" ")[:LONGEST]), c) for s, c in plain + more]
-        y = np.zeros((len(every), len(CATEGORIES)))
-        for i, (_, c) in enumerate(every):
-            if c >= 0:
-                y[i, c] = 1
-        return [s for s, _ in every], y
-
-    def learn(items: set[tuple[str, int]]) -> tuple[Chain, np.ndarray, np.ndarray]:
-        texts, y = mixed(items)
-        owner, x = sentences(texts, words)
-        one = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        x, y = x.take(one), y[owner[one]]
-        return Chain(fit_chain(x, y, np.ones(len(x))), np.full(len(CATEGORIES), 0.5), lexicon), x, y
-
-    easy = [strings[i] for i in rng.permutation(len(strings))[:2500]]
-    chain, _, _ = learn(base | {(s, -1) for s in easy if None in pool[s] or "clean" in pool[s]})
-    for again in range(2):
-        p = chain.documents(strings, words) if strings else np.zeros((0, len(CATEGORIES)))
-        chosen = set(base)
-        order = rng.permutation(len(strings))
-        spare = 5000
-        for i in order:
-            s, labels, best = strings[i], pool[strings[i]], int(p[i].argmax())
-            named = [CATEGORIES.index(x) for x in labels if x in CATEGORIES]
-            top = p[i].max()
-            if top > 0.9 or (named and p[i, named].max() > 0.4):
-                c = best if top > 0.9 else named[int(p[i, named].argmax())]
-                chosen.add((s, c))
-            elif top < 0.35 and not named or "clean" in labels and top < 0.6:
-                if top > 0.03:
-                    chosen.add((s, -1))
-                elif spare:
-                    spare -= 1
-                    chosen.add((s, -1))
-        lexicon |= {w for s, c in chosen if c >= 0 and s.count(" ") < 26 for w in s.split(" ") if len(w) > 1 and w.isalpha()}
-        words = Words(lexicon)
-        chain, x, y = learn(chosen)
-    held = rng.random(len(x)) < 0.25
-    test = Chain(fit_chain(x.take(np.flatnonzero(~held)), y[~held], np.ones(int((~held).sum()))), chain.thresholds, lexicon)
-    chain.thresholds = np.minimum(calibrated(test.probabilities(x.take(np.flatnonzero(held))), y[held], 0.4), 0.5)
-    return chain
-
-
-def fitted_chain(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = 2000) -> Chain:
-    """The chain fitted on about ``sample`` labelled and ``sample`` other documents."""
+                more.append((" ".join([*context[-room:], s] if rng.random() < 0.5 else [s, *context[:room]]), c))
+        _, extra = sentences([s for s, _ in more], words)
+        at = np.concatenate([chosen, hard, easy, at_seeds]).astype(np.int64)
+        few = x.take(at)
+        both = Rows(np.zeros((len(few) + len(extra), 1)), np.concatenate([few.counts, extra.counts]), np.concatenate([few.index, extra.index]))
+        labels = np.concatenate([y[chosen], np.full(len(hard) + len(easy), -1), [c for _, c in fixed], [c for _, c in more]]).astype(np.int64)
+        target = np.zeros((len(both), len(CATEGORIES)))
+        target[np.flatnonzero(labels >= 0), labels[labels >= 0]] = 1
+        if turn < turns:
+            weight = np.where(labels >= 0, max(1.0, 0.3 * (labels < 0).sum() / max(1, (labels >= 0).sum())), 1.0)
+            model = fit(both, target, 1 << BITS, weight, epochs=6, decay=1e-6, flat=True)
+    ones = np.ones(len(both))
+    held = rng.random(len(both)) < 0.25
+    test = Chain(fit_chain(both.take(np.flatnonzero(~held)), target[~held], ones[~held], epochs=6), np.full(len(CATEGORIES), 0.5), lexicon)
+    thresholds = np.clip(calibrated(test.probabilities(both.take(np.flatnonzero(held))), target[held], 0.4), 0.4, 0.6)
+    return Chain(fit_chain(both, target, ones), thresholds, lexicon)
+
+
+def fitted_chain(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = 6000, unlabelled: int = 2000) -> Chain:
+    """The chain fitted on about ``sample`` labels and ``unlabelled`` other documents."""
     chosen = labels.select(F.col(key).alias("k"), F.col(label).alias("label")).where("k is not null")
     few = bounded_sample(chosen, "k", sample)
     named = docs.sparkSession.createDataFrame([(r["k"], r["label"]) for r in few], chosen.schema) if few else chosen.limit(0)
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     labelled = [(r["text"], r["label"]) for r in texts.join(F.broadcast(named), "k").orderBy("k", "label").collect()]  # bounded by the sample
-    return train(labelled, [r["text"] for r in bounded_sample(texts, "k", sample)])
+    return train(labelled, [r["text"] for r in bounded_sample(texts, "k", unlabelled)])
 
 
-def scores(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = 2000) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = 6000) -> DataFrame:
     """(key, category, score, abusive, hateful, sexual) of every document.
 
     ``category`` is null unless a category passes its threshold; score is the
@@ -359,7 +410,11 @@ def scores(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     example phrases alone do. Repeated rows are all scored; extra columns are not
     read.
     """
-    chain = fitted_chain(docs, labels, key, text, label, sample)
+    return apply_chain(fitted_chain(docs, labels, key, text, label, sample), docs, key, text)
+
+
+def apply_chain(chain: Chain, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``scores`` with a chain that was fitted before."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # of fixed size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
