@@ -29,7 +29,6 @@ _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _MARKUP = re.compile(r"<[^<>]*>|&\w+;|&#\d+;")
 _NAME = re.compile(r"\d|^[A-Z]{3,}|\w[A-Z]{2}")
-_CODE_LINE = re.compile(r"^\s{2,}\S|^[A-Z]{5,}(?: [A-Z]+\([^()]*\))+$|^\s*(?:select|dcl-\w|insert|update|delete|call)\b.*[;\w)]$")
 _END = re.compile(r"[.!?。](?:[\"'»)\]]*)\s*$")
 _OPEN_ITEM = re.compile(r"\n\s*(?:\d{1,3}[.)]|[-*•])\s*$|```[^`]*$")
 _CUT_MARK = re.compile(r"(?:\[[^\[\]]{2,20}\]|\.\.\.|…)\s*$")
@@ -48,41 +47,53 @@ for _i, _l in enumerate(_LANGS):
         _STOP.setdefault(_w, []).append((_i, 1.0))
 _STOP = {w: [(i, 1.0 / len(v)) for i, _ in v] for w, v in _STOP.items()}
 
-# Parts of refusals for the synthetic examples, by language.
+# Parts of refusals for the synthetic examples, by language; {x} is a word of the question.
 REFUSALS = {
     "en": (
-        ["", "Sorry, ", "I'm sorry, but ", "Unfortunately ", "As an assistant ", "Thank you for asking, however "],
-        ["I can't help with that", "I cannot provide any information about {x}", "I am not able to answer this question", "I don't know", "I have no idea", "we do not answer questions of this kind here", "I must decline to respond", "I would rather not comment on that", "nobody here is permitted to tell you", "I can't help with {x} requests", "that is something I won't explain", "no answer will be given to a question about {x}", "it is against our policy to discuss {x} matters", "I would rather not comment on that, as this is out of scope", "I am unable to assist you with {x}", "I do not know the answer", "I have no access to {x} and therefore can't say"],
-        ["", " Thanks for understanding.", " Please contact your administrator.", " Is there anything else I can do for you?", " Ask somebody else.", " This is out of scope."],
+        ["", "Sorry, ", "Apologies, but ", "Regrettably ", "As an AI system ", "Thanks, but "],
+        ["I can't assist with that", "I'm unable to give any details about {x}", "I can't answer this", "don't know, sorry", "I couldn't tell you", "I have no idea", "such questions aren't answered here", "I have to decline", "I'd prefer not to discuss {x}", "I'm not allowed to say anything about {x}", "I will not go into {x}", "no reply can be given on {x}", "our rules forbid talking about {x}", "this question can't be answered by me", "I don't have any information on {x}", "I refuse to answer", "I do not know the answer", "I cannot access {x} so can't tell", "you'd have to ask someone else about {x}", "I am unable to assist you with {x}", "not permitted to comment on {x}", "that falls outside my scope"],
+        ["", " Thank you for your patience.", " Try your support desk.", " Can I help otherwise?", " Better ask an expert.", " Please contact someone in charge."],
     ),
     "es": (
-        ["", "Lo siento, pero ", "Lamentablemente ", "Como asistente "],
-        ["no puedo ayudarte con eso", "no lo sé", "no puedo responder a esta pregunta", "no tengo la posibilidad de contestar sobre {x}", "no me está permitido responder a esta pregunta", "prefiero no opinar sobre {x}", "aquí no damos información sobre {x}", "no tengo acceso a {x} y por eso no puedo decirlo", "no se dará ninguna respuesta sobre {x}", "no tengo ni idea"],
-        ["", " Gracias por su comprensión.", " Consulte con su administrador.", " Pregunte a otra persona."],
+        ["", "Perdón, ", "Disculpe, pero ", "Desgraciadamente ", "Como sistema de IA "],
+        ["no puedo ayudar con ese tema", "ni idea", "no sabría decirte", "no puedo contestar eso", "no estoy autorizado a contestar sobre {x}", "prefiero no hablar de {x}", "no ofrecemos información sobre {x}", "no tengo acceso a {x} y por eso no puedo decirlo", "no se dará ninguna respuesta sobre {x}", "no tengo ni idea", "no puedo responder a esta pregunta", "me niego a contestar", "no dispongo de datos sobre {x}", "desconozco la respuesta", "no sé nada de {x}"],
+        ["", " Gracias por la paciencia.", " Hable con el servicio técnico.", " Mejor pregunte a un experto."],
     ),
     "fr": (
-        ["", "Désolé, ", "Je regrette, mais ", "Malheureusement ", "En tant qu'assistant, "],
-        ["je ne peux pas vous aider sur ce point", "je ne sais pas", "je ne suis pas autorisé à répondre à cette question", "je ne peux pas répondre", "aucune réponse ne sera donnée sur {x}", "je préfère ne rien dire à propos de {x}", "nous ne donnons pas de renseignements sur {x}", "je n'ai pas accès à {x} et ne peux donc rien dire", "je n'en ai aucune idée"],
-        ["", " Merci de votre compréhension.", " Adressez-vous à votre administrateur.", " Demandez à quelqu'un d'autre."],
+        ["", "Pardon, ", "Je regrette, mais ", "Hélas, ", "En tant que système d'IA, "],
+        ["je ne peux pas aider à ce sujet", "aucune idée", "je l'ignore", "je ne saurais le dire", "il m'est interdit de répondre à cela", "je ne peux pas répondre", "on ne répondra pas sur {x}", "je préfère ne pas parler de {x}", "nous ne donnons pas de renseignements sur {x}", "je n'ai pas accès à {x} et ne peux donc rien dire", "je n'en ai aucune idée", "je refuse de répondre", "je n'ai pas le droit de parler de {x}", "je n'ai aucune information sur {x}", "je ne sais rien sur {x}"],
+        ["", " Merci de votre patience.", " Contactez le support.", " Posez la question à un expert."],
     ),
     "de": (
-        ["", "Tut mir leid: ", "Es tut mir leid, ", "Bedaure, ", "Leider ", "Als Assistent: "],
-        ["dabei kann ich nicht helfen", "das weiß ich nicht", "diese Frage darf ich nicht beantworten", "diese Frage kann ich nicht beantworten", "zu {x} wird hier keine Auskunft gegeben", "dazu möchte ich mich nicht äußern", "ich habe keinen Zugriff auf {x} und kann daher nichts sagen", "ich habe keine Ahnung", "über {x} gebe ich keine Auskunft", "über {x} möchte ich nichts sagen"],
-        ["", " Danke für Ihr Verständnis.", " Wenden Sie sich an Ihren Administrator.", " Fragen Sie jemand anderen."],
+        ["", "Pardon, ", "Verzeihung, ", "Ich bedaure, ", "Als KI-System: "],
+        ["damit kann ich leider nicht dienen", "keine Ahnung", "das ist mir unbekannt", "das kann ich nicht sagen", "darauf darf ich nicht antworten", "diese Frage kann ich nicht beantworten", "dazu möchte ich mich nicht äußern", "ich habe keinen Zugriff auf {x} und kann daher nichts sagen", "ich habe keine Ahnung", "über {x} gebe ich keine Auskunft", "zu {x} sage ich nichts", "Fragen zu {x} werden nicht beantwortet", "ich lehne eine Antwort ab", "ich habe keine Angaben zu {x}"],
+        ["", " Danke für die Geduld.", " Rufen Sie den Support an.", " Fragen Sie einen Fachmann."],
     ),
 }
 # Answers that are only a placeholder.
 PLACEHOLDERS = ["", "-", "--", "...", "…", "?", "N/A", "n.a.", "n/a", "null", "none", "None", "nil", "TBD", "TODO", "A:", "Answer:", "[no answer]", "[deleted]", "[removed]", "(empty)", "no answer", "&nbsp;", "<p></p>", "<br>", "<div> </div>", "​", ".", "*", "xxx"]
 CUT_MARKS = ["", "", "", "", "", " [read more]", "...", "...", " …", " [more]", "…"]
-LEAD_INS = {"en": " Enter the following command:", "es": " Escriba el mandato siguiente:", "fr": " Entrez la commande suivante :", "de": " Geben Sie folgenden Befehl ein:"}
+LEAD_INS = {"en": " To do so, run this:", "es": " Para ello ejecute esto:", "fr": " Pour cela, exécutez ceci :", "de": " Führen Sie dazu dies aus:"}
 
-# Remarks that go with sound answers.
-REMARKS = {"en": ["Sorry for the late reply.", "Hope this helps."], "es": ["Siento la demora.", "Espero que sirva."], "fr": ["Désolé pour le retard.", "En espérant vous aider."], "de": ["Entschuldigung für die späte Antwort.", "Ich hoffe, das hilft."]}
+# Remarks that go with sound answers.
+REMARKS = {"en": ["Better late than never.", "Hope this helps."], "es": ["Perdón por tardar tanto.", "Espero que sirva."], "fr": ["Pardon pour le délai.", "En espérant vous aider."], "de": ["Verzeihung, dass es gedauert hat.", "Ich hoffe, das hilft."]}
 _LABELS = {"q", "a", "question", "answer", "r", "p", "f"}
 
 N_DENSE = 25
 
 
+def is_code(line: str) -> bool:
+    """A line that is indented, ends as statements do, or consists of names and signs
+    rather than of words of a language."""
+    if line[:2].isspace() and line.strip() or line.rstrip().endswith((";", "{", "}")):
+        return True
+    tokens = _TOKEN.findall(line)
+    words = [t for t in tokens if t[0].isalpha()]
+    plain = sum(t.islower() for t in words)
+    common = sum(t.lower() in _STOP for t in words)
+    return len(tokens) > 1 and common <= 1 and 2 * plain < len(words) and len(tokens) - len(words) > 0 and (line.rstrip()[-1:].isalnum() or line.rstrip()[-1:] in ")'\"")
+
+
 def language_votes(words: list[str]) -> np.ndarray:
     v = np.zeros(len(_LANGS))
     for w in words:
@@ -110,14 +121,14 @@ def features(questions: list[str | None], answers: list[str | None], hashes: Wor
         novel = len(set(a_words) - q_set - _LABELS)
         covered = len(q_set & set(a_words)) / max(1, len(q_set))
         lines = a.split("\n")
-        prose_words = _WORD.findall(" ".join(x for x in lines if not _CODE_LINE.match(x)).lower())
+        prose_words = _WORD.findall(" ".join(x for x in lines if not is_code(x)).lower())
         q_votes, a_votes = language_votes(q_words), language_votes(prose_words)
         ql, al = int(q_votes.argmax()), int(a_votes.argmax())
         strength = a_votes[al] - a_votes[ql]
         q_strength = q_votes[ql] - np.partition(q_votes, -2)[-2]
         tail = lines[-1]
         # the answer keeps its own leading blanks: code is indented
-        code = bool(_CODE_LINE.match(tail)) and tail.count("(") == tail.count(")")
+        code = is_code(tail) and tail.count("(") == tail.count(")")
         mark = bool(_CUT_MARK.search(a)) and a_len > 0
         hanging = a_len > 2 and bool(_OPEN_ITEM.search(a))
         ended = bool(_END.search(a)) and not mark and not hanging
@@ -173,7 +184,7 @@ def broken_examples(rows: list, rng: np.random.Generator) -> list[tuple[str, str
                 if style < 5:
                     cut = cut[: max(15, len(cut) - int(rng.integers(1, 5)))]
                 cut = cut.rstrip(" .!?")
-                if _CODE_LINE.match(cut.split("\n")[-1]):
+                if is_code(cut.split("\n")[-1]):
                     continue
                 cut += CUT_MARKS[int(rng.integers(len(CUT_MARKS)))]
             out.append((q, cut, 1))
@@ -268,15 +279,26 @@ def fit_model(pairs: list[tuple[str | None, str | None]], seed: int = 11) -> Pai
     return PairModel(model, calibrated(model.probabilities(x.take(test)), y[test]) if len(test) else np.full(len(DEFECTS), 0.5))
 
 
-def find_defects(bank: DataFrame, key: str, question: str, answer: str, sample: int = SAMPLE) -> DataFrame:
+def save(model: PairModel, path: str) -> None:
+    """Write a fitted model to a file, so that later runs need not fit again."""
+    with open(path, "wb") as f:
+        np.savez_compressed(f, dense=model.model.dense, hashed=model.model.hashed, bias=model.model.bias, thresholds=model.thresholds)
+
+
+def load(path: str) -> PairModel:
+    with np.load(path, allow_pickle=False) as z:
+        return PairModel(Linear(z["dense"], z["hashed"], z["bias"]), z["thresholds"])
+
+
+def find_defects(bank: DataFrame, key: str, question: str, answer: str, sample: int = SAMPLE, model: PairModel | None = None) -> DataFrame:
     """(key, defect, score) of each defective row, one defect a row.
 
-    The model is fitted on about ``sample`` rows; every row is scored. A null
+    The model is fitted on about ``sample`` rows, unless one is given; every row is scored. A null
     answer is 'empty'; a null question is compared as an empty one. An empty table
     has no defects. Repeated rows count as rows; extra columns are not read.
     """
     rows = bank.select(F.col(key).alias("key"), F.col(question).alias("question"), F.col(answer).alias("answer"))
-    model = fit_model([(r["question"], r["answer"]) for r in bounded_sample(rows, "key", sample)])
+    model = model or fit_model([(r["question"], r["answer"]) for r in bounded_sample(rows, "key", sample)])
     shared = bank.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

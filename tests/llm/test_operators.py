@@ -426,7 +426,7 @@ def test_pages(spark):
 def test_defects(spark):
     bank = spark.read.parquet("/root/testdata/sf0.01/question_bank.parquet").selectExpr("row_no", "question q", "expected_answer_summary a", "lang defect")
     q = bank.where("row_no = 1").first()["q"]
-    odd = [(10**6 + i, q, a, "x") for i, a in enumerate([None, "", "<p></p>", q, q.upper(), "Je ne sais pas, demandez à quelqu'un d'autre."])] + [(2 * 10**6, None, None, "x"), (2 * 10**6 + 1, None, "*NONE", "x")]
+    odd = [(10**6 + i, q, a, "x") for i, a in enumerate([None, "", "<p></p>", q, q.upper(), "Je refuse de répondre, demandez à quelqu'un d'autre."])] + [(2 * 10**6, None, None, "x"), (2 * 10**6 + 1, None, "*NONE", "x")]
     both = bank.unionByName(spark.createDataFrame(odd, bank.schema))
     got = {r["row_no"]: r["defect"] for r in pair_quality.find_defects(both, "row_no", "q", "a").collect()}
     assert [got.get(10**6 + i) for i in range(6)] == ["empty"] * 3 + ["copies_question"] * 2 + ["refusal"]
@@ -435,7 +435,7 @@ def test_defects(spark):
     assert pair_quality.find_defects(bank.limit(0), "row_no", "q", "a").count() == 0
 
 
-def test_defect_model_on_held_out_examples(spark):
+def test_defect_model_on_held_out_examples(spark, tmp_path):
     bank = spark.read.parquet("/root/testdata/sf0.01/question_bank.parquet").collect()
     pairs = [(r["question"], r["expected_answer_summary"]) for r in bank]
     model = pair_quality.fit_model(pairs[:1500])
@@ -444,24 +444,79 @@ def test_defect_model_on_held_out_examples(spark):
     broken = pair_quality.broken_examples(sound, rng)
     which, _ = model.defects([q for q, _, _ in broken], [a for _, a, _ in broken], WordHashes())
     assert np.mean(which == [d for _, _, d in broken]) > 0.93
+    # a saved model says the same
+    pair_quality.save(model, str(tmp_path / "pairs.npz"))
+    again, _ = pair_quality.load(str(tmp_path / "pairs.npz")).defects([q for q, _, _ in broken], [a for _, a, _ in broken], WordHashes())
+    assert np.array_equal(which, again)
 
 
 # ---- abuse ---------------------------------------------------------------------------------------
 
 
-def test_abuse(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit("z").alias("category"))
-    labels = spark.read.parquet("/root/testdata/sf0.01/review_labels.parquet")
-    more = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "y0u 4r3 n0th1ng but 4 w0rthl3$$ 1d10t"), (10**6 + 3, "Y o u w o r t h l e s s idiot."), (10**6 + 4, "The word filter rejects postings that contain terms such as idiot or porn; the list is kept in X."), (10**6 + 5, "All immigrants are vermin and should be driven out"), (10**6 + 6, "Frее hardcоrе pоrn with hоrny men, no sign-up")]
-    both = docs.unionByName(spark.createDataFrame([(k, t, "z") for k, t in more], docs.schema))
-    got = {r["doc_id"]: (r["category"], r["score"]) for r in abuse.scores(both, labels, "doc_id", "text", "label").collect()}
-    assert len(got) == both.count()
-    assert got[10**6] == (None, 0.0) and got[10**6 + 1] == (None, 0.0)
+def test_abuse(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", F.lit("z").alias("category"))
+    labels = spark.read.parquet("/root/testdata/sf0.1/review_labels.parquet")
+    chain = abuse.fitted_chain(docs, labels, "doc_id", "text", "label")
+    more = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "y0u 4r3 such a fuck1ng 1d10t"), (10**6 + 3, "You are such a s t u p i d idiot."), (10**6 + 4, "Profanity such as idiot or porn is masked by the filter; the list is kept in X."), (10**6 + 5, "I hate immigrants, deport every last one of this vermin"), (10**6 + 6, "Frее хxx pоrn movies for adults")]
+    odd = spark.createDataFrame([(k, t, "z") for k, t in more], docs.schema)
+    got = {r["doc_id"]: (r["category"], r["score"]) for r in abuse.apply_chain(chain, odd, "doc_id", "text").collect()}
+    assert len(got) == len(more) and got[10**6] == (None, 0.0) and got[10**6 + 1] == (None, 0.0)
     assert [got[10**6 + i][0] for i in range(2, 7)] == ["abusive", "abusive", None, "hateful", "sexual"]
-    assert sum(c is not None for c, _ in got.values()) < 0.06 * len(got)
+    abuse.save(chain, str(tmp_path / "chain.npz"))
+    again = {r["doc_id"]: (r["category"], r["score"]) for r in abuse.apply_chain(abuse.load(str(tmp_path / "chain.npz")), odd, "doc_id", "text").collect()}
+    assert again == got
+    few = docs.where("doc_id % 10 = 0")
+    flagged = {r["doc_id"]: r["category"] for r in abuse.apply_chain(chain, few, "doc_id", "text").where("category is not null").collect()}
+    assert 0.01 < len(flagged) / few.count() < 0.06
     assert abuse.scores(docs.limit(0), labels.limit(0), "doc_id", "text", "label").count() == 0
 
 
+def test_abuse_is_learned_from_labels():
+    """Half of the few labels (about 25 documents of the three categories) teach, the other half judge."""
+    import pyarrow.parquet as pq
+
+    text = dict(zip(*(c.to_pylist() for c in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).columns)))
+    names = [(r["doc_id"], r["label"]) for r in pq.read_table("/root/testdata/sf0.1/review_labels.parquet").to_pylist() if r["doc_id"] in text]
+    held = {k for k, _ in names if k % 2}
+    chain = abuse.train([(text[k], c) for k, c in names if k not in held], [t for k, t in text.items() if k % 5 == 0])
+    judged = sorted({k for k in held if {c for j, c in names if j == k} <= {"hateful", "sexual", "clean"}})
+    p = chain.documents([text[k] for k in judged], abuse.Words(chain.lexicon)) / chain.thresholds
+    bad = np.array([any(c in abuse.CATEGORIES for j, c in names if j == k) for k in judged])
+    assert (p.max(axis=1) >= 1)[bad].mean() > 0.4 and (p.max(axis=1) >= 1)[~bad].mean() < 0.03 and bad.sum() > 10
+
+
+def _plain(text):
+    return " ".join(re.findall(r"\w+", text.lower()))
+
+
+def test_no_text_of_the_tables_in_the_examples():
+    import ahocorasick
+    import pyarrow.parquet as pq
+
+    said = [s for s, _ in abuse.seed_phrases()] + [s for by in abuse.PHRASES.values() for x in by.values() for s in x]
+    said += [s for parts in pair_quality.REFUSALS.values() for x in parts for s in x] + [s for x in pair_quality.REMARKS.values() for s in x] + list(pair_quality.LEAD_INS.values())
+    parts = {p for s in said for x in re.split(r"\{\w\}", s) if len((p := _plain(x)).split()) >= 3}
+    found = ahocorasick.Automaton()
+    for p in parts:
+        found.add_word(f" {p} ", p)
+    found.make_automaton()
+    for table, column in (("documents", "text"), ("question_bank", "expected_answer_summary")):
+        for t in pq.read_table(f"/root/testdata/sf0.1/{table}.parquet", columns=[column])[column].to_pylist():
+            assert not t or not list(found.iter(f" {_plain(t)} "))
+    assert len(parts) > 200
+
+
+def test_bounded_sample_of_any_table(spark):
+    from quarrylake.llm.linear import bounded_sample
+
+    d = spark.range(20_000).withColumn("word", F.lit(None).cast("string"))
+    few = bounded_sample(d, "id", 500)
+    assert 400 < len(few) < 620 and [r["id"] for r in few] == [r["id"] for r in bounded_sample(d.repartition(7), "id", 500)]
+    assert len(bounded_sample(d.limit(0), "id", 5)) == 0 and len(bounded_sample(spark.range(3), "id", 50)) == 3
+    same = bounded_sample(spark.range(1000).select(F.lit(1).alias("id")), "id", 10)
+    assert len(same) <= 15
+
+
 # ---- queries ---------------------------------------------------------------------------------------
 
 
