@@ -31,7 +31,7 @@ from quarrylake.llm.tokenize import encoder, vocabulary_path
 CAPACITY = 2048
 ROWS_A_SHARD = 20_000
 #: Bands for clusters of similarity 0.8: a pair at 0.8 is missed with probability 0.0002.
-CLUSTER = {"threshold": 0.8, "min_words": 5, "shingle": 5, "bands": 16, "rows": 4}
+CLUSTER = {"threshold": 0.8, "min_words": 5, "shingle": 5, "bands": 12, "rows": 3}
 RULES = ("both", "copies", "none")
 _OUT = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("container", pa.int64()), ("position", pa.int32()), ("token_start", pa.int64()), ("n_tokens", pa.int32()), ("rule", pa.string()), ("conflict", pa.string())])
 
@@ -45,8 +45,8 @@ def token_sizes(df: DataFrame, key: str, text: str, source: str, vocabulary: str
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 b = whole.slice(start, 2000)
-                offsets, _ = enc.encode_batch(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("source"), pa.array(np.diff(offsets).astype(np.int64))], names=["key", "source", "size"])
+                sizes = enc.count_batch(b.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("source"), pa.array(sizes.astype(np.int64))], names=["key", "source", "size"])
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.length("text") > 0)
     return rows.mapInArrow(run, "key long, source string, size long").where("size > 0")

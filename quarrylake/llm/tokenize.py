@@ -339,17 +339,25 @@ class PrefixEncoder:
                 self._remember([w for _, _, w in todo[start:end]], *self._encode_block([raw for _, raw, _ in todo[start:end]]))
                 start = end
 
-    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of all texts; null and empty texts have no ids."""
+    def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(where each text's words end, places of all words)."""
         cut = [self.find(t) if t else [] for t in texts]
         if len(self.index) > 300_000:
             self.forget()
-        fresh = set().union(*cut).difference(self.index)
-        self.learn(list(fresh))
+        self.learn(list(set().union(*cut).difference(self.index)))
         place = self.index.__getitem__
-        at = np.array([k for c in cut for k in map(place, c)], np.int64)
+        return np.cumsum([len(c) for c in cut]), np.array([k for c in cut for k in map(place, c)], np.int64)
+
+    def count_batch(self, texts: list[str | None]) -> np.ndarray:
+        """Number of ids of each text."""
+        words_end, at = self._places(texts)
+        ends = np.concatenate([[0], np.cumsum(self.counts[at])])
+        return np.diff(np.concatenate([[0], ends[words_end]]))
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of all texts; null and empty texts have no ids."""
+        words_end, at = self._places(texts)
         counts = self.counts[at]
-        words_end = np.cumsum([len(c) for c in cut])
         ends = np.concatenate([[0], np.cumsum(counts)])
         gather = np.repeat(self.starts[at] - ends[:-1], counts) + np.arange(ends[-1])
         return np.concatenate([[0], ends[words_end]]), self.flat[gather]
