@@ -52,19 +52,19 @@ def exclude_held_out(train: DataFrame, held: DataFrame, keys: list[str]) -> Data
     return train
 
 
-def seen_set(df: DataFrame, keys: list[str], order: str, rounds: int = 100) -> DataFrame:
+def seen_set(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows kept by reading in ``order`` (unique) and dropping a row that shares any
     key with a row kept before. Null keys match nothing.
 
     Instead of one reader, rounds over the undecided rows: a row that is the first
     of all its keys is kept, and rows that share a key with a kept one are dropped.
-    The first undecided row is always decided, and in practice nearly all are in the
-    first rounds.
+    The first undecided row is always decided, so the rounds come to an end, however
+    long a chain of rows that share keys is; they go on until every row is decided.
     """
     values = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(k).cast("string").alias("v")) for i, k in enumerate(keys)]), lambda x: x["v"].isNotNull())
     open_ = df.select(F.col(order).alias("_o"), values.alias("_k"))
     kept = None
-    for _ in range(rounds):
+    while True:
         each = open_.select("_o", F.explode_outer("_k").alias("k")).select("_o", F.col("k.i").alias("i"), F.col("k.v").alias("v"))
         first = each.where("v is not null").groupBy("i", "v").agg(F.min("_o").alias("f"))
         ahead = each.join(first, ["i", "v"]).where(F.col("_o") != F.col("f")).select("_o").distinct()

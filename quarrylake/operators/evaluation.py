@@ -92,20 +92,70 @@ def rotating_window(df: DataFrame, key: str, start: int, size: int) -> DataFrame
     return placed.withColumn("turn", F.pmod(F.col("o") + F.col("i") - start, F.lit(max(total, 1)))).where(F.col("turn") < size).select(key, F.col("turn").cast("long").alias("turn"))
 
 
+def seeded_sample(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
+    """(key, turn): the first ``size`` rows of the seeded shuffle of all rows in the order
+    of the key; a sampling operator. The shuffle is a chain of swaps and runs on the
+    driver over positions, eight bytes a row; the rows themselves stay where they are."""
+    ordered = cut(rotating_window(df, key, 0, 1 << 62))
+    picked = park_miller_order(ordered.count(), seed)[:size]
+    turns = df.sparkSession.createDataFrame([(p, t) for t, p in enumerate(picked)], "turn long, place long")
+    return ordered.join(turns, "turn").select(key, F.col("place").alias("turn"))
+
+
+def ntuples(cases: DataFrame, negatives: DataFrame, few: int) -> DataFrame:
+    """(case, query, positive, negative_1 ...): one row a case with at least ``few``
+    negatives (case, negative, place), texts from cases (case, question, answer)."""
+    answers = cases.select(F.col("case").alias("negative"), F.col("answer").alias("text"))
+    wide = negatives.where(F.col("place") <= few).join(answers, "negative").groupBy("case").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("place", "text"))).alias("t"))
+    rows = cases.join(wide.where(F.col("n") >= few), "case")
+    return rows.select("case", F.col("question").alias("query"), F.col("answer").alias("positive"), *[F.col("t")[i]["text"].alias(f"negative_{i + 1}") for i in range(few)])
+
+
+def labelled_pairs(cases: DataFrame, negatives: DataFrame) -> DataFrame:
+    """(case, query, passage, label): every case with its answer, label 1, and with the
+    answers of its negatives, label 0."""
+    answers = cases.select(F.col("case").alias("negative"), F.col("answer").alias("passage"))
+    wrong = negatives.select("case", "negative").join(answers, "negative").join(cases.select("case", F.col("question").alias("query")), "case").select("case", "query", "passage", F.lit(0.0).alias("label"))
+    return cases.select("case", F.col("question").alias("query"), F.col("answer").alias("passage"), F.lit(1.0).alias("label")).unionByName(wrong)
+
+
+def reranking_samples(cases: DataFrame, negatives: DataFrame) -> DataFrame:
+    """(query, positive, negative): arrays of texts for the evaluation of a reranker."""
+    answers = cases.select(F.col("case").alias("negative"), F.col("answer").alias("text"))
+    wrong = negatives.join(answers, "negative").groupBy("case").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("negative"))
+    return cases.join(wrong, "case").select("case", F.col("question").alias("query"), F.array("answer").alias("positive"), "negative")
+
+
+def golden_check(hits: DataFrame, golden: DataFrame, top: int = 5) -> DataFrame:
+    """(name, reason): what is wrong with the hits (name, place, title) of each golden
+    query (name, first_title, contains_title, pattern); null if nothing is."""
+    titles = hits.where(F.col("place") <= top).groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "title"))), lambda x: x["title"]).alias("titles"))
+    rows = golden.join(titles, "name", "left")
+    reason = (
+        F.when(F.coalesce(F.size("titles"), F.lit(0)) <= 0, "no results")
+        .when(F.col("first_title").isNotNull() & (F.col("titles")[0] != F.col("first_title")), "another title is first")
+        .when(F.col("contains_title").isNotNull() & ~F.exists("titles", lambda t: F.contains(t, F.col("contains_title"))), "a title is missing")
+        .when(F.col("pattern").isNotNull() & ~F.regexp(F.array_join("titles", "\n"), F.concat(F.lit("(?i)"), F.col("pattern"))), "no title has the pattern")
+    )
+    return rows.select("name", reason.alias("reason"))
+
+
 def graded_metrics(ranked: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = (1, 5, 10), longest: int = 100) -> DataFrame:
-    """Accuracy, precision and recall at the cuts, NDCG@10 and MAP@100, averaged over
+    """Accuracy, precision and recall at the cuts, MRR@10 and MRR@100, NDCG@10 and MAP@100, averaged over
     the questions of ``relevant`` (question, n_relevant); ``ranked`` has question,
     rank and relevant. A question without any hit counts as 0."""
     hits = ranked.where(F.col("relevant") & (F.col("rank") <= longest)).withColumn("hit_no", F.row_number().over(Window.partitionBy("question").orderBy("rank")))
     log2 = lambda c: F.log(2.0, c)
     per = hits.groupBy("question").agg(
         *[F.count_if(F.col("rank") <= c).alias(f"h{c}") for c in cuts],
-        F.sum(F.when(F.col("rank") <= 10, 1 / log2(F.col("rank") + 1))).alias("dcg"), F.sum(F.col("hit_no") / F.col("rank")).alias("ap"),
+        F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= 10, 1 / log2(F.col("rank") + 1))).alias("dcg"), F.sum(F.col("hit_no") / F.col("rank")).alias("ap"),
     )
     best = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / log2(i + 1))
     rows = relevant.where("n_relevant > 0").join(per, "question", "left").fillna(0)
+    reciprocal = lambda c: F.when((F.col("first") > 0) & (F.col("first") <= c), 1 / F.col("first")).otherwise(0.0)
     mean = lambda c: F.round(F.avg(c), 6)
     return rows.agg(
         F.count("*").alias("n"), *[mean((F.col(f"h{c}") > 0).cast("double")).alias(f"accuracy{c}") for c in cuts], *[mean(F.col(f"h{c}") / c).alias(f"precision{c}") for c in cuts],
         *[mean(F.col(f"h{c}") / F.col("n_relevant")).alias(f"recall{c}") for c in cuts], mean(F.col("dcg") / best).alias("ndcg10"), mean(F.col("ap") / F.least("n_relevant", F.lit(longest))).alias("map100"),
+        mean(reciprocal(10)).alias("mrr10"), mean(reciprocal(100)).alias("mrr100"),
     )

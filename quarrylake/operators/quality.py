@@ -59,6 +59,42 @@ def vector_coverage(docs: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame
     return out
 
 
+def release_gate(docs: DataFrame, declared: DataFrame, missing: DataFrame, coverage: DataFrame, releases: list[str], min_documents: int = 5000, max_stub: float = 0.015, max_short: float = 0.015, min_categories: int = 8, category_size: int = 50, release_size: int = 100, short: int = 300) -> DataFrame:
+    """(name, actual, threshold, operator, ok) of all checks before a release: texts and
+    vectors complete, number of documents, exact duplicates, categories as declared,
+    substantial categories, share of stubs and of short documents, documents a release.
+
+    ``declared`` has the counts a manifest states (value, n), ``missing`` the records
+    whose text is not there, ``coverage`` the counts of what lacks vectors (metric, n).
+    """
+    one = docs.agg(F.count("*").alias("total"), F.count_if(F.col("text_length") < short).alias("short"), F.count_if(F.coalesce(F.col("document_kind"), F.lit("")) == "stub").alias("stub"), *[F.count_if(F.col("doc_version") == r).alias(f"r{i}") for i, r in enumerate(releases)])
+    more = [
+        docs.groupBy("category").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") >= category_size).alias("substantial")),
+        exact_duplicates(docs).agg(F.count("*").alias("twice")),
+        declared_consistency(declared, docs, "category").where("declared > 0").agg(F.count("*").alias("stated"), F.count_if("ok").alias("held")),
+        missing.agg(F.count("*").alias("missing")),
+        coverage.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("uncovered")),
+    ]
+    for row in more:
+        one = one.crossJoin(row)  # one row each
+    rate = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(F.lit(1.0))
+    number = lambda c: F.col(c).cast("double")
+    whole = ((F.col("missing") == 0) & (F.col("uncovered") == 0)).cast("double")
+    checks = [
+        ("integrity", whole, F.lit(1.0), "eq"), ("documents", number("total"), F.lit(float(min_documents)), "gte"), ("exact_duplicates", number("twice"), F.lit(0.0), "eq"),
+        ("declared_categories", F.when(F.col("stated") > 0, number("held")).otherwise(F.lit(-1.0)), number("stated"), "eq"), ("substantial_categories", number("substantial"), F.lit(float(min_categories)), "gte"),
+        ("stub_rate", rate("stub"), F.lit(max_stub), "lte"), ("short_rate", rate("short"), F.lit(max_short), "lte"), *[(f"release_{r}", number(f"r{i}"), F.lit(float(release_size)), "gte") for i, r in enumerate(releases)],
+    ]
+    holds = {"gte": lambda a, t: a >= t, "lte": lambda a, t: a <= t, "eq": lambda a, t: a == t}
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.round(a, 6).alias("actual"), t.alias("threshold"), F.lit(op).alias("operator"), holds[op](a, t).alias("ok")) for n, a, t, op in checks])
+    return one.select(F.explode(rows).alias("c")).select("c.*")
+
+
+def failed_checks(gate: DataFrame) -> DataFrame:
+    """One row: whether all checks hold, and the names of those that do not."""
+    return gate.agg(F.bool_and("ok").alias("ok"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("name")))).alias("failed"))
+
+
 def quality_gate(docs: DataFrame, short: int = 300, min_documents: int = 500, min_categories: int = 5, category_size: int = 20, max_short: float = 0.05) -> DataFrame:
     """Named checks: value, threshold, whether it holds. One pass over the documents
     and one over exact duplicates."""
@@ -95,6 +131,13 @@ def declared_consistency(declared: DataFrame, docs: DataFrame, column: str) -> D
     return both.select("value", F.coalesce("declared", F.lit(0)).alias("declared"), F.coalesce("actual", F.lit(0)).alias("actual"), (F.coalesce("declared", F.lit(0)) == F.coalesce("actual", F.lit(0))).alias("ok"))
 
 
+def tree_digest(folders: DataFrame) -> DataFrame:
+    """(digest, n): SHA-256 over the sorted 'folder digest' lines of ``folder_digest``, of
+    which there are as many as prefixes of names, a fixed number."""
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("folder", "digest"))), lambda x: F.concat(x["folder"], F.lit(" "), x["digest"], F.lit("\n"))), "")
+    return folders.agg(F.sha2(lines, 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def folder_digest(files: DataFrame, path: str, sha: str, digits: int = 2) -> DataFrame:
     """(folder, digest, n): SHA-256 over the sorted 'path NUL sha LF' lines of each
     folder. A folder is the files whose names begin with the same ``digits``

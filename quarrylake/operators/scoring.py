@@ -75,6 +75,29 @@ def passage_text(title: Column, breadcrumbs: Column, body: Column, prefix: str =
     return F.concat(F.lit(prefix), F.concat_ws("\n", F.nullif(title, F.lit("")), trail, body))
 
 
+def title_text(title: Column, breadcrumbs: Column, category: Column, version: Column, prefix: str = "passage: ") -> Column:
+    """What an embedder reads of a document's identity, without its text."""
+    trail = F.nullif(F.array_join(F.coalesce(breadcrumbs, F.array().cast("array<string>")), " > "), F.lit(""))
+    some = [F.nullif(c, F.lit("")) for c in (title, trail, category, version)]
+    return F.concat(F.lit(prefix), F.btrim(F.concat_ws("\n", *some)))
+
+
+def query_text(question: Column, prefix: str = "query: ") -> Column:
+    return F.concat(F.lit(prefix), F.btrim(question))
+
+
+def reranker_text(title: Column, breadcrumbs: Column, category: Column, version: Column, body: Column, product: str = "") -> Column:
+    """What a reranker reads of a passage: title, trail, category, product and version, body."""
+    trail = F.nullif(F.array_join(F.coalesce(breadcrumbs, F.array().cast("array<string>")), " > "), F.lit(""))
+    release = F.nullif(F.btrim(F.concat_ws(" ", F.lit(product), F.nullif(version, F.lit("")))), F.lit(""))
+    return F.concat_ws(". ", F.nullif(title, F.lit("")), trail, F.nullif(category, F.lit("")), release, F.nullif(body, F.lit("")))
+
+
+def model_info(embedder: Callable, scorer: Callable) -> dict[str, str]:
+    """Names of the plugged-in models."""
+    return {"embedder": f"{embedder.__module__}.{embedder.__qualname__}", "scorer": f"{scorer.__module__}.{scorer.__qualname__}"}
+
+
 def to_bytes(df: DataFrame, vector: str, out: str = "blob") -> DataFrame:
     """Vectors as little-endian 32-bit floats."""
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
@@ -36,7 +36,7 @@ def sections(docs: DataFrame, key: str, text: str, most: int = 80) -> DataFrame:
     trim = lambda x: F.btrim(x, F.lit(" \t\r"))
     lines = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("t"), F.split(F.col(text), r"\r?\n").alias("lines"))
     n = F.size("lines")
-    kinds = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), trim(x).alias("title"), F.when(F.length(x) <= 400, T.section_kind(trim(x))).alias("kind")))
+    kinds = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), trim(x).alias("title"), F.when(F.length(trim(x)) <= 140, T.section_kind(trim(x))).alias("kind")))
     # the kind of a line too long for a heading is not looked for
     heads = F.filter(kinds, lambda h: (h["title"] != "") & (F.length(h["title"]) <= 140) & ((h["kind"] != "generic") | (h["title"].rlike(HEADING_CAPS) & (h["no"] > 1))))
     found = lines.withColumn("heads", heads)
@@ -71,7 +71,7 @@ def structural_blocks(text: str) -> list[str]:
 def cut_line(line: str, limit: int) -> Iterator[str]:
     """Cut at the last blank that is late enough, else at the limit."""
     while len(line) > limit:
-        at = line.rfind(" ", 0, limit + 1)
+        at = line.rfind(" ", 0, limit + 1)  # ends of sentences and clauses are blanks as well
         at = at + 1 if at >= int(limit * 0.6) else limit
         yield line[:at].strip()
         line = line[at:].lstrip()
@@ -89,6 +89,17 @@ def greedy_join(units: list[str], glue: str, limit: int) -> list[str]:
     return out
 
 
+def read_sections(docs: DataFrame, found: DataFrame, key: str, text: str, most: int = 4000) -> DataFrame:
+    """(key, section_index, section_kind, title, body, start_line, end_line): the sections
+    found, and for a document without any its first ``most`` characters as one."""
+    alone = docs.join(found.select(key).distinct(), key, "left_anti").where(F.btrim(F.col(text), F.lit(" \t\r\n")) != "")
+    whole = alone.select(
+        key, F.lit(0).alias("section_index"), F.lit("generic").alias("section_kind"), F.lit("Content").alias("title"),
+        F.substring(text, 1, most).alias("body"), F.lit(1).alias("start_line"), F.size(F.split(text, "\n")).alias("end_line"),
+    )
+    return found.select(whole.columns).unionByName(whole)
+
+
 def split_chunks(text: str, limit: int = 1800) -> list[str]:
     """Blocks packed greedily up to the limit; an empty text is one empty chunk."""
     clean = text.strip()
@@ -111,15 +122,16 @@ def atomic_entries(text: str) -> list[str]:
     return entries + [f"{a} {b}" for a, b in zip(lines, lines[1:]) if _TERM.match(a) and meaning(b)]
 
 
-def chunks(docs: DataFrame, key: str, text: str, limit: int = 1800, atomic: bool = False) -> DataFrame:
-    """(key, chunk_index, body, token_hint): packed chunks, and single entries if
-    ``atomic``; chunks that differ only in blanks or case are kept once."""
+def chunks(docs: DataFrame, key: str, text: str, limit: int = 1800, atomic: bool | Column = False) -> DataFrame:
+    """(key, chunk_index, body, token_hint): packed chunks, and single entries of
+    documents for which ``atomic`` holds (a value or a column, see ``has_entries``);
+    chunks that differ only in blanks or case are kept once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for k, t in zip(f["k"], f["t"]):
-                bodies = split_chunks(t or "", limit) + (atomic_entries(t or "") if atomic else [])
+            for k, t, single in zip(f["k"], f["t"], f["single"]):
+                bodies = split_chunks(t or "", limit) + (atomic_entries(t or "") if single else [])
                 seen: dict[str, str] = {}
                 for b in bodies:
                     if b.strip():
@@ -128,13 +140,13 @@ def chunks(docs: DataFrame, key: str, text: str, limit: int = 1800, atomic: bool
             yield pd.DataFrame(rows, columns=["k", "chunk_index", "body", "token_hint"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, chunk_index int, body string, token_hint int").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.lit(atomic) if isinstance(atomic, bool) else F.coalesce(atomic, F.lit(False))).alias("single")).mapInPandas(run, f"k {kind}, chunk_index int, body string, token_hint int").withColumnRenamed("k", key)
 
 
 def passage_windows(docs: DataFrame, key: str, text: str, least: int = 20, longest: int = 700, most: int = 8) -> DataFrame:
     """(key, window_no, window): sentences of at least ``least`` characters, two by two."""
     marked = F.regexp_replace(T.normalize_passage(F.col(text)), r"([.!?]) +", "$1\n")
-    sentences = F.filter(F.transform(F.split(marked, "\n"), F.btrim), lambda s: F.length(s) >= least)
+    sentences = F.filter(F.transform(F.split(marked, "\n"), lambda x: F.btrim(x)), lambda s: F.length(s) >= least)
     base = docs.where(F.col(text).isNotNull()).select(F.col(key), sentences.alias("s")).where(F.size("s") > 0)
     starts = F.sequence(F.lit(1), F.size("s"), F.lit(2))
     windows = F.transform(starts, lambda i: F.substring(F.array_join(F.slice(F.col("s"), i, 2), " "), 1, longest))
@@ -149,6 +161,16 @@ def query_perspectives(df: DataFrame, key: str, text: str, least: int = 24, most
     return df.where(F.coalesce(clean, F.lit("")) != "").select(F.col(key), F.posexplode(views).alias("perspective", "query"))
 
 
+def assist_perspectives(df: DataFrame, key: str, question: str, language: str, code: str, most: int = 4) -> DataFrame:
+    """(key, perspective, query): the question with its code, the same with a hint of the
+    language, the question and its sentences, the code; each once."""
+    clean = F.btrim(F.col(question))
+    sentences = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(clean, r"[ \t\r\n]+", " "), r"([.!?]) +", "$1\n"), "\n"), lambda x: F.btrim(x)), lambda s: (F.length(s) >= 24) & (F.length(s) < F.length(clean)))
+    views = F.concat(F.array(T.compose(F.col(question), code=F.col(code)), T.compose(F.col(question), F.col(language), F.col(code)), clean), sentences, F.array(F.btrim(F.col(code))))
+    views = F.slice(F.array_distinct(F.filter(views, lambda v: F.coalesce(v, F.lit("")) != "")), 1, most)
+    return df.where(F.coalesce(clean, F.lit("")) != "").select(F.col(key), F.posexplode(views).alias("perspective", "query"))
+
+
 def neighbours_by_topic(docs: DataFrame, topic: str, key: str, most: int = 5) -> DataFrame:
     """(key, related, rank): other documents of the same topic, by key.
 

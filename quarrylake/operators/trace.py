@@ -26,6 +26,22 @@ def search_then_read(events: DataFrame, tool: str, user: str, search: str, read:
     return joined.agg(F.count("*").alias("searches"), F.count("r").alias("followed"), percent(F.count("r"), F.count("*")).alias("rate"))
 
 
+def followed_searches(events: DataFrame, tool: str, search: str, read: str, followed: str = "followedReadCandidateIds", read_id: str = "id", result_id: str = "topResultId") -> DataFrame:
+    """One row (searches, followed, followed_rate, search_only_rate): searches of which any
+    result they name was read (by id, at any time); a hash semi join on the ids."""
+    reads = events.where(F.col(tool) == read).select(F.coalesce(read_id, result_id).alias("_id")).where("_id is not null").distinct()
+    searches = events.where(F.col(tool) == search).withColumn("_n", F.monotonically_increasing_id())
+    hit = searches.select("_n", F.explode(followed).alias("_id")).join(reads, "_id", "left_semi").agg(F.count_distinct("_n").alias("followed"))
+    n = searches.agg(F.count("*").alias("searches")).crossJoin(hit)  # one row each
+    return n.select("searches", "followed", percent(F.col("followed"), F.col("searches")).alias("followed_rate"), percent(F.col("searches") - F.col("followed"), F.col("searches")).alias("search_only_rate"))
+
+
+def expansions(events: DataFrame, column: str = "scopeExpansions") -> DataFrame:
+    """(kind, scope, n): widened scopes by kind, with a null scope for the kind's total."""
+    each = events.select(F.explode(column).alias("e")).select(F.col("e.kind").alias("kind"), F.col("e.requestedScope").alias("scope"))
+    return each.rollup("kind", "scope").agg(F.count("*").alias("n"), F.grouping("kind").alias("_k")).where("_k = 0").drop("_k")
+
+
 def read_after_search(events: DataFrame, tool: str, user: str, at: str, search: str, read: str, within: int = 3600) -> DataFrame:
     """(user, searches, followed): the ordered variant, a read at most ``within`` seconds later."""
     w = Window.partitionBy(user).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -6,51 +6,85 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_A_BLOCK, QUERIES_A_BLOCK = 50_000, 2_000
 PAIRS_A_BLOCK = 2_000_000  # where all pairs are returned
+AT_ONCE = 256  # queries of one matrix product
 
 
-def block_search(rows: DataFrame, queries: DataFrame, row_id: str, row_vector: str, query_id: str, query_vector: str, k: int | None, dim: int, skip_self: bool = True) -> DataFrame:
+def usable(vector: Column, dim: int) -> Column:
+    """Arrays of ``dim`` finite values that are not all zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def block_search(rows: DataFrame, queries: DataFrame, row_id: str, row_vector: str, query_id: str, query_vector: str, k: int | None, dim: int, skip_self: bool = True, unit: bool = False) -> DataFrame:
     """(query_id, row_id, sim): for every query the k rows of largest dot product
     (all rows for k = None), at six digits, ties by smaller row id.
 
-    Rows and queries are cut into blocks of bounded size by a hash of their ids;
-    each pair of blocks is one matrix product in one task. Vectors that are null
-    or of another length take no part.
+    With ``unit`` vectors are brought to unit length first, so that sim is the
+    cosine. Rows and queries are cut into blocks of bounded size by a hash of their
+    ids; each pair of blocks is one task, in which some queries at a time are
+    multiplied with all rows. Vectors that are not usable take no part.
     """
     n_rows, n_queries = rows.count(), queries.count()
     rb, qb = max(1, math.ceil(n_rows / ROWS_A_BLOCK)), max(1, math.ceil(n_queries / (QUERIES_A_BLOCK if k else max(1, PAIRS_A_BLOCK // ROWS_A_BLOCK))))
     # a few more row blocks than needed keep all cores busy
     rb = max(rb, min(8, max(1, n_rows // 2000)))
-    r = rows.where(F.size(row_vector) == dim).select(F.col(row_id).alias("rid"), F.col(row_vector).alias("v"), F.pmod(F.xxhash64(row_id), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    q = queries.where(F.size(query_vector) == dim).select(F.col(query_id).alias("qid"), F.col(query_vector).alias("v"), F.pmod(F.xxhash64(query_id), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"qid": [], "rid": [], "sim": []})
-        x, y = np.stack(a["v"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
-        a_id, b_id = a["rid"].to_numpy(), b["qid"].to_numpy()
-        sims = np.round(y @ x.T, 6)
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    r = rows.where(usable(F.col(row_vector), dim)).select(F.col(row_id).alias("rid"), double(row_vector).alias("v"), F.pmod(F.xxhash64(row_id), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    q = queries.where(usable(F.col(query_vector), dim)).select(F.col(query_id).alias("qid"), double(query_vector).alias("v"), F.pmod(F.xxhash64(query_id), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["qid", "rid", "sim"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], b.schema.field("qid").type), pa.array([], a.schema.field("rid").type), pa.array([], pa.float64())], names=names)
+        x, y = (np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, dim) for t in (a, b))
+        if unit:
+            x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+        a_id, b_id = a.column("rid").to_numpy(), b.column("qid").to_numpy()
         out = []
-        for i, qid in enumerate(b_id):
-            order = np.lexsort((a_id, -sims[i]))
+        for start in range(0, len(y), AT_ONCE):
+            asks = b_id[start : start + AT_ONCE]
+            sims = np.round(y[start : start + AT_ONCE] @ x.T, 6)
             if skip_self:
-                order = order[a_id[order] != qid]
-            order = order[:k]
-            out.append(pd.DataFrame({"qid": qid, "rid": a_id[order], "sim": sims[i][order]}))
-        return pd.concat(out)
+                sims[asks[:, None] == a_id[None, :]] = -np.inf
+            few = sims.shape[1] if k is None else min(k, sims.shape[1])
+            bar = np.partition(sims, sims.shape[1] - few, axis=1)[:, -few]
+            i, j = np.nonzero((sims >= bar[:, None]) & (sims > -np.inf))
+            if k is not None:
+                order = np.lexsort((a_id[j], -sims[i, j], i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, np.arange(len(sims)))
+                keep = np.arange(len(i)) - first[i] < k
+                i, j = i[keep], j[keep]
+            out.append((asks[i], a_id[j], sims[i, j]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
     kinds = rows.schema[row_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    found = r.groupBy("qb", "rb").cogroup(q.groupBy("qb", "rb")).applyInPandas(best, f"qid {kinds[1]}, rid {kinds[0]}, sim double")
+    found = r.groupBy("qb", "rb").cogroup(q.groupBy("qb", "rb")).applyInArrow(best, f"qid {kinds[1]}, rid {kinds[0]}, sim double")
     if k is None:
         return found
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "rid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def facet_similarity(content: DataFrame, title: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, chunk, document, sim): similarity of a query with a chunk, for the first
+    chunk of a document the larger of that with its text and with the title.
+
+    ``content`` has qid, rid (a chunk) and sim, ``title`` qid, rid (a document) and sim,
+    ``chunks`` chunk, document and chunk_index.
+    """
+    rows = content.join(chunks.withColumnRenamed("chunk", "rid"), "rid").select("qid", F.col("rid").alias("chunk"), "document", "chunk_index", "sim")
+    titles = title.select("qid", F.col("rid").alias("document"), F.col("sim").alias("_title"))
+    both = rows.join(titles, ["qid", "document"], "left")
+    return both.select("qid", "chunk", "document", F.when(F.col("chunk_index") == 0, F.greatest("sim", "_title")).otherwise(F.col("sim")).alias("sim"))
+
+
 def project_head(rows: DataFrame, vector: str, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray, alpha: float) -> DataFrame:
     """(1 - alpha) x + alpha (W2 gelu(W1 x + b1) + b2), at unit length, as a new column ``projected``."""
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylake.functions import questions as Q
 from quarrylake.functions import scores as S
 from quarrylake.functions import text as T
 from quarrylake.engine import hashing_embedder
@@ -60,55 +61,91 @@ def vector_search_topk(spark, d):
     return _top(spark, d, 10).select("qid", "rid", "sim", F.col("rank").cast("long").alias("rank"))
 
 
-# a question is a label; its query vectors, by id, are its perspectives
+_SIMS_ALL = _SIMS.replace(" QUALIFY rank <= 512", "")  # every row, as scores and ranks look at all
+
+# a question is a label; its query vectors, by id, are its perspectives; every fourth
+# row is the first chunk of a document whose title vector is the vector of the next row
 _LISTS = _SIMS + """,
+ttop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, rid) AS rank FROM (
+  SELECT q.vec_id AS qid, t.vec_id - 1 AS rid, round(list_dot_product(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS sim
+  FROM embeddings q JOIN embeddings t ON q.vec_id % 20 = 0 AND t.vec_id > 0 AND (t.vec_id - 1) % 4 = 0 AND t.vec_id - 1 <> q.vec_id) QUALIFY rank <= 512),
 persp AS (SELECT vec_id AS qid, label AS question, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS perspective FROM embeddings WHERE vec_id % 20 = 0),
-lists AS (SELECT p.question, p.perspective, t.rid AS chunk, t.r_label AS document, t.sim, t.rank, CASE WHEN p.perspective = 0 THEN 1.0 ELSE 0.35 END AS weight FROM top t JOIN persp p USING (qid)),
-fused AS (SELECT question, chunk, round(sum(weight::DOUBLE / (40 + rank)), 9) AS rrf, max(sim) AS max_sim, max(CASE WHEN perspective = 0 THEN sim END) AS direct FROM lists GROUP BY ALL)"""
+bo AS (SELECT qid, rid, r_label AS document, sim, rank, 'content' AS facet FROM top UNION ALL SELECT qid, rid, e.label, sim, rank, 'title' FROM ttop JOIN embeddings e ON e.vec_id = rid),
+lists AS (SELECT p.question, p.perspective, t.facet, t.rid AS chunk, t.document, t.sim, t.rank, CASE WHEN p.perspective = 0 THEN 1.0 ELSE 0.35 END AS weight FROM bo t JOIN persp p USING (qid)),
+fused AS (SELECT question, chunk, round(sum(weight::DOUBLE / (40 + rank)), 9) AS rrf, max(sim) AS max_sim, max(CASE WHEN perspective = 0 AND facet = 'content' THEN sim END) AS direct FROM lists GROUP BY ALL),
+per AS (SELECT question, perspective, chunk, round(sum(weight::DOUBLE / (40 + rank)), 9) AS rrf, max(sim) AS sim FROM lists GROUP BY ALL)"""
+_LISTS_ALL = _LISTS.replace(" QUALIFY rank <= 512", "")
 
 
 def _lists(spark: SparkSession, d: str, k: int | None = LIST) -> DataFrame:
-    top = _labelled(spark, d, k)
-    q = _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("question"))
+    e = _t(spark, d, "embeddings")
+    labels = e.select(F.col("vec_id").alias("rid"), F.col("label").alias("document"))
+    titles = e.where("vec_id > 0 and (vec_id - 1) % 4 = 0").select((F.col("vec_id") - 1).alias("vec_id"), "embedding")
+    by_title = vectors.block_search(titles, e.where("vec_id % 20 = 0"), "vec_id", "embedding", "vec_id", "embedding", k, DIM)
+    both = _top(spark, d, k).select("qid", "rid", "sim", F.lit("content").alias("facet")).unionByName(by_title.select("qid", "rid", "sim", F.lit("title").alias("facet"))).join(labels, "rid")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("question"))
     persp = q.withColumn("perspective", F.expr("row_number() over (partition by question order by qid) - 1").cast("long"))
-    return top.join(persp, "qid").select("question", "perspective", F.lit("content").alias("facet"), F.col("rid").alias("chunk"), F.col("r_label").alias("document"), "sim", F.when(F.col("perspective") == 0, 1.0).otherwise(0.35).alias("weight"))
+    return both.join(persp, "qid").select("question", "perspective", "facet", F.col("rid").alias("chunk"), "document", "sim", F.when(F.col("perspective") == 0, 1.0).otherwise(0.35).alias("weight"))
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    lists = _lists(spark, d)
-    direct = lists.where("perspective = 0").select("question", "chunk", F.col("sim").alias("direct"))
-    return retrieval.reciprocal_rank_fusion(lists).withColumn("rrf", F.round("rrf", 9)).join(direct, ["question", "chunk"], "left")
+def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(fused rows, rows by perspective), from one search that is kept as a table."""
+    lists = store.cut(_lists(spark, d))
+    direct = lists.where("perspective = 0 and facet = 'content'").select("question", "chunk", F.col("sim").alias("direct"))
+    fused = retrieval.reciprocal_rank_fusion(lists).withColumn("rrf", F.round("rrf", 9)).join(direct, ["question", "chunk"], "left")
+    return store.cut(fused), store.cut(retrieval.perspective_fusion(lists).withColumn("rrf", F.round("rrf", 9)))
 
 
-@query(_LISTS + """, per AS (SELECT question, document, perspective, max(sim) AS s FROM lists GROUP BY ALL)
+@query(_LISTS_ALL + """, s AS (SELECT question, document, perspective, max(sim) AS s FROM lists GROUP BY ALL)
 SELECT question, document, max(CASE WHEN perspective = 0 THEN s END) AS "primary", list_sort(list(s))[(count(*) // 2)::INT + 1] AS median, max(s) AS best,
   floor((100 * (0.72::DOUBLE * max(CASE WHEN perspective = 0 THEN s END) + 0.18::DOUBLE * list_sort(list(s))[(count(*) // 2)::INT + 1] + 0.10::DOUBLE * max(s))) * 100000.0::DOUBLE + 0.5) / 100000.0::DOUBLE AS score
-FROM per GROUP BY question, document""")
+FROM s GROUP BY question, document""")
 def document_score(spark, d):
     return retrieval.document_scores(_lists(spark, d, None))
 
 
 @query(_LISTS + " SELECT question, chunk, rrf, max_sim, direct FROM fused")
 def rrf_fusion(spark, d):
-    return _fused(spark, d)
+    return _fused(spark, d)[0]
+
+
+@query(_LISTS + " SELECT question, perspective, chunk, row_number() OVER (PARTITION BY question, perspective ORDER BY rrf DESC, chunk) AS rank FROM per QUALIFY rank <= 12")
+def perspective_top(spark, d):
+    per = _fused(spark, d)[1]
+    return per.withColumn("rank", F.expr("row_number() over (partition by question, perspective order by rrf desc, chunk)").cast("long")).where("rank <= 12").select("question", "perspective", "chunk", "rank")
+
+
+@query(_LISTS_ALL + """, b AS (SELECT question, document, chunk, max(sim) AS sim FROM lists GROUP BY ALL)
+SELECT question, document, row_number() OVER (PARTITION BY question, document ORDER BY sim DESC, chunk) AS place, chunk, sim FROM b QUALIFY place <= 4""")
+def document_passages(spark, d):
+    top = retrieval.top_passages(_lists(spark, d, None))
+    return top.select("question", "document", F.posexplode("passages").alias("n", "p")).select("question", "document", (F.col("n") + 1).cast("long").alias("place"), F.col("p.chunk").alias("chunk"), F.col("p.sim").alias("sim"))
 
 
 _POOL = _LISTS + """,
+tl AS (SELECT question, chunk, round(8 * max_sim - 3, 6) AS logit FROM fused WHERE chunk % 2 = 0),
+short AS (SELECT * FROM fused WHERE chunk % 5 = 0),
 slices AS (
-  SELECT question, chunk, 0 AS slice, row_number() OVER (PARTITION BY question ORDER BY rrf DESC NULLS LAST, chunk) AS rank FROM fused QUALIFY rank <= 24
-  UNION ALL SELECT question, chunk, 1, row_number() OVER (PARTITION BY question ORDER BY direct DESC NULLS LAST, chunk) AS rank FROM fused QUALIFY rank <= 32
-  UNION ALL SELECT question, chunk, 2, row_number() OVER (PARTITION BY question ORDER BY max_sim DESC NULLS LAST, chunk) AS rank FROM fused QUALIFY rank <= 32),
+  SELECT question, chunk, perspective::INT AS slice, row_number() OVER (PARTITION BY question, perspective ORDER BY rrf DESC NULLS LAST, chunk) AS rank FROM per QUALIFY rank <= 12
+  UNION ALL SELECT question, chunk, 100, row_number() OVER (PARTITION BY question ORDER BY logit DESC NULLS LAST, chunk) AS rank FROM tl QUALIFY rank <= 96
+  UNION ALL SELECT question, chunk, 101, row_number() OVER (PARTITION BY question ORDER BY rrf DESC NULLS LAST, chunk) AS rank FROM short QUALIFY rank <= 6
+  UNION ALL SELECT question, chunk, 102, row_number() OVER (PARTITION BY question ORDER BY max_sim DESC NULLS LAST, chunk) AS rank FROM short QUALIFY rank <= 6
+  UNION ALL SELECT question, chunk, 103, row_number() OVER (PARTITION BY question ORDER BY direct DESC NULLS LAST, chunk) AS rank FROM short QUALIFY rank <= 6
+  UNION ALL SELECT question, chunk, 104, row_number() OVER (PARTITION BY question ORDER BY rrf DESC NULLS LAST, chunk) AS rank FROM fused QUALIFY rank <= 24
+  UNION ALL SELECT question, chunk, 105, row_number() OVER (PARTITION BY question ORDER BY direct DESC NULLS LAST, chunk) AS rank FROM fused QUALIFY rank <= 32
+  UNION ALL SELECT question, chunk, 106, row_number() OVER (PARTITION BY question ORDER BY max_sim DESC NULLS LAST, chunk) AS rank FROM fused QUALIFY rank <= 32),
 firsts AS (SELECT * FROM slices QUALIFY row_number() OVER (PARTITION BY question, chunk ORDER BY slice, rank) = 1),
 pool AS (SELECT question, chunk, slice, rank, row_number() OVER (PARTITION BY question ORDER BY slice, rank) AS place FROM firsts QUALIFY place <= 160)"""
 
 
-def _pool(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.pool_union(_fused(spark, d), [("rrf", 24), ("direct", 32), ("max_sim", 32)])
+def _pool(fused: DataFrame, per: DataFrame) -> DataFrame:
+    titles = fused.where("chunk % 2 = 0").select("question", "chunk", F.round(8 * F.col("max_sim") - 3, 6).alias("logit"))
+    return retrieval.rerank_pool(fused.withColumn("concise", F.col("chunk") % 5 == 0), per, titles)
 
 
 @query(_POOL + " SELECT question, chunk, slice, rank, place FROM pool")
 def rerank_pool_union(spark, d):
-    p = _pool(spark, d)
+    p = _pool(*_fused(spark, d))
     return p.select("question", "chunk", "slice", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
 
 
@@ -125,8 +162,8 @@ placed AS (SELECT question, chunk, direct, rrf, logit, title, topic, consensus,
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    f, e = _fused(spark, d), _t(spark, d, "embeddings")
-    rows = _pool(spark, d).select("question", "chunk").join(f, ["question", "chunk"]).join(e.select(F.col("vec_id").alias("chunk"), F.col("label").alias("topic")), "chunk")
+    (f, per), e = _fused(spark, d), _t(spark, d, "embeddings")
+    rows = _pool(f, per).select("question", "chunk").join(f, ["question", "chunk"]).join(e.select(F.col("vec_id").alias("chunk"), F.col("label").alias("topic")), "chunk")
     return rows.select(
         "question", "chunk", "rrf", F.coalesce("direct", F.lit(0.0)).alias("direct"), F.round(10 * F.col("max_sim") - 4 + (F.col("chunk") % 7) * 0.05, 6).alias("logit"),
         F.when(F.col("chunk") % 2 == 0, F.round(8 * F.col("max_sim") - 3, 6)).alias("title"), "topic",
@@ -148,7 +185,7 @@ def support_gate(spark, d):
     return retrieval.support_gate(retrieval.consensus(_scored(spark, d)))
 
 
-@query(_LISTS + """, s AS (SELECT question, document, max(sim) AS score, document % 5 AS topic, document % 3 AS version FROM lists GROUP BY question, document),
+@query(_LISTS_ALL + """, s AS (SELECT question, document, max(sim) AS score, document % 5 AS topic, document % 3 AS version FROM lists GROUP BY question, document),
 i AS (SELECT *, version = question % 3 AS inside FROM s),
 b AS (SELECT question, max(score) FILTER (inside) AS in_best, max(score) FILTER (NOT inside) AS out_best FROM i GROUP BY question),
 it AS (SELECT question, topic AS in_topic FROM i WHERE inside QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, document) = 1),
@@ -162,21 +199,89 @@ def version_expansion(spark, d):
     return out.withColumn("place", F.col("place").cast("long"))
 
 
+def _logits(spark: SparkSession, d: str) -> DataFrame:
+    """(question, perspective, chunk, logit) of the 48 best chunks of each perspective."""
+    per = _fused(spark, d)[1].withColumn("n", F.expr("row_number() over (partition by question, perspective order by rrf desc, chunk)")).where("n <= 48")
+    return per.select("question", "perspective", "chunk", F.round(10 * F.col("sim") - 4, 6).alias("logit"))
+
+
+_LOGITS = _LISTS + """,
+lg AS (SELECT question, perspective, chunk, round(10 * sim - 4, 6) AS logit FROM (SELECT *, row_number() OVER (PARTITION BY question, perspective ORDER BY rrf DESC, chunk) AS n FROM per) WHERE n <= 48),
+md AS (SELECT question, perspective, list_sort(list(logit), 'DESC')[(count(*) // 2)::INT + 1] AS median, max(logit) AS best FROM lg GROUP BY ALL),
+st AS (SELECT m.question, m.perspective, any_value(median) AS median, coalesce(nullif(sqrt(avg((logit - median) * (logit - median))), 0), 1) AS spread, 1 - exp(-greatest(0, any_value(best) - any_value(median))) AS weight FROM md m JOIN lg USING (question, perspective) GROUP BY ALL)"""
+
+
+@query(_LOGITS + " SELECT question, perspective, round(median, 6) AS median, round(spread, 6) AS spread, round(weight, 6) AS weight FROM st")
+def perspective_weights(spark, d):
+    w = retrieval.perspective_weights(_logits(spark, d))
+    return w.select("question", "perspective", *[F.round(c, 6).alias(c) for c in ("median", "spread", "weight")])
+
+
+@query(_LOGITS + " SELECT question, perspective, chunk, round(weight / (1 + exp(-(logit - median) / spread)), 6) AS coverage FROM lg JOIN st USING (question, perspective)")
+def perspective_coverage(spark, d):
+    return retrieval.perspective_coverage(_logits(spark, d)).withColumn("coverage", F.round("coverage", 6))
+
+
 @query()
 def mmr_select(spark, d):
     placed = retrieval.consensus(_scored(spark, d))
     vec = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
-    return retrieval.diverse_selection(placed.join(vec, "chunk"))
+    cover = retrieval.perspective_coverage(_logits(spark, d)).where("perspective = 0").select("question", "chunk", F.array("coverage").alias("coverage"))
+    rows = placed.join(vec, "chunk").join(cover, ["question", "chunk"], "left").withColumn("coverage", F.coalesce("coverage", F.array(F.lit(0.0))))
+    rows = rows.select("question", F.col("chunk").alias("item"), F.col("topic").alias("document"), (F.col("chunk") % 4).alias("chunk_index"), F.lit(False).alias("span"), "topic", "logit", "direct", "title", "vector", "place", (20 + F.col("chunk") % 300).alias("length"), "coverage")
+    return retrieval.select_responses(rows)
 
 
-@query()
+_UNIT = "list_transform({0}, lambda x: x::DOUBLE / sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])))"
+_FINE = "coalesce(len({0}) = 64 AND len(list_filter({0}, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter({0}, lambda x: x <> 0)) > 0, false)"
+_FACETS = f"""WITH q AS (SELECT chunk_id AS qid, {_UNIT.format('vector')} AS v FROM chunk_vectors WHERE {_FINE.format('vector')} AND chunk_id % 100 = 0),
+c AS (SELECT v.chunk_id AS chunk, k.document_id AS document, k.chunk_index, {_UNIT.format('v.vector')} AS v FROM chunk_vectors v JOIN chunks k ON k.chunk_id = v.chunk_id WHERE {_FINE.format('v.vector')}),
+t AS (SELECT document_id AS document, {_UNIT.format('title_vector')} AS v FROM document_vectors WHERE {_FINE.format('title_vector')}),
+ts AS (SELECT qid, document, max(round(list_dot_product(q.v, t.v), 6)) AS sim FROM q, t GROUP BY ALL),
+f AS (SELECT qid, chunk, c.document, CASE WHEN chunk_index = 0 THEN greatest(round(list_dot_product(q.v, c.v), 6), ts.sim) ELSE round(list_dot_product(q.v, c.v), 6) END AS sim FROM q JOIN c ON q.qid <> c.chunk LEFT JOIN ts USING (qid, document))"""
+
+
+def _facets(spark: SparkSession, d: str) -> DataFrame:
+    v, k = _t(spark, d, "chunk_vectors"), _t(spark, d, "chunks").select(F.col("chunk_id").alias("chunk"), F.col("document_id").alias("document"), "chunk_index")
+    asked = v.where("chunk_id % 100 = 0").select("chunk_id", "vector")
+    content = vectors.block_search(v, asked, "chunk_id", "vector", "chunk_id", "vector", None, DIM, unit=True)
+    title = vectors.block_search(_t(spark, d, "document_vectors"), asked, "document_id", "title_vector", "chunk_id", "vector", None, DIM, skip_self=False, unit=True).groupBy("qid", "rid").agg(F.max("sim").alias("sim"))
+    return vectors.facet_similarity(content, title, k)
+
+
+@query(_FACETS + " SELECT qid, document, max(sim) AS sim FROM f GROUP BY qid, document QUALIFY row_number() OVER (PARTITION BY qid ORDER BY max(sim) DESC, document) <= 10")
+def facet_similarity(spark, d):
+    """The ten best documents of some chunks, by text or title; all rows are compared."""
+    best = _facets(spark, d).groupBy("qid", "document").agg(F.max("sim").alias("sim"))
+    return best.withColumn("n", F.expr("row_number() over (partition by qid order by sim desc, document)")).where("n <= 10").drop("n")
+
+
+@query(_FACETS + """, r AS (SELECT id, title, doc_version FROM document_records QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1), g AS (SELECT id, category FROM document_records QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1)
+SELECT qid, document, round(100 * max(sim), 5) AS score FROM f JOIN g ON g.id = f.document WHERE g.category = 'dds' GROUP BY qid, document QUALIFY row_number() OVER (PARTITION BY qid ORDER BY max(sim) DESC, document) <= 8""")
+def search_scope(spark, d):
+    """The best documents of one category: all of it is scored, none is cut off before."""
+    docs = dedupe.first_per_key(_t(spark, d, "document_records").select(F.col("id").alias("document"), "category", "record_no"), ["document"], ["record_no"]).where("category = 'dds'").select("document")
+    best = _facets(spark, d).join(docs, "document").groupBy("qid", "document").agg(F.max("sim").alias("sim"))
+    return best.withColumn("n", F.expr("row_number() over (partition by qid order by sim desc, document)")).where("n <= 8").select("qid", "document", F.round(100 * F.col("sim"), 5).alias("score"))
+
+
+_RNG = np.random.default_rng(1)
+_W1, _W2 = np.round(_RNG.normal(size=(32, DIM)) / 8, 4), np.round(_RNG.normal(size=(DIM, 32)) / 8, 4)
+_WEIGHTS = [str([[float(x) for x in row] for row in m]).replace(" ", "") for m in (_W1, _W2)]
+_HEAD = f"""WITH w AS (SELECT {_WEIGHTS[0]}::DOUBLE[][] AS w1, {_WEIGHTS[1]}::DOUBLE[][] AS w2),
+h AS (SELECT vec_id, embedding::DOUBLE[] AS x, w2, list_transform(w1, lambda r: list_dot_product(r, embedding::DOUBLE[])) AS a FROM embeddings, w WHERE vec_id % 20 = 0),
+g AS (SELECT vec_id, x, w2, list_transform(a, lambda v: 0.5::DOUBLE * v * (1 + tanh(0.7978845608028654::DOUBLE * (v + 0.044715::DOUBLE * v * v * v)))) AS h FROM h),
+y AS (SELECT vec_id, list_transform(x, lambda v, i: 0.9::DOUBLE * v + 0.1::DOUBLE * list_dot_product(w2[i], h)) AS y FROM g),
+u AS (SELECT vec_id AS qid, list_transform(y, lambda v: v / sqrt(list_dot_product(y, y))) AS u FROM y)
+SELECT qid, e.vec_id AS rid, round(list_dot_product(u, e.embedding::DOUBLE[]), 6) AS sim, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(u, e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM u JOIN embeddings e ON e.vec_id <> qid QUALIFY rank <= 10"""
+
+
+@query(_HEAD)
 def query_head_projection(spark, d):
     """A residual head with fixed weights, and the answer's first places under it."""
-    rng = np.random.default_rng(1)
-    w1, w2 = rng.normal(size=(32, DIM)) / 8, rng.normal(size=(DIM, 32)) / 8
     e = _t(spark, d, "embeddings")
-    q = vectors.project_head(e.where("vec_id % 20 = 0"), "embedding", w1, np.zeros(32), w2, np.zeros(DIM), 0.1).select("vec_id", "projected")
-    return vectors.block_search(e, q, "vec_id", "embedding", "vec_id", "projected", 10, DIM).select("qid", "rid", "sim", "rank")
+    q = vectors.project_head(e.where("vec_id % 20 = 0"), "embedding", _W1, np.zeros(32), _W2, np.zeros(DIM), 0.1).select("vec_id", "projected")
+    return vectors.block_search(e, q, "vec_id", "embedding", "vec_id", "projected", 10, DIM).select("qid", "rid", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_SIMS + " SELECT qid AS question, rid AS chunk, sim FROM top WHERE rank = 1 AND sim >= 0.3")
@@ -190,7 +295,7 @@ def hard_negatives(spark, d):
     return evaluation.hard_negatives(sims).withColumn("place", F.col("place").cast("long"))
 
 
-@query(_SIMS + """, ranks AS (SELECT qid, min(rank) AS rank FROM top WHERE q_label = r_label GROUP BY qid)
+@query(_SIMS_ALL + """, ranks AS (SELECT qid, min(rank) AS rank FROM top WHERE q_label = r_label GROUP BY qid)
 SELECT count(*) AS n, round(avg((rank <= 1)::INT), 6) AS top1, round(avg((rank <= 5)::INT), 6) AS top5, round(avg((rank <= 10)::INT), 6) AS top10, round(avg((rank <= 50)::INT), 6) AS top50,
   round(avg(1.0::DOUBLE / rank), 6) AS mrr, quantile_disc(rank, 0.5) AS median_rank FROM ranks""")
 def ir_metrics(spark, d):
@@ -317,11 +422,12 @@ def licensed_sources(spark, d):
     return store.licensed(_t(spark, d, "source_registry")).select("id", "registry_kind", "host")
 
 
-@query("""SELECT record_no, row_number() OVER (PARTITION BY category ORDER BY record_no) AS turn FROM document_records QUALIFY row_number() OVER (PARTITION BY category ORDER BY record_no) <= 10""")
+@query("""WITH t AS (SELECT record_no, category, record_no % 97 = 0 AS i, row_number() OVER (PARTITION BY record_no % 97 = 0, category ORDER BY record_no) AS turn FROM document_records)
+SELECT record_no FROM t ORDER BY i DESC, CASE WHEN i THEN 0 ELSE turn END, category NULLS FIRST, record_no LIMIT 100""")
 def round_robin_balance(spark, d):
-    """The first turns of a round over the categories."""
-    df = _t(spark, d, "document_records").withColumn("turn", F.expr("row_number() over (partition by category order by record_no)").cast("long"))
-    return df.where("turn <= 10").select("record_no", "turn")
+    """A hundred records: some important ones, then one of each category in turn."""
+    r = _t(spark, d, "document_records").select("record_no", "category")
+    return toc.balanced(r, "category", "record_no", 100, F.col("record_no") % 97 == 0).select("record_no")
 
 
 # ---- text -------------------------------------------------------------------
@@ -330,7 +436,20 @@ _WS = r"[ \t\n\r\f\x{0B}\x{A0}\x{FEFF}]"
 
 
 def _fold_sql(column: str) -> str:
-    return f"trim(regexp_replace(translate(lower({column}), '{T.ACCENTED}', '{T.PLAIN}'), '{_WS}+', ' ', 'g'), ' ')"
+    return f"trim(regexp_replace({_plain_sql(column)}, '{_WS}+', ' ', 'g'), ' ')"
+
+
+def _plain_sql(column: str) -> str:
+    return rf"regexp_replace(translate(lower({column}), '{T.ACCENTED}', '{T.PLAIN}'), '\p{{M}}+', '', 'g')"
+
+
+def _clean_sql(column: str) -> str:
+    return rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({column}, ''), '[\x{{200B}}\x{{FEFF}}]', '', 'g'), '[“”]', '"', 'g'), '[‘’]', '''', 'g'), '{_WS}+', ' ', 'g'), ' ')"""
+
+
+def _q(pattern: str) -> str:
+    """A pattern as an SQL string."""
+    return "'" + pattern.replace("'", "''") + "'"
 
 
 
@@ -390,8 +509,7 @@ _HAY = _fold_sql("concat_ws(' ', title, array_to_string(breadcrumbs, ' '), canon
 
 @query(f"SELECT record_no, {_rules_sql('h', T.CATEGORY_RULES, 'general')} AS category FROM (SELECT record_no, {_HAY} AS h FROM document_records)")
 def category_rules(spark, d):
-    hay = T.fold(F.concat_ws(" ", F.col("title"), F.array_join("breadcrumbs", " "), F.col("canonical_url")))
-    return _t(spark, d, "document_records").select("record_no", T.first_rule(hay, T.CATEGORY_RULES, "general").alias("category"))
+    return _t(spark, d, "document_records").select("record_no", T.category(F.col("title"), F.col("breadcrumbs"), F.col("canonical_url")).alias("category"))
 
 
 @query(r"""SELECT record_no, CASE WHEN text_length > 0 AND text_length < 300 THEN 'stub' WHEN regexp_matches(t, '^(welcome|home)$') THEN 'landing'
@@ -401,10 +519,16 @@ def document_kind(spark, d):
     return _t(spark, d, "document_records").select("record_no", T.document_kind(F.col("title"), F.col("breadcrumbs"), F.col("text_length")).alias("kind"))
 
 
-_SEC = r"(?:password|passwd|pwd|token|secret|api[_-]?key)"
+_RED = "text"
+for _p, _r in (
+    (r"(?is)-----BEGIN [^\r\n-]*PRIVATE KEY-----.*?-----END [^\r\n-]*PRIVATE KEY-----", "[PRIVATE KEY]"), (r"(?i)\bAuthorization *: *(?:Bearer|Basic) +[^ \t\r\n,;]+", "Authorization: [REDACTED]"),
+    (rf"(?i)([\"']?{T.SECRETS}[\"']? *: *)[\"'][^\"']*[\"']", '\\1"[REDACTED]"'), (rf"(?i)\b{T.SECRETS} *[:=] *[^ \t\r\n,;]+", "\\1=[REDACTED]"),
+    (rf"(?i)\b{T.SECRETS} *\( *(?:'[^']*'|\"[^\"]*\") *\)", "\\1([REDACTED])"), (r"[ \t\r\n\f]+", " "),
+):
+    _RED = f"regexp_replace({_RED}, {_q(_p)}, {_q(_r)}, 'g')"
 
 
-@query()
+@query(f"SELECT doc_id, CASE WHEN length(r) <= 180 THEN r ELSE substr(r, 1, 180) || '…' END AS preview FROM (SELECT doc_id, trim({_RED}, ' ') AS r FROM documents WHERE text IS NOT NULL)")
 def redact_secrets(spark, d):
     return _t(spark, d, "documents").where("text is not null").select("doc_id", T.redact(F.col("text")).alias("preview"))
 
@@ -425,7 +549,10 @@ def sections_extract(spark, d):
 
 @query()
 def chunk_documents(spark, d):
-    return structure.chunks(_t(spark, d, "documents"), "doc_id", "text", atomic=True)
+    """Chunks of all documents, with single entries where the record says that there are some."""
+    r = _t(spark, d, "document_records").where("normalized_text_path is not null").groupBy("normalized_text_path").agg(F.max(T.has_entries(F.col("document_kind"), F.col("title"), F.col("canonical_topic_key"), F.col("breadcrumbs"))).alias("entries"))
+    docs = _t(spark, d, "documents").join(r, "normalized_text_path", "left")
+    return structure.chunks(docs, "doc_id", "text", atomic=F.col("entries"))
 
 
 @query("SELECT document_id, count(*) AS n_chunks, sum(length(body))::BIGINT AS n_chars, max(length(body))::BIGINT AS longest FROM chunks GROUP BY document_id")
@@ -434,12 +561,28 @@ def chunk_stats(spark, d):
     return c.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("body")).alias("n_chars"), F.max(F.length("body")).cast("long").alias("longest"))
 
 
-@query()
+_FIRST = "list_filter({0}, lambda x, i: list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
+
+
+def _parts(column: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array(regexp_replace({column}, '\\r', '', 'g'), '\\n{{2,}}'), lambda p: trim(regexp_replace(p, '{_WS}+', ' ', 'g'), ' ')), lambda p: p <> '' AND len(string_split(p, ' > ')) < 3 AND NOT (contains(p, 'Last Updated:') AND length(p) <= 240) AND NOT starts_with(lower(p), 'parent topic:'))"
+
+
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_parts('text')} AS p FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, array_to_string({_FIRST.format('p')}, ' ') AS n FROM p),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(n, '([.!?]) +', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) >= 20) AS s FROM n),
+w AS (SELECT doc_id, list_transform(range(1, len(s) + 1, 2), lambda i: substr(array_to_string(s[i:i + 1], ' '), 1, 700)) AS w FROM s WHERE len(s) > 0),
+u AS (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:8] AS w FROM w)
+SELECT doc_id, (unnest(range(1, len(w) + 1)) - 1)::INT AS window_no, unnest(w) AS "window" FROM u""")
 def passage_windows(spark, d):
     return structure.passage_windows(_t(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(r"""WITH c AS (SELECT case_no, trim(regexp_replace(question, '[ \t\r\n]+', ' ', 'g'), ' ') AS c FROM qa_cases WHERE question IS NOT NULL),
+v AS (SELECT case_no, list_concat([c], list_filter(string_split(regexp_replace(c, '([.!?]) +', '\1' || chr(10), 'g'), chr(10)), lambda s: length(s) >= 24 AND length(s) < length(c))) AS v FROM c WHERE c <> ''),
+u AS (SELECT case_no, list_filter(v, lambda x, i: list_position(v, x) = i)[1:4] AS v FROM v)
+SELECT case_no, (unnest(range(1, len(v) + 1)) - 1)::INT AS perspective, unnest(v) AS query FROM u""")
 def query_perspectives(spark, d):
     return structure.query_perspectives(_t(spark, d, "qa_cases"), "case_no", "question")
 
@@ -449,7 +592,7 @@ def html_extract(spark, d):
     return html.extract(_t(spark, d, "raw_pages"), "page_id", "html")
 
 
-@query("SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '(?i)<a[^>]*href=\"([^\"]+)\"', 1))) AS href FROM raw_pages WHERE html IS NOT NULL")
+@query("""SELECT page_id, unnest(list_distinct(list_concat(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*"([^"]+)"', 1), regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*''([^'']+)''', 1)))) AS href FROM raw_pages WHERE html IS NOT NULL""")
 def link_extract(spark, d):
     return html.links(_t(spark, d, "raw_pages"), "page_id", "html")
 
@@ -474,19 +617,80 @@ def qa_summary(spark, d):
     return _t(spark, d, "question_bank").groupBy("source_id", F.col("extraction.extraction_quality").alias("quality"), "lang").agg(F.count("*").alias("n"), F.count_if("evaluation_eligible").alias("eligible"))
 
 
-@query("SELECT row_no FROM question_bank WHERE extraction.extraction_quality IN ('answered', 'partial') AND length(trim(question)) >= 8 AND length(trim(expected_answer_summary)) >= 24")
+def _prompt_sql(column: str) -> str:
+    folded = _fold_sql(f"coalesce({column}, '')")
+    return f"(ends_with({folded}, '?') OR " + " OR ".join(f"contains({folded}, {_q(x)})" for x in (*Q.ASKING_BACK, *Q.NOT_GIVEN)) + ")"
+
+
+@query(f"SELECT row_no FROM question_bank WHERE extraction.extraction_quality IN ('answered', 'partial') AND length(trim(question)) >= 8 AND length(trim(expected_answer_summary)) >= 24 AND NOT {_prompt_sql('expected_answer_summary')}")
 def usable_cases(spark, d):
-    return _t(spark, d, "question_bank").where("extraction.extraction_quality in ('answered', 'partial') and length(trim(question)) >= 8 and length(trim(expected_answer_summary)) >= 24").select("row_no")
+    return qabank.usable_cases(_t(spark, d, "question_bank"), "extraction.extraction_quality", "question", "expected_answer_summary").select("row_no")
+
+
+def _concise_sql(cleaned: str) -> str:
+    t = f"regexp_replace({cleaned}, '[.;,]+$', '')"
+    return f"({t} <> '' AND (" + " OR ".join(f"regexp_matches({t}, {_q(p)})" for p in Q.CONCISE) + "))"
+
+
+_ANSWER = _clean_sql("expected_answer_summary")
+
+
+@query(f"""SELECT row_no, CASE WHEN c = '' THEN 'question-only' WHEN regexp_matches(c, '(?i)^([A-E](?:\\s*,\\s*[A-E])*)$') OR regexp_matches(coalesce(raw, ''), '(?i)\\bAnswer\\s*:\\s*[A-E]\\b') THEN 'multiple-choice' WHEN {_concise_sql('c')} THEN 'answered' WHEN length(c) < 12 THEN 'partial' ELSE 'answered' END AS quality,
+c <> '' AND (length(c) >= 12 OR {_concise_sql('c')}) AS usable, {_concise_sql('c')} AS concise, p AS asks_back FROM (SELECT row_no, {_ANSWER} AS c, extraction.raw_answer AS raw, {_prompt_sql('expected_answer_summary')} AS p FROM question_bank)""")
+def answer_kinds(spark, d):
+    a = F.col("expected_answer_summary")
+    return _t(spark, d, "question_bank").select("row_no", Q.answer_quality(a, F.col("extraction.raw_answer")).alias("quality"), Q.is_usable_answer(a).alias("usable"), Q.is_concise(a).alias("concise"), Q.is_unanswered_prompt(a).alias("asks_back"))
+
+
+@query(f"""SELECT row_no, length(c) >= 8 AND (contains(c, '?') OR regexp_matches(c, {_q(Q.QUESTION_START)}) OR ((regexp_matches(c, {_q(Q.TECHNICAL_NAME)}) OR regexp_matches(c, '(?i)%[A-Z][A-Z0-9_-]*|\\*[A-Z][A-Z0-9_]*')) AND regexp_matches(c, {_q(Q.ACTION)}))) AS asks,
+c <> '' AND (regexp_matches(c, {_q(Q.BROKEN_OFF)}) OR (regexp_matches(c, {_q(Q.HANGING)}) AND length(c) < 180)) AS breaks_off, {_rules_sql("coalesce(question, '')", Q.LANGUAGES, 'general').replace("(?i)(?i)", "(?i)")} AS language, regexp_matches(c, {_q(Q.BOILERPLATE)}) AS boilerplate
+FROM (SELECT row_no, question, {_clean_sql('question')} AS c FROM question_bank)""")
+def question_kinds(spark, d):
+    q = F.col("question")
+    return _t(spark, d, "question_bank").select("row_no", Q.looks_like_question(q).alias("asks"), Q.breaks_off(q).alias("breaks_off"), Q.language_of(q).alias("language"), F.coalesce(Q.is_boilerplate(q), F.lit(False)).alias("boilerplate"))
+
+
+_FIELDS = ["certification exam", "full description", "citation preview", "panel attribute"]
+_BOTH = _plain_sql("concat_ws(chr(10), question, expected_answer_summary)")
+
 
+@query(f"""SELECT row_no FROM (SELECT row_no, {_clean_sql('question')} AS c, {_BOTH} AS b, concat_ws(chr(10), question, expected_answer_summary) AS r FROM question_bank),
+LATERAL (SELECT {' + '.join(f"contains(b, {_q(x)})::INT" for x in _FIELDS)} AS n, len(regexp_extract_all(b, '\\bread more\\b')) AS m, regexp_matches(r, {_q(Q.TECHNICAL_NAME)}) OR regexp_matches(r, '(?i)\\b(?:CPF|MCH|RNF|SQL)\\d{{4,5}}\\b') OR regexp_matches(r, '(?i)%[A-Z][A-Z0-9_-]*|\\*[A-Z][A-Z0-9_]*') AS t)
+WHERE regexp_matches(b, {_q(Q.TRAINING_OFFER)}) OR (c <> '' AND (regexp_matches(c, {_q(Q.BROKEN_OFF)}) OR (regexp_matches(c, {_q(Q.HANGING)}) AND length(c) < 180))) OR n >= 2 OR (m >= 3 AND n >= 1) OR (NOT t AND n >= 1)""")
+def noisy_cases(spark, d):
+    return _t(spark, d, "question_bank").where(Q.is_noise(F.col("question"), F.col("expected_answer_summary"), _FIELDS)).select("row_no")
 
 
+@query(f"""WITH b AS (SELECT 0 AS list, row_no AS n, question FROM question_bank WHERE source_id IS NOT NULL UNION ALL SELECT 1, case_no, question FROM eval_cases),
+k AS (SELECT *, trim(regexp_replace({_plain_sql('question')}, '[^a-z0-9]+', ' ', 'g'), ' ') AS key FROM b) SELECT n FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY list, n) = 1""")
+def merged_questions(spark, d):
+    """The bank's questions, then those of the evaluation cases that it lacks."""
+    bank = _t(spark, d, "question_bank").where("source_id is not null").select(F.col("row_no").alias("n"), "question")
+    return qabank.merge_questions(bank, _t(spark, d, "eval_cases").select(F.col("case_no").alias("n"), "question"), "question", "n").select("n")
 
-@query(f"""SELECT case_no FROM qa_cases t WHERE split_name = 'train' AND NOT EXISTS (SELECT 1 FROM eval_cases e WHERE {_fold_sql('e.question')} = {_fold_sql('t.question')})
-AND NOT EXISTS (SELECT 1 FROM qa_cases h WHERE h.split_name <> 'train' AND {_fold_sql('h.question')} = {_fold_sql('t.question')})""")
+
+_NORMAL = _clean_sql("question")
+for _p in (r"(?i)^(?:Q(?:uestion)? *)?[0-9]{1,4}[.):] *", r"(?i)^(?:Q(?:uestion)?)(?: *[0-9]{1,4})? *[:\-] *", r"(?i)^Q[A-Z0-9]{2,}[:.)]? +", r"(?i)\b(?:Ans|Answer)(?: *[0-9]{1,4})? *[:\-]+.*$"):
+    _NORMAL = f"regexp_replace({_NORMAL}, {_q(_p)}, '')"
+
+
+@query(f"SELECT row_no, trim(regexp_replace({_NORMAL}, ' +', ' ', 'g'), ' ') AS question, 'qa-' || substr(sha256(question || chr(10) || expected_answer_summary), 1, 24) AS stable_id FROM question_bank WHERE question IS NOT NULL AND expected_answer_summary IS NOT NULL")
+def normal_questions(spark, d):
+    rows = _t(spark, d, "question_bank").where("question is not null and expected_answer_summary is not null")
+    return rows.select("row_no", T.normalize_question(F.col("question")).alias("question"), T.stable_id(F.col("question"), F.col("expected_answer_summary")).alias("stable_id"))
+
+
+
+
+@query(f"""WITH h AS (SELECT id, {_fold_sql('question')} AS k, sha256({_fold_sql('question')} || chr(10) || {_fold_sql('expected_answer_summary')}) AS s FROM eval_cases UNION ALL SELECT case_id, {_fold_sql('question')}, sha256({_fold_sql('question')} || chr(10) || {_fold_sql('answer')}) FROM qa_cases WHERE split_name <> 'train'),
+t AS (SELECT case_no, case_id, {_fold_sql('question')} AS k, sha256({_fold_sql('question')} || chr(10) || {_fold_sql('answer')}) AS s FROM qa_cases WHERE split_name = 'train')
+SELECT case_no FROM t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.id = t.case_id) AND NOT EXISTS (SELECT 1 FROM h WHERE h.k = t.k) AND NOT EXISTS (SELECT 1 FROM h WHERE h.s = t.s)""")
 def holdout_exclusion(spark, d):
-    qa = _t(spark, d, "qa_cases").withColumn("k", T.fold(F.col("question")))
-    held = _t(spark, d, "eval_cases").select(T.fold(F.col("question")).alias("k")).unionByName(qa.where("split_name <> 'train'").select("k"))
-    return dedupe.exclude_held_out(qa.where("split_name = 'train'"), held, ["k"]).select("case_no")
+    """Training rows that share neither id nor question nor pair with a held-out one."""
+    keys = lambda df, row_id, answer: df.select("*", F.col(row_id).alias("id_key"), T.fold(F.col("question")).alias("k"), T.pair_signature(F.col("question"), F.col(answer)).alias("s"))
+    qa = keys(_t(spark, d, "qa_cases"), "case_id", "answer")
+    held = keys(_t(spark, d, "eval_cases"), "id", "expected_answer_summary").select("id_key", "k", "s").unionByName(qa.where("split_name <> 'train'").select("id_key", "k", "s"))
+    return dedupe.exclude_held_out(qa.where("split_name = 'train'"), held, ["id_key", "k", "s"]).select("case_no")
 
 
 _ANY = "coalesce(len(list_filter({1}, lambda x: contains(lower(coalesce({0}, '')), lower(x)))) > 0, false)"
@@ -548,10 +752,23 @@ def trace_windowed(spark, d):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SELECT json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def _expanded(spark: SparkSession, d: str) -> DataFrame:
+    """Events as traces: every third one widened a scope, searches name the next two events."""
+    e = _t(spark, d, "events")
+    widened = F.when(F.col("event_id") % 3 == 0, F.array(F.struct(F.when(F.col("event_id") % 2 == 0, "version").otherwise("category").alias("kind"), F.concat(F.lit("s"), (F.get_json_object("props", "$.k").cast("long") % 4).cast("string")).alias("requestedScope"))))
+    return e.withColumn("scopeExpansions", widened).withColumn("id", F.col("event_id").cast("string")).withColumn("topResultId", F.lit(None).cast("string")).withColumn("followedReadCandidateIds", F.array((F.col("event_id") + 1).cast("string"), (F.col("event_id") + 2).cast("string")))
+
+
+@query("""SELECT kind, scope, count(*) AS n FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'version' ELSE 'category' END AS kind, 's' || (json_extract_string(props, '$.k')::BIGINT % 4) AS scope FROM events WHERE event_id % 3 = 0) GROUP BY GROUPING SETS ((kind), (kind, scope))""")
 def scope_expansions(spark, d):
-    """Counts by a field of the nested properties."""
-    return _t(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    """Widened scopes by kind and by what was asked for."""
+    return trace.expansions(_expanded(spark, d))
+
+
+@query("""WITH s AS (SELECT event_id, EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'click' AND r.event_id IN (e.event_id + 1, e.event_id + 2)) AS hit FROM events e WHERE event_type = 'view')
+SELECT count(*) AS searches, count(*) FILTER (hit) AS followed, floor(count(*) FILTER (hit) / greatest(count(*), 1) * 10000 + 0.5) / 100 AS followed_rate, floor(count(*) FILTER (NOT hit) / greatest(count(*), 1) * 10000 + 0.5) / 100 AS search_only_rate FROM s""")
+def followed_searches(spark, d):
+    return trace.followed_searches(_expanded(spark, d), "event_type", "view", "click")
 
 
 # ---- more of the question bank and the corpus -----------------------------------
@@ -580,8 +797,8 @@ def eval_terms(spark, d):
 
 
 @query()
-def numbered_questions(spark, d):
-    return qabank.numbered_questions(_t(spark, d, "question_bank").select("row_no", F.concat_ws("\n", F.concat(F.lit("1. "), F.col("question")), F.concat(F.lit("Answer: "), F.col("expected_answer_summary"))).alias("t")), "row_no", "t")
+def text_questions(spark, d):
+    return qabank.text_questions(_t(spark, d, "question_bank").select("row_no", F.concat_ws("\n", F.concat(F.lit("1. "), F.col("question")), F.concat(F.lit("Answer: "), F.col("expected_answer_summary"))).alias("t")), "row_no", "t")
 
 
 @query("""SELECT section_id, query, passage FROM (SELECT section_id, concat_ws(' ', r.title, s.title) AS query, substr(trim(body, ' '), 1, 4000) AS passage FROM document_sections s
@@ -597,13 +814,19 @@ _GEN = ", ".join(f"'{x}'" for x in T.GENERIC_TERMS)
 @query(rf"""WITH h AS (SELECT record_no, title, category, concat_ws(' ', coalesce(title, ''), coalesce(array_to_string(breadcrumbs, ' '), ''), coalesce(category, '')) AS h FROM document_records),
 k AS (SELECT record_no, category, nullif(regexp_extract(title, '(?i)(%[A-Z][A-Z0-9_-]+)', 1), '') AS a, nullif(regexp_extract(h, '(?i)\b(RNF[0-9]{{4}}|CPF[0-9]{{4}}|MCH[0-9]{{4}}|SQL[0-9]{{4,5}})\b', 1), '') AS b, nullif(regexp_extract(title, '\b([A-Z]{{2,}}-[A-Z0-9-]+)\b', 1), '') AS c,
 CASE WHEN regexp_matches(h, '(?i)\bcommands?\b') THEN list_filter(regexp_extract_all(h, '\b([A-Z][A-Z0-9]{{1,11}})\b', 1), lambda n: n NOT IN ({_GEN}) AND regexp_matches(lower(n), '^({_CMD})[a-z0-9]+$'))[1] END AS e,
-substr(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace({_fold_sql('title')}, '\b(description of the|using the|command|keyword|operation code|built-in function)\b', ' ', 'g'), '[()%]', ' ', 'g'), ' +', ' ', 'g'), ' '), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 80) AS f FROM h)
+substr(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace({_fold_sql('title')}, '{T.TITLE_WORDS}', ' ', 'g'), '[()%]', ' ', 'g'), ' +', ' ', 'g'), ' '), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 80) AS f FROM h)
 SELECT record_no, coalesce(category, '') || ':' || lower(coalesce(a, b, c, e, f, 'topic')) AS topic_key FROM k""")
 def topic_key(spark, d):
     return _t(spark, d, "document_records").select("record_no", T.topic_key(F.col("title"), F.col("breadcrumbs"), F.col("category")).alias("topic_key"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT chunk_id, title, {_parts('body')} AS p FROM chunks WHERE body IS NOT NULL), n AS (SELECT chunk_id, title, array_to_string({_FIRST.format('p')}, ' ') AS n FROM p),
+f AS (SELECT chunk_id, title, list_filter(list_transform(regexp_split_to_array(n, ' +\\d+\\) +'), lambda x: trim(regexp_replace(x, '{_WS}+', ' ', 'g'), ' ')), lambda x: x <> '') AS f FROM n),
+j AS (SELECT chunk_id, title, string_split(array_to_string({_FIRST.format('f')}, ' '), ' ') AS w FROM f),
+m AS (SELECT chunk_id, title, CASE WHEN len(w) = 2 AND lower(w[1]) = lower(w[2]) THEN w[1] ELSE array_to_string(w, ' ') END AS n FROM j),
+c AS (SELECT *, reverse(substr(n, 1, 600)) AS r FROM m), a AS (SELECT *, 600 - coalesce(list_min(list_filter([position(' .' IN r), position(' ;' IN r), position(' :' IN r)], lambda x: x > 0)), 1000000) AS pl FROM c),
+b AS (SELECT chunk_id, title, CASE WHEN length(n) <= 600 THEN n ELSE trim(CASE WHEN pl >= 331 THEN substr(n, 1, pl) ELSE substr(n, 1, 600) END, ' ') || '…' END AS b FROM a)
+SELECT chunk_id, CASE WHEN coalesce(title, '') <> '' AND NOT starts_with(lower(b), lower(title)) THEN title || ': ' || b ELSE b END AS passage FROM b""")
 def compact_passage(spark, d):
     return _t(spark, d, "chunks").where("body is not null").select("chunk_id", T.titled(F.col("title"), T.compact(F.col("body"), 600)).alias("passage"))
 
@@ -623,18 +846,32 @@ def missing_texts(spark, d):
     return r.join(_t(spark, d, "documents").select("normalized_text_path"), "normalized_text_path", "left_anti").select("record_no")
 
 
-@query("SELECT record_no, list_contains(['cl', 'rpg', 'sql', 'dds'], lower(breadcrumbs[1])) AS in_scope FROM document_records WHERE breadcrumbs IS NOT NULL AND len(breadcrumbs) > 0 AND list_contains(['cl', 'rpg', 'sql', 'dds'], lower(breadcrumbs[1]))")
+_PATH = _fold_sql("array_to_string(breadcrumbs, ' > ')")
+_INSIDE = f"((starts_with({_PATH}, 'cl') OR starts_with({_PATH}, 'database >') OR regexp_matches({_PATH}, '\\b(command|dds)s?\\b')) AND NOT contains({_PATH}, 'printer'))"
+
+
+@query(f"SELECT record_no, {_INSIDE} AS in_scope FROM document_records WHERE breadcrumbs IS NOT NULL AND len(breadcrumbs) > 0")
 def toc_scope(spark, d):
-    """Records under some roots of the tree of contents."""
+    """Whether a record lies under some parts of the tree of contents."""
     r = _t(spark, d, "document_records").where("breadcrumbs is not null and size(breadcrumbs) > 0")
-    inside = toc.in_scope(F.slice("breadcrumbs", 1, 1), ["cl", "rpg", "sql", "dds"], [])
-    return r.where(F.lower(F.col("breadcrumbs")[0]).isin("cl", "rpg", "sql", "dds") & inside).select("record_no", inside.alias("in_scope"))
+    return r.select("record_no", toc.in_scope(F.col("breadcrumbs"), ["cl", "database >"], ["printer"], [r"\b(command|dds)s?\b"]).alias("in_scope"))
+
+
+@query(f"SELECT CASE {' '.join(f'WHEN contains({_PATH}, {_q(p)}) THEN {_q(n)}' for n, p in [*toc.GROUPS, ('entry', 'entry')])} ELSE 'others' END AS topic_group, count(*) AS n FROM document_records WHERE breadcrumbs IS NOT NULL GROUP BY 1")
+def topic_groups(spark, d):
+    r = _t(spark, d, "document_records").where("breadcrumbs is not null")
+    return r.groupBy(toc.topic_group(F.col("breadcrumbs"), [*toc.GROUPS, ("entry", "entry")]).alias("topic_group")).agg(F.count("*").alias("n"))
+
 
+@query("SELECT record_no FROM document_records QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(canonical_url, ''), id) ORDER BY record_no) = 1")
+def distinct_topics(spark, d):
+    return toc.distinct_topics(_t(spark, d, "document_records").select("record_no", "canonical_url", "id"), "canonical_url", "id", "record_no").select("record_no")
 
-_FEED = _SIMS.replace("WITH sims", "WITH ans AS (SELECT q.vec_id AS qid, r.vec_id AS rid, round(list_dot_product(a.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS asim FROM embeddings q JOIN embeddings a ON q.vec_id % 20 = 0 AND a.vec_id = q.vec_id + 1 JOIN embeddings r ON r.vec_id <> q.vec_id), sims", 1)
 
+_FEED = _SIMS_ALL.replace("WITH sims", "WITH ans AS (SELECT q.vec_id AS qid, r.vec_id AS rid, round(list_dot_product(a.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS asim FROM embeddings q JOIN embeddings a ON q.vec_id % 20 = 0 AND a.vec_id = q.vec_id + 1 JOIN embeddings r ON r.vec_id <> q.vec_id), sims", 1)
 
-@query(_FEED + """, atop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY asim DESC, rid) AS arank FROM ans QUALIFY arank <= 512), pos AS (SELECT qid, rid AS positive, asim AS best FROM atop WHERE arank = 1),
+
+@query(_FEED + """, atop AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY asim DESC, rid) AS arank FROM ans), pos AS (SELECT qid, rid AS positive, asim AS best FROM atop WHERE arank = 1),
 c AS (SELECT t.qid, t.rid, t.sim, row_number() OVER (PARTITION BY t.qid ORDER BY t.sim DESC, t.rid) AS place FROM top t JOIN pos p USING (qid) LEFT JOIN atop a ON a.qid = t.qid AND a.rid = t.rid WHERE t.rid <> p.positive AND coalesce(a.asim, -1.0) < 0.85::DOUBLE * p.best QUALIFY place <= 3)
 SELECT qid AS question, positive, rid AS negative, place FROM pos JOIN c USING (qid)""")
 def feedback_mining(spark, d):
@@ -653,10 +890,10 @@ def feedback_mining(spark, d):
 
 @query(_SIMS + """, rel AS (SELECT q.vec_id AS qid, count(r.vec_id) AS n FROM embeddings q LEFT JOIN embeddings r ON r.label = q.label AND r.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1),
 h AS (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hit_no FROM top WHERE q_label = r_label AND rank <= 100),
-p AS (SELECT qid, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS dcg, sum(hit_no / rank) AS ap FROM h GROUP BY 1),
-x AS (SELECT n, coalesce(h1, 0) AS h1, coalesce(h5, 0) AS h5, coalesce(h10, 0) AS h10, coalesce(dcg, 0) AS dcg, coalesce(ap, 0) AS ap, list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS best FROM rel LEFT JOIN p USING (qid) WHERE n > 0)
+p AS (SELECT qid, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS dcg, sum(hit_no / rank) AS ap, min(rank) AS first FROM h GROUP BY 1),
+x AS (SELECT n, coalesce(h1, 0) AS h1, coalesce(h5, 0) AS h5, coalesce(h10, 0) AS h10, coalesce(dcg, 0) AS dcg, coalesce(ap, 0) AS ap, first, list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS best FROM rel LEFT JOIN p USING (qid) WHERE n > 0)
 SELECT count(*) AS n, round(avg((h1 > 0)::INT), 6) AS accuracy1, round(avg((h5 > 0)::INT), 6) AS accuracy5, round(avg((h10 > 0)::INT), 6) AS accuracy10, round(avg(h1 / 1), 6) AS precision1, round(avg(h5 / 5), 6) AS precision5, round(avg(h10 / 10), 6) AS precision10,
- round(avg(h1 / n), 6) AS recall1, round(avg(h5 / n), 6) AS recall5, round(avg(h10 / n), 6) AS recall10, round(avg(dcg / best), 6) AS ndcg10, round(avg(ap / least(n, 100)), 6) AS map100 FROM x""")
+ round(avg(h1 / n), 6) AS recall1, round(avg(h5 / n), 6) AS recall5, round(avg(h10 / n), 6) AS recall10, round(avg(dcg / best), 6) AS ndcg10, round(avg(ap / least(n, 100)), 6) AS map100, round(avg(CASE WHEN first <= 10 THEN 1 / first ELSE 0 END), 6) AS mrr10, round(avg(CASE WHEN first <= 100 THEN 1 / first ELSE 0 END), 6) AS mrr100 FROM x""")
 def graded_metrics(spark, d):
     e = _t(spark, d, "embeddings")
     sizes = e.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("m"))
@@ -713,3 +950,110 @@ def training_dedupe(spark, d):
     """Training rows of which no earlier kept one has the id, the pair or the question."""
     q = _t(spark, d, "qa_cases").where("split_name = 'train'").select("case_no", "case_id", T.fold(F.col("question")).alias("q"), T.pair_signature(F.col("question"), F.col("answer")).alias("s"))
     return dedupe.seen_set(q, ["case_id", "s", "q"], "case_no").select("case_no")
+
+
+@query()
+def page_questions(spark, d):
+    """Headings and lines of the pages that ask something."""
+    return html.questions(_t(spark, d, "raw_pages"), "page_id", "html")
+
+
+@query()
+def bank_cases(spark, d):
+    """Questions found in texts as rows of a bank."""
+    found = text_questions(spark, d).select(F.concat(F.lit("t"), F.col("row_no").cast("string")).alias("source"), "ordinal", "question", "answer")
+    return qabank.make_cases(found)
+
+
+@query("""SELECT document_id, r.title, c.body, v.doc_id FROM (SELECT id AS document_id, title FROM document_records QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1) r
+JOIN (SELECT document_id, body FROM chunks WHERE chunk_index = 0 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) = 1) c USING (document_id) JOIN document_vectors v USING (document_id)""")
+def lead_chunks(spark, d):
+    return qabank.lead_chunks(_t(spark, d, "document_records"), _t(spark, d, "chunks"), _t(spark, d, "document_vectors").select("document_id", "doc_id")).select("document_id", "title", "body", "doc_id")
+
+
+_RELEASES = ("7.3", "7.4", "7.5", "7.6")
+
+
+@query(f"""WITH b AS (SELECT count(*) AS total, count(*) FILTER (text_length < 300) AS short, count(*) FILTER (document_kind = 'stub') AS stub, {', '.join(f"count(*) FILTER (doc_version = '{r}') AS r{i}" for i, r in enumerate(_RELEASES))} FROM document_records),
+s AS (SELECT count(*) FILTER (n >= 20) AS substantial FROM (SELECT category, count(*) AS n FROM document_records GROUP BY 1)), t AS (SELECT count(*) AS twice FROM ({_EXACT})),
+dc AS (SELECT category AS value, count(DISTINCT id) AS n FROM document_records GROUP BY 1), ac AS (SELECT category AS value, count(*) AS n FROM document_records GROUP BY 1), c AS (SELECT count(*) AS stated, count(*) FILTER (dc.n = ac.n) AS held FROM dc JOIN ac USING (value)),
+m AS (SELECT count(*) AS missing FROM document_records r WHERE normalized_text_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.normalized_text_path = r.normalized_text_path)),
+u AS (SELECT (SELECT count(*) FROM document_records r WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = r.id)) + (SELECT count(*) FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM chunk_vectors v WHERE v.chunk_id = c.chunk_id)) + (SELECT count(*) FROM document_records r WHERE NOT EXISTS (SELECT 1 FROM document_vectors v WHERE v.document_id = r.id)) AS uncovered),
+o AS (SELECT * FROM b, s, t, c, m, u), x AS (
+SELECT 'integrity' AS name, (missing = 0 AND uncovered = 0)::INT::DOUBLE AS actual, 1.0::DOUBLE AS threshold, 'eq' AS operator FROM o UNION ALL SELECT 'documents', total::DOUBLE, 5000.0, 'gte' FROM o UNION ALL SELECT 'exact_duplicates', twice::DOUBLE, 0.0, 'eq' FROM o
+UNION ALL SELECT 'declared_categories', held::DOUBLE, stated::DOUBLE, 'eq' FROM o UNION ALL SELECT 'substantial_categories', substantial::DOUBLE, 8.0, 'gte' FROM o UNION ALL SELECT 'stub_rate', stub / total, 0.015::DOUBLE, 'lte' FROM o UNION ALL SELECT 'short_rate', short / total, 0.015::DOUBLE, 'lte' FROM o
+UNION ALL {' UNION ALL '.join(f"SELECT 'release_{r}', r{i}::DOUBLE, 100.0, 'gte' FROM o" for i, r in enumerate(_RELEASES))})
+SELECT name, round(actual, 6) AS actual, threshold, operator, CASE operator WHEN 'gte' THEN actual >= threshold WHEN 'lte' THEN actual <= threshold ELSE actual = threshold END AS ok FROM x""")
+def release_gate(spark, d):
+    """All checks of a release; a manifest states every id once."""
+    r = _t(spark, d, "document_records")
+    declared = r.groupBy(F.col("category").alias("value")).agg(F.count_distinct("id").alias("n"))
+    missing = r.where("normalized_text_path is not null").join(_t(spark, d, "documents"), "normalized_text_path", "left_anti")
+    coverage = quality.vector_coverage(*(_t(spark, d, n) for n in ("document_records", "chunks", "chunk_vectors", "document_vectors")))
+    return quality.release_gate(r, declared, missing, coverage, list(_RELEASES), category_size=20)
+
+
+@query(SQL["quality_gate"].replace("SELECT name, round(actual, 6)", ", z AS (SELECT name, round(actual, 6)", 1) + ") SELECT bool_and(ok) AS ok, coalesce(string_agg(name, '|' ORDER BY name) FILTER (NOT ok), '') AS failed FROM z")
+def failed_checks(spark, d):
+    return quality.failed_checks(quality.quality_gate(_t(spark, d, "document_records"))).select("ok", F.array_join("failed", "|").alias("failed"))
+
+
+@query(f"SELECT sha256(string_agg(folder || ' ' || digest || chr(10), '' ORDER BY folder)) AS digest, sum(n)::BIGINT AS n FROM ({SQL['folder_digests']})")
+def tree_digest(spark, d):
+    return quality.tree_digest(quality.folder_digest(_t(spark, d, "document_records"), "normalized_text_path", "sha256"))
+
+
+@query(f"""SELECT record_no, concat_ws('-', 'doc', regexp_replace(doc_version, '[^A-Za-z0-9_]', '', 'g'), substr(lower(substr(regexp_replace(regexp_replace(coalesce(nullif(canonical_topic_key, ''), 'topic'), '[^A-Za-z0-9._-]+', '-', 'g'), '-+', '-', 'g'), 1, 180)), 1, 72), substr(sha256, 1, 8)) AS stable_id,
+coalesce(document_kind IN ('index', 'reference'), false) OR regexp_matches(lower(concat_ws(' ', title, canonical_topic_key, array_to_string(breadcrumbs, ' '))), {_q(T.ENTRY_WORDS)}) AS has_entries, concat_ws('. ', nullif(title, ''), nullif(array_to_string(breadcrumbs, ' > '), ''), nullif(category, ''), nullif(trim(concat_ws(' ', 'v', nullif(doc_version, '')), ' '), ''), nullif(id, '')) AS reranker_text,
+'passage: ' || trim(concat_ws(chr(10), nullif(title, ''), nullif(array_to_string(breadcrumbs, ' > '), ''), nullif(category, ''), nullif(doc_version, '')), ' ') AS title_text FROM document_records""")
+def record_texts(spark, d):
+    """Ids and the texts that models read of a record."""
+    t, b, c, v = (F.col(x) for x in ("title", "breadcrumbs", "category", "doc_version"))
+    return _t(spark, d, "document_records").select(
+        "record_no", T.stable_document_id(v, F.col("canonical_topic_key"), F.col("sha256")).alias("stable_id"), T.has_entries(F.col("document_kind"), t, F.col("canonical_topic_key"), b).alias("has_entries"),
+        scoring.reranker_text(t, b, c, v, F.col("id"), "v").alias("reranker_text"), scoring.title_text(t, b, c, v).alias("title_text"),
+    )
+
+
+_CASES = "SELECT case_no AS \"case\", question, answer FROM qa_cases WHERE question IS NOT NULL AND answer IS NOT NULL"
+_NEG = f"cs AS ({_CASES}), ng AS (SELECT a.\"case\", b.\"case\" AS negative, b.\"case\" - a.\"case\" AS place FROM cs a JOIN cs b ON b.\"case\" - a.\"case\" BETWEEN 1 AND 3)"
+
+
+def _cases_and_negatives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Cases, and as negatives of each the next three numbers."""
+    cases = _t(spark, d, "qa_cases").where("question is not null and answer is not null").select(F.col("case_no").alias("case"), "question", "answer")
+    next_ = cases.select("case", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])).alias("place")).withColumn("negative", F.col("case") + F.col("place"))
+    return cases, next_.join(cases.select(F.col("case").alias("negative")), "negative").select("case", "negative", "place")
+
+
+@query(f"""WITH {_NEG} SELECT c."case", c.question AS query, c.answer AS positive, x.answer AS negative_1, y.answer AS negative_2, z.answer AS negative_3 FROM cs c JOIN cs x ON x."case" = c."case" + 1 JOIN cs y ON y."case" = c."case" + 2 JOIN cs z ON z."case" = c."case" + 3""")
+def ranking_tuples(spark, d):
+    return evaluation.ntuples(*_cases_and_negatives(spark, d), 3)
+
+
+@query(f"""WITH {_NEG} SELECT "case", question AS query, answer AS passage, 1.0::DOUBLE AS label FROM cs UNION ALL SELECT c."case", c.question, n.answer, 0.0 FROM cs c JOIN ng USING ("case") JOIN cs n ON n."case" = ng.negative""")
+def labelled_pairs(spark, d):
+    return evaluation.labelled_pairs(*_cases_and_negatives(spark, d))
+
+
+@query(f"""WITH {_NEG} SELECT c.question AS query, any_value(c.answer) AS positive, string_agg(n.answer, '|' ORDER BY place) AS negative FROM cs c JOIN ng USING ("case") JOIN cs n ON n."case" = ng.negative GROUP BY c."case", c.question""")
+def reranking_samples(spark, d):
+    s = evaluation.reranking_samples(*_cases_and_negatives(spark, d))
+    return s.select("query", F.col("positive")[0].alias("positive"), F.array_join("negative", "|").alias("negative"))
+
+
+@query()
+def seeded_sample(spark, d):
+    return evaluation.seeded_sample(_t(spark, d, "eval_cases"), "case_no", 42, 40)
+
+
+@query("""WITH h AS (SELECT category AS name, title, row_number() OVER (PARTITION BY category ORDER BY record_no) AS place FROM document_records WHERE category IS NOT NULL AND title IS NOT NULL QUALIFY place <= 5),
+g AS (SELECT name, max(CASE WHEN place = 1 THEN title END) AS first_title, bool_or(contains(title, 'table')) AS has, bool_or(regexp_matches(title, '(?i)parameter|menu')) AS fits FROM h GROUP BY 1)
+SELECT name, CASE WHEN length(name) % 2 = 0 AND NOT starts_with(first_title, 'K') THEN 'another title is first' WHEN NOT has THEN 'a title is missing' WHEN NOT fits THEN 'no title has the pattern' END AS reason FROM g""")
+def golden_check(spark, d):
+    """Expectations on the first titles of every category."""
+    r = _t(spark, d, "document_records").where("category is not null and title is not null")
+    hits = r.withColumn("place", F.expr("row_number() over (partition by category order by record_no)")).where("place <= 5").select(F.col("category").alias("name"), "place", "title")
+    first = hits.where("place = 1")
+    wanted = first.select("name", F.when((F.length("name") % 2 == 0) & ~F.col("title").startswith("K"), F.lit("K")).alias("first_title"), F.lit("table").alias("contains_title"), F.lit("parameter|menu").alias("pattern"))
+    return evaluation.golden_check(hits, wanted)

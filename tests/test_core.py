@@ -41,6 +41,11 @@ def column(spark, value, f, kind="string"):
         (T.normalize_passage, "A  b\n\nX > Y > Z\n\na B\n\nParent topic: q", "A b"),
         (T.token_hint, "abcde", 2),
         (T.slug, None, "item"),
+        (T.fold, "Ångström ÇA ἀρχή ѝ", "angstrom ca αρχη и"),
+        (T.clean_answer, "Answer: x  y\n\n z\nComments", "x y\nz"),
+        (T.clean_label, "<b>a</b>  b", "a b"),
+        (lambda c: T.compact(c, 100), "programs 1) a b 2) A B", "programs a b"),
+        (lambda c: T.compact(c, 100), "word Word", "word"),
         (T.redact, None, None),
     ],
 )
@@ -72,6 +77,30 @@ def test_dedupe(spark):
     assert dedupe.first_per_key(d, ["id"], [F.desc("n")]).count() == 2
 
 
+def test_seen_set_decides_long_chains(spark):
+    # every row shares a key with the one before, so each round decides two
+    d = spark.createDataFrame([(i, f"a{i}", f"a{i + 1}") for i in range(24)], "n int, a string, b string").select("n", F.col("a").alias("k1"), F.col("b").alias("k2"))
+    d = d.withColumn("k1", F.concat(F.lit("x"), (F.col("n") / 2).cast("int").cast("string"))).withColumn("k2", F.concat(F.lit("y"), ((F.col("n") + 1) / 2).cast("int").cast("string")))
+    assert [r["n"] for r in dedupe.seen_set(d, ["k1", "k2"], "n").orderBy("n").collect()] == list(range(0, 24, 2))
+
+
+def test_columns_of_questions(spark):
+    from quarrylake.functions import questions as Q
+
+    rows = [("What is  this?", "Yes.", "x"), ("SBMJOB fails with an error", "can you relate it to X", None), ("what are the fields and", "B, C", ""), (None, None, None), ("Home", "short", "Answer: B")]
+    d = spark.createDataFrame(rows, "q string, a string, r string")
+    q, a = F.col("q"), F.col("a")
+    got = d.select(Q.looks_like_question(q), Q.breaks_off(q), Q.answer_quality(a, F.col("r")), Q.is_usable_answer(a), Q.is_unanswered_prompt(a), Q.is_answer_line(a), Q.is_noise(q, a, ["geometry"])).collect()
+    assert [r[0] for r in got] == [True, True, True, False, False] and [r[1] for r in got] == [False, False, True, False, False]
+    assert [r[2] for r in got] == ["answered", "answered", "multiple-choice", "question-only", "multiple-choice"]
+    assert [r[3] for r in got] == [True, True, False, False, True] and [bool(r[4]) for r in got] == [False, True, False, False, False]
+    assert [r[5] for r in got] == [False, True, False, False, False] and [r[6] for r in got] == [False, False, True, False, False]
+    x = d.select(T.string_list(F.lit('["a"]')), T.string_list(F.lit("{")), T.split_list(F.lit("a, b,,a")), T.in_chunks(F.array(F.lit(1), F.lit(2), F.lit(3)), 2), T.topic_path(F.lit("http://h/../topic/../a/b.html?x#y")), T.topic_path(F.lit("z")), T.join_unique(F.array(F.lit("a  b"), F.lit("A b"), F.lit("c")), 4), T.combine_evidence(F.lit("Lead text"), F.lit("TEXT")), T.fold_words(F.lit("Ｆull-ﬁx_1")), T.has_loopback(F.lit('{"a": [{"docsUrl": "http://127.0.0.1:9/x"}]}')), T.has_loopback(F.lit('{"note": "http://127.0.0.1"}')), T.is_thin(F.lit("x" * 130), F.lit("Site"), "site"), T.is_shell(F.lit("<TITLE>Site</title><div id=root_container>"), "site", "root_container")).first()
+    assert tuple(x) == (["a"], [], ["a", "b"], [[1, 2], [3]], "a/b.html", "", "a b…", "Lead text", "full fix_1", True, False, True, True)
+    u = d.select(T.content_urls("http://b", F.lit("p"), F.lit("t x"), F.lit("7.4")), T.content_urls("http://b", F.lit(""), F.lit(None).cast("string"), F.lit("7.4"))).first()
+    assert list(u[0]) == ["http://b/content/p?parsebody=true&lang=en", "http://b/content/7.4?topic=t%20x&parsebody=true&lang=en"] and list(u[1]) == []
+
+
 def test_seen_set_equals_one_reader(spark):
     rng = np.random.default_rng(9)
     data = [(i, int(a), int(b) if b else None) for i, (a, b) in enumerate(rng.integers(0, 40, (200, 2)))]
@@ -108,9 +137,24 @@ def test_html(spark):
     assert (title, version, lang, crumbs) == ("Head", "7.4", "es", ["A"])
     assert "- x" in text and "a | b" in text and "menu" not in text and "no()" not in text and text.endswith("open")
     assert html.read_page(None)[0] == ""
+    # a stray void tag hides nothing, void tags do not keep the trail open
+    assert html.read_page("<frame src=x><p>hello")[5] == "hello"
+    assert html.read_page('<div class="breadcrumb"><img><br><a>A</a></div><a>Later</a>')[4] == ["A"]
+    assert html.read_page("<body><h2>H</h2><ul><li>one<li>two <b>x</b></ul><pre> a\n  b</pre><p>use<code>c</code></p><table><tr><th>k<td>v</table></body>")[5] == "H\n\nH\n\n- one\n\n- two x\n\na\nb\n\nuse c\n\nk | v"
+    assert html.plain_text("<p>a</p><pre>x\n y</pre>b<script>s</script>") == "a\nx\ny\nb" and html.fragment_text("<p>a<br>b</p>c") == "a\nb\nc"
+    asked = "<h2>What is A?</h2><h3>Answer:</h3><p>it is a letter</p><h2>About</h2><p>no</p><form><h3>How do I stop it?</h3><p>Press stop.</p></form>"
+    assert html.heading_questions(asked) == [("What is A?", "it is a letter"), ("How do I stop it?", "Press stop.")]
+    panel = '<div class="panel panel-default"><div class="panel-body"><p class="name">Answer / {0}</p>Use the {0} command now <table class="marking"><tr><td>Is This Answer Correct ? </td><td>{1} Yes </td><td>1 No</td></tr></table></div></div>'
+    voted = html.voted_answers('<p class="question">How to end a job?</p>' + panel.format("bob", 2) + panel.format("eve", 5) + panel.format("tom", 1), most=2)
+    assert voted == [("How to end a job?", "Use the eve command now", "eve", 5, 1), ("How to end a job?", "Use the bob command now", "bob", 2, 1)]
+    q = html.questions(spark.createDataFrame([(1, asked), (2, None), (3, "<p>nothing")], "id long, h string"), "id", "h").collect()
+    assert sorted((r["id"], r["question"], r["quality"], r["error"]) for r in q) == [(1, "How do I stop it?", "partial", None), (1, "What is A?", "answered", None)]
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "source string, target string")
+    assert {(r["page"], r["depth"]) for r in html.reachable(edges, spark.createDataFrame([("a",)], "page string")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
     d = spark.createDataFrame([(1, page), (2, None), (3, "<a href=\"u\">")], "id long, h string")
     assert html.extract(d, "id", "h").count() == 2
     assert [r["href"] for r in html.links(d, "id", "h").collect()] == ["u"]
+    assert [r["href"] for r in html.links(spark.createDataFrame([(1, "<a class=x href='v'>")], "id long, h string"), "id", "h").collect()] == ["v"]
 
 
 @pytest.mark.parametrize("blocks", [(50_000, 2_000), (13, 2)])
@@ -119,7 +163,7 @@ def test_block_search_equals_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(vectors, "QUERIES_A_BLOCK", blocks[1])
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 4))
-    d = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(99, None), (98, [1.0])], "id long, v array<double>")
+    d = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(99, None), (98, [1.0]), (97, [float("nan")] * 4), (96, [0.0] * 4), (80, [float("inf")] * 4)], "id long, v array<double>")
     got = {}
     for r in vectors.block_search(d, d.where("id % 20 = 0"), "id", "v", "id", "v", 3, 4).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["rid"]))
@@ -128,6 +172,16 @@ def test_block_search_equals_brute_force(spark, monkeypatch, blocks):
         assert [i for _, i in sorted(got[q])] == [i for _, i in sorted(s)[:3]]
 
 
+def test_cosine_of_vectors_of_any_length(spark):
+    d = spark.createDataFrame([(0, [3.0, 0.0]), (1, [10.0, 10.0]), (2, [0.0, 0.1])], "id long, v array<double>")
+    got = {r["rid"]: r["sim"] for r in vectors.block_search(d, d.where("id = 0"), "id", "v", "id", "v", None, 2, unit=True).collect()}
+    assert got == {1: 0.707107, 2: 0.0}
+    chunks = spark.createDataFrame([(1, "d", 0), (2, "d", 1)], "chunk long, document string, chunk_index int")
+    content = spark.createDataFrame([(0, 1, 0.1), (0, 2, 0.2)], "qid long, rid long, sim double")
+    title = spark.createDataFrame([(0, "d", 0.5)], "qid long, rid string, sim double")
+    assert {r["chunk"]: r["sim"] for r in vectors.facet_similarity(content, title, chunks).collect()} == {1: 0.5, 2: 0.2}
+
+
 def test_retrieval(spark):
     sims = spark.createDataFrame([(1, 0, 7, 0.5), (1, 1, 7, 0.9), (1, 0, 8, 0.6)], "question int, perspective int, document int, sim double")
     got = {r["document"]: (r["primary"], r["median"], r["score"]) for r in retrieval.document_scores(sims).collect()}
@@ -140,13 +194,35 @@ def test_retrieval(spark):
     assert placed.where("place = 1").first()["chunk"] == 2
     gate = retrieval.support_gate(placed).first()
     assert gate["supported"] and gate["confidence"] == "high" and gate["top"] == 2
-    picks = [r["chunk"] for r in retrieval.diverse_selection(placed).orderBy("pick").collect()]
-    assert picks == [2, 1]
+    extra = placed.select("question", F.col("chunk").alias("item"), F.col("chunk").alias("document"), F.lit(0).alias("chunk_index"), F.lit(False).alias("span"), "topic", "logit", "direct", "title", "vector", "place", F.lit(500).alias("length"), F.array(F.lit(0.5)).alias("coverage"))
+    # 1 is far below the top but covers something, 3 has the topic of 2
+    assert [r["item"] for r in retrieval.select_responses(extra).orderBy("pick").collect()] == [2, 1]
+    assert [r["item"] for r in retrieval.select_responses(extra.withColumn("coverage", F.array(F.lit(0.1)))).collect()] == [2]
     scored = spark.createDataFrame([(1, 10, 1, "a", 0.5), (1, 11, 2, "b", 0.9)], "question int, document int, topic int, version string, score double")
     out = retrieval.scope_expansion(scored, spark.createDataFrame([(1, "a")], "question int, version string")).collect()
     assert len(out) == 2 and all(r["expanded"] for r in out)
 
 
+def test_choice_of_passages(spark):
+    schema = "question int, item string, document string, chunk_index int, span boolean, topic string, logit double, direct double, title double, vector array<double>, place int, length int, coverage array<double>"
+    rows = [
+        (1, "a", "d1", 1, False, "t1", 2.0, 0.9, None, [1.0, 0.0, 0.0], 1, 50, [0.5, 0.0]), (1, "b", "d1", 2, False, "t1", 1.9, 0.9, None, [1.0, 0.1, 0.0], 2, 400, [0.5, 0.0]),
+        (1, "c", "d1", 0, False, "t1", 0.1, 0.9, None, [0.9, 0.2, 0.0], 3, 300, [0.1, 0.0]), (1, "e", "d2", 0, False, "t2", 1.5, 0.8, None, [0.0, 1.0, 0.0], 4, 300, [0.0, 0.0]),
+        (1, "f", "d3", 0, False, "t3", 1.5, 0.8, None, [0.0, 0.0, 1.0], 5, 300, [0.0, 0.9]), (1, "g", "d4", 0, False, "t4", 1.9, 0.1, None, [0.5, 0.5, 0.5], 6, 300, [0.0, 0.9]),
+    ]
+    got = retrieval.select_responses(spark.createDataFrame(rows, schema)).orderBy("pick").collect()
+    # the longer passage of the first document, with its first chunk; then what covers more; the third lies too far below
+    assert [(r["item"], r["lead"]) for r in got] == [("b", "c"), ("f", None)]
+    logits = spark.createDataFrame([(1, 0, 1, 2.0), (1, 0, 2, 0.0), (1, 0, 3, -1.0), (1, 1, 1, 0.0), (1, 1, 2, 0.0)], "question int, perspective int, chunk int, logit double")
+    w = {r["perspective"]: r for r in retrieval.perspective_weights(logits).collect()}
+    assert w[0]["median"] == 0.0 and abs(w[0]["spread"] - (5 / 3) ** 0.5) < 1e-9 and abs(w[0]["weight"] - (1 - np.exp(-2))) < 1e-9 and (w[1]["spread"], w[1]["weight"]) == (1.0, 0.0)
+    parts = spark.createDataFrame([([("A", "Text one"), ("Text", "text two"), ("U", "")], True, "7.4", "7.5"), (None, True, None, None), ([("T", "b")], False, None, None)], "p array<struct<title:string,body:string>>, s boolean, v string, a string")
+    got = [r[0] for r in parts.select(retrieval.render_answer(F.col("p"), F.col("s"), F.col("v"), F.col("a"))).collect()]
+    assert got[0].startswith("A: Text one\n\n- text two\n\nThis is documented for version 7.4;") and got[0].endswith("7.5.") and got[1] == got[2] == retrieval.NO_EVIDENCE
+    c = spark.createDataFrame([(False, 3, 3), (True, 2, 1), (True, 1, 1)], "s boolean, e int, r int")
+    assert [r[0] for r in c.select(retrieval.coverage_status(F.col("s"), F.col("e"), F.col("r"))).collect()] == ["thin", "complete", "partial"]
+
+
 def test_evaluation(spark):
     s = spark.createDataFrame([(1, 5, 0.9, False), (1, 6, 0.8, True), (2, 5, 0.7, True)], "question int, chunk int, sim double, relevant boolean")
     m = evaluation.ranking_metrics(evaluation.target_ranks(s)).first()
@@ -196,6 +272,34 @@ def test_store(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).first()["preview"] == "pwd=[REDACTED] q"
 
 
+def test_trace_tail_rotation_and_reports(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for f, n in (("a.jsonl", range(3)), ("b.jsonl", range(3, 6))):
+        (folder / f).write_text("".join('{"n": %d}\n' % i for i in n) + "broken{\n\n")
+        os.utime(folder / f, (n[0] + 1, n[0] + 1))
+    last, counts = store.trace_tail(spark, str(folder), "n int", 4)
+    assert [r["n"] for r in last.collect()] == [2, 3, 4, 5] and tuple(counts.first()) == (8, 2, 2)
+    assert store.rotate(spark, str(folder), most_files=1) == ["a.jsonl"] and [p.name for p in folder.iterdir()] == ["b.jsonl"]
+    d = spark.createDataFrame([("a|b", 1), (None, 2)], "x string, n int")
+    assert store.markdown(d, "T").split("\n")[2:] == ["| x | n |", "| --- | --- |", "| a\\|b | 1 |", "|  | 2 |"]
+    store.write_report({"one": d}, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/one")).count() == 2
+    events = spark.createDataFrame([("s", None, ["1", "2"], None, [("version", "7.4")]), ("s", None, ["9"], None, None), ("r", "2", None, None, None), ("r", None, None, "5", [("version", "7.5"), ("category", "c")])], "tool string, id string, followedReadCandidateIds array<string>, topResultId string, scopeExpansions array<struct<kind:string,requestedScope:string>>")
+    assert tuple(trace.followed_searches(events, "tool", "s", "r").first()) == (2, 1, 50.0, 50.0)
+    assert {(r["kind"], r["scope"], r["n"]) for r in trace.expansions(events).collect()} == {("version", None, 2), ("version", "7.4", 1), ("version", "7.5", 1), ("category", None, 1), ("category", "c", 1)}
+
+
+def test_read_sections_and_seeded_sample(spark):
+    d = spark.createDataFrame([(1, "a\nb"), (2, "c"), (3, " ")], "id long, t string")
+    found = structure.sections(d.where("id = 2"), "id", "t")
+    assert sorted((r["id"], r["section_kind"], r["end_line"]) for r in structure.read_sections(d, found, "id", "t").collect()) == [(1, "generic", 2), (2, "description", 1)]
+    got = [r["id"] for r in evaluation.seeded_sample(spark.range(20), "id", 42, 20).orderBy("turn").collect()]
+    assert got == evaluation.park_miller_order(20, 42)
+    v = structure.assist_perspectives(spark.createDataFrame([(1, "How do I end it?", "CL", "ENDJOB"), (2, " ", None, None), (3, "Why?", None, None)], "k int, q string, l string, c string"), "k", "q", "l", "c").orderBy("k", "perspective").collect()
+    assert [(r["k"], r["query"]) for r in v] == [(1, "How do I end it?\n\nCode context:\nENDJOB"), (1, "How do I end it?\n\nLanguage or environment hint: CL\n\nCode context:\nENDJOB"), (1, "How do I end it?"), (1, "ENDJOB"), (3, "Why?")]
+
+
 def _same(a: pd.DataFrame, b: pd.DataFrame) -> bool:
     def norm(df):
         df = df[sorted(df.columns)]
@@ -221,9 +325,8 @@ def test_query_runs(spark, name):
 @pytest.mark.parametrize("name", ["document_score", "version_expansion", "feedback_mining", "ir_metrics"])
 def test_query_looks_past_the_lists(spark, monkeypatch, name):
     whole = catalogue.QUERIES[name](spark, SMALL).toPandas()
-    monkeypatch.setattr(catalogue._top, "__defaults__", (2,))
-    monkeypatch.setattr(catalogue._labelled, "__defaults__", (2,))
-    monkeypatch.setattr(catalogue._lists, "__defaults__", (2,) if catalogue._lists.__defaults__ else None)
+    for f in (catalogue._top, catalogue._labelled, catalogue._lists):
+        monkeypatch.setattr(f, "__defaults__", (2,))
     monkeypatch.setattr(catalogue, "LIST", 2)
     assert _same(catalogue.QUERIES[name](spark, SMALL).toPandas(), whole)
 
@@ -232,13 +335,29 @@ def test_question_bank_and_contents(spark):
     from quarrylake.operators import qabank, toc
 
     text = "1. What is A?\nAnswer: it is a letter\nof the alphabet\n2) How do I stop it\nquickly?\nPress stop."
-    assert qabank.parse_numbered(text) == [(1, "What is A?", "it is a letter\nof the alphabet"), (2, "How do I stop it quickly?", "Press stop.")]
+    assert qabank.parse_numbered(text) == [("1", "What is A?", "it is a letter\nof the alphabet"), ("2", "How do I stop it quickly? Press stop.", "")]
+    assert qabank.parse_numbered("3. How do I stop it\nquickly?\nPress the stop key.") == [("3", "How do I stop it quickly?", "Press the stop key.")]
+    assert qabank.parse_marked("How does it work?\nAnswer:\nIt works by itself.\nMore of it.\nWhat else is there?") == [("1", "How does it work?", "It works by itself.\nMore of it.")]
+    assert qabank.parse_coded("QL40158 What is a subfile? AL40158 A list on a display. QL40159 Define job queue AL40159 Place for jobs") == [("QL40158", "What is a subfile?", "A list on a display."), ("QL40159", "Define job queue", "Place for jobs")]
+    assert [x[1] for x in qabank.parse_items(text)] == ["What is A?", "How do I stop it quickly? Press stop."]
+    found = spark.createDataFrame([("web", "1", "Q1: How does SBMJOB use a job queue?", "Answer: *NONE"), ("web", "2", "What is it?", None)], "source string, ordinal string, question string, answer string")
+    cases = {r["id"]: r for r in qabank.make_cases(found).collect()}
+    one = cases["qb-web-1-how-does-sbmjob-use-a-job-queue"]
+    assert (one["question"], one["expected_answer_summary"], one["extraction_quality"], one["lang"]) == ("How does SBMJOB use a job queue?", "*NONE", "answered", "CLLE") and one["answer_must_contain_any"][:2] == ["job queue", "*NONE"]
+    assert cases["qb-web-2-what-is-it"]["extraction_quality"] == "question-only"
     d = spark.createDataFrame([(1, "Use CRTX with *NONE and the Letter", "letter? Crtx")], "k int, a string, q string")
     assert qabank.terms(d, "k", "a", "q").first()["terms"] == ["CRTX", "*NONE", "NONE", "Letter"]
+    a = spark.createDataFrame([("What is  É?", 1), ("", 2)], "q string, n int")
+    b = spark.createDataFrame([("what is e", 1), ("Other?", 2)], "q string, n int")
+    assert sorted((r["q"], r["n"]) for r in qabank.merge_questions(a, b, "q", "n").collect()) == [("Other?", 2), ("What is  É?", 1)]
     nodes = spark.createDataFrame([(1, None, "Root"), (2, 1, "Sub"), (3, 2, "Leaf"), (4, None, "Other")], "id int, parent int, label string")
     flat = toc.flatten(nodes)
     assert {r["id"]: r["path"] for r in flat.collect()}[3] == ["Root", "Sub", "Leaf"]
     assert {r["id"] for r in flat.where(toc.in_scope(F.col("path"), ["root > sub"], ["leaf"])).collect()} == {2}
+    assert {r["id"]: r["ids"] for r in flat.collect()}[3] == [1, 2, 3]
+    assert {r["id"] for r in flat.where(toc.in_scope(F.col("path"), [], [], ["^oth"], F.col("ids"), [2])).collect()} == {2, 3, 4}
+    chain = spark.createDataFrame([(i, i - 1 if i else None, "n") for i in range(35)] + [(99, 99, "loop")], "id int, parent int, label string")
+    assert toc.flatten(chain).agg(F.max("level"), F.count("*")).first() == (34, 35)
     t = spark.createDataFrame([(i, "ab"[i % 2 if i < 6 else 0]) for i in range(10)], "id int, g string")
     assert [r["id"] for r in toc.balanced(t, "g", "id", 4, F.col("id") == 9).collect()] == [9, 0, 1, 2]
 
@@ -255,15 +374,50 @@ def test_engine(spark):
 
     c = Corpus(spark, SMALL)
     hits = c.search("Why does the message appear when the job ends? I changed the queue before that.", limit=5).collect()
-    assert [h["place"] for h in hits] == [1, 2, 3, 4, 5] and all(a["score"] >= b["score"] for a, b in zip(hits, hits[1:]))
-    out = c.assist("Where is the object stored?", depth="concise", least=-100.0)
-    assert out["supported"] and out["citations"] and not c.assist("Where is the object stored?", least=1000.0)["supported"]
+    assert [h["place"] for h in hits] == [1, 2, 3, 4, 5] and all(a["score"] >= b["score"] for a, b in zip(hits, hits[1:])) and all(-100 <= h["score"] <= 100 for h in hits)
     first = hits[0]["document_id"]
     assert c.read(first).count() >= 1 and c.sections(first).count() >= 0 and c.related(first).count() <= 5
     assert c.search("Where is the object stored?", version="7.4").count() > 0
     with pytest.raises(ValueError):
         c.search("x" * 20_000)
+    with pytest.raises(ValueError):
+        c.assist("  ")
     assert set(c.quality_report()) >= {"gate", "vectors"} and c.trace_report()["rates"].count() == 1
+    assert {r["metric"]: r["n"] for r in c.pack_diagnostics().collect()}["documents"] == c.table("document_records").count()
+    assert c.report_query("Where is the object stored?", expected_title="no such title")["pass"] is False and set(c.categories()) == {"by_category", "by_doc_version", "by_source_kind"}
+    title = c.search("Where is the object stored?", limit=1).first()["title"]
+    wanted = [{"name": "a", "query": "Where is the object stored?", "first_title": title}, {"name": "b", "query": "Where is the object stored?", "contains_title": "no such title"}]
+    assert {r["name"]: r["reason"] for r in c.golden(wanted).collect()} == {"a": None, "b": "a title is missing"}
+
+
+def test_answers(spark):
+    """A small corpus in which the words decide: one document answers, one is of another version."""
+    from quarrylake.engine import Corpus, hashing_embedder
+
+    embed = hashing_embedder(64)
+    texts = [("d1", "7.4", "t1", "Ending a job", "To end a job use the end job command with the controlled option."), ("d2", "7.5", "t2", "Printing a list", "To print a list use the print list command."), ("d3", "7.4", "t3", "Saving a file", "To save a file use the save file command on a tape."), ("d4", "7.3", "t1", "Ending a job", "To end a job use the end job command without options.")]
+    vec = lambda t: [float(x) for x in embed([t])[0]]
+    tables = {
+        "chunks": spark.createDataFrame([(i, d, 0, b) for i, (d, _, _, _, b) in enumerate(texts)], "chunk_id long, document_id string, chunk_index int, body string"),
+        "chunk_vectors": spark.createDataFrame([(i, [7 * x for x in vec(x[4])]) for i, x in enumerate(texts)] + [(77, [float("nan")] * 64)], "chunk_id long, vector array<double>"),
+        "document_vectors": spark.createDataFrame([(d, vec(t)) for d, _, _, t, _ in texts], "document_id string, title_vector array<double>"),
+        "document_records": spark.createDataFrame([(i, d, t, v, "c", ["x"], k) for i, (d, v, k, t, _) in enumerate(texts)], "record_no long, id string, title string, doc_version string, category string, breadcrumbs array<string>, canonical_topic_key string"),
+    }
+    c = Corpus(spark, "", embed)
+    c.table = tables.get
+    asked = "use the end job command to end a job"
+    texts = [(1, asked, None), (2, asked, "7.3"), (3, asked, "7.4"), (4, asked, "7.5"), (5, "quantum physics of distant galaxies", None), (9, "print a list use the print list command", None), (11, None, None)]
+    many = spark.createDataFrame([(n, t, None, None, v) for n, t, v in texts], "question long, text string, language string, code string, version string")
+    got = {r["question"]: r for r in c.answers(many).collect()}
+    assert got[1]["supported"] and got[1]["citations"][0] in ("d1", "d4") and got[1]["answer"].startswith("Ending a job: To end a job") and got[1]["confidence"] == "high"
+    # the asked version goes first; for a version that has nothing good enough another one is named
+    assert got[2]["citations"][0] == "d4" and got[3]["citations"][0] == "d1"
+    assert got[4]["citations"][0] in ("d1", "d4") and "version 7.5" in got[4]["answer"]
+    assert not got[5]["supported"] and got[5]["answer"] == retrieval.NO_EVIDENCE and got[5]["coverage"] == "thin"
+    assert got[9]["supported"] and got[9]["citations"][0] == "d2" and not got[11]["supported"] and got[11]["citations"] == []
+    one = c.ask("context", asked, category="none")
+    assert one["supported"] is False and one["reads"] == []
+    assert c.compare_versions(asked, ["7.3", "7.4", "9.9"]) == {"7.3": "d4", "7.4": "d1", "9.9": None}
 
 
 def test_engine_finds_a_small_version_and_category(spark):
@@ -273,8 +427,9 @@ def test_engine_finds_a_small_version_and_category(spark):
     n = range(last + 1)
     tables = {
         "chunk_vectors": spark.createDataFrame([(i, [1.0, 0.0] if i < last else [0.0, 1.0]) for i in n], "chunk_id long, vector array<double>"),
-        "chunks": spark.createDataFrame([(i, f"d{i}", "text") for i in n], "chunk_id long, document_id string, body string"),
+        "chunks": spark.createDataFrame([(i, f"d{i}", 0, "text") for i in n], "chunk_id long, document_id string, chunk_index int, body string"),
         "document_records": spark.createDataFrame([(i, f"d{i}", "t", "7.5" if i < last else "7.3", "a" if i < last else "b", "k") for i in n], "record_no long, id string, title string, doc_version string, category string, canonical_topic_key string"),
+        "document_vectors": spark.createDataFrame([("none", [1.0, 1.0])], "document_id string, title_vector array<double>"),
     }
     c = Corpus(spark, "", lambda texts: np.array([[1.0, 0.0]] * len(texts)), 2)
     c.table = tables.get
