@@ -2,7 +2,7 @@
 
 Each page's markup is read as a tree of containers. Every block of text passes
 points for its length and its commas, discounted by the share of it that is link
-text, to its container and half of them to the container above; the best
+text, to its container, half of them to the one above, a quarter to the next; the best
 container and the siblings that look like it are the first guess at the main
 content. That guess, made for every page, says of each line that recurs over the
 pages whether it usually lies in main content or beside it. The second reading
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ _SENTENCE = re.compile(r"[.!?:;。](?:[\"'»)\]]*)$")
 _CODE = re.compile(r"^(?:[A-Z]{4,}(?: [A-Z]+\([^)]*\))+|select\b.*|dcl-\w+ .*|C +\w+ +[A-Z]{3,}.*|.*[;{}]$)")
 #: A line is recurring if at least this share of the pages, and this many, have it.
 SHARE, AT_LEAST = 0.002, 4
+LONG_LINE = 400  # characters from which a line is named by its hash
+NEARBY = 12  # blocks within which a text that recurs on the page is looked for
 
 
 @dataclass
@@ -152,8 +155,10 @@ def blocks(html: str) -> tuple[list[Block], _Page]:
 
 
 def folded(line: str) -> str:
-    """What recurring lines share: no digits, host names or case."""
-    return _DIGITS.sub("0", _HOST.sub("@", line.strip().lower()))
+    """What recurring lines share: no digits, host names or case. A very long line is
+    named by its hash."""
+    line = _DIGITS.sub("0", _HOST.sub("@", line.strip().lower()))
+    return line if len(line) <= LONG_LINE else f"#{xxhash.xxh3_128_hexdigest(line.encode('utf-8', 'surrogatepass'))}"
 
 
 def is_prose(text: str) -> bool:
@@ -186,9 +191,10 @@ def best_boxes(found: list[Block], page: _Page, beside: set[int]) -> tuple[int |
             if page.title and b.text == page.title and not b.link:
                 score[b.box] = score.get(b.box, 0.0) + 5.0
             score[b.box] = score.get(b.box, 0.0) + points(b) * (2.0 if is_content(b) else 0.5)
-            above = page.parents[b.box]
-            if above > 0:
-                score[above] = score.get(above, 0.0) + points(b) / 2
+            above, share = page.parents[b.box], points(b) / 2
+            while above > 0 and share > 0.01:  # half as much with every level
+                score[above] = score.get(above, 0.0) + share
+                above, share = page.parents[above], share / 2
     for box, (total, linked) in length.items():
         score[box] = score.get(box, 0.0) * (1 - linked / max(1.0, total))
     own_boxes = {k: v for k, v in score.items() if k in members}
@@ -265,11 +271,16 @@ def main_lines(html: str | None, text: str | None, title: str | None, usual: dic
             opening = inside and inside[0] in beside
             if rest and linked < 0.3 and not opening and (same or 2 * len(good) >= len(rest)):
                 keep |= set(rest)
-    # the blocks are the lines, in order; a line that no block gives is judged by itself
+    # the blocks are the lines, in order; a line that no block gives is judged by itself.
+    # A text that stands once among all blocks is found wherever it is, others nearby
     out, at = [], 0
+    where: dict[str, list[int]] = {}
+    for k, b in enumerate(found):
+        where.setdefault(b.text, []).append(k)
     for line in lines:
         want = _SPACE.sub(" ", line).strip()
-        place = next((k for k in range(at, min(at + 12, len(found))) if found[k].text == want), None)
+        spots = where.get(want, ())
+        place = next((k for k in spots if k >= at and (k < at + NEARBY or len(spots) == 1)), None)
         if place is None:
             out.append(bool(keep) and usual.get(folded(line)) is not False and (is_prose(want) or bool(_CODE.match(want))))
         else:
@@ -287,10 +298,9 @@ def line_usage(pages: DataFrame, html: str = "html") -> DataFrame:
             count: dict[str, list[int]] = {}
             for h in f["html"].tolist():
                 for line, main in {(folded(t), m) for t, m in first_guess(h)}:
-                    if len(line) <= 400:
-                        c = count.setdefault(line, [0, 0])
-                        c[0] += 1
-                        c[1] += main
+                    c = count.setdefault(line, [0, 0])
+                    c[0] += 1
+                    c[1] += main
             yield pd.DataFrame([(k, *v) for k, v in count.items()], columns=["line", "n", "main"])
 
     return pages.select(F.col(html).alias("html")).where("html is not null").mapInPandas(run, "line string, n long, main long").groupBy("line").agg(F.sum("n").alias("n"), F.sum("main").alias("main"))
