@@ -72,7 +72,7 @@ def positions(df: DataFrame, contributor: str, score: str, row_id: str, kind: st
     """
     kind_col = F.col(kind) if kind else F.lit("")
     rows = df.where(F.col(contributor).isNotNull()).select(
-        F.concat_ws("\u0001", kind_col, F.col(contributor)).alias("k"), F.col(score).alias("s"), F.col(row_id).alias("id")
+        F.concat_ws("\u0001", F.coalesce(kind_col.cast("string"), F.lit("")), F.col(contributor)).alias("k"), F.col(score).alias("s"), F.col(row_id).alias("id")
     )
     n = partitions or shuffle_width(df.sparkSession)
     ordered = rows.repartitionByRange(n, F.col("k"), F.col("s").desc_nulls_last(), F.col("id")).sortWithinPartitions(F.col("k"), F.col("s").desc_nulls_last(), F.col("id"))
@@ -102,14 +102,17 @@ def positions(df: DataFrame, contributor: str, score: str, row_id: str, kind: st
 
 def beyond_cap(df: DataFrame, contributor: str, score: str, row_id: str, cap: int | None = 25, share: float | None = None, kind: str | None = None) -> DataFrame:
     """Rows that a cap leaves out: position above ``cap`` rows, or above
-    floor(share * all rows) where a share is given (both: the smaller)."""
-    limit = cap
-    if share is not None:
-        by_share = int(share * df.count())
-        limit = by_share if limit is None else min(limit, by_share)
-    if limit is None:
+    floor(share * rows of the same kind that have a contributor) where a share is
+    given (both: the smaller)."""
+    if cap is None and share is None:
         raise ValueError("cap or share is needed")
-    return positions(df, contributor, score, row_id, kind).where(F.col("position") > limit)
+    placed = positions(df, contributor, score, row_id, kind)
+    if share is None:
+        return placed.where(F.col("position") > cap)
+    name = F.coalesce(F.col(kind).cast("string"), F.lit("")) if kind else F.lit("")
+    sizes = df.where(F.col(contributor).isNotNull()).groupBy(name.alias("contributor_kind")).agg(F.floor(F.count("*") * share + 1e-9).alias("_limit"))
+    limit = F.col("_limit") if cap is None else F.least("_limit", F.lit(cap))
+    return placed.join(sizes, "contributor_kind").where(F.col("position") > limit).drop("_limit")
 
 
 #: Values of an author field that name nobody.

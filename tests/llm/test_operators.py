@@ -37,6 +37,16 @@ def test_cap_equals_brute_force_with_a_hot_contributor(spark):
     assert capping.beyond_cap(d, "who", "s", "id", cap=None, share=0.01).groupBy("contributor").count().count() > 1
 
 
+def test_cap_by_share_of_the_same_kind(spark):
+    # ten rows: kind a has six with a contributor, kind b three; a share of 0.34 is two rows of a and one of b
+    data = [("a", "x", i, i) for i in range(5)] + [("a", "y", 9, 5), ("b", "x", 1, 6), ("b", "x", 2, 7), ("b", "z", 3, 8), ("a", None, 3, 9)]
+    d = spark.createDataFrame(data, "kind string, who string, s long, id long")
+    got = sorted((r["contributor_kind"], r["id"]) for r in capping.beyond_cap(d, "who", "s", "id", cap=None, share=0.34, kind="kind").collect())
+    assert got == [("a", 0), ("a", 1), ("a", 2), ("b", 6)]
+    both = sorted((r["contributor_kind"], r["id"]) for r in capping.beyond_cap(d, "who", "s", "id", cap=1, share=0.34, kind="kind").collect())
+    assert both == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 6)]
+
+
 def test_contributor_names(spark):
     s = ["https://WWW.A.example:443/x?y", " http://a.example", "A.example ", "", "  ", None, "scans/B.pdf"]
     got = [r["w"] for r in spark.createDataFrame([(x,) for x in s], "s string").select(capping.source_contributor(F.col("s")).alias("w")).collect()]
@@ -420,6 +430,17 @@ def test_pages(spark):
     assert boilerplate.label_lines(d.limit(0), "id", "html", "text", "title").count() == 0
 
 
+def test_lines_far_apart_and_very_long_ones():
+    blocks = [f"Paragraph number {i} of the page, long enough to count, with a full stop." for i in range(40)]
+    html = "<body><div class='c'>" + "".join(f"<p>{t}</p>" for t in blocks) + "</div></body>"
+    # the text lacks thirty blocks in a row; what follows is found all the same
+    lines = [blocks[0], *blocks[31:]]
+    assert boilerplate.main_lines(html, "\n".join(lines), None, {}) == [True] * 10
+    long = "menu " * 200
+    assert boilerplate.folded(long) == boilerplate.folded(long.upper()) and len(boilerplate.folded(long)) < 60
+    assert boilerplate.main_lines(html, long + "\n" + blocks[0], None, {boilerplate.folded(long): False}) == [False, True]
+
+
 # ---- broken pairs ------------------------------------------------------------------------------
 
 
