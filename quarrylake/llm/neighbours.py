@@ -32,7 +32,7 @@ from quarrylake.llm.common import mix64, partitions_for, release, stored
 DIM = 64
 K = 16
 TABLES = 3
-CELL = 1500  # vectors a cell of the first lists holds on average
+CELL = 3000  # vectors a cell of the first lists holds on average
 BLOCK = 8_000  # rows of a cell compared at once; larger cells are compared by pairs of blocks
 FEW = 6  # of each row's neighbours in a cell that go into its first list
 STARTS = 64  # random rows that lists with few entries start from
@@ -406,10 +406,11 @@ def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: in
     while bits and (rounds is None or number < rounds):
         number += 1
         met = partitions_for(spark, total * 2 * (PICKS + OLD_PICKS), 600_000)
-        found = _meetings(graph, number, met).mapInArrow(_local_joins, _ROW)
+        found = stored(_meetings(graph, number, met).mapInArrow(_local_joins, _ROW))
+        release(spark)
         before, graph = graph, stored(graph.unionByName(found).repartition(n, "key").mapInArrow(_merge(k, number), _ROW))
         gained, changed = graph.agg(F.count_if(F.col("changed") >= near), F.count_if(F.col("changed") > -3)).first()
-        release(spark, before)
+        release(spark, before, found)
         _log.info("round %d: of %d lists %d changed, %d by a row as near as %s", number, total, changed, gained, near)
         if log is not None:
             log.append((number, gained, changed, total))
