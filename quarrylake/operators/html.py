@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.operators import qabank
-from quarrylake.sources.store import cut
+from quarrylake.sources.store import cut, licensed
 
 VOID = {"area", "base", "br", "col", "embed", "frame", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 DROPPED = {"script", "style", "noscript", "iframe", "frame", "nav"}
@@ -339,6 +339,14 @@ def questions(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.mapInPandas(run, f"k {kind}, ordinal int, question string, answer string, quality string, error string").withColumnRenamed("k", key)
 
 
+def source_questions(pages: DataFrame, registry: DataFrame, key: str, html: str, source: str, allow_unknown: bool = False) -> DataFrame:
+    """``questions`` of the pages of all registered sources whose licence allows use, with
+    the source; a page that cannot be read stops no other."""
+    allowed = licensed(registry, allow_unknown).select(F.col("id").alias("_source"))
+    chosen = pages.join(allowed, F.col(source) == F.col("_source"), "left_semi")
+    return questions(chosen, key, html).join(chosen.select(key, source), key)
+
+
 # ---- links ---------------------------------------------------------------------------
 
 

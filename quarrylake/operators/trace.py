@@ -43,11 +43,19 @@ def expansions(events: DataFrame, column: str = "scopeExpansions") -> DataFrame:
 
 
 def read_after_search(events: DataFrame, tool: str, user: str, at: str, search: str, read: str, within: int = 3600) -> DataFrame:
-    """(user, searches, followed): the ordered variant, a read at most ``within`` seconds later."""
-    w = Window.partitionBy(user).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    next_read = F.min(F.when(F.col(tool) == read, F.col(at))).over(w)
-    follows = (F.unix_micros(next_read.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) <= within * 1_000_000
-    marked = events.withColumn("follows", F.coalesce(follows, F.lit(False))).where(F.col(tool) == search)
+    """(user, searches, followed): the ordered variant, a read at most ``within`` seconds later.
+
+    Time is cut into spans of that length, so the next read lies in the span of the
+    search or in the one after it: a window holds what one user does in one span, and
+    a user of very many events is spread over many tasks.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = events.where(F.col(tool).isin(search, read)).select(F.col(user), F.col(tool).alias("_tool"), micros.alias("_at")).withColumn("_span", F.floor(F.col("_at") / (within * 1_000_000)))
+    w = Window.partitionBy(user, "_span").orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = rows.withColumn("_next", F.min(F.when(F.col("_tool") == read, F.col("_at"))).over(w)).where(F.col("_tool") == search)
+    later = rows.where(F.col("_tool") == read).groupBy(user, (F.col("_span") - 1).alias("_span")).agg(F.min("_at").alias("_later"))
+    both = same.join(later, [user, "_span"], "left")
+    marked = both.withColumn("follows", F.coalesce(F.least("_next", "_later") - F.col("_at") <= within * 1_000_000, F.lit(False)))
     return marked.groupBy(user).agg(F.count("*").alias("searches"), F.count_if("follows").alias("followed"))
 
 

@@ -1057,3 +1057,9 @@ def golden_check(spark, d):
     first = hits.where("place = 1")
     wanted = first.select("name", F.when((F.length("name") % 2 == 0) & ~F.col("title").startswith("K"), F.lit("K")).alias("first_title"), F.lit("table").alias("contains_title"), F.lit("parameter|menu").alias("pattern"))
     return evaluation.golden_check(hits, wanted)
+
+
+@query()
+def source_questions(spark, d):
+    """Questions of the pages of registered sources with a known licence."""
+    return html.source_questions(_t(spark, d, "raw_pages"), _t(spark, d, "source_registry"), "page_id", "html", "source")
