@@ -479,10 +479,12 @@ def test_abuse(spark, tmp_path):
     labels = spark.read.parquet("/root/testdata/sf0.1/review_labels.parquet")
     chain = abuse.fitted_chain(docs, labels, "doc_id", "text", "label")
     more = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "y0u 4r3 such a fuck1ng 1d10t"), (10**6 + 3, "You are such a s t u p i d idiot."), (10**6 + 4, "Profanity such as idiot or porn is masked by the filter; the list is kept in X."), (10**6 + 5, "I hate immigrants, deport every last one of this vermin"), (10**6 + 6, "Frее хxx pоrn movies for adults")]
+    # sentences that no example phrase resembles
+    more += [(10**6 + 7, "y0u 4r3 n0th1ng but 4 w0rthl3$$ 1d10t"), (10**6 + 8, "Y o u w o r t h l e s s idiot."), (10**6 + 9, "The word filter rejects postings that contain terms such as idiot or porn; the list is kept in X."), (10**6 + 10, "All immigrants are vermin and should be driven out"), (10**6 + 11, "Frее hardcоrе pоrn with hоrny men, no sign-up")]
     odd = spark.createDataFrame([(k, t, "z") for k, t in more], docs.schema)
     got = {r["doc_id"]: (r["category"], r["score"]) for r in abuse.apply_chain(chain, odd, "doc_id", "text").collect()}
     assert len(got) == len(more) and got[10**6] == (None, 0.0) and got[10**6 + 1] == (None, 0.0)
-    assert [got[10**6 + i][0] for i in range(2, 7)] == ["abusive", "abusive", None, "hateful", "sexual"]
+    assert [got[10**6 + i][0] for i in range(2, 12)] == ["abusive", "abusive", None, "hateful", "sexual"] * 2
     abuse.save(chain, str(tmp_path / "chain.npz"))
     again = {r["doc_id"]: (r["category"], r["score"]) for r in abuse.apply_chain(abuse.load(str(tmp_path / "chain.npz")), odd, "doc_id", "text").collect()}
     assert again == got
