@@ -7,12 +7,14 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_A_BLOCK, QUERIES_A_BLOCK = 50_000, 2_000
 PAIRS_A_BLOCK = 2_000_000  # where all pairs are returned
 AT_ONCE = 256  # queries of one matrix product
+BEST_ROWS, BEST_QUERIES, BEST_AT_ONCE = 100_000, 50_000, 64  # the same where a document has several rows
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -85,6 +87,79 @@ def facet_similarity(content: DataFrame, title: DataFrame, chunks: DataFrame) ->
     return both.select("qid", "chunk", "document", F.when(F.col("chunk_index") == 0, F.greatest("sim", "_title")).otherwise(F.col("sim")).alias("sim"))
 
 
+def facet_rows(content: DataFrame, titles: DataFrame, chunks: DataFrame, dim: int) -> DataFrame:
+    """(skip, document, v): the vectors by which a document is found, those of its chunks
+    and, if it has a first chunk, those of its title. A query whose id is ``skip`` does
+    not look at the row: it is that chunk, or the only first chunk behind a title.
+
+    ``content`` has chunk and v, ``titles`` document and v, ``chunks`` chunk, document
+    and chunk_index. Vectors that are not usable take no part.
+    """
+    fine = content.where(usable(F.col("v"), dim))
+    firsts = chunks.where("chunk_index = 0").join(fine.select("chunk"), "chunk", "left_semi").groupBy("document").agg(F.min("chunk").alias("a"), F.max("chunk").alias("z"))
+    named = titles.where(usable(F.col("v"), dim)).join(firsts, "document").select(F.when(F.col("a") == F.col("z"), F.col("a")).alias("skip"), "document", "v")
+    return fine.join(chunks.select("chunk", "document"), "chunk").select(F.col("chunk").alias("skip"), "document", "v").unionByName(named)
+
+
+def best_documents(rows: DataFrame, queries: DataFrame, k: int, dim: int, n_rows: int) -> DataFrame:
+    """(qid, document, sim): for every query the k documents of the largest cosine of
+    any of their rows, at six digits, ties by smaller document, none last.
+
+    ``rows`` are ``facet_rows``, about ``n_rows``, ``queries`` has qid and v. Blocks are
+    as in ``block_search``; of a pair of blocks only the k best documents of each query
+    leave the task. No other can be among the k of the query: the row a document is
+    best by is in one block, and what is ahead of it there is ahead of it at the end.
+    """
+    n_queries = queries.count()
+    rb, qb = max(1, math.ceil(n_rows / BEST_ROWS), min(24, n_rows // 2000)), max(1, math.ceil(n_queries / BEST_QUERIES))
+    r = rows.select("skip", "document", "v", F.pmod(F.xxhash64("document", "skip"), F.lit(rb)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    q = queries.where(usable(F.col("v"), dim)).select(F.col("qid").alias("ask"), F.col("v").alias("w"), F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("rb"))
+
+    def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+        m = np.asarray(vectors.combine_chunks().flatten(), np.float64).reshape(-1, dim)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        kind = a.schema.field("document").type
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], b.schema.field("ask").type), pa.array([], kind), pa.array([], pa.float64())], names=["qid", "document", "sim"])
+        # rows by document, in the order in which ties are kept
+        a = a.take(pc.sort_indices(a, sort_keys=[("document", "ascending")], null_placement="at_end"))
+        code = a.column("document").combine_chunks().dictionary_encode(null_encoding="encode")
+        names, place = code.dictionary, code.indices.to_numpy()
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        x, y, asked = matrix(a.column("v")), matrix(b.column("w")), b.column("ask").to_numpy()
+        at = np.flatnonzero(a.column("skip").is_valid().to_numpy())
+        skip = a.column("skip").drop_null().to_numpy()
+        order = np.argsort(skip, kind="stable")
+        at, skip = at[order], skip[order]
+        few = min(k, len(starts))
+        out = []
+        for s in range(0, len(y), BEST_AT_ONCE):
+            asks = asked[s : s + BEST_AT_ONCE]
+            sims = x @ y[s : s + BEST_AT_ONCE].T
+            lo, hi = np.searchsorted(skip, asks, "left"), np.searchsorted(skip, asks, "right")
+            for i in np.flatnonzero(hi > lo):
+                sims[at[lo[i] : hi[i]], i] = -np.inf
+            top = np.ascontiguousarray(np.maximum.reduceat(sims, starts, axis=0).T)
+            bar = np.round(np.partition(top, top.shape[1] - few, axis=1)[:, -few], 6)
+            i, j = np.nonzero(top >= bar[:, None] - 1e-6)
+            sim = np.round(top[i, j], 6)
+            keep = (sim >= bar[i]) & (sim > -np.inf)
+            i, j, sim = i[keep], j[keep], sim[keep]
+            order = np.lexsort((j, -sim, i))
+            i, j, sim = i[order], j[order], sim[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(asks)))[i] < k
+            out.append((asks[i[keep]], j[keep], sim[keep]))
+        qid, j, sim = (np.concatenate(c) for c in zip(*out))
+        return pa.table([pa.array(qid), names.take(pa.array(j)), pa.array(sim)], names=["qid", "document", "sim"])
+
+    kinds = queries.schema["qid"].dataType.simpleString(), rows.schema["document"].dataType.simpleString()
+    found = r.groupBy("qb", "rb").cogroup(q.groupBy("qb", "rb")).applyInArrow(best, f"qid {kinds[0]}, document {kinds[1]}, sim double")
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc_nulls_last("document"))
+    return found.groupBy("qid", "document").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+
+
 def project_head(rows: DataFrame, vector: str, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray, alpha: float) -> DataFrame:
     """(1 - alpha) x + alpha (W2 gelu(W1 x + b1) + b2), at unit length, as a new column ``projected``."""
 

@@ -249,11 +249,18 @@ def _facets(spark: SparkSession, d: str) -> DataFrame:
     return vectors.facet_similarity(content, title, k)
 
 
+def _best_documents(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(qid, document, sim): the k best documents of some chunks by text or title."""
+    v, t = _t(spark, d, "chunk_vectors").select(F.col("chunk_id").alias("chunk"), F.col("vector").alias("v")), _t(spark, d, "document_vectors").select(F.col("document_id").alias("document"), F.col("title_vector").alias("v"))
+    chunks = _t(spark, d, "chunks").select(F.col("chunk_id").alias("chunk"), F.col("document_id").alias("document"), "chunk_index")
+    asked = v.where("chunk % 100 = 0").withColumnRenamed("chunk", "qid")
+    return vectors.best_documents(vectors.facet_rows(v, t, chunks, DIM), asked, k, DIM, v.count() + t.count())
+
+
 @query(_FACETS + " SELECT qid, document, max(sim) AS sim FROM f GROUP BY qid, document QUALIFY row_number() OVER (PARTITION BY qid ORDER BY max(sim) DESC, document) <= 10")
 def facet_similarity(spark, d):
     """The ten best documents of some chunks, by text or title; all rows are compared."""
-    best = _facets(spark, d).groupBy("qid", "document").agg(F.max("sim").alias("sim"))
-    return best.withColumn("n", F.expr("row_number() over (partition by qid order by sim desc, document)")).where("n <= 10").drop("n")
+    return _best_documents(spark, d, 10)
 
 
 @query(_FACETS + """, r AS (SELECT id, title, doc_version FROM document_records QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1), g AS (SELECT id, category FROM document_records QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_no) = 1)

@@ -182,6 +182,41 @@ def test_cosine_of_vectors_of_any_length(spark):
     assert {r["chunk"]: r["sim"] for r in vectors.facet_similarity(content, title, chunks).collect()} == {1: 0.5, 2: 0.2}
 
 
+@pytest.mark.parametrize("name", ["facet_similarity"])
+def test_best_documents_leave_the_tasks_not_all_pairs(spark, monkeypatch, name):
+    def all_pairs(*args, **kwargs):
+        raise AssertionError("a row for every pair")
+
+    monkeypatch.setattr(vectors, "block_search", all_pairs)
+    assert catalogue.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_best_documents_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BEST_ROWS", 60)
+    monkeypatch.setattr(vectors, "BEST_QUERIES", 4)
+    monkeypatch.setattr(vectors, "BEST_AT_ONCE", 2)
+    rng = np.random.default_rng(3)
+    content = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(200)] + [(5, [1.0, 1.0, 1.0]), (6, None), (7, [float("nan"), 1.0, 1.0])]
+    chunks = [(i, None if i % 50 == 7 else f"d{i % 40:02d}", 0 if i % 3 else i) for i in range(200)] + [(8, "d39", 0)]
+    titles = [(f"d{i % 45:02d}", rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(60)] + [("d01", [0.0, 0.0, 0.0])]
+    d = spark.createDataFrame(content, "chunk long, v array<double>")
+    rows = vectors.facet_rows(d, spark.createDataFrame(titles, "document string, v array<double>"), spark.createDataFrame(chunks, "chunk long, document string, chunk_index int"), 3)
+    got = vectors.best_documents(rows, d.where("chunk % 10 = 5").withColumnRenamed("chunk", "qid"), 6, 3, 260).collect()
+
+    fine = lambda v: v is not None and np.isfinite(v).all() and np.any(v)
+    cosine = lambda x, y: round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 6)
+    want = []
+    for qid in range(5, 200, 10):
+        best: dict = {}
+        for asked in (v for c, v in content if c == qid and fine(v)):
+            for chunk, document, index in chunks:
+                for v in (v for c, v in content if c == chunk != qid and fine(v)):
+                    named = [t for n, t in titles if n == document is not None and index == 0 and fine(t)]
+                    best[document] = max([best.get(document, -2), cosine(asked, v)] + [cosine(asked, t) for t in named])
+        want += [(qid, *e) for e in sorted(best.items(), key=lambda e: (-e[1], e[0] is None, e[0] or ""))[:6]]
+    assert sorted(map(str, want)) == sorted(str((r["qid"], r["document"], r["sim"] + 0.0)) for r in got)
+
+
 def test_retrieval(spark):
     sims = spark.createDataFrame([(1, 0, 7, 0.5), (1, 1, 7, 0.9), (1, 0, 8, 0.6)], "question int, perspective int, document int, sim double")
     got = {r["document"]: (r["primary"], r["median"], r["score"]) for r in retrieval.document_scores(sims).collect()}
