@@ -241,18 +241,13 @@ ts AS (SELECT qid, document, max(round(list_dot_product(q.v, t.v), 6)) AS sim FR
 f AS (SELECT qid, chunk, c.document, CASE WHEN chunk_index = 0 THEN greatest(round(list_dot_product(q.v, c.v), 6), ts.sim) ELSE round(list_dot_product(q.v, c.v), 6) END AS sim FROM q JOIN c ON q.qid <> c.chunk LEFT JOIN ts USING (qid, document))"""
 
 
-def _facets(spark: SparkSession, d: str) -> DataFrame:
-    v, k = _t(spark, d, "chunk_vectors"), _t(spark, d, "chunks").select(F.col("chunk_id").alias("chunk"), F.col("document_id").alias("document"), "chunk_index")
-    asked = v.where("chunk_id % 100 = 0").select("chunk_id", "vector")
-    content = vectors.block_search(v, asked, "chunk_id", "vector", "chunk_id", "vector", None, DIM, unit=True)
-    title = vectors.block_search(_t(spark, d, "document_vectors"), asked, "document_id", "title_vector", "chunk_id", "vector", None, DIM, skip_self=False, unit=True).groupBy("qid", "rid").agg(F.max("sim").alias("sim"))
-    return vectors.facet_similarity(content, title, k)
-
-
-def _best_documents(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """(qid, document, sim): the k best documents of some chunks by text or title."""
+def _best_documents(spark: SparkSession, d: str, k: int, among: DataFrame | None = None) -> DataFrame:
+    """(qid, document, sim): the k best documents of some chunks by text or title, of all
+    documents or of those ``among`` names."""
     v, t = _t(spark, d, "chunk_vectors").select(F.col("chunk_id").alias("chunk"), F.col("vector").alias("v")), _t(spark, d, "document_vectors").select(F.col("document_id").alias("document"), F.col("title_vector").alias("v"))
     chunks = _t(spark, d, "chunks").select(F.col("chunk_id").alias("chunk"), F.col("document_id").alias("document"), "chunk_index")
+    if among is not None:
+        chunks = chunks.join(among, "document", "left_semi")
     asked = v.where("chunk % 100 = 0").withColumnRenamed("chunk", "qid")
     return vectors.best_documents(vectors.facet_rows(v, t, chunks, DIM), asked, k, DIM, v.count() + t.count())
 
@@ -268,8 +263,7 @@ SELECT qid, document, round(100 * max(sim), 5) AS score FROM f JOIN g ON g.id =
 def search_scope(spark, d):
     """The best documents of one category: all of it is scored, none is cut off before."""
     docs = dedupe.first_per_key(_t(spark, d, "document_records").select(F.col("id").alias("document"), "category", "record_no"), ["document"], ["record_no"]).where("category = 'dds'").select("document")
-    best = _facets(spark, d).join(docs, "document").groupBy("qid", "document").agg(F.max("sim").alias("sim"))
-    return best.withColumn("n", F.expr("row_number() over (partition by qid order by sim desc, document)")).where("n <= 8").select("qid", "document", F.round(100 * F.col("sim"), 5).alias("score"))
+    return _best_documents(spark, d, 8, docs).select("qid", "document", F.round(100 * F.col("sim"), 5).alias("score"))
 
 
 _RNG = np.random.default_rng(1)

@@ -182,7 +182,7 @@ def test_cosine_of_vectors_of_any_length(spark):
     assert {r["chunk"]: r["sim"] for r in vectors.facet_similarity(content, title, chunks).collect()} == {1: 0.5, 2: 0.2}
 
 
-@pytest.mark.parametrize("name", ["facet_similarity"])
+@pytest.mark.parametrize("name", ["facet_similarity", "search_scope"])
 def test_best_documents_leave_the_tasks_not_all_pairs(spark, monkeypatch, name):
     def all_pairs(*args, **kwargs):
         raise AssertionError("a row for every pair")
