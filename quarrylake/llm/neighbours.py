@@ -20,6 +20,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ FEW = 6  # of each row's neighbours in a cell that go into its first list
 STARTS = 64  # random rows that lists with few entries start from
 PICKS, OLD_PICKS = 4, 2  # entries of a list that meet in a round
 GROUP = 24  # rows compared with one another at a hub
+SLICES = 3  # parts of the rows at which others meet, one after the other, so that a part of the shuffle files is on disk
 SETTLED = 0.001
+LEAST_ROUNDS = 2  # of a small table a handful of lists decides whether one round was enough
 SLACK = 0.07  # four deviations of the cosine of two coded vectors
 
 _log = logging.getLogger(__name__)
@@ -200,20 +203,39 @@ def _within(k: int):
 
 # ---- lists --------------------------------------------------------------------------
 
-#: A list is one binary value of entries: Arrow and Parquet pass it on as it is.
+#: A list is one binary value of entries, first bytes first: Arrow and Parquet pass it
+#: on as it is, and the bytes that are alike in all entries compress away.
 _ENTRY = np.dtype([("other", "<i8"), ("sim", "<f4"), ("fresh", "u1")])
 _ROW = "key long, code binary, list binary, picks binary, bar float, changed float"
 
 
+def _planes(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Of lists of these sizes, one after the other: where the first, second, ... byte of each entry is."""
+    begin, n = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+    at = begin * (_ENTRY.itemsize - 1) + np.arange(len(n))
+    for _ in range(_ENTRY.itemsize):
+        yield at
+        at = at + n
+
+
 def _blobs(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-    ends = (offsets * values.dtype.itemsize).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, _ENTRY.itemsize)
+    out = np.empty(raw.size, np.uint8)
+    for i, at in enumerate(_planes(np.diff(offsets))):
+        out[at] = raw[:, i]
+    ends = (offsets * _ENTRY.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(out)])
 
 
 def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(length of each list, all entries)."""
     blobs = [x or b"" for x in column.to_pylist()]
-    return np.array([len(x) for x in blobs], np.int64) // _ENTRY.itemsize, np.frombuffer(b"".join(blobs), _ENTRY)
+    sizes = np.array([len(x) for x in blobs], np.int64) // _ENTRY.itemsize
+    given = np.frombuffer(b"".join(blobs), np.uint8)
+    raw = np.empty((int(sizes.sum()), _ENTRY.itemsize), np.uint8)
+    for i, at in enumerate(_planes(sizes)):
+        raw[:, i] = given[at]
+    return sizes, raw.view(_ENTRY).reshape(-1)
 
 
 def _rows(key: np.ndarray, code: pa.Array, offsets: np.ndarray, other: np.ndarray, sim: np.ndarray, fresh: np.ndarray, more: list[pa.Array] | None = None) -> pa.RecordBatch:
@@ -349,8 +371,8 @@ def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _found(*(np.concatenate(c) for c in zip(*out)))
 
 
-def _meetings(graph: DataFrame, number: int, partitions: int) -> DataFrame:
-    """(at, part, key, fresh, code, bar): the rows that meet at each row."""
+def _meetings(graph: DataFrame, number: int, partitions: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """(at, part, key, fresh, code, bar): the rows that meet at each row, or at those of one of ``parts`` slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Both ends of a picked entry meet whoever is linked with the other end."""
@@ -359,7 +381,8 @@ def _meetings(graph: DataFrame, number: int, partitions: int) -> DataFrame:
                 sizes, e = _entries(b.column("picks"))
                 key = np.repeat(b.column("key").to_numpy(), sizes)
                 for at, who in ((key, e["other"]), (e["other"], key)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(at)), pa.array(np.ascontiguousarray(who)), pa.array(e["fresh"].astype(bool)), pa.array(np.full(len(key), at is not key))], names=["at", "key", "fresh", "back"])
+                    here = np.flatnonzero(mix64(at.astype(np.uint64)) % np.uint64(parts) == part)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[here]), pa.array(who[here]), pa.array(e["fresh"][here].astype(bool)), pa.array(np.full(len(here), at is not key))], names=["at", "key", "fresh", "back"])
 
     ways = graph.select("key", "picks").mapInArrow(run, "at long, key long, fresh boolean, back boolean")
     # a hub is a row linked by very many others; few rows are
@@ -375,7 +398,8 @@ def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: in
 
     Rows of even and of odd keys are kept apart. ``rounds`` bounds the number of
     rounds (0: first lists only); by default they go on until the lists settle:
-    until fewer than ``SETTLED`` of them get a row of at least the similarity ``near``.
+    until fewer than ``SETTLED`` of them get a row of at least the similarity ``near``,
+    after ``LEAST_ROUNDS`` at least.
     Every round adds (round, lists with such a row, lists that changed, lists) to ``log``.
     """
     spark = coded.sparkSession
@@ -402,19 +426,23 @@ def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: in
                 yield _rows(key, b.column("code"), np.concatenate([[0], np.cumsum(some)]), other[some], np.full(int(some.sum()), -1.0), np.ones(int(some.sum()), bool))
 
     graph = stored(coded.mapInArrow(begin, _ROW).unionByName(lists).repartition(n, "key").mapInArrow(_merge(k, 0), _ROW))
+    del placed, sizes, lists
+    release(spark)
     number = 0
     while bits and (rounds is None or number < rounds):
         number += 1
-        met = partitions_for(spark, total * 2 * (PICKS + OLD_PICKS), 600_000)
-        found = stored(_meetings(graph, number, met).mapInArrow(_local_joins, _ROW))
-        release(spark)
-        before, graph = graph, stored(graph.unionByName(found).repartition(n, "key").mapInArrow(_merge(k, number), _ROW))
+        met = partitions_for(spark, total * 2 * (PICKS + OLD_PICKS) // SLICES, 600_000)
+        found = []
+        for part in range(SLICES):
+            found.append(stored(_meetings(graph, number, met, part, SLICES).mapInArrow(_local_joins, _ROW)))
+            release(spark)
+        before, graph = graph, stored(reduce(DataFrame.unionByName, found, graph).repartition(n, "key").mapInArrow(_merge(k, number), _ROW))
         gained, changed = graph.agg(F.count_if(F.col("changed") >= near), F.count_if(F.col("changed") > -3)).first()
-        release(spark, before, found)
+        release(spark, before, *found)
         _log.info("round %d: of %d lists %d changed, %d by a row as near as %s", number, total, changed, gained, near)
         if log is not None:
             log.append((number, gained, changed, total))
-        if gained < SETTLED * total:
+        if number >= LEAST_ROUNDS and gained < SETTLED * total:
             break
     return graph
 
@@ -512,7 +540,8 @@ def similar_pairs(df: DataFrame, key: str, vector: str, kind: str | None = None,
     both = df.select((F.col(key).cast("long") * 2 + (F.col(kind).cast("long") if kind else F.lit(0))).alias("key"), F.col(vector).alias("v"))
     coded = stored(codes(both, "key", "v"))
     copies = stored(copies_of(coded))
-    alone = coded.join(copies.select("key"), "key", "left_anti")
+    alone = stored(coded.join(copies.select("key"), "key", "left_anti").select("key", "code"))  # read several times
+    release(spark, coded)
     graph = neighbour_graph(alone, rounds=rounds, near=threshold - SLACK, log=log)
     links = edges(graph, threshold - SLACK).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
     crowded = graph.where(F.col("bar") >= threshold - SLACK).select("key")

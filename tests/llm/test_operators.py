@@ -562,3 +562,19 @@ def test_query_equals_sql(spark, name):
     columns = sorted(queries.QUERIES[name](spark, SMALL).columns)
     want = sorted(tuple(r) for r in con.execute(f"select {', '.join(columns)} from ({queries.SQL[name]})").fetchall())
     assert rows(queries.QUERIES[name](spark, SMALL).select(*columns)) == want
+
+
+def test_slices_of_a_round_are_the_round_and_lists_come_back_as_stored(spark):
+    sizes = np.array([3, 0, 16, 1])
+    entries = np.zeros(20, neighbours._ENTRY)
+    entries["other"], entries["sim"], entries["fresh"] = np.arange(20) * 10**15, np.linspace(-1, 1, 20), np.arange(20) % 2
+    stored = neighbours._blobs(np.concatenate([[0], np.cumsum(sizes)]), entries)
+    assert stored[0].as_py()[-3:] == bytes([0, 1, 0])  # the last bytes of the three entries
+    got, back = neighbours._entries(stored)
+    assert got.tolist() == sizes.tolist() and (back == entries).all()
+    v = np.random.default_rng(4).normal(size=(300, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    graph = neighbours.neighbour_graph(neighbours.codes(df, "id", "v").select("key", "code"), tables=1, cell=100, rounds=0)
+    meet = lambda *slices: sorted((r["at"], r["key"], r["fresh"]) for r in neighbours._meetings(graph, 1, 4, *slices).collect())
+    parts = [meet(i, 3) for i in range(3)]
+    assert sorted(sum(parts, [])) == meet() and all(parts)
