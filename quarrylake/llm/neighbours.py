@@ -7,7 +7,7 @@ each list, some entries that were never picked and some older ones, and lets the
 picked rows meet in both directions at the rows that link them: two that meet are
 compared unless both are old, and each goes into the other's list if it is closer
 than what the list holds. Where very many meet, at a hub, they are split at random
-into groups of bounded size. Rounds go on until fewer than ``SETTLED`` of the lists
+into groups of bounded size, at the largest hubs into tasks first. Rounds go on until fewer than ``SETTLED`` of the lists
 change. Equal vectors are one row of the graph, whatever their number.
 
 A list holds ``K`` rows. Rows whose whole list is as similar as asked for may have
@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ FEW = 6  # of each row's neighbours in a cell that go into its first list
 STARTS = 64  # random rows that lists with few entries start from
 PICKS, OLD_PICKS = 4, 2  # entries of a list that meet in a round
 GROUP = 24  # rows compared with one another at a hub
+HEAVY = 50_000  # rows linking to a hub from which they are spread over tasks
+COUNTERS = 1 << 15
 SLICES = 3  # parts of the rows at which others meet, one after the other, so that a part of the shuffle files is on disk
 SETTLED = 0.001
 LEAST_ROUNDS = 2  # of a small table a handful of lists decides whether one round was enough
@@ -73,10 +76,24 @@ def _nibbles(v: np.ndarray) -> np.ndarray:
     return q[:, 0::2] << 4 | q[:, 1::2]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(length of each value, all bytes) of a binary column; a null has none."""
+    sizes, parts = [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        c = c.fill_null(b"") if c.null_count else c
+        _, ends, data = c.buffers()
+        if len(c) and data is not None:
+            ends = np.frombuffer(ends, np.int32)[c.offset : c.offset + len(c) + 1]
+            sizes.append(np.diff(ends).astype(np.int64))
+            parts.append(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]])
+        else:
+            sizes.append(np.zeros(len(c), np.int64))
+    return np.concatenate(sizes), np.concatenate(parts)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Codes to unit float rows."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DIM // 2)
+    raw = _bytes(column)[1].reshape(-1, DIM // 2)
     out = np.empty((len(raw), DIM), np.float32)
     out[:, 0::2], out[:, 1::2] = raw >> 4, raw & 15
     out -= 8
@@ -89,14 +106,17 @@ def codes(df: DataFrame, key: str, vector: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column("v")), DIM), False))
+            v = np.asarray(b.column("v").flatten(), np.float64).reshape(-1, DIM) + 0.0
+            able = np.isfinite(v).all(axis=1) & v.any(axis=1)  # a null is not finite here
+            b, v = b.filter(pa.array(able)), v[able]
             if b.num_rows:
-                v = np.asarray(b.column("v").flatten(), np.float64).reshape(-1, DIM) + 0.0
                 v /= np.abs(v).max(axis=1, keepdims=True)  # so that no square overflows
                 odd = b.column("key").to_numpy() & 1
                 digest = [xxhash.xxh3_128_digest(row.tobytes(), seed=int(o)) for row, o in zip(v.astype(np.float32), odd)]
                 yield pa.RecordBatch.from_arrays([b.column("key"), _binary(_nibbles(v)), pa.array(digest, pa.binary())], names=["key", "code", "digest"])
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).where(usable(F.col("v")))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
     return rows.mapInArrow(run, "key long, code binary, digest binary")
 
 
@@ -178,6 +198,20 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def _largest(sims: np.ndarray, few: int, lanes: int = 8) -> np.ndarray:
+    """Columns of the few largest values of each row. Every ``wide``-th column makes a
+    strip; a strip whose maximum is not among the few largest maxima holds none of them."""
+    n = sims.shape[1]
+    wide = n // lanes
+    if wide < 2 * few:
+        return np.argpartition(sims, n - few, axis=1)[:, -few:]
+    top = sims[:, : wide * lanes].reshape(len(sims), lanes, wide).max(axis=1)
+    strips = np.argpartition(top, wide - few, axis=1)[:, -few:]
+    columns = (strips[:, :, None] + np.arange(lanes) * wide).reshape(len(sims), -1)
+    columns = np.concatenate([columns, np.broadcast_to(np.arange(wide * lanes, n), (len(sims), n - wide * lanes))], axis=1)
+    among = np.take_along_axis(sims, columns, axis=1)
+    return np.take_along_axis(columns, np.argpartition(among, among.shape[1] - few, axis=1)[:, -few:], axis=1)
+
 
 def _within(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +222,22 @@ def _within(k: int):
             x = _matrix(table.column("code"))
             for asks, given in {(one, two), (two, one)}:
                 base, rows = np.flatnonzero(home & (side == given)), np.flatnonzero(side == asks)
-                for s in range(0, len(rows) if len(base) else 0, 1000):
-                    ask = rows[s : s + 1000]
-                    sims = x[ask] @ x[base].T
-                    sims[key[ask, None] == key[base][None, :]] = -2
-                    few = min(k, len(base))
-                    c = np.argpartition(sims, len(base) - few, axis=1)[:, -few:]
-                    best = np.take_along_axis(sims, c, axis=1)
-                    keep = best > -1.5  # not the row itself
-                    yield _rows(key[ask], pa.nulls(len(ask), pa.binary()), np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), key[base][c[keep]], best[keep], np.ones(int(keep.sum()), bool))
+                if not len(base) or not len(rows):
+                    continue
+                own, to = key[base], np.ascontiguousarray(x[base].T)  # keys ascend
+                few = min(k, len(base))
+                column, best = np.empty((len(rows), few), np.int64), np.empty((len(rows), few), np.float32)
+                for s in range(0, len(rows), 200):  # what is compared at once stays in the cache
+                    ask = rows[s : s + 200]
+                    sims = x[ask] @ to
+                    at, end = np.searchsorted(own, key[ask]), np.searchsorted(own, key[ask], side="right")
+                    while (here := np.flatnonzero(at < end)).size:
+                        sims[here, at[here]] = -2
+                        at += 1
+                    column[s : s + 200] = c = _largest(sims, few)
+                    best[s : s + 200] = np.take_along_axis(sims, c, axis=1)
+                keep = best > -1.5  # not the row itself
+                yield _rows(key[rows], pa.nulls(len(rows), pa.binary()), np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), own[column[keep]], best[keep], np.ones(int(keep.sum()), bool))
 
     return run
 
@@ -229,9 +270,8 @@ def _blobs(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
 
 def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(length of each list, all entries)."""
-    blobs = [x or b"" for x in column.to_pylist()]
-    sizes = np.array([len(x) for x in blobs], np.int64) // _ENTRY.itemsize
-    given = np.frombuffer(b"".join(blobs), np.uint8)
+    sizes, given = _bytes(column)
+    sizes = sizes // _ENTRY.itemsize
     raw = np.empty((int(sizes.sum()), _ENTRY.itemsize), np.uint8)
     for i, at in enumerate(_planes(sizes)):
         raw[:, i] = given[at]
@@ -342,54 +382,104 @@ def _merge(k: int, number: int):
     return run
 
 
-def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At each row: those that meet there compared with one another."""
-    given = [b for b in batches if b.num_rows]
-    if not given:
-        return
-    t = pa.Table.from_batches(given)
-    at, part, key, bar = (t.column(c).to_numpy() for c in ("at", "part", "key", "bar"))
-    fresh = t.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
-    order = np.lexsort((key, part, at))
-    at, part, key, bar, fresh = at[order], part[order], key[order], bar[order], fresh[order]
-    x = _matrix(t.column("code"))[order]
-    start = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (part[1:] != part[:-1])))
-    size = np.diff(np.append(start, len(at)))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for n in np.unique(size[size > 1]):
-        many = start[size == n]
-        step = max(1, 40_000 // int(n))
-        for s in range(0, len(many), step):
-            rows = many[s : s + step, None] + np.arange(n)
-            y = x[rows]
-            sims = y @ y.transpose(0, 2, 1)
-            k, f = key[rows], fresh[rows]
-            ok = (k[:, :, None] != k[:, None, :]) & (f[:, :, None] | f[:, None, :]) & (sims > bar[rows][:, :, None])
-            g, i, j = np.nonzero(ok)
-            out.append((k[g, i], k[g, j], sims[g, i, j]))
-    if out:
-        yield from _found(*(np.concatenate(c) for c in zip(*out)))
-
-
-def _meetings(graph: DataFrame, number: int, partitions: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """(at, part, key, fresh, code, bar): the rows that meet at each row, or at those of one of ``parts`` slices."""
-
+def _local_joins(number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Both ends of a picked entry meet whoever is linked with the other end."""
+        """At each row: those that meet there compared with one another."""
+        given = [b for b in batches if b.num_rows]
+        if not given:
+            return
+        t = pa.Table.from_batches(given)
+        at, task, key, bar = (t.column(c).to_numpy() for c in ("at", "task", "key", "bar"))
+        fresh = t.column("fresh").to_numpy(zero_copy_only=False).astype(bool)
+        # where very many meet, random parts of them do
+        order = np.lexsort((task, at)) if task.any() else np.argsort(at)
+        begins = np.append(True, (at[order][1:] != at[order][:-1]) | (task[order][1:] != task[order][:-1]))
+        place = np.empty(len(at), np.int64)
+        place[order] = np.cumsum(begins) - 1
+        parts = np.maximum(1, -(-(np.bincount(place) - PICKS - OLD_PICKS) // GROUP)).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            part = mix64(mix64(key.astype(np.uint64)) + np.uint64(number)) % parts[place]
+        at = place << 32 | part.astype(np.int64)
+        order = np.lexsort((key, at))
+        at, key, bar, fresh = at[order], key[order], bar[order], fresh[order]
+        x = _matrix(t.column("code"))[order]
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        size = np.diff(np.append(start, len(at)))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(size[size > 1]):
+            many = start[size == n]
+            step = max(1, 40_000 // int(n))
+            for s in range(0, len(many), step):
+                rows = many[s : s + step, None] + np.arange(n)
+                y = x[rows]
+                sims = y @ y.transpose(0, 2, 1)
+                k, f = key[rows], fresh[rows]
+                ok = (k[:, :, None] != k[:, None, :]) & (f[:, :, None] | f[:, None, :]) & (sims > bar[rows][:, :, None])
+                g, i, j = np.nonzero(ok)
+                out.append((k[g, i], k[g, j], sims[g, i, j]))
+        if out:
+            yield from _found(*(np.concatenate(c) for c in zip(*out)))
+
+    return run
+
+
+def _hubs(graph: DataFrame, heavy: int = HEAVY) -> DataFrame | None:
+    """(at, tasks): rows linked by so many others that these are spread over tasks, if
+    there are any. Only rows that share one of ``COUNTERS`` too large counters are counted."""
+    counter = lambda e: (mix64(e["other"].astype(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
+
+    def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            n += np.bincount(counter(_entries(b.column("picks"))[1]), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+    picks = graph.select("picks")
+    summed = lambda run: picks.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > heavy)
+    large = np.array([r["at"] for r in summed(counters).select("at").collect()], np.int64)
+    if not len(large):
+        return None
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = _entries(b.column("picks"))[1]
+            at, n = np.unique(e["other"][np.isin(counter(e), large)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
+
+    return stored(summed(counts).select("at", F.ceil(F.col("n") / heavy).cast("int").alias("tasks")))
+
+
+def _meetings(graph: DataFrame, number: int, partitions: int, part: int = 0, parts: int = 1, hubs: DataFrame | None = None) -> DataFrame:
+    """(at, task, key, fresh, code, bar): the rows that meet at each row, or at those of
+    one of ``parts`` slices. Both ends of a picked entry meet whoever is linked with the
+    other end: a row brings its code to those it picked, and to it come the codes of these."""
+
+    def here(at: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(mix64(at.astype(np.uint64)) % np.uint64(parts) == part)
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sizes, e = _entries(b.column("picks"))
-                key = np.repeat(b.column("key").to_numpy(), sizes)
-                for at, who in ((key, e["other"]), (e["other"], key)):
-                    here = np.flatnonzero(mix64(at.astype(np.uint64)) % np.uint64(parts) == part)
-                    yield pa.RecordBatch.from_arrays([pa.array(at[here]), pa.array(who[here]), pa.array(e["fresh"][here].astype(bool)), pa.array(np.full(len(here), at is not key))], names=["at", "key", "fresh", "back"])
+                some = here(e["other"])
+                own = b.select(["key", "code", "bar"]).take(pa.array(np.repeat(np.arange(b.num_rows), sizes)[some]))
+                yield pa.RecordBatch.from_arrays([pa.array(e["other"][some]), own.column("key"), pa.array(e["fresh"][some].astype(bool)), own.column("code"), own.column("bar")], names=["at", "key", "fresh", "code", "bar"])
 
-    ways = graph.select("key", "picks").mapInArrow(run, "at long, key long, fresh boolean, back boolean")
-    # a hub is a row linked by very many others; few rows are
-    hubs = ways.where("back").groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("at", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    ways = ways.join(hubs, "at", "left").select("at", F.coalesce(F.expr(f"cast(pmod(xxhash64(key, {number}), parts) as int)"), F.lit(0)).alias("part"), "key", "fresh")
-    held = graph.select("key", "code", "bar")
-    return ways.join(held.hint("shuffle_hash"), "key").repartition(partitions, "at", "part")
+    def forth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                b = b.take(pa.array(here(b.column("key").to_numpy())))
+                sizes, e = _entries(b.column("picks"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("key").to_numpy(), sizes)), pa.array(e["other"]), pa.array(e["fresh"].astype(bool))], names=["at", "key", "fresh"])
+
+    asked = graph.select("key", "picks").mapInArrow(forth, "at long, key long, fresh boolean").join(graph.select("key", "code", "bar").hint("shuffle_hash"), "key")
+    met = graph.select("key", "code", "picks", "bar").mapInArrow(back, "at long, key long, fresh boolean, code binary, bar float").unionByName(asked)
+    task = F.lit(0)
+    if hubs is not None:
+        met = met.join(hubs, "at", "left")
+        task = F.coalesce(F.expr(f"cast(pmod(xxhash64(key, {number}), tasks) as int)"), task)
+    return met.select("at", task.alias("task"), "key", "fresh", "code", "bar").repartition(partitions, "at", "task")
 
 
 def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: int = CELL, rounds: int | None = None, near: float = -2.0, log: list | None = None) -> DataFrame:
@@ -425,18 +515,19 @@ def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: in
                 some = other != key
                 yield _rows(key, b.column("code"), np.concatenate([[0], np.cumsum(some)]), other[some], np.full(int(some.sum()), -1.0), np.ones(int(some.sum()), bool))
 
-    graph = stored(coded.mapInArrow(begin, _ROW).unionByName(lists).repartition(n, "key").mapInArrow(_merge(k, 0), _ROW))
+    held = ("key", "code", "list")  # what a merge reads
+    graph = stored(coded.mapInArrow(begin, _ROW).unionByName(lists).select(*held).repartition(n, "key").mapInArrow(_merge(k, 0), _ROW))
     del placed, sizes, lists
     release(spark)
     number = 0
     while bits and (rounds is None or number < rounds):
         number += 1
         met = partitions_for(spark, total * 2 * (PICKS + OLD_PICKS) // SLICES, 600_000)
-        found = []
+        found, hubs = [], _hubs(graph)
         for part in range(SLICES):
-            found.append(stored(_meetings(graph, number, met, part, SLICES).mapInArrow(_local_joins, _ROW)))
+            found.append(stored(_meetings(graph, number, met, part, SLICES, hubs).mapInArrow(_local_joins(number), _ROW).select(*held)))
             release(spark)
-        before, graph = graph, stored(reduce(DataFrame.unionByName, found, graph).repartition(n, "key").mapInArrow(_merge(k, number), _ROW))
+        before, graph = graph, stored(reduce(DataFrame.unionByName, found, graph.select(*held)).repartition(n, "key").mapInArrow(_merge(k, number), _ROW))
         gained, changed = graph.agg(F.count_if(F.col("changed") >= near), F.count_if(F.col("changed") > -3)).first()
         release(spark, before, *found)
         _log.info("round %d: of %d lists %d changed, %d by a row as near as %s", number, total, changed, gained, near)
@@ -450,20 +541,24 @@ def neighbour_graph(coded: DataFrame, k: int = K, tables: int = TABLES, cell: in
 # ---- pairs ---------------------------------------------------------------------------
 
 
-def _cosine() -> Column:
-    """Of the double arrays x and y."""
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, p: s + p * p))
-    return dot / (norm("x") * norm("y"))
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the vectors x and y of pairs (a, b), in doubles, one dimension after the other."""
+    for b in batches:
+        if b.num_rows:
+            x, y = (np.asarray(b.column(c).flatten(), np.float64).reshape(-1, DIM).T.copy() for c in ("x", "y"))
+            dot = lambda p, q: reduce(np.add, (p[i] * q[i] for i in range(DIM)))
+            with np.errstate(all="ignore"):
+                cosine = dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y)))
+            known = pa.array(~np.isnan(cosine))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(cosine)], names=["a", "b", "cosine"]).filter(known)
 
 
 def _exact(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(a, b, cosine) of pairs of keys of (key, v)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    held = vectors.join(wanted, "key", "left_semi")
-    both = pairs.join(held.select(F.col("key").alias("a"), F.col("v").alias("p")), "a").join(held.select(F.col("key").alias("b"), F.col("v").alias("q")), "b")
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    return both.select("a", "b", double("p").alias("x"), double("q").alias("y")).select("a", "b", _cosine().alias("cosine"))
+    held = vectors.where(F.size("v") == DIM).join(wanted, "key", "left_semi")
+    both = pairs.join(held.select(F.col("key").alias("a"), F.col("v").alias("x")), "a").join(held.select(F.col("key").alias("b"), F.col("v").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_cosines, "a long, b long, cosine double")
 
 
 def _metric_join(rows: DataFrame, threshold: float, most_pivots: int = 4096, rows_a_pivot: int = 2000) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -578,3 +579,43 @@ def test_slices_of_a_round_are_the_round_and_lists_come_back_as_stored(spark):
     meet = lambda *slices: sorted((r["at"], r["key"], r["fresh"]) for r in neighbours._meetings(graph, 1, 4, *slices).collect())
     parts = [meet(i, 3) for i in range(3)]
     assert sorted(sum(parts, [])) == meet() and all(parts)
+
+
+def test_largest_of_strips_are_the_largest(spark):
+    random = np.random.default_rng(8)
+    for n in (1, 5, 97, 101, 3001):
+        sims = np.round(random.normal(size=(40, n)).astype(np.float32), 2)
+        few = min(6, n)
+        got = neighbours._largest(sims, few)
+        assert all(len(set(row)) == few for row in got.tolist())
+        assert (np.sort(np.take_along_axis(sims, got, axis=1)) == np.sort(sims)[:, -few:]).all()
+
+
+def test_rows_that_meet_bring_their_codes_and_hubs_are_spread_over_tasks(spark):
+    v = np.random.default_rng(4).normal(size=(300, 64))
+    v[::2] = v[0] + v[::2] / 10  # keys of one kind near a centre
+    v[0] *= 3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    graph = neighbours.neighbour_graph(neighbours.codes(df, "id", "v").select("key", "code"), tables=1, cell=100, rounds=0)
+    own = {r["key"]: (bytes(r["code"]), r["bar"]) for r in graph.collect()}
+    meet = lambda hubs: neighbours._meetings(graph, 1, 4, hubs=hubs).collect()
+    whole = meet(None)
+    assert whole and all((bytes(r["code"]), r["bar"]) == own[r["key"]] for r in whole)
+    links = {}
+    for r in graph.collect():
+        for e in neighbours._entries(pa.array([r["picks"]], pa.binary()))[1]["other"].tolist():
+            links[e] = links.get(e, 0) + 1
+    assert neighbours._hubs(graph, max(links.values())) is None
+    hubs = neighbours._hubs(graph, 8)
+    assert {r["at"]: r["tasks"] for r in hubs.collect()} == {k: -(-n // 8) for k, n in links.items() if n > 8}
+    spread = meet(hubs)
+    plain = lambda found: sorted((r["at"], r["key"], r["fresh"]) for r in found)
+    assert plain(spread) == plain(whole) and {r["task"] for r in whole} == {0} and len({r["task"] for r in spread}) > 1
+
+
+def test_codes_leave_out_the_vectors_that_are_not_usable(spark):
+    good = [0.5] * 64
+    odd = [good, None, good[1:], [], [0.0] * 64, [None, *good[1:]], [float("nan"), *good[1:]], [float("inf"), *good[1:]], [1e300, -1e300, *good[2:]], [-0.0] * 63 + [1e-300]]
+    df = spark.createDataFrame(list(enumerate(odd)), "id long, v array<double>").coalesce(1)
+    want = sorted(r["id"] for r in df.where(neighbours.usable(df["v"])).collect())
+    assert sorted(r["key"] for r in neighbours.codes(df, "id", "v").collect()) == want == [0, 8, 9]
