@@ -12,6 +12,7 @@ dropped without a look at their texts, the others are verified exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,48 @@ BITS = 512  # of the bitmap that bounds how many shingles two texts do not share
 SHINGLE = 3
 #: Classes of one band that are paired in one task; larger bands are cut into blocks.
 BAND_BLOCK = 2000
+POINTS = 1_000_000  # characters whose words are hashed at once; a longer text is taken by itself
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=1)
+def _word_points() -> np.ndarray:
+    """Of every code point, whether it is part of a word."""
+    out = np.zeros(0x110000, bool)
+    for m in WORD.finditer("".join(map(chr, range(0x110000)))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each text), of all words of the texts in
+    lower case at once: a word's hash is the sum of the scrambled pairs of place and character."""
+    lower = [t.lower() if t else "" for t in texts]
+    lengths = np.array([len(t) + 1 for t in lower], np.int64)
+    ends = np.cumsum(lengths)
+    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    a = 0
+    while a < len(lower):
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] - lengths[a] + POINTS, side="right")))
+        points = np.frombuffer("\n".join([*lower[a:z], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.flatnonzero(_word_points()[points])
+        first = np.append(True, at[1:] != at[:-1] + 1)[: len(at)]
+        start = np.flatnonzero(first)
+        place = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+        mixed = mix64(place.astype(np.uint64) << np.uint64(21) | points[at])
+        hashes.append(mix64(np.add.reduceat(mixed, start)) if len(start) else hashes[0])
+        counts.append(np.diff(np.searchsorted(at[start], ends[a:z] - (ends[a] - lengths[a])), prepend=0))
+        a = z
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def batch_shingles(texts: list[str | None], min_words: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingle_hashes`` of many texts, whose words are hashed together."""
+    h, counts = hashed_words(texts)
+    enough = counts >= max(min_words, size)
+    return _runs(h[np.repeat(enough, counts)], np.where(enough, counts, 0), size)
+
+
 def shingle_hashes(texts: list[str | None], hashes: WordHashes, min_words: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle, count): distinct shingles of each text of at least ``min_words`` words."""
     flat: list[int] = []
@@ -41,20 +81,24 @@ def shingle_hashes(texts: list[str | None], hashes: WordHashes, min_words: int,
             if len(words) >= max(min_words, size):
                 lengths[i] = len(words)
                 flat += [hashes[w] for w in words]
-    if not flat:
+    return _runs(np.array(flat, np.uint64), lengths, size)
+
+
+def _runs(h: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of ``size`` of the words of each text, given by their hashes."""
+    if not len(h):
         e = np.empty(0, np.int64)
         return e, e.astype(np.uint64), e
-    h = np.array(flat, np.uint64)
     with np.errstate(over="ignore"):
         g = h[: len(h) - size + 1].copy()
         for k in range(1, size):
             g = mix64(g * np.uint64(3)) + h[k : len(h) - size + 1 + k]
         g = mix64(g)
     ends = np.cumsum(lengths)
-    row = np.repeat(np.arange(len(texts)), lengths)[: len(g)]
+    row = np.repeat(np.arange(len(lengths)), lengths)[: len(g)]
     inside = np.arange(len(g)) + size <= ends[row]
     g, row = g[inside], row[inside]
-    bits = np.uint64(len(texts).bit_length())  # one sort of row and shingle together
+    bits = np.uint64(len(lengths).bit_length())  # one sort of row and shingle together
     order = np.argsort(row.astype(np.uint64) << np.uint64(64) - bits | g >> bits)
     g, row = g[order], row[order]
     first = np.ones(len(g), bool)
@@ -134,11 +178,10 @@ def signatures(df: DataFrame, key: str, text: str, min_words: int = 20, bands: i
     is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                row, item, times = shingle_hashes(b.column("text").to_pylist(), hashes, min_words, shingle)
+                row, item, times = batch_shingles(b.column("text").to_pylist(), min_words, shingle)
                 if not len(row):
                     continue
                 present, dense, counts = np.unique(row, return_inverse=True, return_counts=True)

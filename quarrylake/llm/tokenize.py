@@ -8,8 +8,8 @@ position, stores the last token of every prefix, and following these back gives
 the ids. The pass runs over all distinct words of a batch at once in numpy: the
 tokens that end at a position are looked up by rolling hash and compared byte by byte before one is
 taken, the pair test walks the merge tree of both tokens, and its answers are
-remembered. Very long words go one by one through an automaton of all tokens, with
-the same test.
+remembered. Very long words, and long ones of which a batch has few, go one by one
+through an automaton of all tokens, with the same test.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -146,6 +147,10 @@ class PrefixEncoder:
                 else:
                     suffixes.setdefault(h, n)
         self.by_hash = _Table(np.array(list(suffixes), np.uint64), np.array(list(suffixes.values()), np.int32), bits=20)
+        # what suffixes of one and two bytes are, without a hash
+        self.of_one = np.array([suffixes[b + 1] for b in range(256)], np.int32)
+        base = int(_BASE)
+        self.of_two = np.array([suffixes.get((a + 1) * base + b + 1 & 0xFFFFFFFFFFFFFFFF, -1) for a in range(256) for b in range(256)], np.int32)
         self.memo_keys = np.full(1 << self.MEMO_BITS, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.memo = np.zeros(1 << self.MEMO_BITS, bool)
         self.find = splitter()
@@ -225,7 +230,12 @@ class PrefixEncoder:
             rows = np.arange(int(np.searchsorted(-sizes, -i, side="right")))
             now = prefix[i]
             for size in range(1, min(i, self.longest) + 1):
-                token = self.by_hash.get(now[rows] - prefix[i - size][rows] * self.powers[size])
+                if size == 1:
+                    token = self.of_one[text[rows, i - 1]]
+                elif size == 2:
+                    token = self.of_two[text[rows, i - 2].astype(np.int64) << 8 | text[rows, i - 1]]
+                else:
+                    token = self.by_hash.get(now[rows] - prefix[i - size][rows] * self.powers[size])
                 going = token >= 0
                 at = np.flatnonzero(going & (token < none))
                 if len(at):
@@ -288,6 +298,9 @@ class PrefixEncoder:
 
     #: Bytes from which a word is encoded by itself.
     LONG = 4000
+    #: Bytes from which this goes for words of which there are fewer in a batch, because
+    #: a step for all of them takes as long as one for thousands.
+    SCARCE = 64
 
     @property
     def whole(self) -> np.ndarray:
@@ -313,31 +326,31 @@ class PrefixEncoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not remembered yet."""
-        todo: list[tuple[int, bytes, str]] = []
-        known, ids = [], []
-        for w in words:
-            raw = w.encode("utf-8")
-            t = self.by_bytes.get(raw)
-            if t is not None and self.whole[t]:
-                known.append(w)
-                ids.append(t)
-            elif len(raw) >= self.LONG:
-                own = np.array(self._encode_long(raw), np.int32)
-                self._remember([w], np.array([len(own)]), own)
-            else:
-                todo.append((-len(raw), raw, w))
-        self._remember(known, np.ones(len(known), np.int64), self.ids[np.array(ids, np.int64)])
-        todo.sort()
+        raw = list(map(str.encode, words))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        token = np.fromiter(map(self.by_bytes.get, raw, repeat(-1)), np.int64, len(raw))
+        known = (token >= 0) & self.whole[token]
+        self._remember([words[i] for i in np.flatnonzero(known).tolist()], np.ones(int(known.sum()), np.int64), self.ids[token[known]])
+        for i in np.flatnonzero(~known & (sizes >= self.LONG)).tolist():
+            own = np.array(self._encode_long(raw[i]), np.int32)
+            self._remember([words[i]], np.array([len(own)]), own)
+        todo = np.flatnonzero(~known & (sizes < self.LONG))
+        todo = todo[np.argsort(-sizes[todo], kind="stable")]
+        fall = -sizes[todo]
         start = 0
         with np.errstate(over="ignore"):
             while start < len(todo):
-                width = -todo[start][0]
-                end = start + 1
+                width = -int(fall[start])
                 # blocks of similar length and of bounded area
-                while end < len(todo) and end - start < max(16, 1_500_000 // width) and 8 - 2 * todo[end][0] >= width:
-                    end += 1
-                self._remember([w for _, _, w in todo[start:end]], *self._encode_block([raw for _, raw, _ in todo[start:end]]))
-                start = end
+                end = min(start + max(16, 1_500_000 // width), int(np.searchsorted(fall, (8 - width) // 2, side="right")))
+                block = todo[start : max(end, start + 1)].tolist()
+                if width >= self.SCARCE and len(block) < self.SCARCE:
+                    own = [self._encode_long(raw[i]) for i in block]
+                    found = np.array([len(x) for x in own], np.int64), np.array(list(chain.from_iterable(own)), np.int32)
+                else:
+                    found = self._encode_block([raw[i] for i in block])
+                self._remember([words[i] for i in block], *found)
+                start += len(block)
 
     def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(where each text's words end, places of all words)."""
@@ -346,7 +359,7 @@ class PrefixEncoder:
             self.forget()
         self.learn(list(set().union(*cut).difference(self.index)))
         place = self.index.__getitem__
-        return np.cumsum([len(c) for c in cut]), np.array([k for c in cut for k in map(place, c)], np.int64)
+        return np.cumsum([len(c) for c in cut]), np.fromiter(map(place, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
 
     def count_batch(self, texts: list[str | None]) -> np.ndarray:
         """Number of ids of each text."""

@@ -619,3 +619,35 @@ def test_codes_leave_out_the_vectors_that_are_not_usable(spark):
     df = spark.createDataFrame(list(enumerate(odd)), "id long, v array<double>").coalesce(1)
     want = sorted(r["id"] for r in df.where(neighbours.usable(df["v"])).collect())
     assert sorted(r["key"] for r in neighbours.codes(df, "id", "v").collect()) == want == [0, 8, 9]
+
+
+def test_shingles_of_a_batch_are_those_of_its_words(monkeypatch):
+    odd = ["", None, "one", "a b c d e f", "A B c D e\tF g", "x " * 40, "İstanbul ΑΣ ΣΑΣ. ΑΣ", "日本語 １２３ ½²", "a_b__c \U0001f600 é ź y", "l" * 3000 + " m n o p"]
+    random_ = random.Random(5)
+    texts = odd + ["".join(chr(random_.choice([random_.randrange(32, 127), random_.randrange(32, 0x3000), 32])) for _ in range(150)) for _ in range(200)] + [None, ""]
+    for points in (near_duplicates.POINTS, 500):  # many texts at once, few at once
+        monkeypatch.setattr(near_duplicates, "POINTS", points)
+        for size, least in ((3, 4), (5, 5)):
+            row, item, times = near_duplicates.shingle_hashes(texts, WordHashes(), least, size)
+            row_, item_, times_ = near_duplicates.batch_shingles(texts, least, size)
+            assert (row == row_).all() and len(row)
+            assert (np.bincount(row, times) == np.bincount(row_, times_)).all()
+            assert len(np.unique(item)) == len(np.unique(item_))
+    assert all(len(x) == 0 for x in near_duplicates.batch_shingles(["a b", None, ""], 3))
+    assert near_duplicates.hashed_words([])[1].tolist() == []
+
+
+def test_few_long_words_are_encoded_one_by_one(monkeypatch):
+    path = tokenize.vocabulary_path()
+    letters = random.Random(6)
+    words = ["".join(letters.choice("abcdeENDS-=. ").strip() or "-" for _ in range(n)) for n in (64, 65, 90, 200, 400)] + ["-" * 300, "=" * 64, "short", "日本" * 40]
+    some = tokenize.PrefixEncoder(path)
+    alone = []
+    monkeypatch.setattr(some, "_encode_long", lambda w, one=some._encode_long: alone.append(w) or one(w))
+    got = some.encode_batch(words)
+    assert alone and all(len(w) < tokenize.PrefixEncoder.LONG for w in alone)
+    blocks = tokenize.PrefixEncoder(path)
+    monkeypatch.setattr(blocks, "SCARCE", 0)
+    want = blocks.encode_batch(words)
+    assert all(np.array_equal(x, y) for x, y in zip(got, want))
+    assert np.diff(want[0]).tolist() == some.count_batch(words).tolist()
